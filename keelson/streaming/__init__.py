@@ -1,0 +1 @@
+"""The engine analyses whole tables in batch; nothing here is incremental, so nothing streams."""
