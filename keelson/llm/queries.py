@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, idfile, packing, pieces, pii, quality, syncmers, token_counts, warc
+from . import exact_dedup, idfile, jaccard_join, packing, pieces, pii, quality, syncmers, token_counts, warc
 
 #: Where the public vocabularies are, on the driver and on every executor.
 TOKENIZERS = "/opt/tokenizers"
@@ -50,6 +50,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(_read(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_packing, op4_merge_dropout, op5_id_files, op6_token_counts,
-                                   op8_pii, op9_fingerprints, op10_exact_dedup)}
+                                   op7_jaccard_join, op8_pii, op9_fingerprints, op10_exact_dedup)}
 
 ORACLE = {
     "op1_warc": """

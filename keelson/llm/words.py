@@ -66,10 +66,10 @@ class Words:
             if z - a >= k:
                 out.append(np.unique(rolled[a:z - k + 1]))
             elif z > a:
-                few = _U(z - a)
-                for x in h[a:z]:
-                    few = mix(np.array([few + x], _U))[0]
-                out.append(np.array([few], _U))
+                few = np.full(1, z - a, _U)
+                for i in range(a, z):
+                    few = mix(few + h[i:i + 1])
+                out.append(few)
             else:
                 out.append(h[:0])
         return out
