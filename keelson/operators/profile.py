@@ -41,7 +41,10 @@ def moments(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        aggs += [F.count(c).alias(f"n{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
+        low, high = F.min(c), F.max(c)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            low, high = low + 0.0, high + 0.0  # no negative zero
+        aggs += [F.count(c).alias(f"n{i}"), low.cast("string").alias(f"lo{i}"), high.cast("string").alias(f"hi{i}")]
         if kind_of(f.dataType) in (INTEGER, CONTINUOUS):
             x = c.cast("double")
             aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"), F.skewness(x).alias(f"k{i}")]

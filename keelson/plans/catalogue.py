@@ -1,4 +1,531 @@
 """Registered queries of the engine and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names, shapes, similarity
+from ..operators import certify, dependencies, graph, groups, joins, keys, logical, models, profile, report, structure, validate, views
+from ..sources import csv_folder
+from ..sources.tables import ALIASES, read_star, read_table
+from ..types import Edge, Model
+from .pipeline import Pipeline
+
+#: Columns of the driver's tables with their kinds, for generated SQL.
+COLUMNS = {
+    "region": {"r_regionkey": "int", "r_name": "string"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
+    "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
+    "part": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double"},
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"},
+    "lineitem": {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double",
+                 "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"},
+    "events": {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"},
+}
+STAR = tuple(ALIASES)
+KIND = {"int": "integer", "bigint": "integer", "double": "continuous", "string": "text", "timestamp_ntz": "temporal"}
+#: The foreign keys of the tables.
+FOREIGN = (
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("nation", "n_regionkey", "region", "r_regionkey"), ("events", "user_id", "customer", "c_custkey"), ("labels", "doc_id", "documents", "doc_id"),
+)
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def _register(name: str, run, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLE[name] = sql
+
+
+def _read(spark: SparkSession, sf: str, t: str) -> DataFrame:
+    return read_table(spark, sf, t)
+
+
+def _rows(spark: SparkSession, schema: str, rows) -> DataFrame:
+    return spark.createDataFrame([tuple(r) for r in rows], schema)
+
+
+def _sql_values(rows, columns: str) -> str:
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return str(v).lower()
+        return f"'{v}'" if isinstance(v, str) else repr(v)
+
+    return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({columns})"
+
+
+# -- profiles ---------------------------------------------------------------
+
+def _profile_sql(t: str, c: str, type_: str, alias: str | None = None) -> str:
+    if KIND[type_] in ("integer", "continuous"):
+        spread = (f"(SELECT CASE WHEN m = 0 OR m IS NULL THEN 0.0 ELSE abs(s / m) / (1 + abs(s / m)) END FROM (SELECT avg({c}) m, stddev_pop({c}) s FROM {t}))")
+        skew = (f"(SELECT coalesce(abs(k) / (1 + abs(k)), 0.0) FROM (SELECT avg(power(({c} - m) / nullif(s, 0), 3)) k FROM {t}, "
+                f"(SELECT avg({c}) m, stddev_pop({c}) s FROM {t})))")
+    else:
+        spread = skew = "0.0"
+    low, high = (f"({x}({c}) + 0.0)" if type_ == "double" else f"{x}({c})" for x in ("min", "max"))
+    return f"""
+        SELECT '{t}' AS table_name, '{alias or c}' AS column_name, '{type_}' AS column_type, '{KIND[type_]}' AS kind, a.n AS rows, a.nn AS non_null_rows, a.n - a.nn AS null_rows,
+          round(CASE WHEN a.n > 0 THEN (a.n - a.nn)::DOUBLE / a.n ELSE 0 END, 6) AS null_ratio, f.d AS distinct_count,
+          round(CASE WHEN a.nn > 0 THEN f.d::DOUBLE / a.nn ELSE 0 END, 6) AS uniqueness_ratio, coalesce(a.lo, '') AS min_value, coalesce(a.hi, '') AS max_value,
+          round(f.h, 6) AS entropy, round(CASE WHEN a.nn > 1 THEN f.h / log2(a.nn) ELSE 0 END, 6) AS entropy_ratio,
+          round(CASE WHEN a.n > 0 THEN 1 - a.nn::DOUBLE / a.n ELSE 0 END, 6) AS sparsity, round({spread}, 6) AS variation_coefficient, round({skew}, 6) AS skewness_score,
+          round(CASE WHEN a.n > 0 THEN 0.5 * f.d / a.n + 0.3 * (CASE WHEN a.nn > 1 THEN f.h / log2(a.nn) ELSE 0 END) + 0.2 * a.nn / a.n ELSE 0.2 END, 6) AS identifiability_score
+        FROM (SELECT count(*) n, count({c}) nn, {low}::VARCHAR lo, {high}::VARCHAR hi FROM {t}) a,
+             (SELECT count(*) d, coalesce(greatest(log2(sum(f)) - sum(f * log2(f)) / sum(f), 0), 0) h
+              FROM (SELECT count(*)::DOUBLE f FROM {t} WHERE {c} IS NOT NULL GROUP BY {c})) f"""
+
+
+_LABEL = "CASE WHEN identifiability_score >= 0.85 THEN 'HIGH' WHEN identifiability_score >= 0.5 THEN 'MEDIUM' WHEN identifiability_score >= 0.2 THEN 'LOW' ELSE 'VERY_LOW' END"
+
+
+def _profiles_sql(tables, aliased: bool = False) -> str:
+    parts = [_profile_sql(t, c, k, ALIASES[t][c] if aliased else None) for t in tables for c, k in COLUMNS[t].items()]
+    return f"SELECT *, {_LABEL} AS identifiability_label FROM ({' UNION ALL '.join(parts)})"
+
+
+def _profiles(spark: SparkSession, sf: str, tables, aliased: bool = False) -> DataFrame:
+    source = read_star(spark, sf, tables) if aliased else {t: _read(spark, sf, t) for t in tables}
+    return reduce(DataFrame.unionAll, [profile.profile(df, t) for t, df in source.items()])
+
+
+for _t in COLUMNS:
+    _register(f"profile_{_t}", lambda s, d, t=_t: profile.profile(_read(s, d, t), t), _profiles_sql([_t]))
+
+_register("profile_all_tables", lambda s, d: profile.profile_all(s, {t: _read(s, d, t) for t in COLUMNS}), _profiles_sql(COLUMNS))
+_register("column_entropy_lineitem", lambda s, d: profile.profile(_read(s, d, "lineitem"), "lineitem").select("column_name", "entropy", "entropy_ratio", "sparsity"),
+          f"SELECT column_name, entropy, entropy_ratio, sparsity FROM ({_profiles_sql(['lineitem'])})")
+_register("column_moments_orders", lambda s, d: profile.profile(_read(s, d, "orders"), "orders").select("column_name", "variation_coefficient", "skewness_score"),
+          f"SELECT column_name, variation_coefficient, skewness_score FROM ({_profiles_sql(['orders'])})")
+_register("identifiability_customer", lambda s, d: profile.profile(_read(s, d, "customer"), "customer").select("column_name", "identifiability_score", "identifiability_label"),
+          f"SELECT column_name, identifiability_score, identifiability_label FROM ({_profiles_sql(['customer'])})")
+_register("low_cardinality_columns", lambda s, d: profile.low_cardinality(_profiles(s, d, STAR)).select("table_name", "column_name", "uniqueness_ratio"),
+          f"SELECT table_name, column_name, uniqueness_ratio FROM ({_profiles_sql(STAR)}) WHERE rows >= 10 AND uniqueness_ratio <= 0.2 AND null_ratio < 1")
+_register("type_class_counts", lambda s, d: profile.kind_counts(_profiles(s, d, STAR)),
+          f"""SELECT table_name, max(rows) AS rows, count(*) AS attributes, count(*) FILTER (kind IN ('integer', 'continuous')) AS numeric,
+              count(*) FILTER (kind = 'text') AS text, count(*) FILTER (kind = 'temporal') AS date FROM ({_profiles_sql(STAR)}) GROUP BY table_name""")
+
+# -- dependencies and keys --------------------------------------------------
+
+_UNIQUE = {"lineitem": (("l_orderkey", "l_linenumber"), ("l_extendedprice", "l_orderkey"), ("l_orderkey",)), "orders": (("o_orderkey",), ("o_custkey", "o_orderdate")),
+           "customer": (("c_custkey",), ("c_name",), ("c_nationkey", "c_mktsegment"))}
+
+
+def _same(columns) -> str:
+    return ", ".join(columns)
+
+
+for _t, _cs in _UNIQUE.items():
+    _register(f"unique_test_{_t}", lambda s, d, t=_t, cs=_cs: dependencies.unique_test(_read(s, d, t), t, cs), " UNION ALL ".join(
+        f"SELECT '{_t}' AS table_name, '{','.join(c)}' AS columns, NOT EXISTS (SELECT 1 FROM {_t} GROUP BY {_same(c)} HAVING count(*) > 1) AS is_unique" for c in _cs))
+    _register(f"key_shape_{_t}", lambda s, d, t=_t, cs=_cs: dependencies.key_shape(_read(s, d, t), t, cs), " UNION ALL ".join(
+        f"""SELECT '{_t}' AS table_name, '{','.join(c)}' AS columns, (SELECT count(*) FROM {_t}) AS rows,
+            (SELECT coalesce(avg(CASE WHEN {' OR '.join(f'{x} IS NULL' for x in c)} THEN 1.0 ELSE 0.0 END), 0.0) FROM {_t}) AS null_ratio,
+            (SELECT count(*) FROM (SELECT DISTINCT {_same(c)} FROM {_t}))::DOUBLE / (SELECT count(*) FROM {_t}) AS uniqueness_ratio""" for c in _cs))
+
+_FD = {"customer": (("c_custkey",), ("c_nationkey",), ("c_nationkey", "c_mktsegment")), "part": (("p_name",), ("p_brand",), ("p_brand", "p_type")),
+       "nation": (("n_name",), ("n_regionkey",)), "orders": (("o_custkey",), ("o_orderstatus", "o_orderpriority"))}
+
+
+def _fd_sql(t: str, determinant, dependent: str) -> str:
+    where = " AND ".join(f"{c} IS NOT NULL" for c in (*determinant, dependent))
+    return (f"SELECT '{','.join(determinant)}' AS determinant, '{dependent}' AS dependent, count(*) AS violations, count(*) = 0 AS holds "
+            f"FROM (SELECT 1 FROM {t} WHERE {where} GROUP BY {_same(determinant)} HAVING count(DISTINCT {dependent}) > 1)")
+
+
+for _t, _ds in _FD.items():
+    _register(f"fd_matrix_{_t}", lambda s, d, t=_t, ds=_ds: dependencies.dependency_matrix(_read(s, d, t), ds, list(COLUMNS[t])),
+              " UNION ALL ".join(_fd_sql(_t, det, c) for det in _ds for c in COLUMNS[_t] if c not in det))
+_register("determinant_shape_orders", lambda s, d: dependencies.determinant_shape(_read(s, d, "orders"), ("o_custkey", "o_orderstatus")),
+          """SELECT count(*) AS "distinct", count(*)::DOUBLE / sum(n)::DOUBLE AS uniqueness, (sum(n) - count(*))::BIGINT AS repeated
+             FROM (SELECT count(*) n FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY o_custkey, o_orderstatus)""")
+
+
+def _simple_keys(spark, sf):
+    p = _profiles(spark, sf, COLUMNS)
+    return p.filter("rows > 0 AND null_rows = 0 AND distinct_count = rows AND kind <> 'continuous'").select("table_name", "column_name", F.round(
+        keys.UNIQUENESS + keys.IDENTIFIABILITY * F.col("identifiability_score"), 6).alias("confidence"))
+
+
+_register("simple_keys_all", _simple_keys, f"""SELECT table_name, column_name, round(0.7 + 0.3 * identifiability_score, 6) AS confidence FROM ({_profiles_sql(COLUMNS)})
+    WHERE rows > 0 AND null_rows = 0 AND distinct_count = rows AND kind <> 'continuous'""")
+
+
+def _evidence(spark, sf, tables):
+    source = read_star(spark, sf, tables)
+    return source, profile.evidence_of(profile.profile_all(spark, source).collect())
+
+
+def _composite(spark, sf):
+    source, evidence = _evidence(spark, sf, ["lineitem"])
+    found = keys.composite_keys(source, evidence, ["lineitem"])
+    return _rows(spark, "table_name string, columns string, uniqueness_ratio double", [(k.table, ",".join(k.columns), k.uniqueness) for k in found])
+
+
+_register("composite_key_lineitem", _composite)
+
+
+def _ranking(spark, sf):
+    source, evidence = _evidence(spark, sf, ["region", "nation", "customer", "supplier", "part", "orders"])
+    order = keys.infer_keys(source, evidence)
+    best = keys.best_by_table(order)
+    return _rows(spark, "position int, table_name string, columns string, confidence double, is_best boolean",
+                 [(i, k.table, ",".join(k.columns), k.confidence, best[k.table] == k) for i, k in enumerate(order, 1)])
+
+
+_register("key_ranking", _ranking)
+
+# -- joins ------------------------------------------------------------------
+
+_register("join_coverage", lambda s, d: joins.coverage_table({t: _read(s, d, t) for f in FOREIGN for t in (f[0], f[2])}, [(a, (b,), c, (e,)) for a, b, c, e in FOREIGN]),
+          " UNION ALL ".join(f"""SELECT '{a}' AS source_table, '{b}' AS source_columns, '{c}' AS target_table, '{e}' AS target_columns, count(*) AS rows,
+              count(*) FILTER ({b} IN (SELECT {e} FROM {c})) AS matched, round(count(*) FILTER ({b} IN (SELECT {e} FROM {c}))::DOUBLE / count(*), 6) AS ratio
+              FROM {a} WHERE {b} IS NOT NULL""" for a, b, c, e in FOREIGN))
+_register("join_coverage_partial", lambda s, d: joins.coverage_table({t: _read(s, d, t) for t in ("lineitem", "part", "orders")},
+          [("lineitem", ("l_orderkey",), "part", ("p_partkey",)), ("lineitem", ("l_orderkey", "l_quantity"), "orders", ("o_orderkey", "o_totalprice"))]),
+          """SELECT 'lineitem' AS source_table, 'l_orderkey' AS source_columns, 'part' AS target_table, 'p_partkey' AS target_columns, count(*) AS rows,
+               count(*) FILTER (l_orderkey IN (SELECT p_partkey FROM part)) AS matched,
+               round(count(*) FILTER (l_orderkey IN (SELECT p_partkey FROM part))::DOUBLE / count(*), 6) AS ratio FROM lineitem WHERE l_orderkey IS NOT NULL
+             UNION ALL SELECT 'lineitem', 'l_orderkey,l_quantity', 'orders', 'o_orderkey,o_totalprice', count(*), count(m), round(count(m)::DOUBLE / count(*), 6)
+             FROM (SELECT l_orderkey k, l_quantity q FROM lineitem WHERE l_orderkey IS NOT NULL AND l_quantity IS NOT NULL) l
+             LEFT JOIN (SELECT DISTINCT o_orderkey k, o_totalprice q, 1 m FROM orders) o ON l.k = o.k AND l.q = o.q""")
+_register("orphans_lineitem_part", lambda s, d: joins.orphans(_read(s, d, "lineitem"), ("l_orderkey",), _read(s, d, "part"), ("p_partkey",)).withColumnRenamed("k0", "l_orderkey"),
+          "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT p_partkey FROM part)")
+
+
+def _orphan_counts(spark, sf):
+    return reduce(DataFrame.unionAll, [joins.count_orphans(_read(spark, sf, a), (b,), _read(spark, sf, c), (e,)).select(
+        F.lit(a).alias("source_table"), F.lit(b).alias("source_columns"), F.lit(c).alias("target_table"), "orphans") for a, b, c, e in FOREIGN])
+
+
+_register("orphan_counts", _orphan_counts, " UNION ALL ".join(
+    f"SELECT '{a}' AS source_table, '{b}' AS source_columns, '{c}' AS target_table, count(DISTINCT {b}) AS orphans FROM {a} WHERE {b} NOT IN (SELECT {e} FROM {c})" for a, b, c, e in FOREIGN))
+
+
+def _discovered(spark, sf):
+    tables = ["region", "nation", "customer", "supplier", "part", "orders"]
+    source, evidence = _evidence(spark, sf, tables)
+    found = joins.discover(source, evidence, keys.simple_keys(evidence))
+    return _rows(spark, "source_table string, source_columns string, target_table string, target_columns string, rows long, matched long, ratio double",
+                 [(j.source, ",".join(j.source_columns), j.target, ",".join(j.target_columns), j.rows, j.matched, j.ratio) for j in found])
+
+
+_register("join_discovery", _discovered)
+
+
+def _prefiltered(spark, sf):
+    tables = ["region", "nation", "customer", "supplier"]
+    _, evidence = _evidence(spark, sf, tables)
+    kept = joins.prefiltered(evidence, keys.simple_keys(evidence))
+    return _rows(spark, "table_name string, column_name string", [(c.table, c.column) for c in kept])
+
+
+_SMALL = ("region", "nation", "customer", "supplier")
+_register("fk_prefilter", _prefiltered, f"""
+    WITH p AS ({_profiles_sql(_SMALL, aliased=True)}), k AS (SELECT * FROM p WHERE rows > 0 AND null_rows = 0 AND distinct_count = rows AND kind <> 'continuous')
+    SELECT table_name, column_name FROM p WHERE null_ratio < 1 AND EXISTS (
+      SELECT 1 FROM k WHERE k.table_name <> p.table_name AND k.column_type = p.column_type AND p.distinct_count <= 1.1 * k.distinct_count
+        AND (p.kind NOT IN ('integer', 'continuous') OR (TRY_CAST(p.min_value AS DOUBLE) >= TRY_CAST(k.min_value AS DOUBLE) AND TRY_CAST(p.max_value AS DOUBLE) <= TRY_CAST(k.max_value AS DOUBLE))))""")
+
+# -- names, shapes and evidence ---------------------------------------------
+
+_NAMES = sorted({a for t in ALIASES.values() for a in t.values()} | {"user_id", "event_type", "postal_code", "invoice_no", "city"})
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _name_rules(spark, sf):
+    n = F.col("name")
+    return _rows(spark, "name string", [(x,) for x in _NAMES]).select(
+        "name", F.array_join(names.tokens_col(n), " ").alias("tokens"), names.key_like_col(n).alias("key_like"), names.measure_like_col(n).alias("measure_like"),
+        names.grain_like_col(n).alias("grain_like"), names.time_like_col(n).alias("time_like"), names.place_like_col(n).alias("place_like"),
+        F.array_join(names.concept_col(n), " ").alias("concept"), names.normalized_col(n).alias("normalized"), names.same_concept_col(n, F.lit("order_key")).alias("names_an_order"))
+
+
+_register("name_rules", _name_rules, f"""
+    WITH n AS (SELECT name, string_split(name, '_') t FROM {_sql_values([(x,) for x in _NAMES], 'name')}), c AS (SELECT *, list_filter(t, lambda x: NOT list_contains({_list(names.KEYS)}, x)) k FROM n)
+    SELECT name, array_to_string(t, ' ') AS tokens, list_has_any(t, {_list(names.KEYS)}) AS key_like, regexp_matches(name, '{'|'.join(names.MEASURES)}') AS measure_like,
+      list_has_any(t, {_list(names.GRAINS)}) AS grain_like, list_has_any(t, {_list(names.TIMES)}) AS time_like, list_has_any(t, {_list(names.PLACES)}) AS place_like,
+      array_to_string(k, ' ') AS concept, array_to_string(list_filter(t, lambda x: NOT list_contains({_list(names.TECHNICAL)}, x)), '') AS normalized,
+      len(k) = 0 OR k[-1] = 'order' AS names_an_order FROM c""")
+
+
+def _shape_scores(spark, sf):
+    return _profiles(spark, sf, ["lineitem", "customer"], aliased=True).withColumns(shapes.shape_columns()).select(
+        "table_name", "column_name", *[F.round(c, 4).alias(c) for c in ("measure_score", "grain_score", "descriptive_score", "lookup_score")])
+
+
+_has = lambda words: f"list_has_any(string_split(column_name, '_'), {_list(words)})"
+_register("shape_scores", _shape_scores, f"""
+    WITH p AS ({_profiles_sql(['lineitem', 'customer'], aliased=True)}),
+    f AS (SELECT *, {_has(names.KEYS)} k, {_has(names.GRAINS)} g, {_has(names.TIMES)} t, {_has(names.PLACES)} l, regexp_matches(column_name, '{'|'.join(names.MEASURES)}') m FROM p),
+    s AS (SELECT *, CASE WHEN distinct_count <= 1 OR kind NOT IN ('integer', 'continuous') OR t OR l OR k OR g OR (kind <> 'continuous' AND uniqueness_ratio >= 0.95 AND NOT m)
+        OR (distinct_count <= 2 AND entropy_ratio <= 0 AND variation_coefficient <= 0) THEN 0.0
+      ELSE least(CASE WHEN kind = 'continuous' THEN 0.3 ELSE 0.1 END + 0.15 * (1 - uniqueness_ratio) + 0.2 * entropy_ratio + 0.3 * variation_coefficient
+        + 0.1 * (distinct_count >= 3)::INT + 0.15 * m::INT, 1.0) END AS ms FROM f)
+    SELECT table_name, column_name, round(ms::DOUBLE, 4) AS measure_score,
+      round((CASE WHEN null_ratio > 0.2 OR distinct_count <= 1 OR ms >= 0.4 THEN 0.0 ELSE least(0.6 * (k OR g)::INT + 0.55 * (t OR kind = 'temporal')::INT + 0.55 * (uniqueness_ratio >= 0.95)::INT, 1.0) END)::DOUBLE, 4) AS grain_score,
+      round((CASE WHEN (distinct_count <= 1 AND NOT l) OR k OR g OR t OR kind = 'temporal' OR ms >= 0.4 OR uniqueness_ratio >= 0.95 THEN 0.0 ELSE least(0.35 + 0.25 * (1 - uniqueness_ratio) + 0.15 * l::INT, 1.0) END)::DOUBLE, 4) AS descriptive_score,
+      round((CASE WHEN null_ratio > 0.05 OR distinct_count <= 1 OR t OR kind = 'temporal' OR ms >= 0.4 OR g THEN 0.0
+        ELSE least(0.55 * k::INT + 0.25 * (uniqueness_ratio >= 0.01 AND uniqueness_ratio < 0.95)::INT + 0.25 * identifiability_score, 1.0) END)::DOUBLE, 4) AS lookup_score
+    FROM s""")
+
+_PAIRS = [("customer_id", "customer_key", 1.0), ("cust_id", "customer_id", 1.0), ("month", "id", 1.0), ("order_date", "ship_date", 0.9), ("product_code", "product_id", 0.97), ("region_key", "region_id", 0.5)]
+_SIMILAR = {("customer_id", "customer_key"): 1.0, ("cust_id", "customer_id"): round(8 / 12, 4), ("month", "id"): 0.0, ("order_date", "ship_date"): round(2 * 4 / 17, 4),
+            ("product_code", "product_id"): round(14 / 18, 4), ("region_key", "region_id"): 1.0}
+
+
+def _similar(spark, sf):
+    return _rows(spark, "left_name string, right_name string, ratio double, similarity double", [(a, b, r, similarity.name_similarity(a, b)) for a, b, r in _PAIRS])
+
+
+_similar_sql = _sql_values([(a, b, r, _SIMILAR[a, b]) for a, b, r in _PAIRS], "left_name, right_name, ratio, similarity")
+_register("name_similarity_edges", _similar, f"SELECT left_name, right_name, ratio::DOUBLE AS ratio, similarity::DOUBLE AS similarity FROM {_similar_sql}")
+
+
+def _edge_evidence(spark, sf):
+    score, label = graph.evidence_column(F.col("ratio"), F.col("similarity"))
+    return _similar(spark, sf).select("left_name", "right_name", score.alias("hybrid_score"), label.alias("evidence"))
+
+
+_register("edge_evidence", _edge_evidence, f"""SELECT left_name, right_name, round(0.34 * ratio + 0.66 * similarity, 6)::DOUBLE AS hybrid_score,
+    CASE WHEN 0.34 * ratio + 0.66 * similarity >= 0.75 THEN 'CONFIRMED' WHEN 0.34 * ratio + 0.66 * similarity <= 0.25 THEN 'WEAK' ELSE 'COINCIDENCE' END AS evidence FROM {_similar_sql}""")
+
+# -- graph, roles, models ---------------------------------------------------
+
+_EDGES = [(a, c) for a, _, c, _ in FOREIGN[:7]]
+_edges_sql = _sql_values(_EDGES, "source_table, target_table")
+_edge_rows = lambda s: _rows(s, "source_table string, target_table string", _EDGES)
+_register("degree_counts", lambda s, d: graph.degrees(_edge_rows(s)), f"""
+    WITH e AS (SELECT * FROM {_edges_sql}), o AS (SELECT source_table t, count(DISTINCT target_table) n FROM e GROUP BY 1), i AS (SELECT target_table t, count(DISTINCT source_table) n FROM e GROUP BY 1)
+    SELECT coalesce(o.t, i.t) AS table_name, coalesce(o.n, 0) AS outgoing, coalesce(i.n, 0) AS incoming FROM o FULL JOIN i ON o.t = i.t""")
+
+_KEYED = ("region", "nation", "customer", "supplier", "part", "orders")
+
+
+def _table_roles(spark, sf):
+    p = _profiles(spark, sf, STAR, aliased=True)
+    additive = ~names.key_like_col(F.col("column_name")) & F.col("kind").isin("integer", "continuous") & (F.col("distinct_count") > 1) & (F.col("uniqueness_ratio") < 0.95) & (
+        (F.col("entropy_ratio") >= 0.05) | (F.col("variation_coefficient") >= 0.05))
+    measures = p.groupBy("table_name").agg(F.count_if(additive).alias("measures"))
+    has = F.col("table_name").isin(*_KEYED)
+    return (profile.kind_counts(p).join(measures, "table_name").join(graph.degrees(_edge_rows(spark)), "table_name", "left")
+            .fillna(0, ["outgoing", "incoming"]).withColumns({"has_key": has, "grain": has}).withColumn("role", graph.role_column())
+            .select("table_name", "measures", "outgoing", "incoming", "role"))
+
+
+_register("table_roles", _table_roles, f"""
+    WITH p AS ({_profiles_sql(STAR, aliased=True)}), e AS (SELECT * FROM {_edges_sql}),
+    c AS (SELECT table_name, max(rows) n, count(*) FILTER (kind IN ('integer', 'continuous')) x, count(*) FILTER (kind = 'text') t,
+      count(*) FILTER (NOT {_has(names.KEYS)} AND kind IN ('integer', 'continuous') AND distinct_count > 1 AND uniqueness_ratio < 0.95 AND (entropy_ratio >= 0.05 OR variation_coefficient >= 0.05)) m
+      FROM p GROUP BY 1),
+    d AS (SELECT c.*, (SELECT count(DISTINCT target_table) FROM e WHERE source_table = table_name) o, (SELECT count(DISTINCT source_table) FROM e WHERE target_table = table_name) i,
+      table_name IN {_KEYED} k FROM c),
+    l AS (SELECT *, k AND m = 0 AND n < 100 AND i >= 1 AND x <= t + o AS lookup FROM d)
+    SELECT table_name, m AS measures, o AS outgoing, i AS incoming, CASE WHEN o = 0 AND i = 0 THEN 'ISOLATED' WHEN o >= 1 AND k AND m > 0 AND NOT lookup THEN 'FACT'
+      WHEN o >= 2 AND n >= 5 AND x > t AND m > 0 AND NOT lookup THEN 'FACT' WHEN o >= 2 AND n >= 5 AND k AND m > 0 AND NOT lookup THEN 'FACT'
+      WHEN o >= 1 AND i = 0 AND k AND n >= 5 AND x > t AND m > 0 AND NOT lookup THEN 'FACT' WHEN o >= 1 AND k AND t >= x THEN 'DIMENSION' WHEN k AND i >= 1 THEN 'DIMENSION' ELSE 'UNKNOWN' END AS role
+    FROM l""")
+
+_ROLES = {"lineitem": "FACT", "orders": "FACT", "customer": "DIMENSION", "supplier": "DIMENSION", "part": "DIMENSION", "nation": "DIMENSION", "region": "DIMENSION"}
+
+
+def _candidates(spark, sf):
+    from ..types import Role
+
+    evidence = {t: [c for c in profile.evidence_of(profile.profile(df, t).collect())] for t, df in read_star(spark, sf, ["region", "nation"]).items()}
+    edges = [Edge(a, c, (b,), (e,), 1.0, 1.0, 1.0, "CONFIRMED") for a, b, c, e in FOREIGN[:7]] + [Edge("events", "customer", ("user_id",), ("c_custkey",), 1.0, 1.0, 1.0, "CONFIRMED")]
+    roles = [Role(t, r, 0.9, "") for t, r in (_ROLES | {"events": "FACT"}).items()]
+    return models.Builder(roles, edges, evidence)
+
+
+def _model_rows(spark, found: list[Model]) -> DataFrame:
+    return _rows(spark, "model_type string, facts string, dimensions string, joins int, covered_facts int, coverage double",
+                 [(m.kind, ",".join(m.facts), ",".join(m.dimensions), len(m.edges), m.covered_facts, m.coverage) for m in found])
+
+
+_model_values = lambda rows: f"SELECT model_type, facts, dimensions, joins::INT AS joins, covered_facts::INT AS covered_facts, coverage::DOUBLE AS coverage FROM {_sql_values(rows, 'model_type, facts, dimensions, joins, covered_facts, coverage')}"
+_register("star_candidates", lambda s, d: _model_rows(s, _candidates(s, d).stars()), _model_values([
+    ("STAR", "events", "customer", 1, 1, 0.333333), ("STAR", "lineitem", "part,supplier", 2, 1, 0.333333), ("STAR", "orders", "customer", 1, 1, 0.333333)]))
+_register("snowflake_candidates", lambda s, d: _model_rows(s, _candidates(s, d).snowflakes()), _model_values([
+    ("SNOWFLAKE", "events", "customer,nation", 2, 1, 0.333333), ("SNOWFLAKE", "lineitem", "nation,part,supplier", 3, 1, 0.333333), ("SNOWFLAKE", "orders", "customer,nation", 2, 1, 0.333333)]))
+_register("constellation", lambda s, d: _model_rows(s, _candidates(s, d).constellation()), _model_values([
+    ("CONSTELLATION", "events,orders", "customer,nation,region", 4, 2, 0.666667)]))
+
+_SCORED = [("star_a", "STAR", 1, 2, 3, 20, 9, 0.5), ("snow_a", "SNOWFLAKE", 1, 3, 4, 24, 11, 0.5), ("both", "CONSTELLATION", 2, 4, 6, 40, 18, 1.0)]
+_scored_columns = "model_id, model_type, facts, dimensions, tables, attributes, numeric_attributes, coverage_ratio"
+_register("model_scores", lambda s, d: models.score_table(_rows(s, "model_id string, model_type string, facts int, dimensions int, tables int, attributes int, numeric_attributes int, coverage_ratio double", _SCORED))
+          .select("model_id", "raw_score", "score"), f"""
+    WITH r AS (SELECT model_id, round(-1.0 * tables - 0.05 * attributes + 2.0 * numeric_attributes + 8.0 * dimensions + 30.0 * coverage_ratio
+      + CASE WHEN model_type = 'CONSTELLATION' AND facts > 1 THEN (facts - 1) * (15.0 + 10.0 * dimensions) ELSE 0 END, 2)::DOUBLE AS raw_score FROM {_sql_values(_SCORED, _scored_columns)})
+    SELECT model_id, raw_score, CASE WHEN max(raw_score) OVER () = min(raw_score) OVER () THEN 1.0 ELSE round((raw_score - min(raw_score) OVER ()) / (max(raw_score) OVER () - min(raw_score) OVER ()), 4) END AS score FROM r""")
+
+_TOPOLOGY = [("m1", "STAR", "f", "FACT", "d", "DIMENSION", 1), ("m1", "STAR", "f", "FACT", "f", "FACT", 1), ("m2", "CONSTELLATION", "f", "FACT", "g", "FACT", 1),
+             ("m3", "STAR", "d", "DIMENSION", "e", "DIMENSION", 2), ("m4", "SNOWFLAKE", "d", "DIMENSION", "e", "DIMENSION", 2)]
+_register("topology_issues", lambda s, d: validate.topology_issues(_rows(s, "model_id string, model_type string, source_table string, source_role string, target_table string, target_role string, depth int", _TOPOLOGY)), f"""
+    WITH e AS (SELECT * FROM {_sql_values(_TOPOLOGY, 'model_id, model_type, source_table, source_role, target_table, target_role, depth')})
+    SELECT model_id, 'NO_SELF_LOOP' AS rule_name, source_table, target_table FROM e WHERE source_table = target_table
+    UNION ALL SELECT model_id, 'NO_FACT_TO_FACT_EDGE', source_table, target_table FROM e WHERE source_role = 'FACT' AND target_role = 'FACT' AND source_table <> target_table
+    UNION ALL SELECT model_id, 'STAR_DIRECT_TO_DIMENSION', source_table, target_table FROM e WHERE model_type = 'STAR' AND (source_role <> 'FACT' OR target_role <> 'DIMENSION' OR depth <> 1)""")
+
+# -- logical tables, validation, views --------------------------------------
+
+_register("logical_dimension_part", lambda s, d: _read(s, d, "part").select("p_brand", "p_type").distinct(), "SELECT DISTINCT p_brand, p_type FROM part")
+_register("logical_fact_lineitem", lambda s, d: _read(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"),
+          "SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem")
+_register("grain_duplicates_lineitem", lambda s, d: validate.count_duplicate_grains(_read(s, d, "lineitem"), ("l_orderkey", "l_linenumber")),
+          "SELECT count(*) AS duplicates FROM (SELECT 1 FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
+
+
+def _dimension_purity(spark, sf):
+    p = _profiles(spark, sf, ["customer", "part", "supplier", "nation", "region"], aliased=True)
+    score = validate.impurity_column(F.col("entropy_ratio"), F.col("variation_coefficient"), F.col("skewness_score"))
+    return p.filter(F.col("kind").isin("integer", "continuous") & ~names.key_like_col(F.col("column_name"))).select(
+        "table_name", "column_name", F.round(score, 4).alias("impurity"), (score > validate.IMPURE).alias("violates"))
+
+
+_register("dimension_purity", _dimension_purity, f"""
+    SELECT table_name, column_name, round(s, 4) AS impurity, s > 0.85 AS violates FROM (
+      SELECT *, 0.4 * entropy_ratio + 0.3 * least(abs(variation_coefficient) / 2, 1.0) + 0.3 * tanh(abs(skewness_score)) s
+      FROM ({_profiles_sql(['customer', 'part', 'supplier', 'nation', 'region'], aliased=True)}) WHERE kind IN ('integer', 'continuous') AND NOT {_has(names.KEYS)})""")
+
+
+def _fact_purity(spark, sf):
+    p = _profiles(spark, sf, ["lineitem", "orders"], aliased=True)
+    n = F.col("column_name")
+    skip = names.key_like_col(n) | (F.col("kind") == "temporal") | F.lower(n).contains("date") | names.measure_like_col(n)
+    return p.select("table_name", "column_name", (~skip & (F.col("kind") == "text") & F.lower(n).rlike("|".join(validate.DESCRIPTIVE_WORDS))).alias("violates"))
+
+
+_register("fact_purity", _fact_purity, f"""SELECT table_name, column_name, NOT ({_has(names.KEYS)} OR kind = 'temporal' OR contains(column_name, 'date') OR regexp_matches(column_name, '{'|'.join(names.MEASURES)}'))
+    AND kind = 'text' AND regexp_matches(column_name, '{'|'.join(validate.DESCRIPTIVE_WORDS)}') AS violates FROM ({_profiles_sql(['lineitem', 'orders'], aliased=True)})""")
+
+
+def _stability_sql(f: str, fk: str, d: str, dk: str, x: str, g: str) -> str:
+    close = lambda a, b: f"(abs({a} - {b}) <= 0.001 OR abs({a} - {b}) / greatest(abs({a}), abs({b}), 1.0) <= 0.000001)"
+    shown = ", ".join(f"round({p}_{m}, 4) AS {p}_{m}" if m != "count" else f"{p}_{m}" for m in validate.METRICS for p in ("fine", "agg"))
+    fails = " || ".join(f"CASE WHEN {close(f'fine_{m}', f'agg_{m}') if m != 'count' else 'fine_count = agg_count'} THEN '' ELSE ', {m.upper()} instability' END" for m in validate.METRICS)
+    return f"""
+      WITH a AS (SELECT coalesce(sum({x}), 0)::DOUBLE fine_sum, count({x}) fine_count, coalesce(avg({x}), 0)::DOUBLE fine_avg, coalesce(min({x}), 0)::DOUBLE fine_min, coalesce(max({x}), 0)::DOUBLE fine_max FROM {f}),
+      b AS (SELECT coalesce(sum(s), 0)::DOUBLE agg_sum, coalesce(sum(n), 0)::BIGINT agg_count, coalesce(sum(s) / nullif(sum(n), 0), 0)::DOUBLE agg_avg, coalesce(min(lo), 0)::DOUBLE agg_min, coalesce(max(hi), 0)::DOUBLE agg_max
+        FROM (SELECT sum({x}) s, count({x}) n, min({x}) lo, max({x}) hi FROM {f} LEFT JOIN {d} ON {fk} = {dk} GROUP BY {g})),
+      c AS (SELECT *, {fails} AS bad FROM a, b)
+      SELECT {shown}, bad = '' AS is_stable, CASE WHEN bad = '' THEN 'Stable after aggregation by {g}' ELSE substr(bad, 3) END AS reason FROM c"""
+
+
+for _n, (_f, _fk, _d, _dk, _x, _g) in {
+    "lineitem_part": ("lineitem", "l_partkey", "part", "p_partkey", "l_quantity", "p_brand"),
+    "orders_customer": ("orders", "o_custkey", "customer", "c_custkey", "o_totalprice", "c_mktsegment"),
+    "fan_out": ("orders", "o_orderkey", "lineitem", "l_orderkey", "o_custkey", "l_returnflag"),
+}.items():
+    _register(f"aggregation_stability_{_n}", lambda s, d, f=_f, fk=_fk, t=_d, dk=_dk, x=_x, g=_g: validate.stability(_read(s, d, f), _read(s, d, t), (fk,), (dk,), x, g),
+              _stability_sql(_f, _fk, _d, _dk, _x, _g))
+
+_ISSUES = [("m1", None), ("m2", "WARNING"), ("m3", "ERROR"), ("m3", "WARNING"), ("m4", "ERROR"), ("m4", "ERROR"), ("m4", "ERROR")]
+_register("certification", lambda s, d: certify.certification(_rows(s, "model_id string, severity string", _ISSUES)), f"""
+    SELECT *, CASE WHEN errors > 0 THEN 'INVALID' WHEN warnings > 0 THEN 'WARNING' ELSE 'VALID' END AS status, greatest(0.0, 100.0 - 35.0 * errors - 10.0 * warnings)::DOUBLE AS certification_score
+    FROM (SELECT model_id, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings FROM {_sql_values(_ISSUES, 'model_id, severity')} GROUP BY 1)""")
+
+
+def _star_view(spark, sf):
+    tables = {t: _read(spark, sf, t) for t in ("lineitem", "orders", "part", "supplier")}
+    edges = [Edge(a, c, (b,), (e,), 1.0) for a, b, c, e in FOREIGN[:3]]
+    return views.build_view(tables, "lineitem", edges).groupBy("part_p_brand", "orders_o_orderstatus").agg(
+        F.count(F.lit(1)).alias("lines"), F.round(F.sum("fact_l_quantity"), 2).alias("quantity"), F.count_distinct("supplier_s_name").alias("suppliers"))
+
+
+_register("star_view_lineitem", _star_view, """SELECT p_brand AS part_p_brand, o_orderstatus AS orders_o_orderstatus, count(*) AS lines, round(sum(l_quantity), 2) AS quantity, count(DISTINCT s_name) AS suppliers
+    FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""")
+
+
+def _snowflake_view(spark, sf):
+    tables = {t: _read(spark, sf, t) for t in ("orders", "customer", "nation")}
+    edges = [Edge("orders", "customer", ("o_custkey",), ("c_custkey",), 1.0), Edge("customer", "nation", ("c_nationkey",), ("n_nationkey",), 1.0, depth=2)]
+    m = Model(models.SNOWFLAKE, ("orders",), ("customer", "nation"), tuple(edges))
+    return views.build_view(tables, "orders", views.edges_for(m, "orders"))
+
+
+_register("snowflake_view_orders", _snowflake_view, "SELECT " + ", ".join(
+    [f"{c} AS fact_{c}" for c in sorted(COLUMNS["orders"])] + [f"{c} AS {t}_{c}" for t in ("customer", "nation") for c in sorted(COLUMNS[t])])
+    + " FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
+
+# -- CSV rows ---------------------------------------------------------------
+
+_CSV = [("1", "2024-01-31", "1,5", "2024-01-31 10:20:30", "x"), ("---", "--", "-", "---", "-"), ("", " ", None, "", ""), ("Source: export", "", "", "", ""), ("2", "1/2/2024", " null ", "3/4/2024 1:2:3", "N/A"), ("-3", "2024-2-3", "2e3", "2024-01-31T00:00:00", "y")]
+_csv_rows = lambda s: _rows(s, "a string, b string, c string, d string, e string", _CSV)
+_register("csv_clean_rows", lambda s, d: csv_folder.clean_rows(_csv_rows(s)), "SELECT * FROM " + _sql_values(
+    [("1", "2024-01-31", "1,5", "2024-01-31 10:20:30", "x"), ("2", "1/2/2024", None, "3/4/2024 1:2:3", None), ("-3", "2024-2-3", "2e3", "2024-01-31T00:00:00", "y")], "a, b, c, d, e"))
+_register("csv_types", lambda s, d: csv_folder.infer_types(csv_folder.clean_rows(_csv_rows(s))), "SELECT * FROM " + _sql_values(
+    [("a", "long", False), ("b", "date", False), ("c", "double", True), ("d", "timestamp_ntz", False), ("e", "string", True)], "name, type, nullable"))
+
+
+def _csv_cast(spark, sf):
+    rows = csv_folder.clean_rows(_csv_rows(spark))
+    types = {r.name: r.type for r in csv_folder.infer_types(rows).collect()}
+    return csv_folder.cast_rows(rows, types)
+
+
+_register("csv_cast", _csv_cast, """SELECT a::BIGINT AS a, b::DATE AS b, c::DOUBLE AS c, d::TIMESTAMP AS d, e FROM """ + _sql_values(
+    [(1, "2024-01-31", 1.5, "2024-01-31 10:20:30", "x"), (2, "2024-02-01", None, "2024-04-03 01:02:03", None), (-3, "2024-02-03", 2000.0, "2024-01-31 00:00:00", "y")], "a, b, c, d, e"))
+
+# -- whole stages -----------------------------------------------------------
+
+
+def _functional_groups(spark, sf):
+    source, flat = _evidence(spark, sf, STAR)
+    evidence = {t: sorted((c for c in flat if c.table == t), key=lambda c: c.column) for t in source}
+    found = [k for k in keys.simple_keys(flat)]
+    links = joins.discover(source, flat, found)
+    built = groups.build(source, evidence, structure.structures(source, found, links))
+    return _rows(spark, "table_name string, group_name string, determinants string, dependents string, role string, confidence double",
+                 [(g.table, g.name, ",".join(g.determinants), ",".join(g.dependents), g.role, g.confidence) for g in built])
+
+
+_register("functional_groups", _functional_groups)
+
+
+def _analysis(spark: SparkSession, sf: str) -> Pipeline:
+    return Pipeline(spark, read_star(spark, sf))
+
+
+def _logical_plans(spark, sf):
+    p = _analysis(spark, sf).run("logical_tables")
+    p.close()
+    return _rows(spark, "name string, source string, role string, columns string, is_distinct boolean", [(x.name, x.source, x.role, ",".join(x.columns), x.distinct) for x in p.plans])
+
+
+_register("logical_plans", _logical_plans)
+
+
+def _run_all(spark, sf):
+    p = _analysis(spark, sf).run()
+    p.close()
+    rep = report.report(p.certifications, p.plans, p._flat(p.evidence), p.roles) if p.certifications else {"models": []}
+    return _rows(spark, "model_id string, model_type string, status string, certification_score double, parsimony_score double, facts string, dimensions string, failed_rules string, warning_rules string",
+                 [(m["model_id"], m["model_type"], m["status"], m["certification_score"], m["parsimony_score"], ",".join(m["fact_tables"]), ",".join(m["dimension_tables"]),
+                   ",".join(m["failed_rules"]), ",".join(m["warning_rules"])) for m in rep["models"]])
+
+
+_register("run_all", _run_all)
+
+
+def _model_coverage(spark, sf):
+    """Columns of the sources that no logical table of a fixed plan holds."""
+    columns = _rows(spark, "table_name string, column_name string", [(t, c) for t in ("part", "nation") for c in COLUMNS[t]])
+    used = _rows(spark, "table_name string, column_name string", [("part", "p_brand"), ("part", "p_type"), ("nation", "n_name")])
+    return columns.join(used, ["table_name", "column_name"], "left_anti")
+
+
+_register("model_coverage", _model_coverage, "SELECT table_name, column_name FROM " + _sql_values(
+    [(t, c) for t in ("part", "nation") for c in COLUMNS[t] if (t, c) not in {("part", "p_brand"), ("part", "p_type"), ("nation", "n_name")}], "table_name, column_name"))
