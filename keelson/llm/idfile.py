@@ -54,7 +54,7 @@ class _Table:
             if len(own):
                 f = c[own] * ((1 << FINE) - len(own)) // c[own].sum() + 1
                 freq[own], low[own] = f, np.cumsum(f) - f
-        self.freq, self.low = freq, low
+        self.freq, self.low, self.classes = freq, low, int(self.cls.max()) + 1
         self.key = (self.cls << FINE) + low
         self.p_fine = freq / float(1 << FINE)
 
@@ -80,16 +80,14 @@ class _Model:
     def __init__(self, lanes: int, table: _Table):
         self.t = table
         self.lane = np.arange(lanes)
-        self.pred2, self.conf2 = np.zeros(lanes << H2, np.int32), np.zeros(lanes << H2, np.int8)
-        self.pred1, self.conf1 = np.zeros(lanes << H1, np.int32), np.zeros(lanes << H1, np.int8)
+        # Context tables: the id that came last after a context, and how sure that is (4 low bits, 0: nothing yet).
+        self.after2, self.after1 = np.zeros(lanes << H2, np.int32), np.zeros(lanes << H1, np.int32)
         level = np.arange(16)
-        self.hit2 = np.tile((level + 0.4) / (level + 2.0) * 4, (lanes, 1)).ravel()
-        self.hit1 = np.tile((level + 0.2) / (level + 4.0) * 4, (lanes, 1)).ravel()
-        self.all2, self.all1 = np.full(lanes * 16, 4.0), np.full(lanes * 16, 4.0)
+        self.hits2 = np.tile((level + 0.4) / (level + 2.0), (lanes, 1)).ravel()
+        self.hits1 = np.tile((level + 0.2) / (level + 4.0), (lanes, 1)).ravel()
         self.w = np.full((3, lanes), 1 / 3)
-        used = np.bincount(table.cls, minlength=CLASSES) > 0
-        self.used = used
-        self.count = np.tile(used * 8.0, (lanes, 1))
+        self.used = (np.bincount(table.cls, minlength=table.classes) > 0).astype(np.int32)
+        self.count = np.tile((self.used * 8).astype(np.float32), (lanes, 1))
         self.total = self.count.sum(axis=1)
         self.a = np.zeros(lanes, np.int64)  # last id, and the one before
         self.b = np.zeros(lanes, np.int64)
@@ -99,21 +97,21 @@ class _Model:
         a, b = self.a[:n], self.b[:n]
         self.i2 = (lane << H2) + (((a * 0x9E3779B1 + b * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - H2))
         self.i1 = (lane << H1) + (((a * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - H1))
-        self.s2, self.s1 = self.pred2[self.i2], self.pred1[self.i1]
-        c2, c1 = self.conf2[self.i2], self.conf1[self.i1]
-        self.k2, self.k1 = (lane << 4) + c2, (lane << 4) + c1
-        self.c2, self.c1 = c2, c1
-        self.q2 = np.where(c2 > 0, self.hit2[self.k2] / self.all2[self.k2], 0.0)
-        self.q1 = np.where(c1 > 0, self.hit1[self.k1] / self.all1[self.k1], 0.0)
+        v2, v1 = self.after2[self.i2], self.after1[self.i1]
+        self.s2, self.s1, self.c2, self.c1 = v2 >> 4, v1 >> 4, v2 & 15, v1 & 15
+        self.k2, self.k1 = (lane << 4) + self.c2, (lane << 4) + self.c1
+        self.r2, self.r1 = self.hits2[self.k2], self.hits1[self.k1]
+        self.q2, self.q1 = self.r2 * (self.c2 > 0), self.r1 * (self.c1 > 0)
         m2, m1 = self.w[2, :n] * self.q2, self.w[1, :n] * self.q1
-        same = (self.s2 == self.s1) & (c2 > 0)
+        same = (self.s2 == self.s1) & (self.c2 > 0)
         m2 = np.where(same, m2 + m1, m2)
         m1 = np.where(same, 0.0, m1)
         self.m2, self.m1 = (m2 * 60000.0).astype(np.int64), (m1 * 60000.0).astype(np.int64)
         self.base = self.m2 + self.m1
         self.m0 = (1 << TOP) - self.base
-        self.fc = (self.count[:n] * ((self.m0 - CLASSES) / self.total[:n])[:, None]).astype(np.int64) + self.used
-        self.ends = np.cumsum(self.fc, axis=1)
+        scale = ((self.m0 - CLASSES) / self.total[:n]).astype(np.float32) * np.float32(1 - 2.0 ** -20)  # rounding never adds up to too much
+        self.fc = (self.count[:n] * scale[:, None]).astype(np.int32) + self.used
+        self.ends = np.cumsum(self.fc, axis=1, dtype=np.int32)
 
     def update(self, n: int, s: np.ndarray) -> None:
         lane, k = self.lane[:n], self.t.cls[s]
@@ -125,19 +123,16 @@ class _Model:
         w0 = w[0] * p0
         scale = 0.97 / (w2 + w1 + w0)
         w[2], w[1], w[0] = w2 * scale + 0.01, w1 * scale + 0.01, w0 * scale + 0.01
-        self.all2[self.k2] += 1.0
-        self.hit2[self.k2] += h2
-        self.all1[self.k1] += 1.0
-        self.hit1[self.k1] += h1
-        for pred, conf, i, was, c, hit in ((self.pred2, self.conf2, self.i2, self.s2, self.c2, h2), (self.pred1, self.conf1, self.i1, self.s1, self.c1, h1)):
+        self.hits2[self.k2] = self.r2 + (h2 - self.r2) * 0.03125
+        self.hits1[self.k1] = self.r1 + (h1 - self.r1) * 0.03125
+        fresh = (s << 4 | 1).astype(np.int32)
+        for after, i, was, c, hit in ((self.after2, self.i2, self.s2, self.c2, h2), (self.after1, self.i1, self.s1, self.c1, h1)):
             low = np.where(hit, np.minimum(c + 1, 15), c >> 1)
-            new = ~hit & (low == 0)
-            pred[i] = np.where(new, s, was)
-            conf[i] = np.where(new, 1, low)
-        self.count[lane, k] += 24.0
-        self.total[:n] += 24.0
+            after[i] = np.where(low == 0, fresh, was << 4 | low)
+        self.count[lane, k] += np.float32(24)
+        self.total[:n] += np.float32(24)
         if self.total[0] > 8192.0:  # all lanes have taken as many steps
-            self.count[:] = np.floor(self.count * 0.5) + self.used
+            self.count[:] = np.floor(self.count * np.float32(0.5)) + self.used
             self.total = self.count.sum(axis=1)
         self.b[:n] = self.a[:n]
         self.a[:n] = s
@@ -265,7 +260,7 @@ def decode_segment(start: bytes, rest: bytes) -> np.ndarray:
         hit2 = v < model.m2
         hit1 = ~hit2 & (v < model.base)
         s = np.where(hit2, model.s2, model.s1).astype(np.int64)
-        k = np.minimum((model.ends <= (v - model.base)[:, None]).sum(axis=1), CLASSES - 1)
+        k = np.minimum((model.ends <= (v - model.base).astype(np.int32)[:, None]).sum(axis=1), table.classes - 1)
         freq = model.fc[lane, k]
         start_at = np.where(hit2, 0, np.where(hit1, model.m2, model.base + model.ends[lane, k] - freq))
         coder.took(lane, start_at, np.where(hit2, model.m2, np.where(hit1, model.m1, freq)), TOP)
