@@ -91,8 +91,9 @@ def _features(texts: list[bytes], style: np.ndarray, grams: np.ndarray) -> None:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, risk, rounds: int, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Adam over all rows; ``risk(z)`` gives d risk / d z."""
+    """Adam over all rows, averaged over the last half of the rounds; ``risk(z)`` gives d risk / d z."""
     w, b = np.zeros(x.shape[1]), 0.0
+    mean_w, mean_b = np.zeros(x.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
         g = risk(x @ w + b)
@@ -100,7 +101,9 @@ def _fit(x: np.ndarray, y: np.ndarray, risk, rounds: int, l2: float = 1e-4) -> t
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return w, b
+        if 2 * t > rounds:
+            mean_w, mean_b = mean_w + w, mean_b + b
+    return mean_w / (rounds - rounds // 2), mean_b / (rounds - rounds // 2)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -152,7 +155,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 400) -> Mode
     x = np.clip((x - mean) / scale, -6, 6)
     p = np.arange(len(x)) < len(positive)
     mixed = np.random.default_rng(7).permutation(len(x))
-    prior = estimate_prior(x[mixed], p[mixed])
+    prior = estimate_prior(x[mixed, :STYLE], p[mixed])  # few coordinates, so that small samples do
     n_p, n_u = len(positive), len(unlabelled)
 
     def risk(z: np.ndarray) -> np.ndarray:
