@@ -30,6 +30,8 @@ from .words import Words
 POSITIVES, UNLABELLED = 4000, 8000
 BINS = 512
 THRESHOLD = 0.3
+#: Weight decay at the full sample; smaller samples get more of it.
+L2 = 3e-3
 
 _LETTER, _UPPER, _DIGIT, _SPACE, _STOP, _MARK, _HIGH, _BREAK = range(8)
 _CLASS = np.full(256, _MARK, np.uint8)
@@ -171,7 +173,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 400) -> Mode
             g[~p] = -s[~p] / n_u
         return g
 
-    w, b = _fit(x, p, risk, rounds, 1e-3)
+    w, b = _fit(x, p, risk, rounds, L2 * max(1.0, POSITIVES / n_p))
     return Model(mean, scale, w, b, prior)
 
 
