@@ -16,8 +16,10 @@ share ``EXPECTED`` of them (it shares none with a chance of about e**-EXPECTED).
 Links, not pairs, are the result.  Copies of a set are one node.  First each node is
 checked against the least node of its signatures, which joins groups of near copies
 by one pair for each member; then an R-tree finds, for each signature whose nodes
-are still apart, the pairs between different components.  No link is lost: a pair
-left out joins nodes already connected.  Indexes hold at most ``INDEX`` points, and
+are still apart, the likeliest link of each node out of its component (as in
+Boruvka's algorithm, two rounds), and at last all pairs that are still between
+components.  No link is lost: a pair left out joins
+nodes already connected.  Indexes hold at most ``INDEX`` points, and
 larger groups take several.
 
 Defined results: texts without words have an empty set and link with nothing, as do
@@ -40,9 +42,13 @@ from .words import Words, mix
 
 EXPECTED = 30.0
 INDEX = 2048
+#: Rounds in which each node still apart is joined by its likeliest link, before all pairs left over are looked at.
+BEST_ROUNDS = 2
 LEAF = 24
 _U = np.uint64
-_PIECE = 1 << 22  # bytes of text taken at once
+_PIECE = 1 << 20  # bytes of text taken at once
+#: Coordinates of the tree; the points themselves have more.
+TREE_DIMS = 64
 
 
 class Plan:
@@ -105,24 +111,35 @@ class Plan:
         return out
 
 
-def point(x: np.ndarray) -> bytes:
-    """Counts of about len / 8 groups (a power of two of them), 16 bits each; empty if a count doesn't fit."""
-    bits = min(12, max(3, (len(x) // 8).bit_length()))
-    counts = np.bincount((x >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return counts.astype("<u2").tobytes() if counts.max() < 65536 else b""
+def point(x: np.ndarray, mixed: np.ndarray) -> bytes:
+    """Counts of about len / 2 groups (a power of two of them, 8 bits each), then a 16-bit sum of the members of each; empty if a count doesn't fit."""
+    bits = min(14, max(3, (len(x) // 2).bit_length()))
+    cuts = np.searchsorted(x, np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits))
+    counts = np.diff(np.append(cuts, len(x)))
+    if counts.max() > 255:
+        return b""
+    total = np.append(_U(0), np.cumsum(mixed))
+    sums = total[np.append(cuts[1:], len(x))] - total[cuts]
+    return counts.astype(np.uint8).tobytes() + (sums & _U(0xFFFF)).astype("<u2").tobytes()
+
+
+def unpacked(vector: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(vector) // 3
+    return np.frombuffer(vector, np.uint8, n).astype(np.int32), np.frombuffer(vector, "<u2", n, n)
 
 
 def fold(vector: np.ndarray, dims: int) -> np.ndarray:
-    """Counts of fewer groups from those of more."""
-    return vector.reshape(dims, -1).sum(axis=1)
+    """Counts (or sums) of fewer groups from those of more."""
+    return vector.reshape(dims, -1).sum(axis=1, dtype=vector.dtype)
 
 
-def overlap_bound(a: bytes, b: bytes) -> int | None:
-    if not a or not b:
-        return None
-    x, y = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u2").astype(np.int64)
-    dims = min(len(x), len(y))
-    return int(np.minimum(fold(x, dims), fold(y, dims)).sum())
+def overlap_bound(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """The sum of coordinate minima; one less where counts agree and the sums of the members don't."""
+    dims = min(len(a[0]), len(b[0]))
+    if not dims:
+        return 1 << 60
+    (x, p), (y, q) = ((v if len(v[0]) == dims else (fold(v[0], dims), fold(v[1], dims))) for v in (a, b))
+    return int(np.minimum(x, y).sum()) - int(np.count_nonzero((x == y) & (p != q)))
 
 
 class CountTree:
@@ -206,7 +223,7 @@ def _features(k: int, num: int, den: int):
                         rows.append((len(x), node, None, None))
                     else:
                         seen.add(node)
-                        rows.append((len(x), node, point(x), plan.signatures(x, mixed)))
+                        rows.append((len(x), node, point(x, mixed), plan.signatures(x, mixed)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                  pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
@@ -232,43 +249,94 @@ def _bounded(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Plan(num, den)
         for b in batches:
-            keep = []
-            for na, nb, va, vb in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
-                bound = overlap_bound(va, vb)
-                keep.append(bound is None or bound >= plan.need(na + nb))
+            keep = [overlap_bound(unpacked(va), unpacked(vb)) >= plan.need(na + nb) for na, nb, va, vb in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _searched(num: int, den: int):
-    """Rows (signature, block, query, node, component, n, vector, main), sorted -> pairs between components."""
+class _Points:
+    """Points of one number of coordinates as matrices, and folded to fewer."""
+
+    def __init__(self, rows: list[tuple[int, int, int, tuple[np.ndarray, np.ndarray]]]):
+        self.node, self.comp, self.n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        counts = np.array([r[3][0] for r in rows], np.int32)
+        self.at = {counts.shape[1]: (counts.astype(np.uint8), np.array([r[3][1] for r in rows]))}
+        self.dims = counts.shape[1]
+
+    def folded(self, dims: int) -> tuple[np.ndarray, np.ndarray]:
+        if dims not in self.at:
+            counts, sums = self.at[self.dims]
+            shape = (len(counts), dims, -1)
+            self.at[dims] = (counts.reshape(shape).sum(axis=2, dtype=np.int32), sums.reshape(shape).sum(axis=2, dtype=np.uint16))
+        return self.at[dims]
+
+    def bounds(self, v: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
+        dims = min(self.dims, len(v[0]))
+        x, p = v if len(v[0]) == dims else (fold(v[0], dims), fold(v[1], dims))
+        counts, sums = self.folded(dims)
+        counts, sums = counts[rows], sums[rows]
+        return np.minimum(counts, x.astype(counts.dtype)).sum(axis=1, dtype=np.int64) - ((counts == x) & (sums != p)).sum(axis=1)
+
+
+class _Index:
+    """The nodes of one block: a tree over coarse counts for each size of point, then the closer bound."""
+
+    def __init__(self, plan: Plan):
+        self.plan, self.rows, self.parts = plan, [], None
+
+    def add(self, node: int, comp: int, n: int, vector: bytes) -> None:
+        self.rows.append((node, comp, n, unpacked(vector)))
+
+    def search(self, n: int, v: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nodes, components, bounds) of what may link."""
+        if self.parts is None:
+            by: dict[int, list] = {}
+            for r in self.rows:
+                by.setdefault(len(r[3][0]), []).append(r)
+            self.unknown = by.pop(0, [])
+            self.parts = []
+            for rows in by.values():
+                points = _Points(rows)
+                self.parts.append((points, CountTree(points.folded(min(TREE_DIMS, points.dims))[0].astype(np.int64), points.n, self.plan)))
+        out = [(r[0], r[1], 1 << 60) for r in self.unknown]
+        found = [tuple(np.array([o[i] for o in out], np.int64) for i in range(3))]
+        for points, tree in self.parts:
+            dims = min(TREE_DIMS, points.dims)
+            rows = tree.search(fold(v[0], dims).astype(np.int64), n) if len(v[0]) >= dims else np.arange(len(points.n))
+            bound = points.bounds(v, rows) if len(v[0]) else np.full(len(rows), 1 << 60)
+            fit = bound >= self.plan.need(n + points.n[rows])
+            rows = rows[fit]
+            found.append((points.node[rows], points.comp[rows], bound[fit]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _searched(num: int, den: int, best: bool):
+    """Rows (signature, block, query, node, component, n, vector, main), sorted -> pairs between components.
+
+    ``best``: only each query's pair of the highest bound.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Plan(num, den)
-        key, index, tree, dims, whole = None, [], None, 0, []
+        key, index = None, None
         for b in batches:
-            left, right = [], []
+            pairs = set()
             for sig, block, query, node, comp, n, vector, main in zip(*(c.to_pylist() for c in b.columns)):
                 if (sig, block) != key:
-                    key, index, tree, whole = (sig, block), [], None, []
-                v = np.frombuffer(vector, "<u2").astype(np.int64)
+                    key, index = (sig, block), _Index(plan)
                 if not query:
-                    (index if len(v) else whole).append((node, comp, n, v))
+                    index.add(node, comp, n, vector)
+                    continue
+                other, its, bound = index.search(n, unpacked(vector))
+                ask = its != comp if best else (its != comp) & ((its == main) | (other < node))
+                if not ask.any():
                     continue
-                if tree is None and index:
-                    dims = min(len(i[3]) for i in index)
-                    tree = CountTree(np.array([fold(i[3], dims) for i in index]), np.array([i[2] for i in index]), plan)
-                found = list(whole)
-                if index and len(v) >= dims:
-                    found += [index[i] for i in tree.search(fold(v, dims), n).tolist()]
-                elif index:  # fewer groups than the index has (or none): every point is folded to them
-                    found += [i for i in index if not len(v) or np.minimum(fold(i[3], len(v)), v).sum() >= plan.need(n + i[2])]
-                for other, its, _, _ in found:
-                    if its != comp and (its == main or other < node):
-                        left.append(min(node, other))
-                        right.append(max(node, other))
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                other, bound = other[ask], bound[ask]
+                if best:
+                    other = other[np.lexsort((other, -bound))[:1]]
+                pairs.update((min(node, o), max(node, o)) for o in other.tolist())
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -278,12 +346,13 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     Alternating large and small stars; each round is settled in the shared folder.
     """
-    def marks(e):
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def starry(e: DataFrame) -> bool:
+        """Every node points at one root, and no root points anywhere."""
+        own = e.groupBy("a").agg(F.count("*").alias("n"))
+        return own.filter("n > 1").unionAll(own.join(e.select(F.col("b").alias("a")), "a", "left_semi")).isEmpty()
 
     e = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), label)
-    was = marks(e)
-    while was[0]:
+    while not starry(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -291,10 +360,6 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         small = large.join(low, "a")
         e = settle(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                    .unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), label)
-        now = marks(e)
-        if now == was:
-            break
-        was = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -327,21 +392,41 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     at = lambda x: points.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("vector").alias(f"v_{x}"))
     near = (star.join(at("a"), "a").join(at("b"), "b").select("a", "b", "n_a", "n_b", "v_a", "v_b")
             .mapInArrow(_bounded(num, den), "a long, b long"))
+    near = settle(near, "join-near")
     links = verified(near)
     first = components(links)
 
-    # Then: what is still apart below a signature.
-    placed = settle(member.select("sig", "node").join(first, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("comp")), "join-placed")
-    apart = (placed.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("comp", "node").alias("main"))
-             .filter("c0 <> c1").select("sig", "main", F.ceil(F.col("m") / INDEX).cast("int").alias("blocks")))
-    rows = placed.join(apart, "sig").join(points, "node")
-    column = ["sig", "block", "query", "node", "comp", "n", "vector", "main"]
-    index = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("query", F.lit(False))
-    query = rows.filter("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True))
-    found = (index.select(column).unionByName(query.select(column)).repartition("sig", "block").sortWithinPartitions("sig", "block", "query")
-             .mapInArrow(_searched(num, den), "a long, b long").distinct())
-    more = verified(found)
-    root = components(links.unionByName(more))
+    # Then: what is still apart below a signature; first the likeliest pair of each node, then all.
+    def apart(root: DataFrame, best: bool) -> DataFrame:
+        placed = settle(member.select("sig", "node").join(root, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("comp")), "join-placed")
+        open_ = (placed.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("comp", "node").alias("main"))
+                 .filter("c0 <> c1").select("sig", "main", "m", F.ceil(F.col("m") / INDEX).cast("int").alias("blocks")))
+        rows = placed.join(open_, "sig")
+        asks = rows.filter("comp <> main")
+        if best:  # each node asks below its largest signature only
+            asks = asks.join(asks.groupBy("node").agg(F.max_by("sig", F.struct("m", "sig")).alias("sig")), ["node", "sig"])
+            rows = rows.join(asks.select("sig").distinct(), "sig", "left_semi")
+        column = ["sig", "block", "query", "node", "comp", "n", "vector", "main"]
+        index = rows.join(points, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("query", F.lit(False))
+        query = asks.join(points, "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True))
+        return settle(index.select(column).unionByName(query.select(column)).repartition("sig", "block").sortWithinPartitions("sig", "block", "query")
+                      .mapInArrow(_searched(num, den, best), "a long, b long").distinct(), "join-found")
+
+    def merged(root: DataFrame, more: DataFrame) -> DataFrame:
+        """(node, root) with more links: only those between components are left to follow."""
+        here = lambda x: root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        between = more.join(here("a"), "a", "left").join(here("b"), "b", "left").select(
+            F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        above = components(between)
+        return settle(root.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+                      .select("node", F.coalesce("top", "root").alias("root"))
+                      .unionByName(above.join(root.select("node"), "node", "left_anti")), "join-roots")
+
+    root, tried = first, near
+    for _ in range(BEST_ROUNDS):
+        found = apart(root, True).join(tried, ["a", "b"], "left_anti")
+        root, tried = merged(root, verified(found)), settle(tried.unionByName(found), "join-tried")
+    root = merged(root, verified(apart(root, False).join(tried, ["a", "b"], "left_anti")))
 
     copies = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
     joined = copies.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
