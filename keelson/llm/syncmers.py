@@ -2,7 +2,9 @@
 
 A k-mer of code points is an anchor if the smallest of its inner s-mers stands at
 its start or at its end.  Whether it is one depends on the k-mer alone, so equal
-passages have equal anchors wherever they stand.  A fingerprint is the list of
+passages have equal anchors wherever they stand.  48 k-mers in a row hold an anchor
+at least; in a text of fewer that holds none, the k-mer of the smallest hash (the
+first of equals) is one, so that no text but the empty one is without.  A fingerprint is the list of
 (position, hash) of all anchors of the whole text; two are compared by the longest
 chain of equal anchors in the same order.
 
@@ -63,14 +65,23 @@ def _anchors_of(texts: list[str], k: int, s: int) -> list[tuple[np.ndarray, np.n
         last = order[span - 1:] == low
         at = np.flatnonzero(first | last)
         at = at[ends[np.searchsorted(ends, at, side="right")] >= at + k]  # not across the end of a text
-        # The hash of the k-mer, from those of its s-mers side by side.
         h = _mers(codes, s)
-        whole = np.zeros(len(at), _U)
-        for j in range(0, k - s + 1, s):
-            whole = whole * np.power(_BASE, _U(s)) + h[at + j]
-        if k % s:
-            whole = whole * _BASE + h[at + k - s]
-        values = (mix(whole) >> _U(32)).astype(np.uint32)
+
+        def hashes(at: np.ndarray) -> np.ndarray:
+            """Of the k-mers at ``at``, from the hashes of their s-mers side by side."""
+            whole = np.zeros(len(at), _U)
+            for j in range(0, k - s + 1, s):
+                whole = whole * np.power(_BASE, _U(s)) + h[at + j]
+            if k % s:
+                whole = whole * _BASE + h[at + k - s]
+            return (mix(whole) >> _U(32)).astype(np.uint32)
+
+        starts, held = ends - sizes, np.searchsorted(at, np.append(0, ends))
+        without = np.flatnonzero((sizes >= k) & (held[1:] == held[:-1]))
+        if len(without):  # shorter than 2k - s each
+            least = [starts[i] + int(hashes(np.arange(starts[i], ends[i] - k + 1)).argmin()) for i in without]
+            at = np.sort(np.append(at, np.array(least, np.int64)))
+        values = hashes(at)
     cut = np.searchsorted(at, np.append(0, ends))
     out = []
     for i, t in enumerate(texts):

@@ -308,6 +308,26 @@ def test_anchors():
     assert syncmers.likeness(a, a) == 1.0 and syncmers.likeness(empty, empty) == 1.0 and syncmers.likeness(a, empty) == 0.0
 
 
+def test_texts_of_few_kmers_have_an_anchor():
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdefgh é") for _ in range(n)) for n in range(64, 112) for _ in range(4)]
+    found = syncmers.anchors(texts)
+    none = 0
+    for t, (at, values) in zip(texts, found):
+        plain = plain_anchors(t)
+        none += not plain
+        assert at.tolist() == plain if plain else len(at) == 1 and 0 <= at[0] <= len(t) - 64
+        if not plain:  # alone as among others, and the same passage has the same hash
+            alone = syncmers.anchors([t])[0]
+            assert (alone[0] == at).all() and (alone[1] == values).all()
+            all_of_it = [int(syncmers.anchors([t[i:i + 64]])[0][1][0]) for i in range(len(t) - 63)]
+            assert at[0] == all_of_it.index(min(all_of_it)) and values[0] == min(all_of_it)
+    assert none > 20
+    for f, g in zip(found, found[1:]):
+        assert syncmers.likeness(f, g) == 0.0  # unrelated
+    assert syncmers.likeness(found[0], syncmers.anchors([""])[0]) == 0.0
+
+
 @pytest.mark.parametrize("buckets", [1, 3, 20])
 def test_fingerprints(spark, buckets):
     r = random.Random(8)
