@@ -2,10 +2,11 @@
 
 The merges of a text are taken from an agenda, best score first and leftmost among
 equals; each candidate taken up is skipped if its keyed hash falls below the dropout
-rate.  The key is (seed, document, place of the chunk), so the same rows give the
-same segmentation anywhere.  Chunks (runs of blanks with the word after them) are
-independent, because no piece of the vocabulary continues over a blank; a chunk's
-segmentations are numbered by a variant, and the key picks one.
+rate.  The key is (seed, document, place of the chunk, both symbols' places in it,
+merged piece), so the same rows give the same segmentation anywhere.  Chunks (runs of
+blanks with the word after them) are independent, because no piece of the vocabulary
+continues over a blank.  What is kept of a chunk is the order in which its candidates
+come when given ones are skipped; which are skipped is drawn anew at each occurrence.
 
 Defined results: a null text is the empty text with no pieces; a null id counts as
 0 in the key; U+2581 in a text is spelt in bytes, so that it comes back as itself;
@@ -14,12 +15,13 @@ repeated rows have equal results; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,20 @@ from pyspark.sql import functions as F
 from .words import mix
 
 BLANK = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 1, 4
-#: (chunk, variant) pairs kept by a worker; beyond that it starts anew.
-KEPT = 600_000
 _M = (1 << 64) - 1
+#: Factors of both places and of the merged piece's id.
+_KEYS = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
+DROPOUT, SEED = 0.1, 1
+#: Candidates and pieces kept by a worker, about; beyond that it starts anew.
+KEPT = 8_000_000
+#: A chunk of more candidates isn't kept.
+LONG = 64
+#: Chunks of so many code points need no heap.
+SHORT = 48
+_NONE = float("inf")
+_LEFT, _RIGHT = [[i * k & _M for i in range(SHORT)] for k in _KEYS[:2]]
+#: Chunks whose candidates are drawn at once.
+TOGETHER = 20_000
 _CHUNK = re.compile(rf"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -45,7 +57,7 @@ def _mix(x: int) -> int:
 class Pieces:
     """A BPE model file of sentencepiece."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -65,14 +77,47 @@ class Pieces:
         self.unknown = sp.unk_id()
         if any(BLANK in p.lstrip(BLANK) or p.startswith(BLANK * 2) and p.strip(BLANK) for p in self.ids):
             raise ValueError("pieces of this vocabulary continue over blanks")
-        self.limit, self.seed, self.variants = int(dropout * 65536), seed, variants if dropout else 1
-        self.known: dict[tuple[str, int], bytes] = {}
+        self.limit, self.seed = int(dropout * (1 << 53)), seed
+        self.own = {piece: i * _KEYS[2] & _M for piece, i in self.ids.items()}
+        #: chunk or (chunk, first skipped) -> (keys of the candidates after that, ids if no more of them is skipped)
+        self.known: dict[str | tuple[str, int], tuple[bytes, bytes]] = {}
+        self.kept = 0
 
-    def segment(self, chunk: str, key: bytes) -> list[str]:
-        """Agenda over neighbours; ``key`` (64 bytes, 32 numbers of 16 bits) decides what is skipped."""
+    def segment(self, chunk: str, skipped: int = -1, draw: int | None = None) -> tuple[list[str], array]:
+        """Agenda over neighbours: the pieces and the keys of the candidates taken up, in order.
+
+        Candidate number ``skipped`` is skipped; with ``draw``, those whose hash with it falls below the rate.
+        """
+        return (self._short if len(chunk) <= SHORT else self._heap)(chunk, skipped, draw)
+
+    def _short(self, chunk: str, skipped: int, draw: int | None) -> tuple[list[str], array]:
+        """The agenda as a list of the neighbours' ranks, looked through for the least."""
+        symbols, own, limit = list(chunk), self.own, self.limit
+        rank, none = self.rank.get, _NONE
+        ranks = list(map(rank, map(add, chunk, chunk[1:]), repeat(none)))
+        ranks.append(none)
+        places, keys, n = list(range(len(symbols))), array("Q"), 0
+        while (least := min(ranks)) is not none:
+            i = ranks.index(least)
+            merged = symbols[i] + symbols[i + 1]
+            key = _LEFT[places[i]] + _RIGHT[places[i + 1]] + own[merged] & _M
+            keys.append(key)
+            n += 1
+            if n - 1 == skipped if draw is None else _mix((draw + key) & _M) >> 11 < limit:
+                ranks[i] = none
+                continue
+            symbols[i] = merged
+            del symbols[i + 1], places[i + 1], ranks[i]
+            if i + 1 < len(symbols):
+                ranks[i] = rank(merged + symbols[i + 1], none)
+            if i:
+                ranks[i - 1] = rank(symbols[i - 1] + merged, none)
+        return symbols, keys
+
+    def _heap(self, chunk: str, skipped: int, draw: int | None) -> tuple[list[str], array]:
         symbols: list[str | None] = list(chunk)
-        n, rank, limit, draws = len(symbols), self.rank.get, self.limit, array("H", key)
-        agenda = []
+        n, rank, own, limit = len(symbols), self.rank.get, self.own, self.limit
+        agenda, keys = [], array("Q")
         left = symbols[0]
         for i in range(1, n):
             right = symbols[i]
@@ -82,7 +127,7 @@ class Pieces:
                 agenda.append((r, i - 1, i, both))
             left = right
         if not agenda:
-            return symbols
+            return symbols, keys
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heapify(agenda)
         while agenda:
@@ -90,7 +135,9 @@ class Pieces:
             a, b = symbols[i], symbols[j]
             if a is None or b is None or after[i] != j or len(a) + len(b) != len(merged):
                 continue
-            if draws[(i * 7 + j * 3 + len(merged)) & 31] < limit:
+            key = i * _KEYS[0] + j * _KEYS[1] + own[merged] & _M
+            keys.append(key)
+            if len(keys) - 1 == skipped if draw is None else _mix((draw + key) & _M) >> 11 < limit:
                 continue
             symbols[i], symbols[j] = merged, None
             k = after[i] = after[j]
@@ -106,11 +153,9 @@ class Pieces:
                 r = rank(both)
                 if r is not None:
                     heappush(agenda, (r, h, i, both))
-        return [s for s in symbols if s is not None]
+        return [s for s in symbols if s is not None], keys
 
-    def _learn(self, chunk: str, variant: int) -> bytes:
-        key = hashlib.blake2b(f"{self.seed}:{variant}:{chunk}".encode("utf-8", "surrogatepass")).digest()
-        found = self.segment(chunk, key)
+    def _spell(self, found: list[str]) -> bytes:
         try:
             return array("I", map(self.ids.__getitem__, found)).tobytes()
         except KeyError:
@@ -124,30 +169,93 @@ class Pieces:
                 ids.extend([self.bytes_id[x] for x in spelt] if self.bytes_id else [self.unknown])
         return ids.tobytes()
 
+    def _meet(self, chunk: str, draw: int) -> bytes:
+        """ids of a chunk seen for the first time; kept for the next time if nothing of it was skipped."""
+        found, keys = self.segment(chunk, draw=draw)
+        ids = self._spell(found)
+        if len(keys) <= LONG:
+            self.known[chunk] = (keys.tobytes(), ids) if len(keys) == len(chunk) - len(found) else None  # each one a merge
+            self.kept += 20 + len(keys) + len(found)
+        return ids
+
+    def _learn(self, chunk: str, skipped: int = -1) -> tuple[bytes, bytes]:
+        found, keys = self.segment(chunk, skipped)
+        got = keys[skipped + 1:].tobytes(), self._spell(found)
+        if len(keys) <= LONG:
+            self.known[chunk if skipped < 0 else (chunk, skipped)] = got
+            self.kept += 20 + len(keys) + len(found)
+        return got
+
+    def _first_skipped(self, keys: list[bytes], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some chunks have a skipped candidate, and the number of their first."""
+        ends = np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)) >> 3)
+        sizes = np.diff(ends, prepend=0)
+        drawn = mix(np.frombuffer(b"".join(keys), np.uint64) + np.repeat(draws, sizes)) >> np.uint64(11)
+        hits = np.flatnonzero(drawn < np.uint64(self.limit))
+        which, first = np.unique(np.searchsorted(ends, hits, side="right"), return_index=True)
+        return which, hits[first] - (ends - sizes)[which]
+
+    def _encode(self, chunks: list[str], draws: np.ndarray) -> list[bytes]:
+        known, learn = self.known, self._learn
+        if self.kept > KEPT:
+            known.clear()
+            self.kept = 0
+        if not self.limit:
+            return [(known.get(c) or learn(c))[1] for c in chunks]
+        got: list[tuple[bytes, bytes]] = []
+        for c, draw in zip(chunks, draws.tolist()):
+            if c in known:
+                got.append(known[c] or learn(c))
+            else:
+                got.append((b"", self._meet(c, draw)))
+        out = [ids for _, ids in got]
+        which, first = self._first_skipped([keys for keys, _ in got], draws)
+        numbers, again = which.tolist(), []
+        for n, k in zip(numbers, first.tolist()):
+            again.append(known.get((chunks[n], k)) or learn(chunks[n], k))
+            out[n] = again[-1][1]
+        for m in self._first_skipped([keys for keys, _ in again], draws[which])[0].tolist():  # a second one is skipped
+            n = numbers[m]
+            out[n] = self._spell(self.segment(chunks[n], draw=int(draws[n]))[0])
+        return out
+
+    def encode_all(self, texts: list[str], doc_keys: list[int]) -> list[bytes]:
+        """ids of each text as little-endian unsigned 32-bit integers."""
+        own = array("I", [self.bytes_id[x] for x in BLANK.encode()]).tobytes() if self.bytes_id else b""
+        out, start = [], 0
+        while start < len(texts):
+            chunks, draws, layout, end = [], [], [], start
+            while end < len(texts) and len(chunks) < TOGETHER:
+                text, ours = texts[end], []
+                marks: list[int] = []  # places of U+2581, which is spelt by its bytes
+                if BLANK in text:
+                    for n, part in enumerate(text.split(BLANK)):
+                        if n:
+                            marks.append(len(ours))
+                            ours.append("")
+                        ours += _CHUNK.findall((BLANK if n == 0 else "") + part.replace(" ", BLANK))
+                elif text:
+                    ours = _CHUNK.findall(BLANK + text.replace(" ", BLANK))
+                at = np.arange(len(ours), dtype=np.uint64)
+                if marks:
+                    at = np.delete(at, marks)
+                draws.append(mix(mix(at + np.uint64(_mix(self.seed & _M))) + np.uint64(_mix(doc_keys[end] & _M))))
+                chunks += [c for c in ours if c] if marks else ours
+                layout.append((len(ours), marks))
+                end += 1
+            ids, here = self._encode(chunks, np.concatenate(draws)), 0
+            for n, marks in layout:
+                mine = ids[here:here + n - len(marks)]
+                here += len(mine)
+                for m in marks:
+                    mine.insert(m, own)
+                out.append(b"".join(mine))
+            start = end
+        return out
+
     def encode(self, text: str, doc_key: int = 0) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if BLANK in text:  # its own bytes, and what stands between
-            parts = text.split(BLANK)
-            own = array("I", [self.bytes_id[x] for x in BLANK.encode()]).tobytes()
-            chunks: list = []
-            for n, part in enumerate(parts):
-                if n:
-                    chunks.append(own)
-                text_n = (BLANK if n == 0 else "") + part.replace(" ", BLANK)
-                chunks += _CHUNK.findall(text_n)
-        else:
-            chunks = _CHUNK.findall(BLANK + text.replace(" ", BLANK))
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
-        start = np.uint64((_mix(self.seed) ^ doc_key) & _M)
-        picks = (mix(np.arange(len(chunks), dtype=np.uint64) + start) % np.uint64(self.variants)).tolist()
-        for pair in zip(chunks, picks):
-            if pair not in known:
-                known[pair] = pair[0] if isinstance(pair[0], bytes) else self._learn(*pair)
-        return b"".join(map(known.__getitem__, zip(chunks, picks)))
+        return self.encode_all([text], [doc_key])[0]
 
     def decode(self, ids) -> str:
         """The text again; ids as numbers or as little-endian unsigned 32-bit bytes."""
@@ -160,21 +268,21 @@ class Pieces:
 _models: dict[tuple, Pieces] = {}
 
 
-def pieces_model(path: str, dropout: float, seed: int, variants: int) -> Pieces:
-    key = (path, dropout, seed, variants)
+def pieces_model(path: str, dropout: float, seed: int) -> Pieces:
+    key = (path, dropout, seed)
     if key not in _models:
         _models[key] = Pieces(*key)
     return _models[key]
 
 
-def encode_pieces(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS,
+def encode_pieces(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED,
                   id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, lossless (decoding gives the text back) and ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_model(model, dropout, seed, variants)
+        pieces = pieces_model(model, dropout, seed)
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
-            ids = [pieces.encode(t, k & _M) for t, k in zip(texts, b.column(1).to_pylist())]
+            ids = pieces.encode_all(texts, b.column(1).to_pylist())
             columns = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()),
                        pa.array([pieces.decode(x) == t for x, t in zip(ids, texts)], pa.bool_())]
             if with_ids:
@@ -194,7 +302,7 @@ def decode_pieces(encoded: DataFrame, model: str, ids_col: str = "ids", text_col
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_model(model, 0.0, 0, 1)
+        pieces = pieces_model(model, 0.0, 0)
         for b in batches:
             texts = [pieces.decode(x) if x is not None else None for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text_col])

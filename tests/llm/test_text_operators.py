@@ -282,6 +282,38 @@ def test_added_spans_and_redaction(spark):
     assert pii.pii_spans(docs(spark, texts).limit(0)).count() == 0
 
 
+# -- 4: each candidate is drawn for itself -----------------------------------
+
+def test_each_merge_is_skipped_at_the_rate():
+    p = pieces.Pieces(PIECES, 0.1, seed=3)
+    for letter in "abcdeimnst":  # one merge each, 20000 places
+        ids = np.frombuffer(p.encode(" ".join([letter] * 20_000), 5), "<u4")
+        assert 0.08 < (len(ids) - 20_000) / 20_000 < 0.12
+    of_documents = [len(p.encode("a", k)) // 4 - 1 for k in range(20_000)]
+    assert 0.08 < np.mean(of_documents) < 0.12
+    ids = np.frombuffer(p.encode("ab" * 20_000, 5), "<u4")  # no blanks: no period in what is skipped
+    whole = pieces.Pieces(PIECES, 0.0).encode("ab" * 20_000)
+    assert len({x.tobytes() for x in np.array_split(ids, 200)}) > 190 and len(ids) > len(whole) // 4
+
+
+def test_dropout_is_the_same_whatever_is_kept(monkeypatch):
+    r = random.Random(9)
+    words = ["".join(r.choice("aeinrst") for _ in range(r.randint(1, 60))) for _ in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(80)) for _ in range(40)] + fuzz(50, 12) + ["", "anti" * 500]
+    keys = list(range(-3, len(texts) - 3))
+    warm = pieces.Pieces(PIECES, 0.2, seed=2)
+    want = warm.encode_all(texts, keys)
+    assert warm.encode_all(texts[::-1], keys[::-1])[::-1] == want
+    assert [pieces.Pieces.encode(warm, t, k) for t, k in zip(texts, keys)] == want
+    monkeypatch.setattr(pieces, "KEPT", -1)
+    monkeypatch.setattr(pieces, "TOGETHER", 7)
+    assert warm.encode_all(texts, keys) == want
+    for w in words:  # the list and the heap are one agenda
+        if len(w) <= pieces.SHORT:
+            for at in [(-1, None), (0, None), (2, None), (-1, r.getrandbits(64))]:
+                assert warm._short(w, *at) == warm._heap(w, *at)
+
+
 # -- 9: fingerprints --------------------------------------------------------
 
 def plain_anchors(t, k=syncmers.K, s=syncmers.S):
