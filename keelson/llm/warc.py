@@ -164,16 +164,19 @@ class _Body:
     def __init__(self, pieces: Iterator[bytes]):
         self.pieces, self.buf = pieces, b""
 
-    def line(self, most: int = 1 << 20) -> bytes:
+    def line(self) -> bytes:
+        """A line of any length, each of its bytes looked at once."""
+        parts = []
         while (i := self.buf.find(b"\r\n")) < 0:
-            if len(self.buf) > most:
-                raise ValueError("header line too long")
             piece = next(self.pieces, None)
             if piece is None:
                 raise ValueError("truncated header")
-            self.buf += piece
-        out, self.buf = self.buf[:i], self.buf[i + 2:]
-        return out
+            half = self.buf[-1:] if self.buf.endswith(b"\r") else b""
+            parts.append(self.buf[:len(self.buf) - len(half)])
+            self.buf = half + piece
+        parts.append(self.buf[:i])
+        self.buf = self.buf[i + 2:]
+        return b"".join(parts)
 
     def take(self, n: int) -> Iterator[bytes]:
         while n:

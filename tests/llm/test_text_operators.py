@@ -53,6 +53,17 @@ def test_warc_round_trip(spark):
     assert back[2].refers_to_row == 1 and back[2].refers_to_id == back[1].record_id and back[1].refers_to_row is None
 
 
+def test_warc_urls_of_any_length(spark):
+    urls = ["http://a/" + "é?" * n for n in (10, 400_000, 1_500_000)]
+    pages = spark.createDataFrame([(i, u, "page") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    back = {r.row_id: r for r in warc.read_warc(warc.write_warc(pages)).collect()}
+    assert len(back) == 3 and all(back[i].error is None and back[i].target_uri == u for i, u in enumerate(urls))
+    lines = b"a\r" * 5 + b"\r\nnext\r\n"
+    for n in (1, 2, 3, 100):  # a break across two pieces
+        body = warc._Body(lines[i:i + n] for i in range(0, len(lines), n))
+        assert (body.line(), body.line()) == (b"a\r" * 5, b"next")
+
+
 def test_warc_of_nothing_and_null_ids(spark):
     schema = "page_id long, url string, html string"
     assert warc.read_warc(warc.write_warc(spark.createDataFrame([], schema))).count() == 0
