@@ -143,32 +143,56 @@ def parsed(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(places, np.int64), np.array(values, np.uint32)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Twice the longest common chain of anchors over all anchors of both.
+def _common(x: list[int], y: list[int]) -> int:
+    """Length of the longest common subsequence of two lists, exactly.
 
-    Anchors repeated within a text are matched occurrence by occurrence, so that a
-    passage repeated a thousand times costs no more than a thousand passages.
+    Over the pairs of equal anchors (Hunt and Szymanski) while these are few, else
+    row by row over bits: no more than len(x) * len(y) / 64 steps on words.
     """
+    both = set(x) & set(y)
+    x, y = [v for v in x if v in both], [v for v in y if v in both]
+    if len(both) < 2:
+        return min(len(x), len(y))
+    if len(y) < len(x):
+        x, y = y, x
+    places: dict[int, list[int]] = defaultdict(list)
+    for i in range(len(y) - 1, -1, -1):
+        places[y[i]].append(i)  # from the last, so that no two of one anchor follow each other
+    if sum(len(places[v]) for v in x) <= 8 * (len(x) + len(y)):
+        tails: list[int] = []
+        for v in x:
+            for i in places[v]:
+                k = bisect_left(tails, i)
+                tails[k:k + 1] = [i]
+        return len(tails)
+    full = (1 << len(y)) - 1
+    masks: dict[int, int] = {}
+    for v in both:
+        bits = bytearray(len(y) // 8 + 1)
+        for i in places[v]:
+            bits[i >> 3] |= 1 << (i & 7)
+        masks[v] = int.from_bytes(bits, "little")
+    row = full  # a 0 bit for each step of the length
+    for v in x:
+        hit = row & masks[v]
+        row = (row + hit | row - hit) & full
+    return len(y) - row.bit_count()
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Twice the longest common chain of anchors over all anchors of both."""
     x, y = a[1], b[1]
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    n = min(len(x), len(y))
-    head = n if (same := np.flatnonzero(x[:n] != y[:n])).size == 0 else int(same[0])
-    x, y = x[head:], y[head:]
-    chain = head
+    chain = 0
+    for step in (1, -1):  # what is the same at the start, then at the end
+        n = min(len(x), len(y))
+        differs = np.flatnonzero(x[::step][:n] != y[::step][:n])
+        same = int(differs[0]) if differs.size else n
+        chain += same
+        x, y = (x[same:], y[same:]) if step == 1 else (x[:len(x) - same], y[:len(y) - same])
     if len(x) and len(y) and np.isin(y, x).any():
-        places: dict[int, list[int]] = defaultdict(list)
-        for i, v in enumerate(y.tolist()):
-            places[v].append(i)
-        used: dict[int, int] = defaultdict(int)
-        tails: list[int] = []
-        for v in x.tolist():
-            if v in places and used[v] < len(places[v]):
-                i = places[v][used[v]]
-                used[v] += 1
-                k = bisect_left(tails, i)
-                tails[k:k + 1] = [i]
-        chain += len(tails)
+        chain += _common(x.tolist(), y.tolist())
     return 2 * chain / (len(a[1]) + len(b[1]))
 
 

@@ -371,6 +371,24 @@ def test_texts_of_few_kmers_have_an_anchor():
     assert syncmers.likeness(found[0], syncmers.anchors([""])[0]) == 0.0
 
 
+def test_likeness_is_the_longest_chain():
+    def of(*v):
+        return np.arange(len(v)), np.array(v, np.uint32)
+
+    assert syncmers.likeness(of(1, 2, 1), of(2, 1)) == 2 * 2 / 5
+    r = random.Random(10)
+    for kinds in [2, 3, 5, 30, 400] * 12:
+        x, y = ([r.randrange(kinds) for _ in range(r.randint(1, 150))] for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for v in x:
+            last = row[:]
+            for j, w in enumerate(y):
+                row[j + 1] = last[j] + 1 if v == w else max(last[j + 1], row[j])
+        assert syncmers._common(x, y) == row[-1]
+        assert syncmers.likeness(of(*x), of(*y)) == 2 * row[-1] / (len(x) + len(y))
+    assert syncmers.likeness(of(9, *[1] * 300_000), of(*[1] * 300_000, 8)) > 0.99
+
+
 @pytest.mark.parametrize("buckets", [1, 3, 20])
 def test_fingerprints(spark, buckets):
     r = random.Random(8)
