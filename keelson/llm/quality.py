@@ -84,10 +84,11 @@ def _features(texts: list[bytes], style: np.ndarray, grams: np.ndarray) -> None:
     style[:, 14] = np.minimum(4 * style[:, 9], 1)
     style[:, 15] = np.minimum(4 * style[:, 13], 1)
     style[:, 16] = np.minimum(10 * style[:, _MARK], 1)
-    if len(data) > 3:
+    if len(data) > 2:
         d = data.astype(np.uint32)
         h = (d[:-2] * 0x9E3779B1 + d[1:-1] * 0x85EBCA6B + d[2:] * 0xC2B2AE35) >> np.uint32(16)
-        grams += np.bincount(doc[:-2] * BINS + (h % BINS), minlength=BINS * n).reshape(n, BINS)
+        own = doc[:-2] == doc[2:]  # of one text and the break after it
+        grams += np.bincount((doc[:-2] * BINS + (h % BINS))[own], minlength=BINS * n).reshape(n, BINS)
         grams /= np.maximum(grams.sum(axis=1, keepdims=True), 1)
         np.sqrt(grams, out=grams)
 
@@ -145,7 +146,8 @@ class Model:
             return np.full(len(texts), self.prior)
         x = np.concatenate(features(texts), axis=1) if texts else np.zeros((0, STYLE + BINS))
         sizes = np.array([len(t) for t in texts], float)
-        return _sigmoid(_trust(sizes) * np.clip((x - self.mean) / self.scale, -6, 6) @ self.w + self.b)
+        x = _trust(sizes) * np.clip((x - self.mean) / self.scale, -6, 6)
+        return _sigmoid((x * self.w).sum(axis=1) + self.b)  # row by row: a product of matrices rounds by their size
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 400) -> Model:

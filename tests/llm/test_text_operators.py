@@ -293,6 +293,24 @@ def test_added_spans_and_redaction(spark):
     assert pii.pii_spans(docs(spark, texts).limit(0)).count() == 0
 
 
+# -- 2: a score is of its text alone ------------------------------------------
+
+def test_quality_of_a_text_alone_and_among_others():
+    r = random.Random(14)
+    texts = [t.encode() for t in fuzz(60, 15)] + [b"", b"a", b"ab", b"abc", b"short text", b"short text", b"z" * 300]
+    texts += [bytes(r.choice(b"abc de\n") for _ in range(n)) for n in range(1, 40)]
+    style, grams = quality.features(texts)
+    rng = np.random.default_rng(3)
+    width = style.shape[1] + grams.shape[1]
+    model = quality.Model(rng.random(width) / 10, rng.random(width) + 0.1, rng.normal(size=width), 0.1, 0.5)
+    scores = model.score(texts)
+    for i, t in enumerate(texts):
+        alone = quality.features([t])
+        assert (alone[0][0] == style[i]).all() and (alone[1][0] == grams[i]).all()
+        assert model.score([t])[0] == scores[i]
+    assert (model.score(texts[::-1])[::-1] == scores).all()
+
+
 # -- 4: each candidate is drawn for itself -----------------------------------
 
 def test_each_merge_is_skipped_at_the_rate():
