@@ -8,7 +8,8 @@ but the last return the columns of ``documents``.
 2. exact copies: of equal texts the one with the smallest id stays
 3. near copies: of documents linked by five-word shingles at 0.8 the smallest id stays
 4. personal data: spans are replaced by the name of their kind
-5. packing: what is left, in sequences of 2048 token ids
+5. packing: what is left, in sequences of 2048 token ids: a row for each piece of a
+   document with its ids, its sequence and its offset there (``packing.sequences`` joins them)
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.json", with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -118,7 +118,7 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     # Ranks: rows of a length are numbered within salted buckets, and buckets start where earlier ones end.
     salts = 4 * partitions(spark)
     cols = [F.col(c) for c in pieces.columns]
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "ids"]), F.lit(salts)).cast("int"))
     part = salted.groupBy(length_col, "__salt").agg(F.count("*").alias("__n"))
     from pyspark.sql import Window
 
@@ -174,9 +174,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Every piece of every document with its place: the pieces are settled, texts are encoded once."""
-    return pack(settle(token_pieces(docs, tokenizer, id_col, text_col, capacity, end_id), "pieces"), "length", capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID,
+                   with_ids: bool = False) -> DataFrame:
+    """Every piece of every document with its place (and its ids): the pieces are settled, texts are encoded once."""
+    return pack(settle(token_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, with_ids), "pieces"), "length", capacity)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -165,6 +165,22 @@ def test_packing(spark):
     assert sum(len(r.ids) for r in whole.collect()) == sum(p.length for p in placed)
 
 
+def test_packing_returns_the_ids_of_its_sequences(spark):
+    import corpus_pipeline
+
+    texts = fuzz(40) + [None, "", "word " * 5000, "same", "same"]
+    placed = packing.settle(corpus_pipeline.pack(spark, docs(spark, texts), ""), "t")
+    tok = tokens.ChunkEncoder(BYTES, True).tokenizer
+    want = {i: tok.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    whole = {r.sequence_id: r.ids for r in packing.sequences(placed).collect()}
+    assert all(len(ids) <= 2048 for ids in whole.values())
+    rows = placed.collect()
+    assert sum(len(ids) for ids in whole.values()) == sum(p.length for p in rows) == sum(len(ids) for ids in want.values())
+    for p in rows:
+        ids = want[p.doc_id][p.start:p.start + p.length]
+        assert p.ids == ids and whole[p.sequence_id][p.offset:p.offset + p.length] == ids
+
+
 # -- 4: merge-dropout -------------------------------------------------------
 
 def test_pieces_without_dropout_are_the_librarys():
