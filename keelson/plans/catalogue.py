@@ -11,7 +11,7 @@ from ..functions import names, shapes, similarity
 from ..operators import certify, dependencies, graph, groups, joins, keys, logical, models, profile, report, structure, validate, views
 from ..sources import csv_folder
 from ..sources.tables import ALIASES, read_star, read_table
-from ..types import Edge, Model
+from ..types import Edge, LogicalPlan, Model
 from .pipeline import Pipeline
 
 #: Columns of the driver's tables with their kinds, for generated SQL.
@@ -381,8 +381,11 @@ _register("topology_issues", lambda s, d: validate.topology_issues(_rows(s, "mod
 
 # -- logical tables, validation, views --------------------------------------
 
-_register("logical_dimension_part", lambda s, d: _read(s, d, "part").select("p_brand", "p_type").distinct(), "SELECT DISTINCT p_brand, p_type FROM part")
-_register("logical_fact_lineitem", lambda s, d: _read(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"),
+_PLANS = {"part": LogicalPlan("dim_part", "part", ("p_brand",), ("p_brand", "p_type"), "DIMENSION", True),
+          "nation": LogicalPlan("dim_nation", "nation", ("n_name",), ("n_name",), "DIMENSION", True),
+          "lineitem": LogicalPlan("fact_lineitem", "lineitem", ("l_orderkey",), ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"), "FACT", False)}
+_register("logical_dimension_part", lambda s, d: logical.materialize(_PLANS["part"], _read(s, d, "part")), "SELECT DISTINCT p_brand, p_type FROM part")
+_register("logical_fact_lineitem", lambda s, d: logical.materialize(_PLANS["lineitem"], _read(s, d, "lineitem")),
           "SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem")
 _register("grain_duplicates_lineitem", lambda s, d: validate.count_duplicate_grains(_read(s, d, "lineitem"), ("l_orderkey", "l_linenumber")),
           "SELECT count(*) AS duplicates FROM (SELECT 1 FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
@@ -522,9 +525,10 @@ _register("run_all", _run_all)
 
 def _model_coverage(spark, sf):
     """Columns of the sources that no logical table of a fixed plan holds."""
-    columns = _rows(spark, "table_name string, column_name string", [(t, c) for t in ("part", "nation") for c in COLUMNS[t]])
-    used = _rows(spark, "table_name string, column_name string", [("part", "p_brand"), ("part", "p_type"), ("nation", "n_name")])
-    return columns.join(used, ["table_name", "column_name"], "left_anti")
+    evidence = profile.evidence_of(profile.profile_all(spark, {t: _read(spark, sf, t) for t in ("part", "nation")}).collect())
+    plans = [_PLANS[t] for t in ("part", "nation")]
+    found = report.coverage({"fact_tables": [], "dimension_tables": [p.name for p in plans]}, plans, evidence)
+    return _rows(spark, "table_name string, column_name string", [(c["source_table"], c["column_name"]) for c in found["uncovered_columns"]])
 
 
 _register("model_coverage", _model_coverage, "SELECT table_name, column_name FROM " + _sql_values(

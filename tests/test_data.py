@@ -161,3 +161,18 @@ def test_entry_point(spark):
 
     q, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(q) and e.entry(spark).count() == 11
+
+
+def test_registered_queries_call_their_operators(spark, tmp_path, monkeypatch):
+    from keelson.plans import catalogue
+
+    spark.createDataFrame([(1, "b", "t", 3), (2, "b", "t", 4)], "p_partkey long, p_brand string, p_type string, p_new int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, "n")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(1, 2, 3, 1, 4.0, 5.0)] * 2, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    called = []
+    for module, name in ((catalogue.logical, "materialize"), (catalogue.report, "coverage")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name: called.append(n) or f(*a))
+    run = lambda q: sorted(map(tuple, catalogue.QUERIES[q](spark, str(tmp_path)).collect()))
+    assert run("logical_dimension_part") == [("b", "t")] and run("logical_fact_lineitem") == [(1, 2, 3, 4.0, 5.0)] * 2
+    assert run("model_coverage") == [("nation", "n_nationkey"), ("part", "p_new"), ("part", "p_partkey")]
+    assert called == ["materialize", "materialize", "coverage"]
