@@ -175,7 +175,7 @@ _register("composite_key_lineitem", _composite)
 
 
 def _ranking(spark, sf):
-    source, evidence = _evidence(spark, sf, ["region", "nation", "customer", "supplier", "part", "orders"])
+    source, evidence = _evidence(spark, sf, STAR)
     order = keys.infer_keys(source, evidence)
     best = keys.best_by_table(order)
     return _rows(spark, "position int, table_name string, columns string, confidence double, is_best boolean",
@@ -212,8 +212,7 @@ _register("orphan_counts", _orphan_counts, " UNION ALL ".join(
 
 
 def _discovered(spark, sf):
-    tables = ["region", "nation", "customer", "supplier", "part", "orders"]
-    source, evidence = _evidence(spark, sf, tables)
+    source, evidence = _evidence(spark, sf, STAR)
     found = joins.discover(source, evidence, keys.simple_keys(evidence))
     return _rows(spark, "source_table string, source_columns string, target_table string, target_columns string, rows long, matched long, ratio double",
                  [(j.source, ",".join(j.source_columns), j.target, ",".join(j.target_columns), j.rows, j.matched, j.ratio) for j in found])
@@ -222,19 +221,25 @@ def _discovered(spark, sf):
 _register("join_discovery", _discovered)
 
 
-def _prefiltered(spark, sf):
-    tables = ["region", "nation", "customer", "supplier"]
+def _prefiltered(spark, sf, tables):
     _, evidence = _evidence(spark, sf, tables)
     kept = joins.prefiltered(evidence, keys.simple_keys(evidence))
     return _rows(spark, "table_name string, column_name string", [(c.table, c.column) for c in kept])
 
 
 _SMALL = ("region", "nation", "customer", "supplier")
-_register("fk_prefilter", _prefiltered, f"""
-    WITH p AS ({_profiles_sql(_SMALL, aliased=True)}), k AS (SELECT * FROM p WHERE rows > 0 AND null_rows = 0 AND distinct_count = rows AND kind <> 'continuous')
+
+
+def _prefilter_sql(tables) -> str:
+    return f"""
+    WITH p AS ({_profiles_sql(tables, aliased=True)}), k AS (SELECT * FROM p WHERE rows > 0 AND null_rows = 0 AND distinct_count = rows AND kind <> 'continuous')
     SELECT table_name, column_name FROM p WHERE null_ratio < 1 AND EXISTS (
       SELECT 1 FROM k WHERE k.table_name <> p.table_name AND k.column_type = p.column_type AND p.distinct_count <= 1.1 * k.distinct_count
-        AND (p.kind NOT IN ('integer', 'continuous') OR (TRY_CAST(p.min_value AS DOUBLE) >= TRY_CAST(k.min_value AS DOUBLE) AND TRY_CAST(p.max_value AS DOUBLE) <= TRY_CAST(k.max_value AS DOUBLE))))""")
+        AND (p.kind NOT IN ('integer', 'continuous') OR (TRY_CAST(p.min_value AS DOUBLE) >= TRY_CAST(k.min_value AS DOUBLE) AND TRY_CAST(p.max_value AS DOUBLE) <= TRY_CAST(k.max_value AS DOUBLE))))"""
+
+
+_register("fk_prefilter", lambda s, d: _prefiltered(s, d, _SMALL), _prefilter_sql(_SMALL))
+_register("fk_prefilter_star", lambda s, d: _prefiltered(s, d, STAR), _prefilter_sql(STAR))
 
 # -- names, shapes and evidence ---------------------------------------------
 

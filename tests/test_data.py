@@ -176,3 +176,12 @@ def test_registered_queries_call_their_operators(spark, tmp_path, monkeypatch):
     assert run("logical_dimension_part") == [("b", "t")] and run("logical_fact_lineitem") == [(1, 2, 3, 4.0, 5.0)] * 2
     assert run("model_coverage") == [("nation", "n_nationkey"), ("part", "p_new"), ("part", "p_partkey")]
     assert called == ["materialize", "materialize", "coverage"]
+
+
+def test_keys_and_joins_of_the_fact_table(spark):
+    from keelson.plans import catalogue
+
+    run = lambda q: list(map(tuple, catalogue.QUERIES[q](spark, "/root/testdata/sf0.001").collect()))
+    assert {x[1] for x in run("key_ranking")} == set(catalogue.STAR)
+    assert {("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier")} <= {(x[0], x[2]) for x in run("join_discovery")}
+    assert {("lineitem", "order_key"), ("lineitem", "part_key"), ("lineitem", "supplier_key")} <= set(run("fk_prefilter_star"))
