@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup, idfile, jaccard_join, packing, pieces, pii, quality, syncmers, token_counts, warc
 
-#: Where the public vocabularies are, on the driver and on every executor.
-TOKENIZERS = "/opt/tokenizers"
+
+
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file is, on the driver and on every executor alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,21 +38,21 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json").select(
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_pieces(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", with_ids=False)
+    return pieces.encode_pieces(_read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
 
 
 def op5_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = idfile.write_ids(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    manifest = idfile.write_ids(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
     return idfile.read_ids(manifest)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Encoding with the tokenizers library, each distinct chunk of text once.
+"""Encoding with the tokenizers library, each distinct piece of text once.
 
-A text is cut before blanks where the tokenizer's own pre-tokenizer always cuts, so
-the ids of the chunks, one after another, are the ids of the whole text.  Chunks
-repeat far more than texts do; what is known of them is kept, up to a bound.  A
-chunk that is one or two plain Latin words goes to the library's model directly; any other
-chunk goes through its whole encoder.
+Pre-tokens repeat far more than texts do; their ids are kept, up to a bound.  A text
+of ASCII and Latin-1 letters alone is cut into pre-tokens by the tokenizer's own
+pattern, and each new one goes to the library's model.  Any other text is cut before
+blanks where the pre-tokenizer always cuts, and each new chunk goes through the
+library's whole encoder; either way the ids of the parts are those of the text.
 """
 
 from __future__ import annotations
@@ -14,13 +14,21 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
-#: Chunks kept by a worker (about 120 MB); beyond that it starts anew.
-KEPT_CHUNKS = 600_000
+from ._common import only
+
+#: Chunks of one generation kept by a worker (about 40 MB); the generation before it is kept, too.
+KEPT_CHUNKS = 200_000
+#: Bytes of text taken at once.
+SLICE = 1 << 20
 
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
-#: Letters that every Unicode version classes and lower-cases alike, then marks that make one pre-token.
-_WORD = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)"
-_PLAIN = re.compile(rf"{_WORD}(?:\n{_WORD})?")
+#: Characters that every Unicode version classes and lower-cases alike.
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
+_PLAIN = re.compile(rf"[\t\n\r {_MARK}0-9{_LETTER}]*")
+#: The pre-tokens of both kinds of vocabulary, for plain texts.
+_SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
+_SINGLE = re.compile(rf"{_SUFFIXES}|[{_LETTER}]+|[0-9]|[{_MARK}]+")
+_JOINED = re.compile(rf"{_SUFFIXES}| ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|\s+(?!\S)|\s+")
 
 
 def _byte_names() -> dict[int, str]:
@@ -33,6 +41,41 @@ def _byte_names() -> dict[int, str]:
 _NAMES = _byte_names()
 
 
+class _Kept(dict):
+    """What is known of chunks, in two generations: what the older one has and is met again moves to the younger."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self) > KEPT_CHUNKS:
+            self.older = dict(self)
+            self.clear()
+
+    def unknown(self, chunks: Iterable[str]) -> list[str]:
+        """Those of ``chunks`` that neither generation has."""
+        older, rest = self.older, []
+        for c in chunks:
+            if c not in self:
+                if c in older:
+                    self[c] = older[c]
+                else:
+                    rest.append(c)
+        return rest
+
+
+def sliced(texts: list[str], size: int = SLICE) -> Iterator[list[str]]:
+    """``texts`` in runs of about ``size`` code points, at least one text each."""
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (end == at or held + len(texts[end]) <= size):
+            held += len(texts[end])
+            end += 1
+        yield texts[at:end]
+        at = end
+
 
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
@@ -46,61 +89,63 @@ class ChunkEncoder:
 
         self.tokenizer, self.joined = Tokenizer.from_file(path), joined
         self.model = self.tokenizer.model
-        self.clear()
-
-    def clear(self) -> None:
-        self.starts: dict[str, bytes] = {}  # chunks without a blank before them
-        self.others: dict[str, bytes] = {}  # chunks after a blank, which isn't part of the key
-        self.odd: set[str] = set()  # parts after which a blank doesn't start a chunk
-
-    def _model(self, text: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_NAMES))]
-
-    def _learn(self, into: dict[str, bytes], blank: str, parts: Iterable[str]) -> None:
-        rest = []
-        for p in parts:
-            if m := _PLAIN.fullmatch(p):
-                word, marks, word2, marks2 = m.groups()
-                ids = self._model(blank + word if self.joined else word.lower())
-                if marks:
-                    ids += self._model(marks)
-                if word2:
-                    ids += self._model("\n") + self._model(word2) if self.joined else self._model(word2.lower())
-                    if marks2:
-                        ids += self._model(marks2)
-                into[p] = array("I", ids).tobytes()
-            else:
-                rest.append(p)
-        for i in range(0, len(rest), 20_000):
-            part = rest[i:i + 20_000]
+        self.starts = _Kept()  # chunks without a blank before them
+        self.others = _Kept()  # chunks after a blank, which isn't part of the key
+        self.words = _Kept()  # pre-tokens of plain texts
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def _learn(self, into: dict[str, bytes], blank: str, parts: list[str]) -> None:
+        for i in range(0, len(parts), 5_000):
+            part = parts[i:i + 5_000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast([blank + p for p in part], add_special_tokens=False)):
                 into[p] = array("I", e.ids).tobytes()
 
-    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for part in sliced(texts):
+            for kept in (self.starts, self.others, self.words):
+                kept.turn()
+            plain = [self._plain(t) for t in part]
+            easy, hard = self._pre_tokens([t for t, p in zip(part, plain) if p]), self._chunks([t for t, p in zip(part, plain) if not p])
+            for p in plain:
+                yield next(easy if p else hard)
+
+    def _pre_tokens(self, texts: list[str]) -> Iterator[bytes]:
+        cut = [_JOINED.findall(t) for t in texts] if self.joined else [_SINGLE.findall(t.lower()) for t in texts]
+        new: set[str] = set()
+        for c in cut:
+            new.update(c)
+        words, tokenize = self.words, self.model.tokenize
+        for w in words.unknown(new):
+            name = w if w.isascii() and w.isprintable() and " " not in w else w.encode().decode("latin-1").translate(_NAMES)
+            words[w] = array("I", [t.id for t in tokenize(name)]).tobytes()
+        for c in cut:
+            yield b"".join(map(words.__getitem__, c))
+
+    def _chunks(self, texts: list[str]) -> Iterator[bytes]:
         cut = [t.split(" ") for t in texts]
-        if len(self.starts) + len(self.others) > KEPT_CHUNKS:
-            self.clear()
+        new: set[str] = set()
         if not self.joined:
-            new: set[str] = set()
             for c in cut:
                 new.update(c)
-            self._learn(self.starts, "", new.difference(self.starts))
+            self._learn(self.starts, "", self.starts.unknown(new))
             for c in cut:
                 yield b"".join(map(self.starts.__getitem__, c))
             return
-        new, first, odd = set(), set(), {}
+        first, odd = set(), {}
         for c in cut:
             new.update(c)
-        fresh = new.difference(self.others)
-        self.odd.update(p for p in new if not p or p[-1].isspace())
+        self.odd = {p for p in new if not p or p[-1].isspace()}
         for i, c in enumerate(cut):
             if self.odd.isdisjoint(c):
                 first.add(c[0])
             else:  # runs of white space: blanks start chunks only after something else
                 odd[i] = _BEFORE_BLANK.split(" ".join(c))
                 first.update(odd[i])
-        self._learn(self.others, " ", fresh)
-        self._learn(self.starts, "", (p for p in first if p not in self.starts))
+        self._learn(self.others, " ", self.others.unknown(new))
+        self._learn(self.starts, "", self.starts.unknown(first))
         for i, c in enumerate(cut):
             if i in odd:
                 yield b"".join(map(self.starts.__getitem__, odd[i]))
@@ -108,13 +153,7 @@ class ChunkEncoder:
                 yield self.starts[c[0]] + b"".join(map(self.others.__getitem__, c[1:]))
 
 
-_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
-
-
 def encoder(path: str, joined: bool) -> ChunkEncoder:
-    """One encoder for each worker process; the library's own threads stay off."""
+    """The encoder of this worker process; the library's own threads stay off."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = (path, joined)
-    if key not in _encoders:
-        _encoders[key] = ChunkEncoder(path, joined)
-    return _encoders[key]
+    return only((path, joined), lambda: ChunkEncoder(path, joined))
