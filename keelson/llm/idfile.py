@@ -1,17 +1,23 @@
 """Token-id files: an adaptive context-mixing range coder over blocks of ids.
 
-For each id, order-2 and order-1 contexts predict one id each, order 0 predicts a
-distribution (adaptive class counts, and the segment's frequencies within a class).
-The three predictions are mixed with weights that follow their success, and the
-mixture drives a carry-less range coder.  A block begins from the same initial state
-whatever came before it, and carries checksums of its ids and of its payload.  The
-blocks of a segment are coded in lock-step, one numpy lane each.
+Three predictions are mixed for each id: order 2 and order 1 name the id that came
+last after the two ids, or the one id, before it, with the number of times that has
+held; order 0 is a distribution over all ids met so far, with an escape for new ones.
+The weights of the mixture follow the success of the predictors, for each pair of
+confidences, and the mixture drives a carry-less range coder.
 
-File: ``KIDS`` version | segments | footer (ids and lengths of documents) | its size.
-Segment: sizes | frequency table | block headers | payloads.
+A block is coded in lock-step lanes: lane l holds the l-th stretch of its ids, and at
+each step one id of every lane is coded, by vector operations over the lanes.  All
+that is learned (contexts, counts, weights) is learned from the steps before, of all
+lanes.  A block begins with nothing learned, carries its own lengths and checksums of
+its ids and of its payload, and is decoded without any other.
+
+File: ``KIDS`` version | blocks | footer (ids and lengths of documents) | its size.
+Block: sizes, checksums | words of each lane | payload.
 
 Defined results: a null text is the empty text; documents are in ascending id order,
-null ids first, repeated ids by their text; an empty table gives no file.
+null ids first, repeated ids by their text; an empty table gives no file.  Ids of
+2**24 or more are refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -29,252 +35,235 @@ from pyspark.sql import functions as F
 from ._common import file_system, scratch_path, settle
 from .tokens import encoder
 
-MAGIC = b"KIDS\x01"
-BLOCK = 2048  # ids
-LANES = 1536  # blocks of a segment
-CLASSES = 24  # by powers of two of the frequency rank
-H2, H1 = 12, 11  # bits of the context tables of a lane
-TOP, FINE = 16, 20  # bits of the totals of the two coding steps
+MAGIC = b"KIDS\x02"
+BLOCK = 1 << 22  # ids
+LANES = 4096  # at most, of a block
+#: A lane of fewer ids than this isn't worth the words that end it.
+SHORTEST = 256
+MIX = 12  # bits of the mixture's weights
+ORDER1, ORDER2 = 17, 20  # bits of the context tables
+SURE = 15  # the highest confidence
 _U = np.uint64
-_BOT, _SEP = _U(1 << 32), _U(1 << 48)
-
-
-class _Table:
-    """Frequencies of a segment's ids; ids are coded by their rank."""
-
-    def __init__(self, ids: np.ndarray, counts: np.ndarray):
-        order = np.lexsort((ids, -counts.astype(np.int64)))
-        self.by_rank = ids[order]
-        n = len(ids)
-        self.cls = np.minimum(np.frexp(np.arange(n, dtype=np.float64))[1], CLASSES - 1).astype(np.int64)  # 0, 1, 2 2, 3 3 3 3, ...
-        freq, low = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        c = counts[order].astype(np.int64)
-        for k in range(CLASSES):
-            own = np.flatnonzero(self.cls == k)
-            if len(own):
-                f = c[own] * ((1 << FINE) - len(own)) // c[own].sum() + 1
-                freq[own], low[own] = f, np.cumsum(f) - f
-        self.freq, self.low, self.classes = freq, low, int(self.cls.max()) + 1
-        self.key = (self.cls << FINE) + low
-        self.p_fine = freq / float(1 << FINE)
-
-    @classmethod
-    def of(cls, ids: np.ndarray) -> tuple[_Table, bytes]:
-        values, counts = np.unique(ids, return_counts=True)
-        a = zlib.compress(np.diff(values, prepend=values[:1]).astype("<u4").tobytes())
-        b = zlib.compress(counts.astype("<u4").tobytes())
-        head = struct.pack("<III", int(values[0]), len(a), len(b)) + a + b
-        return cls(values, counts), head
-
-    @classmethod
-    def load(cls, head: bytes) -> _Table:
-        first, na, nb = struct.unpack_from("<III", head)
-        gaps = np.frombuffer(zlib.decompress(head[12:12 + na]), "<u4").astype(np.int64)
-        counts = np.frombuffer(zlib.decompress(head[12 + na:12 + na + nb]), "<u4")
-        return cls(np.cumsum(gaps) + first, counts)
+_LOW = _U((1 << 32) - 1)
+_HEAD = struct.Struct("<IIIIIII")  # ids, lanes, bits of an id, payload words, crc of ids, crc of payload, crc of this head
+
+
+_MASK1, _MASK2 = np.int64((1 << ORDER1) - 1), np.int64((1 << ORDER2) - 1)
+_SPREAD, _FOUR, _SURE, _WHOLE = np.int64(0x9E3779B1), np.int64(4), np.int64(15), np.int64(1 << MIX)
 
 
 class _Model:
-    """State of all lanes; every operation is integer or basic IEEE arithmetic, so both sides agree."""
-
-    def __init__(self, lanes: int, table: _Table):
-        self.t = table
-        self.lane = np.arange(lanes)
-        # Context tables: the id that came last after a context, and how sure that is (4 low bits, 0: nothing yet).
-        self.after2, self.after1 = np.zeros(lanes << H2, np.int32), np.zeros(lanes << H1, np.int32)
-        level = np.arange(16)
-        self.hits2 = np.tile((level + 0.4) / (level + 2.0), (lanes, 1)).ravel()
-        self.hits1 = np.tile((level + 0.2) / (level + 4.0), (lanes, 1)).ravel()
-        self.w = np.full((3, lanes), 1 / 3)
-        self.used = (np.bincount(table.cls, minlength=table.classes) > 0).astype(np.int32)
-        self.count = np.tile((self.used * 8).astype(np.float32), (lanes, 1))
-        self.total = self.count.sum(axis=1)
-        self.a = np.zeros(lanes, np.int64)  # last id, and the one before
-        self.b = np.zeros(lanes, np.int64)
-
-    def predict(self, n: int) -> None:
-        lane = self.lane[:n]
-        a, b = self.a[:n], self.b[:n]
-        self.i2 = (lane << H2) + (((a * 0x9E3779B1 + b * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - H2))
-        self.i1 = (lane << H1) + (((a * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - H1))
-        v2, v1 = self.after2[self.i2], self.after1[self.i1]
-        self.s2, self.s1, self.c2, self.c1 = v2 >> 4, v1 >> 4, v2 & 15, v1 & 15
-        self.k2, self.k1 = (lane << 4) + self.c2, (lane << 4) + self.c1
-        self.r2, self.r1 = self.hits2[self.k2], self.hits1[self.k1]
-        self.q2, self.q1 = self.r2 * (self.c2 > 0), self.r1 * (self.c1 > 0)
-        m2, m1 = self.w[2, :n] * self.q2, self.w[1, :n] * self.q1
-        same = (self.s2 == self.s1) & (self.c2 > 0)
-        m2 = np.where(same, m2 + m1, m2)
-        m1 = np.where(same, 0.0, m1)
-        self.m2, self.m1 = (m2 * 60000.0).astype(np.int64), (m1 * 60000.0).astype(np.int64)
-        self.base = self.m2 + self.m1
-        self.m0 = (1 << TOP) - self.base
-        scale = ((self.m0 - CLASSES) / self.total[:n]).astype(np.float32) * np.float32(1 - 2.0 ** -20)  # rounding never adds up to too much
-        self.fc = (self.count[:n] * scale[:, None]).astype(np.int32) + self.used
-        self.ends = np.cumsum(self.fc, axis=1, dtype=np.int32)
-
-    def update(self, n: int, s: np.ndarray) -> None:
-        lane, k = self.lane[:n], self.t.cls[s]
-        h2, h1 = (s == self.s2) & (self.c2 > 0), (s == self.s1) & (self.c1 > 0)
-        p0 = self.fc[lane, k] / self.m0 * self.t.p_fine[s]
-        w = self.w[:, :n]
-        w2 = w[2] * np.where(h2, self.q2, (1.0 - self.q2) * p0)
-        w1 = w[1] * np.where(h1, self.q1, (1.0 - self.q1) * p0)
-        w0 = w[0] * p0
-        scale = 0.97 / (w2 + w1 + w0)
-        w[2], w[1], w[0] = w2 * scale + 0.01, w1 * scale + 0.01, w0 * scale + 0.01
-        self.hits2[self.k2] = self.r2 + (h2 - self.r2) * 0.03125
-        self.hits1[self.k1] = self.r1 + (h1 - self.r1) * 0.03125
-        fresh = (s << 4 | 1).astype(np.int32)
-        for after, i, was, c, hit in ((self.after2, self.i2, self.s2, self.c2, h2), (self.after1, self.i1, self.s1, self.c1, h1)):
-            low = np.where(hit, np.minimum(c + 1, 15), c >> 1)
-            after[i] = np.where(low == 0, fresh, was << 4 | low)
-        self.count[lane, k] += np.float32(24)
-        self.total[:n] += np.float32(24)
-        if self.total[0] > 8192.0:  # all lanes have taken as many steps
-            self.count[:] = np.floor(self.count * np.float32(0.5)) + self.used
-            self.total = self.count.sum(axis=1)
-        self.b[:n] = self.a[:n]
-        self.a[:n] = s
+    """What both sides have learned of a block; integers only, so they agree."""
+
+    def __init__(self, bits: int):
+        self.bits, self.size = bits, 1 << bits
+        self.after1, self.after2 = np.zeros(1 << ORDER1, np.int64), np.zeros(1 << ORDER2, np.int64)  # id << 4 | confidence
+        self.count = np.zeros(self.size, np.int64)
+        self.tried = np.zeros((512, 3), np.int64)  # by both confidences, and whether both name one id: who was right
+        self.ids: list[np.ndarray] = []  # since the last refresh
+        self.outcomes: list[np.ndarray] = []
+        self.a = self.b = None
+        self._refresh()
+
+    def _refresh(self) -> None:
+        if self.ids:
+            self.count += np.bincount(np.concatenate(self.ids), minlength=self.size)
+            self.tried += np.bincount(np.concatenate(self.outcomes), minlength=512 * 3).reshape(512, 3)
+            self.ids, self.outcomes = [], []
+        n = self.tried.sum(axis=1)
+        room = (1 << MIX) - 128  # the rest is always left to order 0
+        self.weight1 = 1 + room * (2 * self.tried[:, 1] + 1) // (2 * n + 32)
+        self.weight2 = 1 + room * (2 * self.tried[:, 2] + 1) // (2 * n + 32)
+        # Order 0: a share for each id met, and one for the escape by the number of ids met once.
+        self.met = np.flatnonzero(self.count)
+        self.names = np.append(self.met, -1)
+        c, total = self.count[self.met], int(self.count.sum())
+        self.fine = 16 if len(c) < 1 << 14 else 20
+        self.shift, whole = np.int64(self.fine), 1 << self.fine
+        escape = min(max(whole * int((c == 1).sum()) // max(total, 1), 16), whole >> 2) if total else whole
+        freq = c * (whole - escape - len(c)) // max(total, 1) + 1
+        self.freq = np.append(freq, whole - int(freq.sum())).astype(np.int64)
+        self.start = np.cumsum(self.freq) - self.freq
+        self.slot = np.repeat(np.arange(len(self.freq)), self.freq)
+        self.place = np.full(self.size, len(c))
+        self.place[self.met] = np.arange(len(c))
+
+    def predict(self, step: int, n: int) -> None:
+        """The two predicted ids and their weights for the first ``n`` lanes."""
+        if step & (step - 1) == 0 or step % 64 == 0:  # what was counted counts after 1, 2, 4, ... steps, then after every 64
+            self._refresh()
+        if self.a is None:
+            self.a = self.b = np.zeros(n, np.int64)
+        elif len(self.a) > n:
+            self.a, self.b = self.a[:n], self.b[:n]
+        self.at1, self.at2 = self.a & _MASK1, self.a * _SPREAD + self.b & _MASK2
+        v1, v2 = self.v1, self.v2 = self.after1.take(self.at1), self.after2.take(self.at2)
+        self.s1, self.s2, self.c1, self.c2 = v1 >> _FOUR, v2 >> _FOUR, v1 & _SURE, v2 & _SURE
+        self.context = (self.c2 << _FOUR) + self.c1
+        same = (self.s1 == self.s2).nonzero()[0]
+        self.context[same] += 256
+        self.w1, self.w2 = self.weight1.take(self.context), self.weight2.take(self.context)
+        self.base = self.w1 + self.w2
+        self.rest = _WHOLE - self.base
+
+    def update(self, s: np.ndarray, named1: np.ndarray, named2: np.ndarray, hit1: np.ndarray) -> None:
+        """``named1``, ``named2``: the lanes whose id order 1 and order 2 named; ``hit1``: those that order 1 alone named."""
+        outcome = self.context * 3
+        outcome[hit1] += 1
+        outcome[named2] += 2
+        self.ids.append(s)
+        self.outcomes.append(outcome)
+        fresh = (s << _FOUR) + 1
+        for after, at, v, c, named in ((self.after1, self.at1, self.v1, self.c1, named1), (self.after2, self.at2, self.v2, self.c2, named2)):
+            new = fresh.copy()
+            sure = (c > 1).nonzero()[0]  # a miss halves the confidence; from 1 it goes to the new id
+            new[sure] = v[sure] - (c[sure] + 1 >> 1)
+            new[named] = v[named] + (c[named] < SURE)
+            after[at] = new
+        self.b, self.a = self.a, s
 
 
 class _Writer:
-    def __init__(self, lanes: int, block: int):
+    def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U)
-        self.out, self.pos = np.zeros((lanes, 3 * block + 16), np.uint16), np.zeros(lanes, np.int64)
-
-    def put(self, at: np.ndarray, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        r = self.range[at] >> _U(bits)
-        low, size = self.low[at] + r * start.astype(_U), r * freq.astype(_U)
+        self.lanes: list[np.ndarray] = []
+        self.words: list[np.ndarray] = []
+
+    def put(self, start: np.ndarray, freq: np.ndarray, bits: int, at: np.ndarray | slice) -> None:
+        """Narrow the intervals of the lanes ``at`` to [start, start + freq) of 2**bits."""
+        size = self.range[at] >> _U(bits)
+        low = self.low[at] + size * start.view(_U)
+        size *= freq.view(_U)
         self.low[at], self.range[at] = low, size
-        while True:
-            same = (low ^ (low + size)) < _SEP
-            go = same | (size < _BOT)
-            if not go.any():
-                return
-            at, low, size, same = at[go], low[go], size[go], same[go]
-            size = np.where(same, size, (_U(0) - low) & (_BOT - _U(1)))
-            self.out[at, self.pos[at]] = (low >> _U(48)).astype(np.uint16)
-            self.pos[at] += 1
-            low, size = low << _U(16), size << _U(16)
-            self.low[at], self.range[at] = low, size
-
-    def end(self) -> list[bytes]:
-        lane = np.arange(len(self.pos))
-        for shift in (48, 32, 16, 0):
-            self.out[lane, self.pos] = (self.low >> _U(shift)).astype(np.uint16)
-            self.pos += 1
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.out, self.pos)]
+        need = np.flatnonzero(size <= _LOW)
+        if len(need):
+            low, size = low[need], size[need]
+            size = np.where((low ^ (low + size)) > _LOW, (_U(0) - low) & _LOW, size)  # an interval over the edge of a word is cut there
+            lane = need if isinstance(at, slice) else at[need]
+            self.lanes.append(lane.astype(np.int16))
+            self.words.append((low >> _U(32)).astype("<u4"))
+            self.low[lane], self.range[lane] = low << _U(32), size << _U(32)
+
+    def end(self) -> tuple[np.ndarray, bytes]:
+        """(words of each lane, all words lane by lane)."""
+        every = np.arange(len(self.low), dtype=np.int16)
+        lanes = np.concatenate([*self.lanes, every, every])
+        words = np.concatenate([*self.words, (self.low >> _U(32)).astype("<u4"), (self.low & _LOW).astype("<u4")])
+        return np.bincount(lanes, minlength=len(every)).astype("<u4"), words[np.argsort(lanes, kind="stable")].tobytes()
 
 
 class _Reader:
-    def __init__(self, payloads: list[bytes]):
-        lanes = len(payloads)
-        width = max(map(len, payloads)) // 2 + 16
-        self.data = np.zeros((lanes, width), np.uint16)
-        for row, p in zip(self.data, payloads):
-            row[:len(p) // 2] = np.frombuffer(p, "<u2")
-        self.low, self.range, self.pos = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U), np.full(lanes, 4)
-        d = self.data[:, :4].astype(_U)
-        self.code = d[:, 0] << _U(48) | d[:, 1] << _U(32) | d[:, 2] << _U(16) | d[:, 3]
-
-    def target(self, at: np.ndarray, bits: int) -> np.ndarray:
-        return np.minimum((self.code[at] - self.low[at]) // (self.range[at] >> _U(bits)), _U((1 << bits) - 1)).astype(np.int64)
-
-    def took(self, at: np.ndarray, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        r = self.range[at] >> _U(bits)
-        low, size = self.low[at] + r * start.astype(_U), r * freq.astype(_U)
+    def __init__(self, counts: np.ndarray, words: np.ndarray):
+        lanes = len(counts)
+        self.words, self.at = words, np.cumsum(counts.astype(np.int64)) - counts
+        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U)
+        self.code = words.take(self.at, mode="clip").astype(_U) << _U(32) | words.take(self.at + 1, mode="clip").astype(_U)
+        self.at += 2
+
+    def target(self, bits: int, at: np.ndarray | slice) -> np.ndarray:
+        self.size = self.range[at] >> _U(bits)
+        return np.minimum((self.code[at] - self.low[at]) // self.size, _U((1 << bits) - 1)).view(np.int64)
+
+    def took(self, start: np.ndarray, freq: np.ndarray, at: np.ndarray | slice) -> None:
+        low = self.low[at] + self.size * start.view(_U)
+        size = self.size * freq.view(_U)
         self.low[at], self.range[at] = low, size
-        while True:
-            same = (low ^ (low + size)) < _SEP
-            go = same | (size < _BOT)
-            if not go.any():
-                return
-            at, low, size, same = at[go], low[go], size[go], same[go]
-            size = np.where(same, size, (_U(0) - low) & (_BOT - _U(1)))
-            pos = np.minimum(self.pos[at], self.data.shape[1] - 1)  # damaged data may ask for more
-            self.code[at] = self.code[at] << _U(16) | self.data[at, pos].astype(_U)
-            self.pos[at] += 1
-            low, size = low << _U(16), size << _U(16)
-            self.low[at], self.range[at] = low, size
-
-
-def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """Any number of ids (uint32), at least one."""
-    table, head = _Table.of(ids)
-    rank_of = np.argsort(table.by_rank, kind="stable")
-    ranks = rank_of[np.searchsorted(table.by_rank[rank_of], ids)]
-    lanes = -(-len(ids) // block)
-    grid = np.zeros((lanes, block), np.int64)
-    grid.ravel()[:len(ids)] = ranks
-    grid = np.ascontiguousarray(grid.T)
-    last = len(ids) - (lanes - 1) * block
-    model, coder = _Model(lanes, table), _Writer(lanes, block)
-    for t in range(min(block, len(ids))):
+        need = np.flatnonzero(size <= _LOW)
+        if len(need):
+            low, size = low[need], size[need]
+            size = np.where((low ^ (low + size)) > _LOW, (_U(0) - low) & _LOW, size)
+            lane = need if isinstance(at, slice) else at[need]
+            self.code[lane] = self.code[lane] << _U(32) | self.words.take(self.at[lane], mode="clip").astype(_U)  # damaged data may ask for more
+            self.at[lane] += 1
+            self.low[lane], self.range[lane] = low << _U(32), np.maximum(size, _U(1)) << _U(32)
+
+
+def _shape(n: int, lanes: int) -> tuple[int, int]:
+    """(lanes, steps) of a block of ``n`` ids: all lanes but the last have an id at each step."""
+    steps = -(-n // min(lanes, -(-n // SHORTEST)))
+    return -(-n // steps), steps
+
+
+def encode_block(ids: np.ndarray, lanes: int = LANES) -> bytes:
+    """At least one id (uint32), below 2**24."""
+    bits = max(1, int(ids.max()).bit_length())
+    if bits > 24:
+        raise ValueError("ids of 2**24 or more")
+    lanes, steps = _shape(len(ids), lanes)
+    grid = np.zeros(lanes * steps, np.int64)
+    grid[:len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    last = len(ids) - (lanes - 1) * steps
+    model, coder = _Model(bits), _Writer(lanes)
+    for t in range(steps):
         n = lanes if t < last else lanes - 1
-        s = grid[t, :n]
-        model.predict(n)
-        hit2, hit1 = (s == model.s2) & (model.m2 > 0), (s == model.s1) & (model.m1 > 0)
-        k = table.cls[s]
-        lane = model.lane[:n]
-        freq = model.fc[lane, k]
-        start = model.base + model.ends[lane, k] - freq
-        start = np.where(hit2, 0, np.where(hit1, model.m2, start))
-        freq = np.where(hit2, model.m2, np.where(hit1, model.m1, freq))
-        coder.put(lane, start, freq, TOP)
-        if len(rest := np.flatnonzero(~(hit2 | hit1))):
-            coder.put(rest, table.low[s[rest]], table.freq[s[rest]], FINE)
-        model.update(n, s)
-    payloads = coder.end()
-    blocks = b"".join(struct.pack("<IIII", min(block, len(ids) - i * block), len(p), zlib.crc32(ids[i * block:(i + 1) * block].astype("<u4").tobytes()), zlib.crc32(p))
-                      for i, p in enumerate(payloads))
-    body = b"".join(payloads)
-    return struct.pack("<IIIQ", len(head), lanes, block, len(body)) + head + blocks + body
-
-
-def segment_size(start: bytes) -> int:
-    head, lanes, _, body = struct.unpack("<IIIQ", start)
-    return head + 16 * lanes + body
-
-
-def decode_segment(start: bytes, rest: bytes) -> np.ndarray:
-    """ids of a segment; ValueError if a checksum doesn't hold."""
-    size, lanes, block, _ = struct.unpack("<IIIQ", start)
-    table = _Table.load(rest[:size])
-    heads = [struct.unpack_from("<IIII", rest, size + 16 * i) for i in range(lanes)]
-    at, payloads = size + 16 * lanes, []
-    for i, (_, n, _, crc) in enumerate(heads):
-        payloads.append(rest[at:at + n])
-        at += n
-        if zlib.crc32(payloads[-1]) != crc:
-            raise ValueError(f"block {i}: payload checksum differs")
-    grid = np.zeros((block, lanes), np.int64)
-    last = heads[-1][0]
-    model, coder = _Model(lanes, table), _Reader(payloads)
-    most = len(table.by_rank) - 1
-    for t in range(heads[0][0]):
+        s, at = grid[t, :n], slice(0, n)
+        model.predict(t, n)
+        place = model.place.take(s)
+        edge = model.base << model.shift
+        start = edge + model.rest * model.start.take(place)
+        freq = model.rest * model.freq.take(place)
+        named1, named2 = (s == model.s1).nonzero()[0], (s == model.s2).nonzero()[0]
+        hit1 = named1[s[named1] != model.s2[named1]]
+        start[hit1], freq[hit1] = model.w2[hit1] << model.shift, model.w1[hit1] << model.shift
+        start[named2], freq[named2] = 0, model.w2[named2] << model.shift
+        coder.put(start, freq, MIX + model.fine, at)
+        new = (place == len(model.met)).nonzero()[0]
+        if len(new):
+            new = new[(s[new] != model.s1[new]) & (s[new] != model.s2[new])]
+            coder.put(s[new], np.ones(len(new), np.int64), bits, new)
+        model.update(s, named1, named2, hit1)
+    counts, payload = coder.end()
+    body = counts.tobytes() + payload
+    fields = (len(ids), lanes, bits, len(payload) // 4, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body))
+    head = struct.pack("<6I", *fields)
+    return head + struct.pack("<I", zlib.crc32(head)) + body
+
+
+def body_size(head: bytes) -> int:
+    """Bytes after a block's head; ValueError if the head is damaged."""
+    n, lanes, bits, words, _, _, crc = _HEAD.unpack(head)
+    if zlib.crc32(head[:-4]) != crc:
+        raise ValueError("head checksum differs")
+    return 4 * (lanes + words)
+
+
+def decode_block(head: bytes, body: bytes) -> np.ndarray:
+    """ids of a block; ValueError if a checksum doesn't hold."""
+    count, lanes, bits, words, crc_ids, crc_body, _ = _HEAD.unpack(head)
+    if body_size(head) != len(body) or zlib.crc32(body) != crc_body:
+        raise ValueError("payload checksum differs")
+    steps = -(-count // lanes)
+    last = count - (lanes - 1) * steps
+    grid = np.zeros((steps, lanes), np.int64)
+    model = _Model(bits)
+    coder = _Reader(np.frombuffer(body, "<u4", lanes), np.frombuffer(body, "<u4", words, 4 * lanes))
+    for t in range(steps):
         n = lanes if t < last else lanes - 1
-        lane = model.lane[:n]
-        model.predict(n)
-        v = coder.target(lane, TOP)
-        hit2 = v < model.m2
-        hit1 = ~hit2 & (v < model.base)
-        s = np.where(hit2, model.s2, model.s1).astype(np.int64)
-        k = np.minimum((model.ends <= (v - model.base).astype(np.int32)[:, None]).sum(axis=1), table.classes - 1)
-        freq = model.fc[lane, k]
-        start_at = np.where(hit2, 0, np.where(hit1, model.m2, model.base + model.ends[lane, k] - freq))
-        coder.took(lane, start_at, np.where(hit2, model.m2, np.where(hit1, model.m1, freq)), TOP)
-        if len(fine := np.flatnonzero(~(hit2 | hit1))):
-            u = coder.target(fine, FINE)
-            got = np.clip(np.searchsorted(table.key, (k[fine] << FINE) + u, side="right") - 1, 0, most)
-            coder.took(fine, table.low[got], table.freq[got], FINE)
-            s[fine] = got
-        model.update(n, s)
+        at = slice(0, n)
+        model.predict(t, n)
+        v = coder.target(MIX + model.fine, at)
+        edge = model.base << model.shift
+        v -= edge
+        place = model.slot.take(v // model.rest, mode="clip")
+        start = edge + model.rest * model.start.take(place)
+        freq = model.rest * model.freq.take(place)
+        s = model.names.take(place)
+        hit = (v < 0).nonzero()[0]
+        first = v[hit] + edge[hit] < model.w2[hit] << model.shift
+        hit1, named2 = hit[~first], hit[first]
+        start[hit1], freq[hit1], s[hit1] = model.w2[hit1] << model.shift, model.w1[hit1] << model.shift, model.s1[hit1]
+        start[named2], freq[named2], s[named2] = 0, model.w2[named2] << model.shift, model.s2[named2]
+        coder.took(start, freq, at)
+        new = (s < 0).nonzero()[0]
+        if len(new):
+            s[new] = got = coder.target(bits, new)
+            coder.took(got, np.ones(len(new), np.int64), new)
+        model.update(s, (s == model.s1).nonzero()[0], named2, hit1)
         grid[t, :n] = s
-    ids = table.by_rank[np.ascontiguousarray(grid.T).ravel()[:(lanes - 1) * block + last]].astype("<u4")
-    for i, (n, _, crc, _) in enumerate(heads):
-        if zlib.crc32(ids[i * block:i * block + n].tobytes()) != crc:
-            raise ValueError(f"block {i}: id checksum differs")
+    ids = np.ascontiguousarray(grid.T).ravel()[:count].astype("<u4")
+    if zlib.crc32(ids.tobytes()) != crc_ids:
+        raise ValueError("id checksum differs")
     return ids
 
 
@@ -282,23 +271,23 @@ def write_file(out, documents: Iterable[tuple[int | None, bytes]], block: int =
     """(id, ids as little-endian uint32) in order, to a binary stream; returns the numbers of documents and ids."""
     out.write(MAGIC)
     names, sizes, buffer, held = [], [], [], 0
-    most = 4 * block * lanes
     for name, data in documents:
         names.append(name)
         sizes.append(len(data) // 4)
         buffer.append(data)
         held += len(data)
-        while held >= most:
+        if held >= 4 * block:
             whole = b"".join(buffer)
-            out.write(encode_segment(np.frombuffer(whole[:most], "<u4"), block))
-            buffer = [whole[most:]]
-            held -= most
+            for at in range(0, held - 4 * block + 1, 4 * block):
+                out.write(encode_block(np.frombuffer(whole, "<u4", block, at), lanes))
+            held %= 4 * block
+            buffer = [whole[len(whole) - held:]]
     if held:
-        out.write(encode_segment(np.frombuffer(b"".join(buffer), "<u4"), block))
+        out.write(encode_block(np.frombuffer(b"".join(buffer), "<u4"), lanes))
     footer = zlib.compress(b"".join((
         struct.pack("<Q", len(names)), np.array([n is None for n in names], np.uint8).tobytes(),
         np.array([n or 0 for n in names], "<i8").tobytes(), np.array(sizes, "<u8").tobytes())))
-    out.write(struct.pack("<IIIQ", 0, 0, 0, len(footer)) + footer + struct.pack("<Q", len(footer)))
+    out.write(footer + struct.pack("<IQ", zlib.crc32(footer), len(footer)))
     return len(names), sum(sizes)
 
 
@@ -307,10 +296,13 @@ def read_file(file) -> Iterator[tuple[int | None, int, bytes]]:
     if file.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token-id file")
     end = file.size()
-    file.seek(end - 8)
-    (size,) = struct.unpack("<Q", file.read(8))
-    file.seek(end - 8 - size)
-    footer = zlib.decompress(file.read(size))
+    file.seek(end - 12)
+    crc, size = struct.unpack("<IQ", file.read(12))
+    file.seek(end - 12 - size)
+    footer = file.read(size)
+    if zlib.crc32(footer) != crc:
+        raise ValueError("footer checksum differs")
+    footer = zlib.decompress(footer)
     file.seek(len(MAGIC))
     (n,) = struct.unpack_from("<Q", footer)
     null = np.frombuffer(footer, np.uint8, n, 8)
@@ -319,8 +311,8 @@ def read_file(file) -> Iterator[tuple[int | None, int, bytes]]:
     have, start, at = b"", 0, 0
     for gone, name, count in zip(null.tolist(), names.tolist(), sizes.tolist()):
         while len(have) - at < 4 * count:
-            head = file.read(20)
-            have, at = have[at:] + decode_segment(head, file.read(segment_size(head))).tobytes(), 0
+            head = file.read(_HEAD.size)
+            have, at = have[at:] + decode_block(head, file.read(body_size(head))).tobytes(), 0
         yield None if gone else name, start, have[at:at + 4 * count]
         at += 4 * count
         start += count
