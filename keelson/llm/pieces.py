@@ -5,8 +5,9 @@ equals; each candidate taken up is skipped if its keyed hash falls below the dro
 rate.  The key is (seed, document, place of the chunk, both symbols' places in it,
 merged piece), so the same rows give the same segmentation anywhere.  Chunks (runs of
 blanks with the word after them) are independent, because no piece of the vocabulary
-continues over a blank.  What is kept of a chunk is the order in which its candidates
-come when given ones are skipped; which are skipped is drawn anew at each occurrence.
+continues over a blank.  The agendas of many chunks of one length advance together,
+a candidate of each at a time, as vectors; a chunk of more than ``SHORT`` code points
+has a heap of its own.
 
 Defined results: a null text is the empty text with no pieces; a null id counts as
 0 in the key; U+2581 in a text is spelt in bytes, so that it comes back as itself;
@@ -15,19 +16,18 @@ repeated rows have equal results; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import repeat
-from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import only
+from .tokens import sliced
 from .words import mix
 
 BLANK = "▁"
@@ -35,17 +35,9 @@ _M = (1 << 64) - 1
 #: Factors of both places and of the merged piece's id.
 _KEYS = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
 DROPOUT, SEED = 0.1, 1
-#: Candidates and pieces kept by a worker, about; beyond that it starts anew.
-KEPT = 8_000_000
-#: A chunk of more candidates isn't kept.
-LONG = 64
-#: Chunks of so many code points need no heap.
-SHORT = 48
-_NONE = float("inf")
-_LEFT, _RIGHT = [[i * k & _M for i in range(SHORT)] for k in _KEYS[:2]]
-#: Chunks whose candidates are drawn at once.
-TOGETHER = 20_000
-_CHUNK = re.compile(rf"{BLANK}*[^{BLANK}]+|{BLANK}+")
+#: Chunks of at most so many code points (below 2**6 - 1) advance together, so many of them at once.
+SHORT, TOGETHER = 48, 8192
+_GONE = -1
 
 
 def _mix(x: int) -> int:
@@ -54,6 +46,48 @@ def _mix(x: int) -> int:
     return x ^ (x >> 31)
 
 
+class _Pairs:
+    """Pieces that pairs of symbols merge to, by their ids: a hash table, and tables for what collides in the one before."""
+
+    def __init__(self, merged: dict[tuple[int, int], int], symbols: int, none: int):
+        self.symbols, self.none = np.int64(symbols), none
+        keys = np.array([a * symbols + b for a, b in merged], np.int64)
+        values = np.array(list(merged.values()), np.int64)
+        self.tables = []
+        while len(keys):
+            bits = (4 * len(keys)).bit_length()
+            slot = self._slot(keys, bits)
+            _, first = np.unique(slot, return_index=True)
+            own, piece = np.full(1 << bits, -1, np.int64), np.full(1 << bits, none, np.int64)
+            own[slot[first]], piece[slot[first]] = keys[first], values[first]
+            self.tables.append((bits, own, piece))
+            keys, values = np.delete(keys, first), np.delete(values, first)
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (keys * np.int64(0x9E3779B97F4A7C15 - (1 << 64)) >> np.int64(64 - bits)) & np.int64((1 << bits) - 1)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left * self.symbols + right
+        out, where = None, None
+        for bits, own, piece in self.tables:
+            slot = self._slot(keys, bits)
+            there = own.take(slot)
+            got = piece.take(slot)
+            other = (there != keys).nonzero()[0]
+            got[other] = self.none
+            if where is None:
+                out = got
+            else:
+                out[where] = got
+            again = other[there[other] >= 0]  # the slot is another pair's: this one may be in the next table
+            if not len(again):
+                break
+            where = again if where is None else where[again]
+            keys = keys[again]
+        return np.full(len(left), self.none) if out is None else out
+
+
 class Pieces:
     """A BPE model file of sentencepiece."""
 
@@ -61,8 +95,8 @@ class Pieces:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
-        self.bytes_id, self.ids, self.rank, self.spelt = {}, {}, {}, []
+        n = self.pieces = sp.get_piece_size()
+        self.bytes_id, self.ids, self.spelt, score = {}, {}, [], {}
         for i in range(n):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -72,52 +106,87 @@ class Pieces:
                 self.spelt.append(b"")
             else:
                 self.ids[piece] = i
-                self.rank[piece] = -sp.get_score(i)
+                score[piece] = sp.get_score(i)
                 self.spelt.append(piece.replace(BLANK, " ").encode())
         self.unknown = sp.unk_id()
         if any(BLANK in p.lstrip(BLANK) or p.startswith(BLANK * 2) and p.strip(BLANK) for p in self.ids):
             raise ValueError("pieces of this vocabulary continue over blanks")
         self.limit, self.seed = int(dropout * (1 << 53)), seed
-        self.own = {piece: i * _KEYS[2] & _M for piece, i in self.ids.items()}
-        #: chunk or (chunk, first skipped) -> (keys of the candidates after that, ids if no more of them is skipped)
-        self.known: dict[str | tuple[str, int], tuple[bytes, bytes]] = {}
-        self.kept = 0
-
-    def segment(self, chunk: str, skipped: int = -1, draw: int | None = None) -> tuple[list[str], array]:
-        """Agenda over neighbours: the pieces and the keys of the candidates taken up, in order.
-
-        Candidate number ``skipped`` is skipped; with ``draw``, those whose hash with it falls below the rate.
-        """
-        return (self._short if len(chunk) <= SHORT else self._heap)(chunk, skipped, draw)
-
-    def _short(self, chunk: str, skipped: int, draw: int | None) -> tuple[list[str], array]:
-        """The agenda as a list of the neighbours' ranks, looked through for the least."""
-        symbols, own, limit = list(chunk), self.own, self.limit
-        rank, none = self.rank.get, _NONE
-        ranks = list(map(rank, map(add, chunk, chunk[1:]), repeat(none)))
-        ranks.append(none)
-        places, keys, n = list(range(len(symbols))), array("Q"), 0
-        while (least := min(ranks)) is not none:
-            i = ranks.index(least)
-            merged = symbols[i] + symbols[i + 1]
-            key = _LEFT[places[i]] + _RIGHT[places[i + 1]] + own[merged] & _M
-            keys.append(key)
-            n += 1
-            if n - 1 == skipped if draw is None else _mix((draw + key) & _M) >> 11 < limit:
-                ranks[i] = none
-                continue
-            symbols[i] = merged
-            del symbols[i + 1], places[i + 1], ranks[i]
-            if i + 1 < len(symbols):
-                ranks[i] = rank(merged + symbols[i + 1], none)
-            if i:
-                ranks[i - 1] = rank(symbols[i - 1] + merged, none)
-        return symbols, keys
-
-    def _heap(self, chunk: str, skipped: int, draw: int | None) -> tuple[list[str], array]:
+        ranks = {x: r for r, x in enumerate(sorted({-x for x in score.values()}))}
+        self.rank = {p: ranks[-x] for p, x in score.items()}
+        self.own = {p: i * _KEYS[2] & _M for p, i in self.ids.items()}
+        # Symbols: pieces by their ids, characters that only longer pieces hold, one for all other characters.
+        symbol = dict(self.ids)
+        for p in self.ids:
+            for c in p:
+                symbol.setdefault(c, n + len(symbol) - len(self.ids))
+        self.other = n + len(symbol) - len(self.ids)
+        self.by_code = np.full(0x110000, self.other, np.int64)
+        for c, s in symbol.items():
+            if len(c) == 1 and c != BLANK:
+                self.by_code[ord(c)] = s
+        self.by_code[32] = symbol.get(BLANK, self.other)
+        self.far = len(ranks)  # the rank of two symbols that don't merge
+        self.rank_of, self.own_of = np.full(n + 1, self.far, np.int32), np.zeros(n + 1, np.uint64)
+        for p, i in self.ids.items():
+            self.rank_of[i], self.own_of[i] = self.rank[p], self.own[p]
+        self.pairs = _Pairs({(symbol[p[:i]], symbol[p[i:]]): q for p, q in self.ids.items() for i in range(1, len(p)) if p[:i] in symbol and p[i:] in symbol},
+                            self.other + 1, n)
+        at = np.arange(SHORT + 2, dtype=np.uint64) - np.uint64(1)
+        self.left, self.right = at * np.uint64(_KEYS[0]), at * np.uint64(_KEYS[1])
+
+    def _advance(self, symbols: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        """Agendas of chunks of one length: a column each, symbols between two rows that never merge; returns what is left."""
+        rows, n = symbols.shape
+        out, where, done = symbols, np.arange(n), self.far << 6
+        both = self.pairs(symbols[:-1].ravel(), symbols[1:].ravel()).reshape(rows - 1, n)
+        key = (self.rank_of[both] << 6) + np.arange(rows - 1, dtype=np.int32)[:, None]  # the least is the next candidate: rank, then place
+        after = np.repeat(np.arange(1, rows + 1), n).reshape(rows, n)
+        before = after - 2
+        symbols = symbols.copy()
+        while True:
+            best = key.min(axis=0)
+            at = (best < done).nonzero()[0]
+            if 2 * len(at) < n:  # what is done leaves
+                out[:, where] = symbols
+                if not len(at):
+                    return out
+                where, n, best, draws = where[at], len(at), best[at], draws[at]
+                both, key, after, before, symbols = (np.ascontiguousarray(x[:, at]) for x in (both, key, after, before, symbols))
+                at = np.arange(n)
+            else:
+                best = best[at]
+            b, k, a, s = both.ravel(), key.ravel(), after.ravel(), symbols.ravel()
+            i = (best & 63).astype(np.int64)
+            here = i * n + at
+            j = a.take(here)
+            merged = b.take(here)
+            if self.limit:
+                drawn = mix(draws[at] + self.left.take(i) + self.right.take(j) + self.own_of.take(merged)) >> np.uint64(11)
+                skip = drawn < np.uint64(self.limit)
+                k[here[skip]] = done
+                go = (~skip).nonzero()[0]
+                i, j, here, at, merged = i[go], j[go], here[go], at[go], merged[go]
+            there = j * n + at
+            s[here], s[there] = merged, _GONE
+            k[there] = done
+            j = a.take(there)
+            right = j * n + at
+            a[here] = j
+            before.ravel()[right] = i
+            h = before.ravel().take(here)
+            left = h * n + at
+            new = self.pairs(np.concatenate((merged, s.take(left))), np.concatenate((s.take(right), merged)))
+            rank = self.rank_of.take(new) << 6
+            m = len(at)
+            b[here], b[left] = new[:m], new[m:]
+            k[here], k[left] = rank[:m] + i, rank[m:] + h
+
+    def segment(self, chunk: str, draw: int) -> list[str]:
+        """The pieces of one chunk of any length (blanks as U+2581), by a heap."""
         symbols: list[str | None] = list(chunk)
         n, rank, own, limit = len(symbols), self.rank.get, self.own, self.limit
-        agenda, keys = [], array("Q")
+        agenda = []
         left = symbols[0]
         for i in range(1, n):
             right = symbols[i]
@@ -126,8 +195,6 @@ class Pieces:
             if r is not None:
                 agenda.append((r, i - 1, i, both))
             left = right
-        if not agenda:
-            return symbols, keys
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heapify(agenda)
         while agenda:
@@ -135,9 +202,7 @@ class Pieces:
             a, b = symbols[i], symbols[j]
             if a is None or b is None or after[i] != j or len(a) + len(b) != len(merged):
                 continue
-            key = i * _KEYS[0] + j * _KEYS[1] + own[merged] & _M
-            keys.append(key)
-            if len(keys) - 1 == skipped if draw is None else _mix((draw + key) & _M) >> 11 < limit:
+            if _mix((draw + i * _KEYS[0] + j * _KEYS[1] + own[merged]) & _M) >> 11 < limit:
                 continue
             symbols[i], symbols[j] = merged, None
             k = after[i] = after[j]
@@ -153,106 +218,70 @@ class Pieces:
                 r = rank(both)
                 if r is not None:
                     heappush(agenda, (r, h, i, both))
-        return [s for s in symbols if s is not None], keys
-
-    def _spell(self, found: list[str]) -> bytes:
-        try:
-            return array("I", map(self.ids.__getitem__, found)).tobytes()
-        except KeyError:
-            ids = array("I")
-        for piece in found:
-            i = self.ids.get(piece)
-            if i is not None:
-                ids.append(i)
-            else:
-                spelt = piece.encode("utf-8", "surrogatepass")
-                ids.extend([self.bytes_id[x] for x in spelt] if self.bytes_id else [self.unknown])
-        return ids.tobytes()
-
-    def _meet(self, chunk: str, draw: int) -> bytes:
-        """ids of a chunk seen for the first time; kept for the next time if nothing of it was skipped."""
-        found, keys = self.segment(chunk, draw=draw)
-        ids = self._spell(found)
-        if len(keys) <= LONG:
-            self.known[chunk] = (keys.tobytes(), ids) if len(keys) == len(chunk) - len(found) else None  # each one a merge
-            self.kept += 20 + len(keys) + len(found)
-        return ids
-
-    def _learn(self, chunk: str, skipped: int = -1) -> tuple[bytes, bytes]:
-        found, keys = self.segment(chunk, skipped)
-        got = keys[skipped + 1:].tobytes(), self._spell(found)
-        if len(keys) <= LONG:
-            self.known[chunk if skipped < 0 else (chunk, skipped)] = got
-            self.kept += 20 + len(keys) + len(found)
-        return got
-
-    def _first_skipped(self, keys: list[bytes], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of some chunks have a skipped candidate, and the number of their first."""
-        ends = np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)) >> 3)
-        sizes = np.diff(ends, prepend=0)
-        drawn = mix(np.frombuffer(b"".join(keys), np.uint64) + np.repeat(draws, sizes)) >> np.uint64(11)
-        hits = np.flatnonzero(drawn < np.uint64(self.limit))
-        which, first = np.unique(np.searchsorted(ends, hits, side="right"), return_index=True)
-        return which, hits[first] - (ends - sizes)[which]
-
-    def _encode(self, chunks: list[str], draws: np.ndarray) -> list[bytes]:
-        known, learn = self.known, self._learn
-        if self.kept > KEPT:
-            known.clear()
-            self.kept = 0
-        if not self.limit:
-            return [(known.get(c) or learn(c))[1] for c in chunks]
-        got: list[tuple[bytes, bytes]] = []
-        for c, draw in zip(chunks, draws.tolist()):
-            if c in known:
-                got.append(known[c] or learn(c))
-            else:
-                got.append((b"", self._meet(c, draw)))
-        out = [ids for _, ids in got]
-        which, first = self._first_skipped([keys for keys, _ in got], draws)
-        numbers, again = which.tolist(), []
-        for n, k in zip(numbers, first.tolist()):
-            again.append(known.get((chunks[n], k)) or learn(chunks[n], k))
-            out[n] = again[-1][1]
-        for m in self._first_skipped([keys for keys, _ in again], draws[which])[0].tolist():  # a second one is skipped
-            n = numbers[m]
-            out[n] = self._spell(self.segment(chunks[n], draw=int(draws[n]))[0])
-        return out
+        return [s for s in symbols if s is not None]
 
     def encode_all(self, texts: list[str], doc_keys: list[int]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers."""
-        own = array("I", [self.bytes_id[x] for x in BLANK.encode()]).tobytes() if self.bytes_id else b""
-        out, start = [], 0
-        while start < len(texts):
-            chunks, draws, layout, end = [], [], [], start
-            while end < len(texts) and len(chunks) < TOGETHER:
-                text, ours = texts[end], []
-                marks: list[int] = []  # places of U+2581, which is spelt by its bytes
-                if BLANK in text:
-                    for n, part in enumerate(text.split(BLANK)):
-                        if n:
-                            marks.append(len(ours))
-                            ours.append("")
-                        ours += _CHUNK.findall((BLANK if n == 0 else "") + part.replace(" ", BLANK))
-                elif text:
-                    ours = _CHUNK.findall(BLANK + text.replace(" ", BLANK))
-                at = np.arange(len(ours), dtype=np.uint64)
-                if marks:
-                    at = np.delete(at, marks)
-                draws.append(mix(mix(at + np.uint64(_mix(self.seed & _M))) + np.uint64(_mix(doc_keys[end] & _M))))
-                chunks += [c for c in ours if c] if marks else ours
-                layout.append((len(ours), marks))
-                end += 1
-            ids, here = self._encode(chunks, np.concatenate(draws)), 0
-            for n, marks in layout:
-                mine = ids[here:here + n - len(marks)]
-                here += len(mine)
-                for m in marks:
-                    mine.insert(m, own)
-                out.append(b"".join(mine))
-            start = end
+        out, done = [], 0
+        for part in sliced(texts):
+            out += self._encode([" " + t if t else "" for t in part], np.array([_mix(k & _M) for k in doc_keys[done:done + len(part)]], np.uint64))
+            done += len(part)
         return out
 
+    def _encode(self, texts: list[str], doc_keys: np.ndarray) -> list[bytes]:
+        whole = "".join(texts)
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(np.array([len(t) for t in texts], np.int64))
+        begin = np.append(0, ends)
+        blank, mark = codes == 32, codes == ord(BLANK)  # U+2581 itself is a chunk of its own
+        start = mark | blank & ~np.append(False, blank[:-1]) | np.append(False, mark[:-1])
+        start[begin[begin < len(codes)]] = True
+        start = start.nonzero()[0]
+        size = np.diff(start, append=len(codes))
+        text = np.searchsorted(ends, start, side="right")
+        place = np.arange(len(start)) - np.searchsorted(start, begin[:-1])[text]
+        draws = mix(mix(place.astype(np.uint64) + np.uint64(_mix(self.seed & _M))) + doc_keys[text])
+        symbols = self.by_code.take(codes)
+        by_size = np.argsort(size, kind="stable")
+        sizes, cuts = np.unique(size[by_size], return_index=True)
+        for n, a, z in zip(sizes.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(size)]):
+            if n == 1:
+                continue
+            chunks = by_size[a:z]
+            if n > SHORT:
+                for c in chunks.tolist():
+                    at = int(start[c])
+                    for piece in self.segment(whole[at:at + n].replace(" ", BLANK), int(draws[c])):
+                        if len(piece) > 1:
+                            symbols[at], symbols[at + 1:at + len(piece)] = self.ids[piece], _GONE
+                        at += len(piece)
+                continue
+            for b in range(0, len(chunks), TOGETHER):
+                some = chunks[b:b + TOGETHER]
+                at = start[some] + np.arange(n)[:, None]
+                framed = np.full((n + 2, len(some)), self.other)
+                framed[1:-1] = symbols[at]
+                symbols[at] = self._advance(framed, draws[some])[1:-1]
+        left = (symbols >= 0).nonzero()[0]
+        ids = symbols[left]
+        times = np.ones(len(ids), np.int64)
+        spelt = (ids >= self.pieces).nonzero()[0]
+        if len(spelt):
+            own = [list(chr(c).encode("utf-8", "surrogatepass")) if self.bytes_id else [] for c in codes[left[spelt]].tolist()]
+            times[spelt] = [max(1, len(x)) for x in own]
+            first = np.cumsum(times) - times
+            ids = np.repeat(ids, times)
+            at = first[spelt]
+            for k in range(max(map(len, own), default=0) or 1):
+                longer = [i for i, x in enumerate(own) if len(x) > k]
+                ids[at[longer] + k] = [self.bytes_id[own[i][k]] for i in longer]
+            if not self.bytes_id:
+                ids[at] = self.unknown
+        total = np.append(0, np.cumsum(times))
+        data = ids.astype("<u4").tobytes()
+        cut = (4 * total[np.searchsorted(left, begin)]).tolist()
+        return [data[a:z] for a, z in zip(cut, cut[1:])]
+
     def encode(self, text: str, doc_key: int = 0) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
         return self.encode_all([text], [doc_key])[0]
@@ -265,14 +294,8 @@ class Pieces:
         return data[1:].decode("utf-8", "replace") if data[:1] == b" " else data.decode("utf-8", "replace")
 
 
-_models: dict[tuple, Pieces] = {}
-
-
 def pieces_model(path: str, dropout: float, seed: int) -> Pieces:
-    key = (path, dropout, seed)
-    if key not in _models:
-        _models[key] = Pieces(*key)
-    return _models[key]
+    return only(("pieces", path, dropout, seed), lambda: Pieces(path, dropout, seed))
 
 
 def encode_pieces(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED,
@@ -296,9 +319,10 @@ def encode_pieces(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: i
 
 
 def decode_pieces(encoded: DataFrame, model: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """``encoded`` with the text of its ids."""
+    """``encoded`` with the text of its ids; a column of the text's name is replaced."""
     from pyspark.sql import types as T
 
+    encoded = encoded.drop(text_col)
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
