@@ -4,7 +4,12 @@ The distinct pre-tokens of a task go into a trie.  At each node the best unigram
 segmentation of its prefix (score and number of pieces) follows from those of its
 ancestors, so a prefix that many pre-tokens share is computed once; the count at a
 pre-token's terminal node is kept for it.  A document's count is the sum over its
-pre-tokens.  Scores are those of the vocabulary file.
+pre-tokens.
+
+Scores are log-probabilities.  Those of a unigram vocabulary file are such; a BPE file
+has ranks instead, from which they are estimated by Zipf's law: the piece of rank r has
+a probability in proportion to 1 / (r + ``ZIPF``).  Counts by a BPE file are therefore
+those of a unigram tokenizer with its pieces, not those of its merges.
 
 Defined results: a null or empty text has 0 tokens; a character without a piece
 counts as its UTF-8 bytes; among segmentations of equal score the one with fewer
@@ -13,6 +18,7 @@ pieces counts; repeated rows have equal results; an empty table gives an empty r
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,11 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import only
+from .tokens import sliced
+
 BLANK = "▁"
 #: Score of a character without a piece: the worst piece's, less this (a fixed value of unigram models).
 UNKNOWN_PENALTY = 10.0
-#: Nodes and terminal counts kept by a worker (about 150 MB); beyond that it starts anew.
-KEPT_NODES = 1_000_000
+#: Mandelbrot's shift of Zipf's law.
+ZIPF = 2.7
+#: Nodes and terminal counts kept by a worker (about 90 MB); beyond that it starts anew.
+KEPT_NODES = 600_000
 _CHUNK = re.compile(rf"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -41,7 +52,12 @@ class Trie:
         self.score: dict[str, float] = {
             sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size())
             if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
-        usual = [s for s in self.score.values() if s > -1e8]
+        ranks = sorted(set(self.score.values()), reverse=True)
+        if ranks and all(float(s).is_integer() for s in ranks):  # a BPE file
+            whole = math.log(sum(1 / (r + 1 + ZIPF) for r in range(len(self.score))))
+            place = {s: r for r, s in enumerate(ranks)}
+            self.score = {p: -math.log(place[s] + 1 + ZIPF) - whole for p, s in self.score.items()}
+        usual = list(self.score.values())
         self.unknown = min(usual, default=0.0) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.score), default=1)
         self.clear()
@@ -90,13 +106,8 @@ class Trie:
         return [(sum(map(get, c)), len(c)) for c in cut]
 
 
-_tries: dict[str, Trie] = {}
-
-
 def trie(path: str) -> Trie:
-    if path not in _tries:
-        _tries[path] = Trie(path)
-    return _tries[path]
+    return only(("trie", path), lambda: Trie(path))
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,7 +116,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         t = trie(model)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
-            counts = [c for i in range(0, len(texts), 500) for c in t.counts(texts[i:i + 500])]
+            counts = [c for part in sliced(texts) for c in t.counts(part)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(2)), pa.array(map(len, texts), pa.int64())],
                 names=["doc_id", "n_tokens", "n_pre_tokens", "n_chars"])
