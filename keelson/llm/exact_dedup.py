@@ -3,7 +3,9 @@
 Each scan partition sends its sorted distinct fingerprints, Golomb-Rice coded, to
 the owners of the fingerprint ranges.  An owner sees which fingerprints occur more
 than once and answers with a bitmap per sender.  Only the rows so marked are then
-shuffled with their text, and equality is decided on the bytes.
+shuffled with their text, and equality is decided on the bytes: each against the row
+of its fingerprint that stays, which is found on ids and digests, and goes to all the
+tasks over which the rows of a frequent fingerprint are dealt.
 
 Defined results: a null text is the empty text.  Of equal texts the smallest id
 stays (null ids last); among rows with that same id any one of them stays.  An
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions, rows_with, rows_without, settle, with_maybe
+from ._common import partitions, rows_with, rows_without, salted_join, settle, with_maybe
 
 #: Bits of a fingerprint. Fewer bits make messages smaller and suspects more; results don't depend on it.
 FP_BITS = 48
@@ -173,19 +175,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"))
 
-    # Suspects: their fingerprints are a fixed-size filter on the second scan; texts of the others stay where they are.
-    fps = marked.filter("suspect").select("fp").distinct()
-    body = settle(with_maybe(slim.mapInArrow(_texts, "doc_id long, fp long, sha binary, body binary"), "fp", fps, "m")
-                  .filter("m").drop("m"), "dedup-bodies")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")
-    first = (body.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
-             .select("fp", F.col("first.doc_id").alias("keep_id"), F.col("first.body").alias("kept_body"), "n"))
-    checked = settle(body.join(first, "fp").select(
+    # Which row of a fingerprint stays is told by ids and digests; counts come together before the shuffle.
+    lead = settle(marked.filter("suspect").groupBy("fp")
+                  .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")).alias("first"), F.count("*").alias("n"))
+                  .select("fp", F.col("first.doc_id").alias("keep_id"), F.col("first.sha").alias("keep_sha"), "n"), "dedup-leads")
+    # The fingerprints are a filter on the second scan; texts of the others stay where they are.
+    body = settle(with_maybe(slim.mapInArrow(_texts, "doc_id long, fp long, sha binary, body binary"), "fp", lead, "m")
+                  .filter("m").drop("m").withColumn("row", F.xxhash64("fp", "doc_id", "sha")), "dedup-bodies")
+    leads = lead.withColumn("row", F.xxhash64("fp", F.col("keep_id").alias("doc_id"), F.col("keep_sha").alias("sha")))
+    ours = leads.select("row", F.col("fp").alias("its"), "keep_id", "keep_sha", "n")
+    kept = settle(with_maybe(body, "row", leads, "m").filter("m").drop("m").dropDuplicates(["fp", "doc_id", "sha"]).join(ours, "row")
+                  .filter("fp = its and doc_id <=> keep_id and sha = keep_sha").select("fp", "keep_id", "n", F.col("body").alias("kept_body")), "dedup-kept")
+    checked = settle(salted_join(body.drop("row"), kept, "fp", lead.select("fp", "n"), ["doc_id", "sha"]).select(
         "doc_id", "fp", "sha", "keep_id", "n", (F.col("body") == F.col("kept_body")).alias("same")), "dedup-checked")
-    other = checked.filter("not same").select("fp").distinct()
+    other = settle(checked.filter("not same").select("fp").distinct(), "dedup-clashes")
     if other.isEmpty():
         groups = checked.select("doc_id", "sha", "keep_id", "n")
     else:  # different texts under one fingerprint: those few are grouped by their bytes
+        order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")
         clash = rows_with(body, "fp", other)
         exact = clash.groupBy("body").agg(F.min(order).alias("first"), F.count("*").alias("n"))
         groups = rows_without(checked, "fp", other).select("doc_id", "sha", "keep_id", "n").unionByName(
@@ -207,7 +214,7 @@ def drop_copies(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id", tex
 
     Rows with a null id can't be named by a verdict and stay.
     """
-    gone = verdict.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col))
+    gone = settle(verdict.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)), "dedup-gone")
     clear = rows_without(docs, id_col, gone)
     digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)
     kept = verdict.filter("kept").select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias("__sha"))
