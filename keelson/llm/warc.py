@@ -9,8 +9,8 @@ member gives a row with ``error`` and reading goes on at the next member.
 
 Defined results: a null payload is empty; a null url is written as ``about:blank``;
 a null id is allowed (it sorts last among equal payloads); every row is a record of
-its own, and all rows that have the smallest id of equal payloads are responses;
-an empty table gives no archive.
+its own with its own WARC-Record-ID, and all rows that have the smallest id of equal
+payloads are responses; an empty table gives no archive.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import file_system, scratch_path, settle
+from ._common import file_system, salted_join, scratch_path, settle, with_maybe
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -42,14 +42,14 @@ def record_id(key: object, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{key}:{digest}')}>"
 
 
-def record_bytes(row_id: int | None, url: str | None, payload: bytes, digest: str, first_id: int | None, revisit: bool, level: int = 6) -> bytes:
-    """One record as a gzip member of its own."""
+def record_bytes(row_id: int | None, url: str | None, payload: bytes, digest: str, first_id: int | None, revisit: bool, own_id: str | None = None, level: int = 6) -> bytes:
+    """One record as a gzip member of its own; ``own_id`` is its WARC-Record-ID, if not the one by which revisits name it."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     url = (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", record_id(row_id, digest)),
+        ("WARC-Record-ID", own_id or record_id(row_id, digest)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", url),
         ("Content-Type", "application/http; msgtype=response"),
@@ -76,13 +76,18 @@ def _writer(root: str):
         task = TaskContext.get()
         fs, folder = file_system(root)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
-        out, at = None, 0
+        out, at, named = None, 0, set()  # named: what revisits may refer to, each written once by this task alone
         for b in batches:
             if out is None:
                 out = fs.open_output_stream(f"{folder}/{name}", compression=None)
             offsets, lengths = [], []
-            for row_id, url, payload, digest, first_id, revisit in zip(*(c.to_pylist() for c in b.columns)):
-                member = record_bytes(row_id, url, payload or b"", digest, first_id, revisit)
+            for row_id, url, payload, digest, first_id, revisit, lead in zip(*(c.to_pylist() for c in b.columns)):
+                own = record_id(row_id, digest) if lead else None
+                if own is None or own in named:
+                    own = record_id(f"{name}:{at}", digest)
+                else:
+                    named.add(own)
+                member = record_bytes(row_id, url, payload or b"", digest, first_id, revisit, own)
                 out.write(member)
                 offsets.append(at)
                 lengths.append(len(member))
@@ -107,14 +112,17 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         "digest", F.sha2("payload", 256))
     # Only ids and digests are grouped; a group of any size is one row from each task.
     order = F.struct(F.col("id").isNull().alias("no_id"), "id")
-    groups = (rows.filter(F.length("payload") >= MIN_REVISIT).groupBy("digest")
-              .agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
-              .select("digest", F.col("first.id").alias("first_id"), F.lit(True).alias("shared")))
-    joined = rows.join(groups, "digest", "left")
-    lead = F.col("shared") & F.col("id").eqNullSafe(F.col("first_id"))
-    records = joined.select("id", "url", "payload", "digest", "first_id",
-                            (F.coalesce(F.col("shared"), F.lit(False)) & ~F.coalesce(lead, F.lit(False))).alias("revisit"))
-    wrote = settle(records.mapInArrow(_writer(root), _WROTE), "warc-manifest")
+    groups = settle(rows.filter(F.length("payload") >= MIN_REVISIT).groupBy("digest")
+                    .agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+                    .select("digest", F.col("first.id").alias("first_id"), F.lit(True).alias("shared"), "n"), "warc-groups")
+    # Payloads that no other row has are written where they are read; only those of groups move, and a large group goes to many tasks.
+    flagged = with_maybe(rows, "digest", groups, "maybe")
+    alone = flagged.filter("not maybe").select("id", "url", "payload", "digest", F.lit(None).cast("long").alias("first_id"), F.lit(False).alias("revisit"), F.lit(False).alias("lead"))
+    joined = salted_join(flagged.filter("maybe").drop("maybe"), groups.drop("n"), "digest", groups.select("digest", "n"), ["id"], "left")
+    shared = F.coalesce(F.col("shared"), F.lit(False))
+    first = F.col("id").eqNullSafe(F.col("first_id"))
+    grouped = joined.select("id", "url", "payload", "digest", "first_id", (shared & ~first).alias("revisit"), (shared & first).alias("lead"))
+    wrote = settle(alone.unionByName(grouped).mapInArrow(_writer(root), _WROTE), "warc-manifest")
     return wrote.groupBy("path").agg(F.count("*").alias("records"), F.sum("length").alias("bytes"))
 
 
