@@ -6,12 +6,10 @@ their sets, and of a point and a box the overlap with every point in the box, so
 R-tree over the points prunes what cannot reach the similarity.  Pairs that survive
 are verified on the sets themselves.
 
-Where points meet: sets as similar as asked differ in few shingles, so among enough
-hash groups some hold the very same shingles on both sides.  Each set sends a
-signature of each group, and only sets that share one are indexed together.  For
-small sets this follows from counting (more groups than differing shingles); for
-large ones fewer groups do, chosen so that a pair just similar enough is expected to
-share ``EXPECTED`` of them (it shares none with a chance of about e**-EXPECTED).
+Where points meet: sets as similar as asked differ in few shingles, so among more hash
+groups than that some hold the very same shingles on both sides.  Each set sends a
+signature of each group, and only sets that share one are indexed together.  This is
+by counting, for sets of any size, so no pair similar enough is missed.
 
 Links, not pairs, are the result.  Copies of a set are one node.  First each node is
 checked against the least node of its signatures, which joins groups of near copies
@@ -19,8 +17,11 @@ by one pair for each member; then an R-tree finds, for each signature whose node
 are still apart, the likeliest link of each node out of its component (as in
 Boruvka's algorithm, two rounds), and at last all pairs that are still between
 components.  No link is lost: a pair left out joins
-nodes already connected.  Indexes hold at most ``INDEX`` points, and
-larger groups take several.
+nodes already connected.  Indexes hold at most ``INDEX`` points; larger groups take
+several, and their queries are dealt, too, so that no task grows with a group.
+
+Shingles and sets are known by 64-bit hashes: among 10**9 distinct sets one pair of
+different ones is expected to be taken as equal with a chance of 3 in 100.
 
 Defined results: texts without words have an empty set and link with nothing, as do
 null texts; rows of a null id get the component of an equal set that has an id, else
@@ -40,8 +41,9 @@ from pyspark.sql import functions as F
 from ._common import settle, with_maybe
 from .words import Words, mix
 
-EXPECTED = 30.0
 INDEX = 2048
+#: Queries of a block that go to one task.
+ASKS = 4 * INDEX
 #: Rounds in which each node still apart is joined by its likeliest link, before all pairs left over are looked at.
 BEST_ROUNDS = 2
 LEAF = 24
@@ -73,7 +75,7 @@ class Plan:
         return range(self.class_of(n), self.class_of(n * self.den // self.num) + 1)
 
     def groups(self, c: int) -> tuple[int, int]:
-        """(groups, most differing shingles if counting proves a shared group, else -1); no groups: only equal sets link."""
+        """(groups, most differing shingles of a linked pair); no groups: only equal sets link."""
         if not hasattr(self, "_groups"):
             self._groups: dict[int, tuple[int, int]] = {}
         if c not in self._groups:
@@ -86,10 +88,7 @@ class Plan:
                 small = max(1, self.low[c] * self.num // self.den)
                 while g - most - 1 < 1 + 2 * g * math.exp(-small / g) and g < 1.5 * most + 4:
                     g += 1
-                few = max(40, most // 4)
-                while few < g and few * math.exp(-most / few) < EXPECTED:
-                    few += max(1, few // 50)
-                self._groups[c] = (few, -1) if few < g else (g, most)
+                self._groups[c] = (g, most)
         return self._groups[c]
 
     def signatures(self, x: np.ndarray, mixed: np.ndarray) -> list[int]:
@@ -104,7 +103,7 @@ class Plan:
             sums = np.append(np.cumsum(np.append(_U(0), mixed))[cuts], mixed.sum(dtype=_U))
             sums = np.diff(sums)
             full = np.diff(np.append(cuts, len(x))) > 0
-            if most >= 0 and (~full).sum() >= g - most:
+            if (~full).sum() >= g - most:
                 full[:] = True  # counting needs the empty groups too
             keys = mix(sums + mix(np.arange(g, dtype=np.uint64) + _U(c << 40)))
             out += keys[full].astype(np.int64).tolist()
@@ -312,7 +311,7 @@ class _Index:
 
 
 def _searched(num: int, den: int, best: bool):
-    """Rows (signature, block, query, node, component, n, vector, main), sorted -> pairs between components.
+    """Rows (signature, block, part, query, node, component, n, vector, main), sorted -> pairs between components.
 
     ``best``: only each query's pair of the highest bound.
     """
@@ -321,9 +320,9 @@ def _searched(num: int, den: int, best: bool):
         key, index = None, None
         for b in batches:
             pairs = set()
-            for sig, block, query, node, comp, n, vector, main in zip(*(c.to_pylist() for c in b.columns)):
-                if (sig, block) != key:
-                    key, index = (sig, block), _Index(plan)
+            for sig, block, part, query, node, comp, n, vector, main in zip(*(c.to_pylist() for c in b.columns)):
+                if (sig, block, part) != key:
+                    key, index = (sig, block, part), _Index(plan)
                 if not query:
                     index.add(node, comp, n, vector)
                     continue
@@ -377,9 +376,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         """The linked ones of distinct pairs (a, b)."""
         pairs = settle(pairs, "join-pairs")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        wanted = settle(table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "join-wanted")
         texts = with_maybe(slim, "doc_id", wanted, "__m").filter("__m").select("text")
         sets = settle(texts.mapInArrow(_sets(k), "node long, shingles array<long>"), "join-sets")
+        if not sets.groupBy("node").count().filter("count > 1").isEmpty():  # rows of one id or of a null id
+            sets = settle(sets.dropDuplicates(["node"]), "join-sets")
         joined = (pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
                   .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a"))
         both = F.size(F.array_intersect("x", "y")).cast("long")
@@ -406,10 +407,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         if best:  # each node asks below its largest signature only
             asks = asks.join(asks.groupBy("node").agg(F.max_by("sig", F.struct("m", "sig")).alias("sig")), ["node", "sig"])
             rows = rows.join(asks.select("sig").distinct(), "sig", "left_semi")
-        column = ["sig", "block", "query", "node", "comp", "n", "vector", "main"]
-        index = rows.join(points, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("query", F.lit(False))
-        query = asks.join(points, "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True))
-        return settle(index.select(column).unionByName(query.select(column)).repartition("sig", "block").sortWithinPartitions("sig", "block", "query")
+        # A cell holds a block of the index and a share of the queries; both are bounded.
+        column = ["sig", "block", "part", "query", "node", "comp", "n", "vector", "main"]
+        shares = F.ceil(F.col("m") / ASKS).cast("int")
+        mine = lambda count, seed: F.pmod(F.xxhash64("node", F.lit(seed)), count).cast("int")
+        each = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+        index = rows.withColumn("block", mine(F.col("blocks"), 1)).withColumn("part", each(shares)).withColumn("query", F.lit(False))
+        query = asks.withColumn("part", mine(shares, 2)).withColumn("block", each(F.col("blocks"))).withColumn("query", F.lit(True))
+        cells = index.unionByName(query)
+        return settle(cells.join(points, "node").select(column).repartition("sig", "block", "part").sortWithinPartitions("sig", "block", "part", "query")
                       .mapInArrow(_searched(num, den, best), "a long, b long").distinct(), "join-found")
 
     def merged(root: DataFrame, more: DataFrame) -> DataFrame:
