@@ -242,16 +242,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if cuts is None:
         return spark.createDataFrame([], _SCHEMA)
     cuts = sorted(set(cuts), reverse=True)  # bucket i: at >= cuts[i]; at most one number for each task
-    bucket = F.coalesce(*[F.when(F.col("at") >= c, i) for i, c in enumerate(cuts)], F.lit(len(cuts))) if len(cuts) < 8 else None
-    if bucket is None:
-        edges = F.array(*[F.lit(c) for c in reversed(cuts)])
-        bucket = F.size(F.filter(edges, lambda c: c > F.col("at")))
+    # Cuts in groups of about the square root of their number: a row looks at one group of them and at each group's first.
+    step = max(1, round(len(cuts) ** 0.5))
+    groups = [cuts[i:i + step] for i in range(0, len(cuts), step)]
+    above = lambda edges: F.size(F.filter(edges, lambda c: c > F.col("at")))
+    group = F.greatest(above(F.array(*[F.lit(g[0]) for g in groups])) - 1, F.lit(0))
+    bucket = group * step + above(F.element_at(F.array(*[F.array(*map(F.lit, g)) for g in groups]), group + 1))
     dealt = slim.withColumn("bucket", bucket.cast("int")).withColumn("h", F.xxhash64("text"))
     heads = {r["bucket"]: (r["m"]["at"], r["m"]["h"]) for r in
              dealt.groupBy("bucket").agg(F.max(F.struct("at", "h")).alias("m")).collect()}  # one row for each bucket
     there = sorted(heads)
     before = {b: there[i - 1] for i, b in enumerate(there)}  # the bucket that a head follows; the first follows the last
-    keys = spark.createDataFrame([(b, *heads[b], before[b]) for b in there], "bucket int, at long, h long, to int")
+    keys = spark.createDataFrame([(b, *heads[b], before[b]) for b in there], "bucket int, at long, h long, to int")  # as few rows as buckets
     extra = (rows_with(dealt, "at", keys).join(F.broadcast(keys), ["bucket", "at", "h"])
              .groupBy("to").agg(F.max(F.struct("text", "doc_id")).alias("m"))  # of rows equal in id and hash, the first in order
              .select(F.col("to").alias("bucket"), "m.doc_id", "m.text", F.lit(least).alias("at"), F.lit(least).alias("h"), F.lit(True).alias("extra")))
