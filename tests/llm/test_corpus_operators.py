@@ -108,7 +108,7 @@ def test_jaccard_components(spark, k, num):
         out = [r.choice(words) if r.random() < rate else w for w in base]
         return out[:max(1, int(len(out) * r.uniform(0.9, 1)))] if r.random() < 0.3 else out
 
-    for n in (1, 2, 3, 5, 9, 15, 40, 120, 400, 2500):
+    for n in (1, 2, 3, 5, 9, 15, 40, 120, 400, 700, 2500):
         for _ in range(6):
             base = [r.choice(words) for _ in range(n)]
             for _ in range(r.choice((1, 4))):
@@ -122,6 +122,37 @@ def test_jaccard_components(spark, k, num):
     assert got == plain_components(rows, k, num)
 
 
+def test_every_linked_pair_shares_a_signature():
+    r = np.random.default_rng(8)
+    for num in (80, 90):
+        plan = jaccard_join.Plan(num, 100)
+        for n in (3, 20, 150, 600, 1500, 5000):
+            for _ in range(4):
+                x = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+                both = -(-num * 2 * len(x) // (100 + num))  # just at the bar: so many stay, the others are replaced
+                y = np.unique(np.append(r.permutation(x)[:both], r.integers(0, 1 << 63, len(x) - both, dtype=np.uint64)))
+                if both == len(x):
+                    continue
+                assert 100 * both >= num * (len(x) + len(y) - both)
+                sent = [set(plan.signatures(v, jaccard_join.mix(v))) for v in (x, y)]
+                assert sent[0] & sent[1]
+
+
+def test_hot_signatures_are_split(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "INDEX", 7)
+    monkeypatch.setattr(jaccard_join, "ASKS", 5)
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    base = [r.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(90):  # many share half of their text, some link
+        own = base[:30] + [r.choice(words) for _ in range(30)] if i % 3 else base[:58] + [r.choice(words) for _ in range(2)]
+        rows += [(3 * i, " ".join(own)), (3 * i + 1, " ".join(own[:-1] + ["end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(df, 3, 90, 100).collect()}
+    assert got == plain_components(rows, 3, 90)
+
+
 def test_jaccard_edges(spark):
     schema = "doc_id long, text string"
     assert jaccard_join.jaccard_components(spark.createDataFrame([], schema)).count() == 0
@@ -186,3 +217,47 @@ def test_pipeline(spark, tmp_path):
     assert not any(pii.find_spans(x.text) for x in kept["personal_data"].values())
     assert set(kept["packing"]) == set(kept["personal_data"])
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept["packing"])
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, node string"
+    good = " ".join(f"word{i} follows" for i in range(40))
+    rows = [(1, good, "en", "s", 1, 9.0, "n"), (None, good, "en", "s", 1, None, None), (None, None, None, None, None, None, None), (2, None, "en", "s", 1, 1.0, "n"),
+            (3, "", "en", "s", 1, 1.0, "n"), (4, good + " tail", "en", "s", 1, 1.0, "n"), (4, good + " tail", "en", "s", 1, 1.0, "n"), (5, "z " * 60_000, "en", "s", 1, 1.0, "n")]
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (77, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for table in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            if name != "packing":
+                assert out.columns == table.columns
+            assert out.count() <= len(rows) or name == "packing"
+    table = spark.createDataFrame(rows, schema)
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    assert ids(stages["exact_copies"](spark, table, "")) == [1, 2, 4, 5, None, None]  # of null texts the one with an id stays, too
+    assert ids(stages["near_copies"](spark, table, "")) == [1, 2, 3, 5, None, None]
+    assert ids(stages["personal_data"](spark, table, "")) == ids(table)
+
+
+def test_queries_return_their_contracts(spark):
+    from keelson.llm import queries
+
+    want = {"op1_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], "op2_quality": ["doc_id", "held_out", "score", "predicted"],
+            "op3_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"], "op4_merge_dropout": ["doc_id"], "op6_token_counts": ["doc_id"],
+            "op5_id_files": ["doc_id", "start", "n_tokens", "ids_crc32"], "op7_jaccard_join": ["doc_id", "n_shingles", "component_id"],
+            "op8_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+            "op9_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            "op10_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]}
+    sf = "/root/testdata/sf0.001"
+    size = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages")}
+    for name, query in queries.QUERIES.items():
+        out = query(spark, sf)
+        assert out.columns[:len(want[name])] == want[name], name
+        rows = out.collect()
+        assert len(rows) == size["pages" if name == "op1_warc" else "documents"] or name == "op3_packing"
+        if name == "op2_quality":
+            import zlib
+
+            assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)

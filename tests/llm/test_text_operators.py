@@ -10,9 +10,9 @@ import numpy as np
 import pytest
 
 from keelson.llm import idfile, packing, pieces, pii, quality, syncmers, token_counts, tokens, warc
-from keelson.llm.queries import TOKENIZERS
+from keelson.llm.queries import vocabulary
 
-BYTES, WORDS, PIECES = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+BYTES, WORDS, PIECES = map(vocabulary, ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 ODD = ["a", "Ab", "the ", "  ", " ", "\n", "\t", "é", "É.", "'s", "1", "!", "日本", "\U0001F600", "<|endoftext|>", "x.\nY", "###", "İ", "Σ", "́", "　", "▁", "\x0b"]
 
 
@@ -32,10 +32,20 @@ def docs(spark, texts):
 def test_chunks_encode_as_whole_texts(path, joined):
     e = tokens.ChunkEncoder(path, joined)
     texts = fuzz(3000) + ["word " * 3000, "x" * 50_000, ""]
+    r = random.Random(8)
+    texts += ["".join(r.choice("abzABZéßÖ  ''\n\t\r.,!-_<|>`09std") for _ in range(r.randint(0, 60))) for _ in range(4000)] + ["a<|endoftext|>b", "it's we'LL 'S"]
     want = e.tokenizer.encode_batch(texts, add_special_tokens=False)
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [w.ids for w in want]
 
 
+def test_encoder_forgets_and_goes_on(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_CHUNKS", 20)
+    e, texts = tokens.ChunkEncoder(WORDS, False), fuzz(300, 5) + ["plain words here"] * 3
+    want = [w.ids for w in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(3):
+        assert [np.frombuffer(next(iter(e.encode([t]))), "<u4").tolist() for t in texts] == want
+
+
 # -- 1: WARC ----------------------------------------------------------------
 
 def test_warc_round_trip(spark):
@@ -111,6 +121,54 @@ def test_quality_edges(spark):
     assert [r.h for r in df.select(quality.held_out().alias("h")).collect()] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(4)]
 
 
+def test_risk_and_gradient_are_the_plain_ones():
+    r = np.random.default_rng(2)
+    x, p, w = r.normal(size=(50, 6)), r.random(50) < 0.4, r.normal(size=7)
+    softplus = lambda z: np.log(1 + np.exp(z))
+
+    def plain(w, prior):
+        z = x @ w[:-1] + w[-1]
+        return prior * softplus(-z[p]).mean(), softplus(z[~p]).mean() - prior * softplus(z[p]).mean()
+
+    for prior in (0.3, 0.9):
+        a, rest, b = quality.risk_terms(quality.risk_sums(x, p, w), prior)
+        assert abs(rest - plain(w, prior)[1]) < 1e-9
+        for i in range(7):
+            e = np.zeros(7)
+            e[i] = 1e-6
+            up, down = plain(w + e, prior), plain(w - e, prior)
+            assert abs((up[0] - down[0]) / 2e-6 - a[i]) < 1e-5 and abs((up[1] - down[1]) / 2e-6 - b[i]) < 1e-5
+
+
+def test_fit_is_of_all_rows_whatever_the_samples(spark):
+    good, bad = texts_of_two_kinds(500, 8)
+    rows = [(i, t.decode()) for i, t in enumerate([t for pair in zip(good, bad) for t in pair])]
+    labels = [(i, 1, 0) for i in range(0, 600, 2)]
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    score = lambda **k: np.array([r.score for r in quality.scored(df, quality.train(df, known, **k)).orderBy("doc_id").collect()])
+    whole, part = score(), score(sample_positives=120, sample_unlabelled=200)
+    assert ((whole >= 0.3) == (part >= 0.3)).mean() > 0.99
+    assert ((whole >= 0.3) == (np.arange(1000) % 2 == 0)).mean() > 0.97
+
+
+def test_held_out_labels_are_not_learned(spark):
+    good, bad = texts_of_two_kinds(150, 9)
+    rows = [(i, t.decode()) for i, t in enumerate([t for pair in zip(good, bad) for t in pair])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    kinds = [[(i, (1 - i % 2) ^ (flip and held(i)), 0) for i in range(0, 200)] for flip in (False, True)]
+    one, two = (quality.train(df, spark.createDataFrame(k, "doc_id long, quality int, toxic int").coalesce(1)) for k in kinds)
+    texts = [t.encode() for _, t in rows]
+    assert np.allclose(one.score(texts), two.score(texts), atol=1e-9)
+
+
+def test_quality_of_repeated_rows_and_a_clashing_score(spark):
+    df = spark.createDataFrame([(1, "a text", 5.0), (1, "a text", 6.0), (None, "a text", None)], "doc_id long, text string, score double")
+    m = quality.Model(np.zeros(529), np.ones(529), np.ones(529), 0.0, 0.5)
+    out = quality.scored(df, m)
+    assert out.columns == ["doc_id", "text", "score"] and len({r.score for r in out.collect()}) == 1
+
+
 # -- 3: packing -------------------------------------------------------------
 
 def test_plans_are_whole_and_tight():
@@ -207,27 +265,53 @@ def test_dropout_varies_and_decodes(spark):
 
 # -- 5: id files ------------------------------------------------------------
 
-@pytest.mark.parametrize("ids", [np.array([5]), np.arange(3000) * 7 % 49408, np.repeat(9, 5000), np.tile(np.arange(60), 50), np.random.default_rng(1).integers(0, 49408, 2049)])
-def test_segments_round_trip(ids):
-    data = idfile.encode_segment(ids.astype("<u4"), 256)
-    assert (idfile.decode_segment(data[:20], data[20:]) == ids).all()
+def decoded(data):
+    return idfile.decode_block(data[:28], data[28:])
+
 
+@pytest.mark.parametrize("lanes", [1, 3, 4096])
+@pytest.mark.parametrize("ids", [np.array([5]), np.array([0, 0, 0]), np.arange(3000) * 7 % 49408, np.repeat(9, 5000), np.tile(np.arange(60), 50),
+                                 np.random.default_rng(1).integers(0, 49408, 2049), np.random.default_rng(2).integers(0, 1 << 24, 3000)])
+def test_blocks_round_trip(ids, lanes):
+    assert (decoded(idfile.encode_block(ids.astype("<u4"), lanes)) == ids).all()
+    with pytest.raises(ValueError):
+        idfile.encode_block(np.array([1 << 24], "<u4"))
 
-def test_segment_notices_damage_and_is_small():
+
+def test_block_notices_damage_and_is_small():
     ids = np.tile(np.arange(300), 40).astype("<u4")
-    data = idfile.encode_segment(ids, 1024)
-    assert len(data) < len(ids)  # half of two bytes an id
-    for at in (len(data) - 5, len(data) - 400):
+    data = idfile.encode_block(ids, 2)
+    assert len(data) < len(ids) // 2  # a quarter of two bytes an id: contexts tell what follows
+    for at in (3, 9, 24, 30, len(data) - 5, len(data) - 400):
         bad = bytearray(data)
         bad[at] ^= 16
         with pytest.raises(ValueError):
-            idfile.decode_segment(bytes(bad[:20]), bytes(bad[20:]))
+            decoded(bytes(bad))
+
+
+def test_order_0_adapts():
+    r = np.random.default_rng(4)
+    ids = r.choice(np.arange(0, 40_000, 97), 60_000, p=(w := 1 / np.arange(1, 414)) / w.sum()).astype("<u4")
+    entropy = -(p := w / w.sum()) @ np.log2(p)
+    assert 8 * len(idfile.encode_block(ids, 64)) / len(ids) < entropy + 1  # nothing is stored but what was coded
 
 
 def test_blocks_are_independent():
-    a, b = np.arange(500, dtype="<u4") % 40, np.arange(500, dtype="<u4") % 40
-    one, two = (idfile.encode_segment(np.concatenate(x), 500) for x in ((a, b), (b, a)))
-    assert one == two
+    import io
+
+    class File(io.BytesIO):
+        def size(self):
+            return len(self.getvalue())
+
+    r = np.random.default_rng(5)
+    parts = [r.integers(0, 300, 1000).astype("<u4") for _ in range(3)]
+    out = File()
+    assert idfile.write_file(out, [(7, b"".join(p.tobytes() for p in parts)), (None, b"")], block=1000) == (2, 3000)
+    blocks = [idfile.encode_block(p) for p in parts]
+    assert out.getvalue()[5:].startswith(b"".join(blocks))  # each as if it stood alone
+    assert (decoded(blocks[1]) == parts[1]).all()
+    out.seek(0)
+    assert [(n, s, len(d)) for n, s, d in idfile.read_file(out)] == [(7, 0, 12_000), (None, 3000, 0)]
 
 
 def test_id_files(spark):
@@ -272,6 +356,13 @@ def test_counts_against_plain_dynamic_programming(spark):
     assert len(t.best) - nodes <= len("▁prefixed") + 1  # the shared prefix is there once
 
 
+def test_counts_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, "same words"), (1, "same words"), (None, "long " * 60_000)], "doc_id long, text string")
+    rows = token_counts.token_counts(df, PIECES).collect()
+    assert len(rows) == 3 and len({r.n_tokens for r in rows if r.doc_id == 1}) == 1 and [r.n_pre_tokens for r in rows if r.doc_id is None] == [60_001]
+    assert token_counts.token_counts(df.limit(0), PIECES).count() == 0
+
+
 # -- 8: personal data -------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -341,22 +432,52 @@ def test_each_merge_is_skipped_at_the_rate():
     assert len({x.tobytes() for x in np.array_split(ids, 200)}) > 190 and len(ids) > len(whole) // 4
 
 
-def test_dropout_is_the_same_whatever_is_kept(monkeypatch):
+def test_agendas_of_many_chunks_are_those_of_each(monkeypatch):
     r = random.Random(9)
     words = ["".join(r.choice("aeinrst") for _ in range(r.randint(1, 60))) for _ in range(60)]
-    texts = [" ".join(r.choice(words) for _ in range(80)) for _ in range(40)] + fuzz(50, 12) + ["", "anti" * 500]
+    texts = [" ".join(r.choice(words) for _ in range(80)) for _ in range(40)] + fuzz(150, 12) + ["", "anti" * 500, "  ▁▁   a ", "▁" * 7, " " * 40]
     keys = list(range(-3, len(texts) - 3))
     warm = pieces.Pieces(PIECES, 0.2, seed=2)
     want = warm.encode_all(texts, keys)
     assert warm.encode_all(texts[::-1], keys[::-1])[::-1] == want
-    assert [pieces.Pieces.encode(warm, t, k) for t, k in zip(texts, keys)] == want
-    monkeypatch.setattr(pieces, "KEPT", -1)
-    monkeypatch.setattr(pieces, "TOGETHER", 7)
-    assert warm.encode_all(texts, keys) == want
-    for w in words:  # the list and the heap are one agenda
-        if len(w) <= pieces.SHORT:
-            for at in [(-1, None), (0, None), (2, None), (-1, r.getrandbits(64))]:
-                assert warm._short(w, *at) == warm._heap(w, *at)
+    assert [warm.encode(t, k) for t, k in zip(texts, keys)] == want
+    for at_once, short in ((7, pieces.SHORT), (8192, 1), (50, 9)):  # in few columns, by heaps alone, and by both
+        monkeypatch.setattr(pieces, "TOGETHER", at_once)
+        monkeypatch.setattr(pieces, "SHORT", short)
+        assert warm.encode_all(texts, keys) == want
+
+
+def plain_agenda(p, chunk, skipped):
+    """The method word by word: the best pair not skipped, leftmost among equals, until there is none."""
+    parts, gone = [(i, c) for i, c in enumerate(chunk)], set()
+    while True:
+        pairs = [(p.rank[x + y], i, j, x + y) for (i, x), (j, y) in zip(parts, parts[1:]) if x + y in p.rank and (i, j, x + y) not in gone]
+        if not pairs:
+            return [x for _, x in parts]
+        _, i, j, merged = min(pairs)
+        if skipped(i, j, merged):
+            gone.add((i, j, merged))
+        else:
+            parts = [(k, merged if k == i else x) for k, x in parts if k != j]
+
+
+def test_dropout_is_the_plain_agenda_with_the_same_hash():
+    p, r = pieces.Pieces(PIECES, 0.25, seed=6), random.Random(4)
+    for key in range(150):
+        words = ["".join(r.choice("aeinrst中é") for _ in range(r.randint(1, 14))) for _ in range(6)]
+        want = []
+        for place, w in enumerate(words):
+            draw = pieces._mix((pieces._mix((place + pieces._mix(6)) & pieces._M) + pieces._mix(key)) & pieces._M)
+            skipped = lambda i, j, m: pieces._mix((draw + i * pieces._KEYS[0] + j * pieces._KEYS[1] + p.ids[m] * pieces._KEYS[2]) & pieces._M) >> 11 < p.limit  # noqa: B023, E731
+            for piece in plain_agenda(p, pieces.BLANK + w, skipped):
+                want += [p.ids[piece]] if piece in p.ids else [p.bytes_id[b] for b in piece.encode()]
+        assert np.frombuffer(p.encode(" ".join(words), key), "<u4").tolist() == want
+
+
+def test_dropout_of_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(None, "some words"), (None, "some words"), (4, "other words"), (4, "other words"), (5, None)], "doc_id long, text string")
+    rows = pieces.encode_pieces(df, PIECES).collect()
+    assert sorted(r.n_pieces for r in rows)[0] == 0 and all(r.lossless for r in rows) and len({r.ids_crc32 for r in rows}) == 3
 
 
 # -- 9: fingerprints --------------------------------------------------------
