@@ -20,32 +20,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import exact_dedup, jaccard_join, packing, pii, quality
-from keelson.llm._common import rows_without, settle
-from keelson.llm.queries import TOKENIZERS
+from keelson.llm._common import rows_without, settle, settle_alone
+from keelson.llm.queries import vocabulary
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores at least the threshold, all columns as they were.
+
+    Each row is judged by its text alone, whatever its id: null and empty texts score as
+    texts without words, repeated rows alike.  Labels of ids not in ``docs`` teach
+    nothing; without positives or unlabelled rows every row stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels)
-    return quality.scored(docs, model).filter(F.col("score") >= quality.THRESHOLD).drop("score")
+    return quality.scored(docs, model, score_col="__score").filter(F.col("__score") >= quality.THRESHOLD).drop("__score")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows with equal texts (white space normalised, null as empty) one with the smallest id.
+
+    Rows of a null id can't be named and stay; of rows equal in id and text one stays,
+    of rows equal in id alone each that has the smallest id of its text.
+    """
     return exact_dedup.drop_copies(docs, settle(exact_dedup.exact_dedup(docs), "verdict"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked directly or over others the one with the smallest id.
+
+    Texts without words link with nothing and stay, rows of a null id stay.  Rows that
+    share an id are one document: its rows stay if one of their texts is the group's least.
+    """
     near = settle(jaccard_join.jaccard_components(docs, k=5, num=80, den=100), "near")
-    gone = near.filter("doc_id <> component_id").select("doc_id")
+    verdict = near.filter("doc_id is not null").groupBy("doc_id").agg(F.min((F.col("doc_id") != F.col("component_id")).cast("int")).alias("linked"))
+    gone = settle(verdict.filter("linked = 1").select("doc_id"), "near-gone")
     return rows_without(docs, "doc_id", gone).select(*docs.columns)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows; spans become the name of their kind and ``n_chars`` follows (0 for a null text, which stays null)."""
     return pii.redacted(docs).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.json", with_ids=True)
+    """A row for each piece of each row's ids, with its ids and its place in a sequence; a null text has its end id alone."""
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -58,10 +77,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage wrote on its way is deleted when its rows are settled."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settle_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
