@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import settle, with_maybe
+from ._common import _written, drop_path, settle, with_maybe
 from .words import Words, mix
 
 INDEX = 2048
@@ -254,59 +254,55 @@ def _bounded(num: int, den: int):
     return run
 
 
-class _Points:
-    """Points of one number of coordinates as matrices, and folded to fewer."""
-
-    def __init__(self, rows: list[tuple[int, int, int, tuple[np.ndarray, np.ndarray]]]):
-        self.node, self.comp, self.n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        counts = np.array([r[3][0] for r in rows], np.int32)
-        self.at = {counts.shape[1]: (counts.astype(np.uint8), np.array([r[3][1] for r in rows]))}
-        self.dims = counts.shape[1]
+def coarse(vector: bytes) -> bytes:
+    """Counts of a quarter of the groups, which travel with each signature; empty if one doesn't fit."""
+    if not vector:
+        return b""
+    counts = fold(unpacked(vector)[0], max(8, len(vector) // 12))
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
-    def folded(self, dims: int) -> tuple[np.ndarray, np.ndarray]:
-        if dims not in self.at:
-            counts, sums = self.at[self.dims]
-            shape = (len(counts), dims, -1)
-            self.at[dims] = (counts.reshape(shape).sum(axis=2, dtype=np.int32), sums.reshape(shape).sum(axis=2, dtype=np.uint16))
-        return self.at[dims]
 
-    def bounds(self, v: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
-        dims = min(self.dims, len(v[0]))
-        x, p = v if len(v[0]) == dims else (fold(v[0], dims), fold(v[1], dims))
-        counts, sums = self.folded(dims)
-        counts, sums = counts[rows], sums[rows]
-        return np.minimum(counts, x.astype(counts.dtype)).sum(axis=1, dtype=np.int64) - ((counts == x) & (sums != p)).sum(axis=1)
+def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, vector) -> (node, n, coarse vector)."""
+    for b in batches:
+        yield b.set_column(2, "vector", pa.array(map(coarse, b.column(2).to_pylist()), pa.binary()))
 
 
 class _Index:
-    """The nodes of one block: a tree over coarse counts for each size of point, then the closer bound."""
+    """The nodes of one block: a tree over coarse counts for each number of coordinates."""
 
     def __init__(self, plan: Plan):
         self.plan, self.rows, self.parts = plan, [], None
 
     def add(self, node: int, comp: int, n: int, vector: bytes) -> None:
-        self.rows.append((node, comp, n, unpacked(vector)))
+        self.rows.append((node, comp, n, vector))
 
-    def search(self, n: int, v: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, n: int, vector: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(nodes, components, bounds) of what may link."""
         if self.parts is None:
             by: dict[int, list] = {}
             for r in self.rows:
-                by.setdefault(len(r[3][0]), []).append(r)
-            self.unknown = by.pop(0, [])
+                by.setdefault(len(r[3]), []).append(r)
             self.parts = []
-            for rows in by.values():
-                points = _Points(rows)
-                self.parts.append((points, CountTree(points.folded(min(TREE_DIMS, points.dims))[0].astype(np.int64), points.n, self.plan)))
-        out = [(r[0], r[1], 1 << 60) for r in self.unknown]
-        found = [tuple(np.array([o[i] for o in out], np.int64) for i in range(3))]
-        for points, tree in self.parts:
-            dims = min(TREE_DIMS, points.dims)
-            rows = tree.search(fold(v[0], dims).astype(np.int64), n) if len(v[0]) >= dims else np.arange(len(points.n))
-            bound = points.bounds(v, rows) if len(v[0]) else np.full(len(rows), 1 << 60)
-            fit = bound >= self.plan.need(n + points.n[rows])
+            for dims, rows in by.items():
+                counts = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), dims).astype(np.int32)
+                node, comp, sizes = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+                tree = CountTree(counts.reshape(len(rows), min(TREE_DIMS, dims), -1).sum(axis=2), sizes, self.plan) if dims else None
+                self.parts.append((dims, counts, node, comp, sizes, tree))
+        found = []
+        for dims, counts, node, comp, sizes, tree in self.parts:
+            mine = np.frombuffer(vector, np.uint8).astype(np.int32)
+            if not dims or not len(mine):  # nothing known: the sizes alone
+                rows = np.arange(len(node))
+                bound = np.minimum(sizes, n)
+            else:
+                low = min(TREE_DIMS, dims)
+                rows = tree.search(fold(mine, low), n) if len(mine) >= low else np.arange(len(node))
+                same = min(dims, len(mine))
+                bound = np.minimum(counts[rows].reshape(len(rows), same, dims // same).sum(axis=2), fold(mine, same)).sum(axis=1)
+            fit = bound >= self.plan.need(n + sizes[rows])
             rows = rows[fit]
-            found.append((points.node[rows], points.comp[rows], bound[fit]))
+            found.append((node[rows], comp[rows], bound[fit]))
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -326,7 +322,7 @@ def _searched(num: int, den: int, best: bool):
                 if not query:
                     index.add(node, comp, n, vector)
                     continue
-                other, its, bound = index.search(n, unpacked(vector))
+                other, its, bound = index.search(n, vector)
                 ask = its != comp if best else (its != comp) & ((its == main) | (other < node))
                 if not ask.any():
                     continue
@@ -366,11 +362,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """doc_id, n_shingles, component_id of every document; sets link at similarity num / den."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     table = settle(slim.mapInArrow(_features(k, num, den), _FEATURES), "join-features")
+    wide = _written[-1]
     own = table.filter("signatures is not null")
     sent = own.select("node", F.explode("signatures").alias("sig"))
     shared = sent.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").drop("last")
     member = settle(sent.join(shared, "sig").groupBy("sig", "node", "lead").agg(F.lit(1).alias("one")).drop("one"), "join-members")
-    points = own.select("node", "n", "vector").dropDuplicates(["node"])
+    # Signatures aren't needed any more and are the larger part of what was written.
+    table = settle(table.drop("signatures"), "join-nodes")
+    drop_path(slim.sparkSession, wide)
+    points = table.filter("vector is not null").select("node", "n", "vector").dropDuplicates(["node"])
+    light = settle(points.mapInArrow(_coarse, "node long, n long, vector binary"), "join-coarse")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The linked ones of distinct pairs (a, b)."""
@@ -391,11 +392,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             .groupBy("node").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
             .select(F.col("lead").alias("a"), F.col("node").alias("b")))
     at = lambda x: points.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("vector").alias(f"v_{x}"))
-    near = (star.join(at("a"), "a").join(at("b"), "b").select("a", "b", "n_a", "n_b", "v_a", "v_b")
-            .mapInArrow(_bounded(num, den), "a long, b long"))
-    near = settle(near, "join-near")
-    links = verified(near)
-    first = components(links)
+    def close(pairs: DataFrame) -> DataFrame:
+        """Pairs whose whole count vectors don't rule out a link."""
+        return (pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "n_a", "n_b", "v_a", "v_b")
+                .mapInArrow(_bounded(num, den), "a long, b long"))
+
+    near = settle(star, "join-near")
+    first = components(verified(close(near)))
 
     # Then: what is still apart below a signature; first the likeliest pair of each node, then all.
     def apart(root: DataFrame, best: bool) -> DataFrame:
@@ -415,7 +418,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         index = rows.withColumn("block", mine(F.col("blocks"), 1)).withColumn("part", each(shares)).withColumn("query", F.lit(False))
         query = asks.withColumn("part", mine(shares, 2)).withColumn("block", each(F.col("blocks"))).withColumn("query", F.lit(True))
         cells = index.unionByName(query)
-        return settle(cells.join(points, "node").select(column).repartition("sig", "block", "part").sortWithinPartitions("sig", "block", "part", "query")
+        return settle(cells.join(light, "node").select(column).repartition("sig", "block", "part").sortWithinPartitions("sig", "block", "part", "query")
                       .mapInArrow(_searched(num, den, best), "a long, b long").distinct(), "join-found")
 
     def merged(root: DataFrame, more: DataFrame) -> DataFrame:
@@ -430,9 +433,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     root, tried = first, near
     for _ in range(BEST_ROUNDS):
-        found = apart(root, True).join(tried, ["a", "b"], "left_anti")
-        root, tried = merged(root, verified(found)), settle(tried.unionByName(found), "join-tried")
-    root = merged(root, verified(apart(root, False).join(tried, ["a", "b"], "left_anti")))
+        found = settle(apart(root, True).join(tried, ["a", "b"], "left_anti"), "join-asked")
+        root, tried = merged(root, verified(close(found))), settle(tried.unionByName(found), "join-tried")
+    root = merged(root, verified(close(apart(root, False).join(tried, ["a", "b"], "left_anti"))))
 
     copies = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
     joined = copies.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
