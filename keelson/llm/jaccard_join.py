@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _written, drop_path, settle, with_maybe
+from ._common import salted_join, settle, with_maybe
 from .words import Words, mix
 
 INDEX = 2048
@@ -202,31 +202,50 @@ def _node(x: np.ndarray, mixed: np.ndarray) -> int:
     return int(mix(np.array([total], _U)).astype(np.int64)[0])
 
 
-_FEATURES = "doc_id long, n long, node long, vector binary, signatures array<long>"
+_NODES = "doc_id long, n long, node long, vector binary"
 
 
-def _features(k: int, num: int, den: int):
+def _sets_of(texts: list[bytes], k: int, seen: set[int]) -> Iterator[tuple[int, int | None, np.ndarray | None, np.ndarray | None]]:
+    """(size, node, set, its hashes mixed once more) of each text; no set for a copy of one in ``seen``."""
+    for a, z in _pieces(texts):
+        for x in Words(texts[a:z]).shingles(k):
+            if not len(x):
+                yield 0, None, None, None
+                continue
+            mixed = mix(x ^ _U(0xA5A5A5A5A5A5A5A5))
+            node = _node(x, mixed)
+            if node in seen:
+                yield len(x), node, None, None
+            else:
+                seen.add(node)
+                yield len(x), node, x, mixed
+
+
+def _nodes(k: int):
+    """(doc_id, text) -> the node of each document, and its point where the task meets it first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            rows = [(n, node, None if x is None else point(x, mixed)) for n, node, x, mixed in _sets_of([t or b"" for t in b.column(1).to_pylist()], k, seen)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary())))],
+                                             names=["doc_id", "n", "node", "vector"])
+
+    return run
+
+
+def _sent(k: int, num: int, den: int):
+    """(doc_id, text) -> (node, signature)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = Plan(num, den), set()
         for b in batches:
-            texts = [t or b"" for t in b.column(1).to_pylist()]
-            rows = []
-            for a, z in _pieces(texts):
-                for x in Words(texts[a:z]).shingles(k):
-                    if not len(x):
-                        rows.append((0, None, None, None))
-                        continue
-                    mixed = mix(x ^ _U(0xA5A5A5A5A5A5A5A5))
-                    node = _node(x, mixed)
-                    if node in seen:  # a copy: its node is known to this task
-                        rows.append((len(x), node, None, None))
-                    else:
-                        seen.add(node)
-                        rows.append((len(x), node, point(x, mixed), plan.signatures(x, mixed)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
-                names=["doc_id", "n", "node", "vector", "signatures"])
+            nodes, counts, sent = [], [], []
+            for _, node, x, mixed in _sets_of([t or b"" for t in b.column(1).to_pylist()], k, seen):
+                if x is not None:
+                    sent.append(np.array(plan.signatures(x, mixed), np.int64))
+                    nodes.append(node)
+                    counts.append(len(sent[-1]))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.concatenate(sent))], names=["node", "sig"])
 
     return run
 
@@ -361,16 +380,13 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document; sets link at similarity num / den."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    table = settle(slim.mapInArrow(_features(k, num, den), _FEATURES), "join-features")
-    wide = _written[-1]
-    own = table.filter("signatures is not null")
-    sent = own.select("node", F.explode("signatures").alias("sig"))
-    shared = sent.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").drop("last")
-    member = settle(sent.join(shared, "sig").groupBy("sig", "node", "lead").agg(F.lit(1).alias("one")).drop("one"), "join-members")
-    # Signatures aren't needed any more and are the larger part of what was written.
-    table = settle(table.drop("signatures"), "join-nodes")
-    drop_path(slim.sparkSession, wide)
+    table = settle(slim.mapInArrow(_nodes(k), _NODES), "join-nodes")
     points = table.filter("vector is not null").select("node", "n", "vector").dropDuplicates(["node"])
+    # Signatures are as large as the text: they are computed twice and never stored.  Counted before the
+    # shuffle, they tell which are shared; only those travel with their nodes, a frequent one to many tasks.
+    sent = slim.mapInArrow(_sent(k, num, den), "node long, sig long")
+    shared = settle(sent.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("n")).filter("lead <> last").drop("last"), "join-shared")
+    member = settle(salted_join(with_maybe(sent, "sig", shared, "m").filter("m").drop("m"), shared.drop("n"), "sig", shared.select("sig", "n"), ["node"]).distinct(), "join-members")
     light = settle(points.mapInArrow(_coarse, "node long, n long, vector binary"), "join-coarse")
 
     def verified(pairs: DataFrame) -> DataFrame:
