@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _cols(names) -> list[Column]:
-    return [F.col(f"`{n}`") for n in names]
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
 def _none_null(names) -> Column:
@@ -35,19 +36,47 @@ def unique_test(df: DataFrame, table: str, candidates) -> DataFrame:
     return reduce(DataFrame.unionAll, map(one, candidates))
 
 
+def _split(df: DataFrame, determinants, dependents, exact: bool) -> tuple[DataFrame, list[Column]]:
+    """Groups of the determinant with a flag for each dependent that takes two values in it.
+
+    Without ``exact``, texts are told apart by their hash, which keeps the aggregate on
+    fixed-width values: a flag is then sure, and only where there is none may one be missing.
+    """
+    text = {f.name for f in df.schema if isinstance(f.dataType, StringType)}
+    value = [F.xxhash64(c) if n in text and not exact else c for n, c in zip(dependents, _cols(dependents))]
+    known = [F.when(c.isNotNull(), v) for c, v in zip(_cols(dependents), value)]
+    own = df.filter(_none_null(determinants)).groupBy(*_cols(determinants)).agg(
+        F.count(F.lit(1)).alias("__n"), *[(F.min(v) != F.max(v)).alias(f"__v{i}") for i, v in enumerate(known)])
+    return own, [F.count_if(F.coalesce(f"__v{i}", F.lit(False))).alias(f"__v{i}") for i in range(len(dependents))]
+
+
 def dependency_test(df: DataFrame, determinants, dependents) -> DataFrame:
     """(dependent, violations) of one determinant for all dependents in one aggregate.
 
     Rows with a null in the determinant don't count, nor nulls of a dependent.  A group
     violates if its least and greatest value differ.
     """
-    own = df.filter(_none_null(determinants)).groupBy(*_cols(determinants)).agg(
-        *[(F.min(F.col(f"`{c}`")) != F.max(F.col(f"`{c}`"))).alias(f"__v{i}") for i, c in enumerate(dependents)])
-    counts = own.agg(*[F.count_if(F.coalesce(f"__v{i}", F.lit(False))).alias(f"__v{i}") for i in range(len(dependents))])
-    return counts.select(F.explode(F.array(*[
+    own, counts = _split(df, determinants, dependents, True)
+    return own.agg(*counts).select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("dependent"), F.col(f"__v{i}").alias("violations")) for i, c in enumerate(dependents)])).alias("x")).select("x.*")
 
 
+def tested(df: DataFrame, determinants, dependents) -> tuple[int, float, int, list[str]]:
+    """The shape of a determinant (distinct, uniqueness, repeated) and the dependents it determines, by one pass.
+
+    Only texts that their hashes don't already refute are looked at again.
+    """
+    own, counts = _split(df, determinants, dependents, False)
+    r = own.agg(F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), *counts).first()
+    holds = [c for i, c in enumerate(dependents) if not r[f"__v{i}"]]
+    text = {f.name for f in df.schema if isinstance(f.dataType, StringType)}
+    again = [c for c in holds if c in text]
+    if again and r.distinct < r.rows:
+        sure = set(determined(df, determinants, again))
+        holds = [c for c in holds if c not in text or c in sure]
+    return r.distinct, r.distinct / r.rows if r.rows else 1.0, r.rows - r.distinct, holds
+
+
 def dependency_matrix(df: DataFrame, determinants, dependents) -> DataFrame:
     """(determinant, dependent, violations, holds): one aggregate for each determinant tuple."""
     def one(d):

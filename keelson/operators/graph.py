@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -62,63 +62,69 @@ def additive_measure(c: ColumnEvidence) -> bool:
             and (c.entropy_ratio >= 0.05 or abs(c.variation) >= 0.05))
 
 
-#: The decision list of roles, first match first: (role, confidence, reason, rule).
-#: n: rows, o and i: outgoing and incoming, k: has a key, x and t: numeric and text columns,
-#: m: additive measures (None if not counted), g: has a grain, l: is a lookup.
+def additive_column() -> Column:
+    """``additive_measure`` over rows of profiles."""
+    c = F.col
+    return (~names.key_like_col(c("column_name")) & c("kind").isin("integer", "continuous") & (c("distinct_count") > 1) & (c("uniqueness_ratio") < 0.95)
+            & ((c("entropy_ratio") >= 0.05) | (F.abs("variation_coefficient") >= 0.05)))
+
+
+#: Conditions of a table by name, as SQL over rows, outgoing, incoming (neighbours), has_key, numeric, text
+#: (columns), measures (additive ones; null where they aren't counted), grain and small_lookup.
+CONDITIONS = {
+    "linked": "outgoing + incoming > 0",
+    "refers": "outgoing >= 1",
+    "refers to several": "outgoing >= 2",
+    "is referred to": "incoming >= 1",
+    "is not referred to": "incoming = 0",
+    "has a key": "has_key",
+    "has a grain": "grain",
+    "has rows enough": f"rows >= {FEW_ROWS}",
+    "is mostly numbers": "numeric > text",
+    "is not mostly numbers": "numeric <= text",
+    "has measures": "coalesce(measures, 0) > 0",
+    "may have measures": "coalesce(measures, 1) <> 0",
+    "is no lookup": "not small_lookup",
+}
+_FACT = ("refers", "may have measures", "is no lookup")
+#: The decision list of roles, first match first: role, confidence, conditions that all hold.
 RULES = (
-    ("ISOLATED", 0.9, "table_has_no_confirmed_relationships", lambda n, o, i, k, x, t, m, g, l: o == 0 and i == 0),
-    ("FACT", 0.8, "table_has_transactional_grain_quantitative_grain_and_measure", lambda n, o, i, k, x, t, m, g, l: o >= 1 and k and g and (m or 0) > 0 and not l),
-    ("FACT", 0.85, "table_has_many_links_and_mostly_numeric_columns", lambda n, o, i, k, x, t, m, g, l: o >= 2 and n >= FEW_ROWS and x > t and m != 0 and not l),
-    ("FACT", 0.8, "table_has_transactional_grain_and_additive_measure", lambda n, o, i, k, x, t, m, g, l: o >= 2 and n >= FEW_ROWS and g and (m or 0) > 0 and not l),
-    ("FACT", 0.8, "table_has_quantitative_grain_and_outgoing_dimension_link", lambda n, o, i, k, x, t, m, g, l: o >= 1 and i == 0 and k and n >= FEW_ROWS and x > t and m != 0 and not l),
-    ("DIMENSION", 0.75, "table_has_links_but_mostly_descriptive_columns", lambda n, o, i, k, x, t, m, g, l: o >= 1 and k and t >= x),
-    ("DIMENSION", 0.85, "table_has_primary_key_and_is_referenced_by_other_tables", lambda n, o, i, k, x, t, m, g, l: k and i >= 1),
-    ("UNKNOWN", 0.4, "not_enough_evidence_to_choose_fact_or_dimension", lambda n, o, i, k, x, t, m, g, l: True),
+    ("FACT", 0.8, (*_FACT, "has a key", "has a grain", "has measures")),
+    ("FACT", 0.85, (*_FACT, "refers to several", "has rows enough", "is mostly numbers")),
+    ("FACT", 0.8, (*_FACT, "refers to several", "has rows enough", "has a grain", "has measures")),
+    ("FACT", 0.8, (*_FACT, "is not referred to", "has a key", "has rows enough", "is mostly numbers")),
+    ("DIMENSION", 0.75, ("refers", "has a key", "is not mostly numbers")),
+    ("DIMENSION", 0.85, ("has a key", "is referred to")),
 )
+SMALL_LOOKUP = f"has_key and coalesce(measures, 1) = 0 and rows < {LOOKUP_ROWS} and incoming >= 1 and numeric <= text + outgoing"
 
 
-def lookup(rows: int, outgoing: int, incoming: int, has_key: bool, numeric: int, text: int, measures: int) -> bool:
-    """A small descriptive table that others refer to."""
-    return has_key and measures == 0 and rows < LOOKUP_ROWS and incoming >= 1 and numeric <= text + outgoing
-
-
-def classify(rows: int, outgoing: int, incoming: int, has_key: bool, numeric: int, text: int, measures: int | None = None,
-             grain: bool = False, is_lookup: bool = False) -> tuple[str, float, str]:
-    for role, confidence, reason, rule in RULES:
-        if rule(rows, outgoing, incoming, has_key, numeric, text, measures, grain, is_lookup):
-            return role, confidence, reason
-    raise AssertionError("the last rule always holds")
-
-
-def role_column() -> Column:
-    """The decision list over rows, outgoing, incoming, has_key, numeric, text, measures, grain."""
-    c = F.col
-    is_lookup = c("has_key") & (c("measures") == 0) & (c("rows") < LOOKUP_ROWS) & (c("incoming") >= 1) & (c("numeric") <= c("text") + c("outgoing"))
-    return (F.when((c("outgoing") == 0) & (c("incoming") == 0), "ISOLATED")
-            .when((c("outgoing") >= 1) & c("has_key") & c("grain") & (c("measures") > 0) & ~is_lookup, "FACT")
-            .when((c("outgoing") >= 2) & (c("rows") >= FEW_ROWS) & (c("numeric") > c("text")) & (c("measures") > 0) & ~is_lookup, "FACT")
-            .when((c("outgoing") >= 2) & (c("rows") >= FEW_ROWS) & c("grain") & (c("measures") > 0) & ~is_lookup, "FACT")
-            .when((c("outgoing") >= 1) & (c("incoming") == 0) & c("has_key") & (c("rows") >= FEW_ROWS) & (c("numeric") > c("text")) & (c("measures") > 0) & ~is_lookup, "FACT")
-            .when((c("outgoing") >= 1) & c("has_key") & (c("text") >= c("numeric")), "DIMENSION")
-            .when(c("has_key") & (c("incoming") >= 1), "DIMENSION").otherwise("UNKNOWN"))
+def role_columns(tables: DataFrame) -> DataFrame:
+    """``tables`` (rows, outgoing, incoming, has_key, numeric, text, measures, grain) with role, confidence and reason."""
+    known = tables.withColumn("small_lookup", F.expr(SMALL_LOOKUP))
+    found = F.when(~F.expr(CONDITIONS["linked"]), F.struct(F.lit("ISOLATED").alias("role"), F.lit(0.9).alias("confidence"), F.lit("not linked").alias("reason")))
+    for role, confidence, names_ in RULES:
+        found = found.when(F.expr(" and ".join(f"({CONDITIONS[c]})" for c in names_)),
+                           F.struct(F.lit(role).alias("role"), F.lit(confidence).alias("confidence"), F.lit(", ".join(names_)).alias("reason")))
+    found = found.otherwise(F.struct(F.lit("UNKNOWN").alias("role"), F.lit(0.4).alias("confidence"), F.lit("no rule applies").alias("reason")))
+    return known.withColumn("__found", found).select(*tables.columns, "__found.role", "__found.confidence", "__found.reason")
 
 
 def roles(evidence: dict[str, list[ColumnEvidence]], keyed: set[str], all_edges: list[Edge], logical: dict[str, str]) -> list[Role]:
     """The role of each table; a logical fact or dimension keeps the role it was built for."""
     good = confirmed(all_edges)
-    out = []
+    rows = []
     for t in sorted(evidence):
-        columns = evidence[t]
-        n = max((c.rows for c in columns), default=0)
-        o, i = len({e.target for e in good if e.source == t}), len({e.source for e in good if e.target == t})
-        x, s, d = sum(c.numeric for c in columns), sum(c.kind == "text" for c in columns), sum(c.kind == "temporal" for c in columns)
-        m, k = sum(map(additive_measure, columns)), t in keyed
-        given = logical.get(t, UNKNOWN)
-        if given == FACT:
-            role = ("FACT", 0.9, "role_inferred_from_logical_fact_candidate")
-        elif given == DIMENSION:
-            role = ("DIMENSION", 0.9, "role_inferred_from_logical_dimension_candidate")
-        else:
-            role = classify(n, o, i, k, x, s, m, k, lookup(n, o, i, k, x, s, m))
-        out.append(Role(t, *role, n, o, i, x, s, d, k))
+        columns, key = evidence[t], t in keyed
+        count = lambda *kinds: sum(c.kind in kinds for c in columns)  # noqa: B023, E731
+        rows.append((t, max((c.rows for c in columns), default=0), len({e.target for e in good if e.source == t}), len({e.source for e in good if e.target == t}),
+                     key, sum(c.numeric for c in columns), count("text"), sum(map(additive_measure, columns)), key, count("temporal")))
+    if not rows:
+        return []
+    tables = SparkSession.active().createDataFrame(rows, "t string, rows long, outgoing int, incoming int, has_key boolean, numeric int, text int, measures int, grain boolean, temporal int")
+    out = []
+    for r in sorted(role_columns(tables).collect()):  # a row for each table
+        given = {FACT: "FACT", DIMENSION: "DIMENSION"}.get(logical.get(r.t, UNKNOWN))
+        role = (given, 0.9, "built as a logical table of this role") if given else (r.role, r.confidence, r.reason)
+        out.append(Role(r.t, *role, r.rows, r.outgoing, r.incoming, r.numeric, r.text, r.temporal, r.has_key))
     return out

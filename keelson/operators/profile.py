@@ -1,12 +1,13 @@
 """Profiles of columns: completeness, cardinality, entropy, dispersion, identifiability.
 
-One aggregate gives the moments of all columns; each column's value frequencies give
-its exact distinct count and entropy in one pass.  The per-column jobs run side by
-side from a few threads, so small ones fill the gaps of large ones.
+Each column's value frequencies give its counts, extremes, exact distinct count, entropy
+and mean in one pass; the moments around the means of all columns take one more.  The
+jobs run side by side from a few threads, so small ones fill the gaps of large ones.
 """
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -19,7 +20,7 @@ from ..types import CONTINUOUS, INTEGER, ColumnEvidence, analysed, kind_of
 # Weights and labels of identifiability.
 UNIQUENESS, ENTROPY, COMPLETENESS = 0.5, 0.3, 0.2
 LABELS = ((0.85, "HIGH"), (0.5, "MEDIUM"), (0.2, "LOW"))
-THREADS = 4
+THREADS = 8
 
 PROFILE = T.StructType([T.StructField(n, t) for n, t in (
     ("table_name", T.StringType()), ("column_name", T.StringType()), ("column_type", T.StringType()), ("kind", T.StringType()),
@@ -36,45 +37,41 @@ def _squashed(x: Column) -> Column:
     return a / (1 + a)
 
 
-def moments(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """One row for each column: counts, extremes, variation and skewness, all from one aggregate."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
-        low, high = F.min(c), F.max(c)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            low, high = low + 0.0, high + 0.0  # no negative zero
-        aggs += [F.count(c).alias(f"n{i}"), low.cast("string").alias(f"lo{i}"), high.cast("string").alias(f"hi{i}")]
-        if kind_of(f.dataType) in (INTEGER, CONTINUOUS):
-            x = c.cast("double")
-            aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"), F.skewness(x).alias(f"k{i}")]
-    one = df.agg(*aggs)
-
-    def row(i: int, f: T.StructField) -> Column:
-        kind = kind_of(f.dataType)
-        if kind in (INTEGER, CONTINUOUS):
-            mean = F.when(F.col(f"m{i}") == 0, None).otherwise(F.col(f"m{i}"))
-            spread, skew = _squashed(F.try_divide(F.col(f"s{i}"), mean)), _squashed(F.col(f"k{i}"))
-        else:
-            spread = skew = F.lit(0.0)
-        return F.struct(
-            F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("column_type"), F.lit(kind).alias("kind"),
-            F.col(f"n{i}").alias("non_null_rows"), F.coalesce(F.col(f"lo{i}"), F.lit("")).alias("min_value"),
-            F.coalesce(F.col(f"hi{i}"), F.lit("")).alias("max_value"), spread.alias("variation_coefficient"), skew.alias("skewness_score"))
-
-    return one.select("rows", F.explode(F.array(*[row(i, f) for i, f in enumerate(fields)])).alias("c")).select("rows", "c.*")
-
-
-def frequencies(df: DataFrame, column: str) -> DataFrame:
-    """(column_name, distinct_count, entropy) from the frequencies of the non-null values."""
-    f = F.col("f").cast("double")
-    return (df.select(F.col(f"`{column}`").alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("f"))
-            .agg(F.count(F.lit(1)).alias("distinct_count"), (F.log2(F.sum(f)) - F.sum(f * F.log2(f)) / F.sum(f)).alias("entropy"))
-            .select(F.lit(column).alias("column_name"), "distinct_count", F.coalesce("entropy", F.lit(0.0)).alias("entropy")))
-
-
-def completed(rows: DataFrame, table: str) -> DataFrame:
-    """Ratios and scores from moments joined with frequencies."""
+_COUNTED = ("column_name string, column_type string, kind string, rows long, non_null_rows long, min_value string, max_value string, "
+            "distinct_count long, entropy double, mean double")
+
+
+def frequencies(df: DataFrame, f: T.StructField) -> DataFrame:
+    """All that the frequencies of one column's values tell, in one row: counts, extremes, entropy and mean."""
+    v, n, kind = F.col("v"), F.col("n").cast("double"), kind_of(f.dataType)
+    known = F.col("v").isNotNull()
+    number = kind in (INTEGER, CONTINUOUS)
+    low, high = F.min("v"), F.max("v")
+    if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        low, high = low + 0.0, high + 0.0  # no negative zero
+    total = F.sum(F.when(known, n))
+    return (df.select(F.col(f"`{f.name.replace('`', '``')}`").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("non_null_rows"),
+                 low.cast("string").alias("lo"), high.cast("string").alias("hi"), F.count("v").alias("distinct_count"),
+                 (F.log2(total) - F.sum(F.when(known, n * F.log2(n))) / total).alias("entropy"),
+                 (F.sum(v.cast("double") * n) / total if number else F.lit(None).cast("double")).alias("mean"))
+            .select(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("column_type"), F.lit(kind).alias("kind"), "rows", "non_null_rows",
+                    F.coalesce("lo", F.lit("")).alias("min_value"), F.coalesce("hi", F.lit("")).alias("max_value"), "distinct_count",
+                    F.coalesce("entropy", F.lit(0.0)).alias("entropy"), "mean"))
+
+
+def central_sums(df: DataFrame, means: dict[str, float]) -> dict[str, tuple[float, float]]:
+    """Sums of squares and cubes around the means of the columns, in one pass over all of them."""
+    aggs = []
+    for i, (name, mean) in enumerate(means.items()):
+        d = F.col(f"`{name.replace('`', '``')}`").cast("double") - F.lit(mean)
+        aggs += [F.sum(d * d).alias(f"q{i}"), F.sum(d * d * d).alias(f"c{i}")]
+    row = df.agg(*aggs).first()
+    return {name: (row[f"q{i}"], row[f"c{i}"]) for i, name in enumerate(means)}
+
+
+def completed(rows: DataFrame) -> DataFrame:
+    """Ratios and scores from counts and moments."""
     n, total = F.col("non_null_rows"), F.col("rows")
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     entropy = F.greatest(F.col("entropy"), F.lit(0.0))
@@ -83,7 +80,7 @@ def completed(rows: DataFrame, table: str) -> DataFrame:
     ident = UNIQUENESS * share(F.col("distinct_count"), total) + ENTROPY * ratio + COMPLETENESS * (1 - sparsity)
     label = reduce(lambda rest, x: F.when(ident >= x[0], x[1]).otherwise(rest), reversed(LABELS), F.lit("VERY_LOW"))
     return rows.select(
-        F.lit(table).alias("table_name"), "column_name", "column_type", "kind", "rows", "non_null_rows", (total - n).alias("null_rows"),
+        "table_name", "column_name", "column_type", "kind", "rows", "non_null_rows", (total - n).alias("null_rows"),
         F.round(share(total - n, total), 6).alias("null_ratio"), "distinct_count",
         F.round(share(F.col("distinct_count"), n), 6).alias("uniqueness_ratio"), "min_value", "max_value",
         F.round(entropy, 6).alias("entropy"), F.round(ratio, 6).alias("entropy_ratio"), F.round(sparsity, 6).alias("sparsity"),
@@ -92,12 +89,8 @@ def completed(rows: DataFrame, table: str) -> DataFrame:
 
 
 def profile(df: DataFrame, table: str) -> DataFrame:
-    """The profile of a table as one DataFrame, a row for each analysed column."""
-    fields = analysed(df)
-    if not fields:
-        return df.sparkSession.createDataFrame([], PROFILE)
-    counted = reduce(DataFrame.unionAll, [frequencies(df, f.name) for f in fields])
-    return completed(moments(df, fields).join(F.broadcast(counted), "column_name"), table)  # a row for each column
+    """The profile of a table, computed now: a row for each analysed column."""
+    return profile_all(df.sparkSession, {table: df})
 
 
 def evidence_of(rows) -> list[ColumnEvidence]:
@@ -109,27 +102,25 @@ def evidence_of(rows) -> list[ColumnEvidence]:
 
 def profile_all(spark: SparkSession, tables: dict[str, DataFrame], threads: int = THREADS) -> DataFrame:
     """The profiles of all tables, computed now; jobs of different columns overlap."""
-    jobs = [(t, df, None) for t, df in tables.items()] + [(t, df, f.name) for t, df in tables.items() for f in analysed(df)]
-
-    def run(job):
-        table, df, column = job
-        fields = analysed(df)
-        if column is None:
-            return [(table, *r) for r in moments(df, fields).collect()] if fields else []
-        return [(table, *frequencies(df, column).first())]
-
+    fields = {t: analysed(df) for t, df in tables.items()}
     with ThreadPoolExecutor(threads) as pool:
-        found = list(pool.map(run, jobs))
-    first = [r for rows in found[:len(tables)] for r in rows]
-    counts = [r for rows in found[len(tables):] for r in rows]
-    parts = []
-    m = spark.createDataFrame(first, "table_name string, rows long, column_name string, column_type string, kind string, non_null_rows long, "
-                              "min_value string, max_value string, variation_coefficient double, skewness_score double")
-    c = spark.createDataFrame(counts, "table_name string, column_name string, distinct_count long, entropy double")
-    joined = m.join(c, ["table_name", "column_name"])
-    for t in tables:
-        parts.append(completed(joined.filter(F.col("table_name") == t), t))
-    return spark.createDataFrame(reduce(DataFrame.unionAll, parts).collect(), PROFILE) if parts else spark.createDataFrame([], PROFILE)
+        jobs = [(t, f) for t in tables for f in fields[t]]
+        counted = list(zip(jobs, pool.map(lambda j: frequencies(tables[j[0]], j[1]).first(), jobs)))
+        means: dict[str, dict[str, float]] = {}
+        for (t, _), r in counted:
+            if r.mean is not None and math.isfinite(r.mean):
+                means.setdefault(t, {})[r.column_name] = r.mean
+        sums = dict(zip(means, pool.map(lambda t: central_sums(tables[t], means[t]), means)))
+    rows = []
+    for (t, _), r in counted:
+        second, third = sums.get(t, {}).get(r.column_name, (None, None))
+        rows.append((t, *r, second, third))
+    found = spark.createDataFrame(rows, f"table_name string, {_COUNTED}, second double, third double")
+    n, q = F.col("non_null_rows"), F.col("second")
+    mean = F.when(F.col("mean") == 0, None).otherwise(F.col("mean"))
+    scored = found.withColumn("variation_coefficient", _squashed(F.try_divide(F.sqrt(q / n), mean))).withColumn(
+        "skewness_score", _squashed(F.when(q > 0, F.sqrt(n.cast("double")) * F.col("third") / F.pow(q, F.lit(1.5)))))
+    return spark.createDataFrame(completed(scored).collect(), PROFILE)  # a row for each column of the tables
 
 
 def low_cardinality(profiles: DataFrame, most: float = 0.2, least_rows: int = 10) -> DataFrame:

@@ -321,12 +321,11 @@ _KEYED = ("region", "nation", "customer", "supplier", "part", "orders")
 
 def _table_roles(spark, sf):
     p = _profiles(spark, sf, STAR, aliased=True)
-    additive = ~names.key_like_col(F.col("column_name")) & F.col("kind").isin("integer", "continuous") & (F.col("distinct_count") > 1) & (F.col("uniqueness_ratio") < 0.95) & (
-        (F.col("entropy_ratio") >= 0.05) | (F.col("variation_coefficient") >= 0.05))
-    measures = p.groupBy("table_name").agg(F.count_if(additive).alias("measures"))
+    measures = p.groupBy("table_name").agg(F.count_if(graph.additive_column()).alias("measures"))
     has = F.col("table_name").isin(*_KEYED)
-    return (profile.kind_counts(p).join(measures, "table_name").join(graph.degrees(_edge_rows(spark)), "table_name", "left")
-            .fillna(0, ["outgoing", "incoming"]).withColumns({"has_key": has, "grain": has}).withColumn("role", graph.role_column())
+    tables = (profile.kind_counts(p).join(measures, "table_name").join(graph.degrees(_edge_rows(spark)), "table_name", "left")
+              .fillna(0, ["outgoing", "incoming"]).withColumns({"has_key": has, "grain": has}))
+    return (graph.role_columns(tables)
             .select("table_name", "measures", "outgoing", "incoming", "role"))
 
 

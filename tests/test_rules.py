@@ -111,8 +111,19 @@ def test_logical_plans():
     (dict(rows=9, outgoing=1, incoming=0, has_key=True, numeric=1, text=1, measures=0), "DIMENSION"),
     (dict(rows=9, outgoing=0, incoming=1, has_key=True, numeric=3, text=1, measures=0), "DIMENSION"),
     (dict(rows=9, outgoing=0, incoming=1, has_key=False, numeric=3, text=1, measures=0), "UNKNOWN")])
-def test_roles(given, role):
-    assert graph.classify(**given)[0] == role
+def test_roles(spark, given, role):
+    row = dict(measures=None, grain=False) | given
+    table = spark.createDataFrame([tuple(row[k] for k in sorted(row))], ", ".join(f"{k} {'boolean' if k in ('grain', 'has_key') else 'long'}" for k in sorted(row)))
+    assert graph.role_columns(table).first().role == role
+
+
+def test_additive_measures_of_records_and_rows_agree(spark):
+    cases = [col(n, "t", kind=k, uniqueness=u, distinct=d, entropy_ratio=e, variation=v) for n in ("amount", "client_id") for k in ("integer", "continuous", "text")
+             for u in (0.2, 0.99) for d in (1, 9) for e in (0.0, 0.2) for v in (0.0, 0.3)]
+    rows = spark.createDataFrame([(i, c.column, c.kind, c.distinct, c.uniqueness, c.entropy_ratio, c.variation) for i, c in enumerate(cases)],
+                                 "i long, column_name string, kind string, distinct_count long, uniqueness_ratio double, entropy_ratio double, variation_coefficient double")
+    got = {r.i: r.yes for r in rows.select("i", graph.additive_column().alias("yes")).collect()}
+    assert got == {i: graph.additive_measure(c) for i, c in enumerate(cases)}
 
 
 def test_models_and_scores():
