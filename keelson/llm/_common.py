@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from contextlib import suppress
@@ -141,11 +142,18 @@ def only(key: object, make):
     Workers are reused by all operators of a session, so that each operator's caches would stay otherwise.
     """
     if key not in _kept:
-        _kept.clear()
+        release()
         _kept[key] = make()
     return _kept[key]
 
 
+def release() -> None:
+    """Free what this worker keeps: called first by tasks that keep nothing."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which its owner sizes to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions, rows_with, rows_without, salted_join, settle, with_maybe
+from ._common import partitions, release, rows_with, rows_without, salted_join, settle, with_maybe
 
 #: Bits of a fingerprint. Fewer bits make messages smaller and suspects more; results don't depend on it.
 FP_BITS = 48
@@ -86,6 +86,7 @@ def _scan(owners: int):
     bounds = _bounds(owners)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         src, seen = TaskContext.get().partitionId(), []
         schema = pa.schema([("src", pa.int32()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("sha", pa.binary()),
                             ("owner", pa.int32()), ("message", pa.binary()), ("locals", pa.binary())])

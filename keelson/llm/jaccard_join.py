@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import salted_join, settle, with_maybe
+from ._common import release, salted_join, settle, with_maybe
 from .words import Words, mix
 
 INDEX = 2048
@@ -224,6 +224,7 @@ def _sets_of(texts: list[bytes], k: int, seen: set[int]) -> Iterator[tuple[int,
 def _nodes(k: int):
     """(doc_id, text) -> the node of each document, and its point where the task meets it first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         for b in batches:
             rows = [(n, node, None if x is None else point(x, mixed)) for n, node, x, mixed in _sets_of([t or b"" for t in b.column(1).to_pylist()], k, seen)]
@@ -236,6 +237,7 @@ def _nodes(k: int):
 def _sent(k: int, num: int, den: int):
     """(doc_id, text) -> (node, signature)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         plan, seen = Plan(num, den), set()
         for b in batches:
             nodes, counts, sent = [], [], []

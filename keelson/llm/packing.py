@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import partitions, settle
-from .tokens import encoder
+from .tokens import encoder, sliced
 
 CAPACITY = 2048
 END_ID = 0
@@ -149,11 +149,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     A document longer than ``capacity`` is cut so that all pieces but the first are full.
     """
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+        """Ids and texts, a megabyte at a time: the ids of a whole batch would be several times its texts."""
+        for b in batches:
+            at = 0
+            for part in sliced([t or "" for t in b.column(1).to_pylist()]):
+                yield b.column(0).slice(at, len(part)), part
+                at += len(part)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer, True), int(end_id).to_bytes(4, "little")
-        for b in batches:
-            ids, rows = b.column(0), []
-            for i, data in enumerate(coder.encode([t or "" for t in b.column(1).to_pylist()])):
+        for ids, texts in slices(batches):
+            rows = []
+            for i, data in enumerate(coder.encode(texts)):
                 data += end
                 n = len(data) // 4
                 first = n - (n - 1) // capacity * capacity

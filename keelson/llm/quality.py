@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import settle
+from ._common import release, settle
 from .tokens import sliced
 from .words import Words
 
@@ -279,6 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = F.broadcast(docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             x = np.concatenate(features([t or b"" for t in b.column(1).to_pylist()]), axis=1).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["positive", "x"])
@@ -292,6 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     search = Search(positive, unlabelled)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             texts = [t or b"" for t in b.column(1).to_pylist()]
             x = np.concatenate([np.rint(search.scaled(np.concatenate(features(part), axis=1)) * STEPS).astype(np.int8) for part in sliced(texts)]) if texts else []
@@ -325,6 +327,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             texts = [(t or "").encode() for t in b.column(at).to_pylist()]
             scores = np.concatenate([model.score(part) for part in sliced(texts)]) if texts else []

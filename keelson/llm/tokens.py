@@ -16,8 +16,8 @@ from collections.abc import Iterable, Iterator
 
 from ._common import only
 
-#: Chunks of one generation kept by a worker (about 40 MB); the generation before it is kept, too.
-KEPT_CHUNKS = 200_000
+#: Chunks of one generation kept by a worker (about 25 MB); the generation before it is kept, too.
+KEPT_CHUNKS = 120_000
 #: Bytes of text taken at once.
 SLICE = 1 << 20
 
