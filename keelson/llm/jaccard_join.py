@@ -49,6 +49,7 @@ BEST_ROUNDS = 2
 LEAF = 24
 _U = np.uint64
 _PIECE = 1 << 20  # bytes of text taken at once
+_SENT = 1 << 16  # signatures sent at once: as large as their texts, they must not pile up
 #: Coordinates of the tree; the points themselves have more.
 TREE_DIMS = 64
 
@@ -91,9 +92,9 @@ class Plan:
                 self._groups[c] = (g, most)
         return self._groups[c]
 
-    def signatures(self, x: np.ndarray, mixed: np.ndarray) -> list[int]:
+    def signatures(self, x: np.ndarray, mixed: np.ndarray) -> np.ndarray:
         """Of the sorted distinct hashes ``x`` of a set (``mixed``: mixed once more)."""
-        out = []
+        out = [np.zeros(0, np.int64)]
         high = x >> _U(32)
         for c in self.classes(len(x)):
             g, most = self.groups(c)
@@ -106,8 +107,8 @@ class Plan:
             if (~full).sum() >= g - most:
                 full[:] = True  # counting needs the empty groups too
             keys = mix(sums + mix(np.arange(g, dtype=np.uint64) + _U(c << 40)))
-            out += keys[full].astype(np.int64).tolist()
-        return out
+            out.append(keys[full].astype(np.int64))
+        return np.concatenate(out)
 
 
 def point(x: np.ndarray, mixed: np.ndarray) -> bytes:
@@ -239,15 +240,23 @@ def _sent(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         plan, seen = Plan(num, den), set()
+        nodes, sent, held = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            own = np.repeat(np.array(nodes, np.int64), [len(s) for s in sent])
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(sent))], names=["node", "sig"])
+
         for b in batches:
-            nodes, counts, sent = [], [], []
             for _, node, x, mixed in _sets_of([t or b"" for t in b.column(1).to_pylist()], k, seen):
                 if x is not None:
-                    sent.append(np.array(plan.signatures(x, mixed), np.int64))
                     nodes.append(node)
-                    counts.append(len(sent[-1]))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.concatenate(sent))], names=["node", "sig"])
+                    sent.append(plan.signatures(x, mixed))
+                    held += len(sent[-1])
+                if held > _SENT:
+                    yield batch()
+                    nodes, sent, held = [], [], 0
+        if nodes:
+            yield batch()
 
     return run
 

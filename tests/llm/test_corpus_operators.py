@@ -134,7 +134,7 @@ def test_every_linked_pair_shares_a_signature():
                 if both == len(x):
                     continue
                 assert 100 * both >= num * (len(x) + len(y) - both)
-                sent = [set(plan.signatures(v, jaccard_join.mix(v))) for v in (x, y)]
+                sent = [set(plan.signatures(v, jaccard_join.mix(v)).tolist()) for v in (x, y)]
                 assert sent[0] & sent[1]
 
 
