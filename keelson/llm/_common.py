@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -154,6 +155,25 @@ def release() -> None:
         gc.collect()
 
 
+def trimmed(run):
+    """``run``, a function for mapInArrow; what its task used goes back to the machine when it ends.
+
+    Workers stay for a while after their last task; the allocators would keep its peak for them.
+    """
+    def whole(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which its owner sizes to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions, release, rows_with, rows_without, salted_join, settle, with_maybe
+from ._common import partitions, release, rows_with, rows_without, salted_join, settle, trimmed, with_maybe
 
 #: Bits of a fingerprint. Fewer bits make messages smaller and suspects more; results don't depend on it.
 FP_BITS = 48
@@ -165,7 +165,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     owners = owners or partitions(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    scan = settle(slim.mapInArrow(_scan(owners), _SCAN), "dedup-scan")
+    scan = settle(slim.mapInArrow(trimmed(_scan(owners)), _SCAN), "dedup-scan")
     replies = (scan.filter("owner is not null").select("src", "owner", "message", "locals")
                .groupBy("owner").applyInArrow(_answer(owners), "src int, owner int, bitmap binary"))
     marked = settle(
@@ -181,7 +181,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")).alias("first"), F.count("*").alias("n"))
                   .select("fp", F.col("first.doc_id").alias("keep_id"), F.col("first.sha").alias("keep_sha"), "n"), "dedup-leads")
     # The fingerprints are a filter on the second scan; texts of the others stay where they are.
-    body = settle(with_maybe(slim.mapInArrow(_texts, "doc_id long, fp long, sha binary, body binary"), "fp", lead, "m")
+    body = settle(with_maybe(slim.mapInArrow(trimmed(_texts), "doc_id long, fp long, sha binary, body binary"), "fp", lead, "m")
                   .filter("m").drop("m").withColumn("row", F.xxhash64("fp", "doc_id", "sha")), "dedup-bodies")
     leads = lead.withColumn("row", F.xxhash64("fp", F.col("keep_id").alias("doc_id"), F.col("keep_sha").alias("sha")))
     ours = leads.select("row", F.col("fp").alias("its"), "keep_id", "keep_sha", "n")

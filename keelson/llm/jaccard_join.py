@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import release, salted_join, settle, with_maybe
+from ._common import release, salted_join, settle, trimmed, with_maybe
 from .words import Words, mix
 
 INDEX = 2048
@@ -232,7 +232,7 @@ def _nodes(k: int):
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary())))],
                                              names=["doc_id", "n", "node", "vector"])
 
-    return run
+    return trimmed(run)
 
 
 def _sent(k: int, num: int, den: int):
@@ -258,7 +258,7 @@ def _sent(k: int, num: int, den: int):
         if nodes:
             yield batch()
 
-    return run
+    return trimmed(run)
 
 
 def _sets(k: int):
@@ -270,7 +270,7 @@ def _sets(k: int):
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()),
                                                   pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return run
+    return trimmed(run)
 
 
 def _bounded(num: int, den: int):
@@ -281,7 +281,7 @@ def _bounded(num: int, den: int):
             keep = [overlap_bound(unpacked(va), unpacked(vb)) >= plan.need(na + nb) for na, nb, va, vb in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return trimmed(run)
 
 
 def coarse(vector: bytes) -> bytes:
@@ -363,7 +363,7 @@ def _searched(num: int, den: int, best: bool):
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return run
+    return trimmed(run)
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:

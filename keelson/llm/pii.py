@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import trimmed
+
 #: Kinds in the order in which spans of equal start are listed.
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "secret")
 BASE = KINDS[:4]
@@ -285,4 +287,4 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [redact(t, s) if t and (s := find_spans(t)) else t for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at).name, pa.array(texts, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import release, settle
+from ._common import release, settle, trimmed
 from .tokens import sliced
 from .words import Words
 
@@ -256,7 +256,7 @@ def _sums(rows: DataFrame, columns: str, of) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(v)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v, pa.float64())], names=["name", "i", "v"])
 
     out: dict[str, np.ndarray] = {}
-    got = rows.select("positive", columns).mapInArrow(run, "name string, i int, v double").groupBy("name", "i").agg(F.sum("v").alias("v")).collect()  # as many rows as features
+    got = rows.select("positive", columns).mapInArrow(trimmed(run), "name string, i int, v double").groupBy("name", "i").agg(F.sum("v").alias("v")).collect()  # as many rows as features
     for r in sorted(got):
         out.setdefault(r.name, []).append(r.v)
     return {k: np.array(v) for k, v in out.items()}
@@ -284,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = np.concatenate(features([t or b"" for t in b.column(1).to_pylist()]), axis=1).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["positive", "x"])
 
-    rows = texts.join(picked, "id").select("positive", "text").mapInArrow(raw, "positive boolean, x binary").collect()
+    rows = texts.join(picked, "id").select("positive", "text").mapInArrow(trimmed(raw), "positive boolean, x binary").collect()
     width = STYLE + BINS
     read = lambda flag: np.array([np.frombuffer(r.x, np.float32) for r in rows if r.positive == flag], float).reshape(-1, width)
     positive, unlabelled = read(True), read(False)
@@ -301,7 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                                              names=["id", "style", "x"])
 
     # A byte a feature meets its label; texts stay where they are.  Rows labelled otherwise than 1 are not used.
-    every = settle(texts.mapInArrow(kept, T.StructType([texts.schema["id"], T.StructField("style", T.BinaryType()), T.StructField("x", T.BinaryType())]))
+    every = settle(texts.mapInArrow(trimmed(kept), T.StructType([texts.schema["id"], T.StructField("style", T.BinaryType()), T.StructField("x", T.BinaryType())]))
                    .join(known, "id", "left").filter("good is null or good = 1")
                    .select("id", "style", "x", F.col("good").isNotNull().alias("positive")), "quality-rows")
     odd = F.pmod(F.xxhash64("id", F.lit(13)), F.lit(2)) == 1
@@ -333,4 +333,4 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             scores = np.concatenate([model.score(part) for part in sliced(texts)]) if texts else []
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
