@@ -9,7 +9,10 @@ are verified on the sets themselves.
 Where points meet: sets as similar as asked differ in few shingles, so among more hash
 groups than that some hold the very same shingles on both sides.  Each set sends a
 signature of each group, and only sets that share one are indexed together.  This is
-by counting, for sets of any size, so no pair similar enough is missed.
+by counting, for sets of any size, so no pair similar enough is missed.  With
+``exact=False`` large sets take fewer and larger groups, chosen so that a pair just
+similar enough is expected to share ``EXPECTED`` of them: it shares none with a chance
+of about e**-EXPECTED, and passages that many texts have rarely fill a group.
 
 Links, not pairs, are the result.  Copies of a set are one node.  First each node is
 checked against the least node of its signatures, which joins groups of near copies
@@ -41,6 +44,7 @@ from pyspark.sql import functions as F
 from ._common import release, salted_join, settle, trimmed, with_maybe
 from .words import Words, mix
 
+EXPECTED = 30.0
 INDEX = 2048
 #: Queries of a block that go to one task.
 ASKS = 4 * INDEX
@@ -57,8 +61,8 @@ TREE_DIMS = 64
 class Plan:
     """Classes of set sizes and the number of signature groups of each, for similarity num / den."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, exact: bool = True):
+        self.num, self.den, self.exact = num, den, exact
         self.low = [1]
         while self.low[-1] < 1 << 40:
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * 1.6)))
@@ -76,7 +80,7 @@ class Plan:
         return range(self.class_of(n), self.class_of(n * self.den // self.num) + 1)
 
     def groups(self, c: int) -> tuple[int, int]:
-        """(groups, most differing shingles of a linked pair); no groups: only equal sets link."""
+        """(groups, most differing shingles of a linked pair, -1 if counting proves no shared group); no groups: only equal sets link."""
         if not hasattr(self, "_groups"):
             self._groups: dict[int, tuple[int, int]] = {}
         if c not in self._groups:
@@ -89,7 +93,10 @@ class Plan:
                 small = max(1, self.low[c] * self.num // self.den)
                 while g - most - 1 < 1 + 2 * g * math.exp(-small / g) and g < 1.5 * most + 4:
                     g += 1
-                self._groups[c] = (g, most)
+                few = max(40, most // 4)
+                while few < g and few * math.exp(-most / few) < EXPECTED:
+                    few += max(1, few // 50)
+                self._groups[c] = (g, most) if self.exact or few >= g else (few, -1)
         return self._groups[c]
 
     def signatures(self, x: np.ndarray, mixed: np.ndarray) -> np.ndarray:
@@ -104,7 +111,7 @@ class Plan:
             sums = np.append(np.cumsum(np.append(_U(0), mixed))[cuts], mixed.sum(dtype=_U))
             sums = np.diff(sums)
             full = np.diff(np.append(cuts, len(x))) > 0
-            if (~full).sum() >= g - most:
+            if most >= 0 and (~full).sum() >= g - most:
                 full[:] = True  # counting needs the empty groups too
             keys = mix(sums + mix(np.arange(g, dtype=np.uint64) + _U(c << 40)))
             out.append(keys[full].astype(np.int64))
@@ -235,11 +242,11 @@ def _nodes(k: int):
     return trimmed(run)
 
 
-def _sent(k: int, num: int, den: int):
+def _sent(k: int, num: int, den: int, exact: bool):
     """(doc_id, text) -> (node, signature)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        plan, seen = Plan(num, den), set()
+        plan, seen = Plan(num, den, exact), set()
         nodes, sent, held = [], [], 0
 
         def batch() -> pa.RecordBatch:
@@ -388,14 +395,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
+                       exact: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; sets link at similarity num / den."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     table = settle(slim.mapInArrow(_nodes(k), _NODES), "join-nodes")
     points = table.filter("vector is not null").select("node", "n", "vector").dropDuplicates(["node"])
     # Signatures are as large as the text: they are computed twice and never stored.  Counted before the
     # shuffle, they tell which are shared; only those travel with their nodes, a frequent one to many tasks.
-    sent = slim.mapInArrow(_sent(k, num, den), "node long, sig long")
+    sent = slim.mapInArrow(_sent(k, num, den, exact), "node long, sig long")
     shared = settle(sent.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("n")).filter("lead <> last").drop("last"), "join-shared")
     member = settle(salted_join(with_maybe(sent, "sig", shared, "m").filter("m").drop("m"), shared.drop("n"), "sig", shared.select("sig", "n"), ["node"]).distinct(), "join-members")
     light = settle(points.mapInArrow(_coarse, "node long, n long, vector binary"), "join-coarse")
