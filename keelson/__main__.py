@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from .plans.pipeline import Pipeline
 from .sources import csv_folder
+from .sources.evidence import Store
 
 #: Command -> (last stage it needs, what it prints).
 COMMANDS = {
@@ -47,6 +48,8 @@ def parser() -> argparse.ArgumentParser:
     many.add_argument("target")
     for c in COMMANDS:
         sub.add_parser(c).add_argument("folder")
+    for p in (one, many):
+        p.add_argument("--store", help="folder of the evidence; each import leaves its record there")
     j = sub.add_parser("evaluate-join")
     for a in ("folder", "source", "columns", "target", "target_columns"):
         j.add_argument(a)
@@ -62,10 +65,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None):
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("keelson").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     split = lambda s: tuple(x.strip() for x in s.split(",") if x.strip())
+    store = Store(spark, a.store) if getattr(a, "store", None) else None
     if a.command == "ingest-csv":
-        out = csv_folder.import_file(spark, a.path, a.target, a.if_exists)
+        out = csv_folder.import_file(spark, a.path, a.target, a.if_exists, store)
     elif a.command == "ingest-folder":
-        out = csv_folder.import_folder(spark, a.folder, a.target)
+        out = csv_folder.import_folder(spark, a.folder, a.target, store)
     else:
         p = Pipeline.from_folder(spark, a.folder)
         if a.command == "evaluate-join":

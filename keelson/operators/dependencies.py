@@ -27,6 +27,11 @@ def is_unique(df: DataFrame, columns) -> bool:
     return duplicate_groups(df, columns).isEmpty()
 
 
+def unique_only(df: DataFrame, candidates) -> list[tuple[str, ...]]:
+    """Those of the column tuples that are unique, in their order."""
+    return [tuple(c) for c in candidates if is_unique(df, c)]
+
+
 def unique_test(df: DataFrame, table: str, candidates) -> DataFrame:
     """(table_name, columns, is_unique) for each candidate column tuple."""
     def one(columns):

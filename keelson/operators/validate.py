@@ -129,7 +129,7 @@ class Grains:
             if not n:
                 grain = self.minimal(fact, grain)
         ok = bool(grain) and n == 0
-        reason = "Fact grain is deterministic." if ok else f"{n} duplicated grain combination(s) found." if grain else "No dimension key found to define the fact grain."
+        reason = "each grain has one row" if ok else f"{n} grain(s) with several rows" if grain else "no foreign key or key gives a grain"
         return {"model_id": m.id, "fact_table": fact, "grain_columns": grain, "duplicate_count": n, "is_valid": ok, "reason": reason}
 
 
@@ -161,7 +161,7 @@ def homogeneity(role: Role, columns: list[ColumnEvidence], structural: set[str])
     kind = role.role.lower()
     return {"table_name": role.table, "role": role.role, "is_valid": not bad, "homogeneity_score": round(max(0.0, 1 - 0.2 * len(bad)), 2),
             "columns": bad, "issue_count": len(bad),
-            "reason": f"Columns out of place in a {kind} table: {', '.join(bad)}" if bad else f"Pure and homogeneous {kind} table"}
+            "reason": f"Columns out of place in a {kind} table: {', '.join(bad)}" if bad else f"every column fits a {kind} table"}
 
 
 # -- stability --------------------------------------------------------------

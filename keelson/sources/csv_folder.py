@@ -1,7 +1,9 @@
 """CSV folders as typed DataFrames: dirty rows out, types inferred from all values.
 
-The driver looks at a file's first kilobytes (encoding, delimiter, header); rows are
-parsed, cleaned, judged and cast by Spark.
+The driver looks at a file's first kilobytes (byte-order mark, delimiter, header), through
+Spark's file systems, so folders may lie anywhere that Spark reads.  One pass of Spark over
+the raw lines tells the encoding and whether a quoted value spans lines; only then a file
+is parsed as a whole, else in splits.  Rows are parsed, cleaned, judged and cast by Spark.
 """
 
 from __future__ import annotations
@@ -9,10 +11,10 @@ from __future__ import annotations
 import codecs
 import csv
 import io
-from collections.abc import Iterator
+import time
 from dataclasses import dataclass
 from functools import reduce
-from pathlib import Path
+from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,36 +26,81 @@ NULL_TOKENS = ("", "null", "none", "nan", "na", "n/a", "\\n")
 METADATA_PREFIXES = ("export date", "exported", "source", "generated", "report")
 GENERIC_FOLDERS = ("data", "dataset", "datasets", "csv", "raw")
 DATES = (r"^(?<y>\d{4})-(?<m>\d{1,2})-(?<d>\d{1,2})$", r"^(?<d>\d{1,2})/(?<m>\d{1,2})/(?<y>\d{4})$")
-BOMS = ((codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF8, "utf-8-sig"),
-        (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
-#: What Spark's CSV reader can decode itself.
-SPARK_ENCODINGS = {"utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1"}
 EXTRA = "__extra"
+HEAD = 1 << 16
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What counts as null and as a date; patterns name their groups y, m and d."""
+
+    null_tokens: tuple[str, ...] = NULL_TOKENS
+    dates: tuple[str, ...] = DATES
 
 
 # -- what a file looks like -------------------------------------------------
 
-def decodes(path: Path, encoding: str) -> bool:
-    decoder = codecs.getincrementaldecoder(encoding)("strict")
+def first_bytes(spark: SparkSession, path, size: int = HEAD) -> bytes:
+    """The head of a file of any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
     try:
-        with path.open("rb") as file:
-            while piece := file.read(1 << 16):
-                decoder.decode(piece)
-        decoder.decode(b"", True)
-    except UnicodeDecodeError:
-        return False
-    return True
-
-
-def detect_encoding(path: str | Path) -> str:
-    """By byte-order mark, else strict UTF-8, else cp1252, else latin-1."""
-    path = Path(path)
-    with path.open("rb") as file:
-        start = file.read(4)
-    for mark, name in BOMS:
-        if start.startswith(mark):
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
+def csv_files(spark: SparkSession, folder) -> list[str]:
+    """All .csv files below a folder, as paths relative to it, sorted."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(str(folder))
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(root).toString().rstrip("/") + "/"
+    found, todo = [], system.listFiles(root, True)
+    while todo.hasNext():
+        p = todo.next().getPath().toString()
+        if p.endswith(".csv"):
+            found.append(p[len(base):])
+    return sorted(found)
+
+
+#: Encodings that their first bytes tell; the longer marks come first, as one begins with another.
+MARKED = {"utf-32": (codecs.BOM_UTF32_LE, codecs.BOM_UTF32_BE), "utf-8-sig": (codecs.BOM_UTF8,), "utf-16": (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)}
+#: Bytes that cp1252 leaves undefined, and what stands for the others where latin-1 has control characters.
+_UNDEFINED = [b for b in range(0x80, 0xA0) if not bytes([b]).decode("cp1252", "ignore")]
+_CONTROLS = [b for b in range(0x80, 0xA0) if b not in _UNDEFINED]
+
+
+@dataclass(frozen=True)
+class Lines:
+    """What the lines of a file as raw bytes tell."""
+
+    utf8: bool
+    cp1252: bool
+    spans: bool
+
+
+def look_at_lines(spark: SparkSession, path) -> Lines:
+    """One pass: valid UTF-8, free of what cp1252 lacks, and whether a line ends within quotes (an odd number of them)."""
+    v = F.col("value")
+    undefined = f"^(?:..)*(?:{'|'.join(f'{b:02X}' for b in _UNDEFINED)})"
+    quotes = F.length(F.regexp_replace(F.hex(v.cast("binary")), "(?:22|(..))", "$1"))
+    r = spark.read.text(str(path)).agg(
+        F.bool_and(F.is_valid_utf8(v)).alias("utf8"),
+        F.bool_or(F.hex(v.cast("binary")).rlike(undefined)).alias("undefined"),
+        F.bool_or((F.octet_length(v) - quotes / 2) % 2 == 1).alias("spans")).first()
+    return Lines(r.utf8 is not False, not r.undefined, bool(r.spans))
+
+
+def _encoding(head: bytes, lines: Lines) -> str:
+    for name, marks in MARKED.items():
+        if head.startswith(marks):
             return name
-    return "utf-8-sig" if decodes(path, "utf-8") else "cp1252" if decodes(path, "cp1252") else "latin-1"
+    return "utf-8-sig" if lines.utf8 else "cp1252" if lines.cp1252 else "latin-1"
+
+
+def detect_encoding(spark: SparkSession, path) -> str:
+    """By byte-order mark, else UTF-8 if every line is, else cp1252, else latin-1."""
+    return _encoding(first_bytes(spark, path, 4), look_at_lines(spark, path))
 
 
 def steadiest_delimiter(sample: str) -> str:
@@ -68,9 +115,7 @@ def steadiest_delimiter(sample: str) -> str:
     return best[2]
 
 
-def detect_delimiter(path: str | Path, encoding: str | None = None) -> str:
-    with Path(path).open(encoding=encoding or detect_encoding(path), newline="") as file:
-        sample = file.read(8192)
+def detect_delimiter(sample: str) -> str:
     try:
         return csv.Sniffer().sniff(sample, "".join(DELIMITERS)).delimiter
     except csv.Error:
@@ -94,58 +139,53 @@ def dedupe(names: list[str]) -> list[str]:
 
 @dataclass(frozen=True)
 class Layout:
-    """Encoding, delimiter and cleaned column names of a file."""
+    """Encoding, delimiter and cleaned column names of a file, and whether a value spans lines."""
 
     encoding: str
     delimiter: str
     columns: tuple[str, ...]
-
-
-def layout(path: str | Path) -> Layout:
-    encoding = detect_encoding(path)
-    delimiter = detect_delimiter(path, encoding)
-    with Path(path).open(encoding=encoding, newline="") as file:
-        header = next(csv.reader(file, delimiter=delimiter), None)
+    spans: bool = True
+
+
+def layout(spark: SparkSession, path) -> Layout:
+    lines, size = look_at_lines(spark, path), HEAD
+    head = first_bytes(spark, path, size)
+    encoding = _encoding(head, lines)
+    while True:
+        text = codecs.getincrementaldecoder(encoding)("strict").decode(head)
+        rows = csv.reader(io.StringIO(text, newline=""), delimiter=(delimiter := detect_delimiter(text[:8192])))
+        header = next(rows, None)
+        if len(head) < size or next(rows, None) is not None:  # a second row: the header is whole
+            break
+        size *= 8
+        head = first_bytes(spark, path, size)
     if not header:
         raise ValueError(f"{path}: a header is needed")
-    return Layout(encoding, delimiter, tuple(dedupe([clean_identifier(h) for h in header])))
+    return Layout(encoding, delimiter, tuple(dedupe([clean_identifier(h) for h in header])), lines.spans)
 
 
-def table_name(folder: str | Path, file: str | Path) -> str:
-    """The file's stem, or its first folder below ``folder`` unless that has a generic name."""
-    parts = Path(file).relative_to(folder).parts
-    return clean_identifier(parts[0] if len(parts) > 1 and parts[0].lower() not in GENERIC_FOLDERS else Path(file).stem)
+def table_name(relative) -> str:
+    """The file's stem, or its first folder unless that has a generic name."""
+    parts = PurePosixPath(relative).parts
+    return clean_identifier(parts[0] if len(parts) > 1 and parts[0].lower() not in GENERIC_FOLDERS else PurePosixPath(relative).stem)
 
 
 # -- rows -------------------------------------------------------------------
 
-def _decoded(encoding: str, delimiter: str, width: int):
-    """Rows of whole files that Spark's reader can't decode."""
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                rows = csv.reader(io.StringIO(content.decode(encoding), newline=""), delimiter=delimiter)
-                next(rows, None)
-                cut = [(r + [None] * width)[:width - 1] + [delimiter.join(r[width - 1:]) or ("" if len(r) >= width else None)] for r in rows if r]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in cut], pa.string()) for i in range(width)],
-                                                 names=[f"c{i}" for i in range(width)])
+def raw_rows(spark: SparkSession, path, how: Layout) -> DataFrame:
+    """All rows as text; what stands beyond the header's columns is in EXTRA.
 
-    return run
-
-
-def raw_rows(spark: SparkSession, path: str | Path, how: Layout) -> DataFrame:
-    """All rows as text; what stands beyond the header's columns is in EXTRA."""
+    cp1252 is read as latin-1, and its own characters put in place of the control characters.
+    """
     names = [*how.columns, EXTRA]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    if how.encoding in SPARK_ENCODINGS:
-        df = spark.read.csv(str(path), schema=schema, header=True, sep=how.delimiter, quote='"', escape='"', multiLine=True,
-                            encoding=SPARK_ENCODINGS[how.encoding], enforceSchema=True, mode="PERMISSIVE", emptyValue="", nullValue=None,
-                            maxCharsPerColumn=-1)
-    else:
-        df = (spark.read.format("binaryFile").load(str(path)).select("content")
-              .mapInArrow(_decoded(how.encoding, how.delimiter, len(names)), schema))
+    wide = how.encoding in ("utf-16", "utf-32")  # their line ends are no single bytes
+    charset = {"utf-8-sig": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}.get(how.encoding, how.encoding.upper())
+    df = spark.read.csv(str(path), schema=schema, header=True, sep=how.delimiter, quote='"', escape='"', multiLine=how.spans or wide,
+                        encoding=charset, enforceSchema=True, mode="PERMISSIVE", emptyValue="", nullValue=None, maxCharsPerColumn=-1)
+    if how.encoding == "cp1252":
+        controls = bytes(_CONTROLS)
+        df = df.select(*[F.translate(c, controls.decode("latin-1"), controls.decode("cp1252")).alias(c) for c in df.columns])
     return df.toDF(*names)
 
 
@@ -156,16 +196,16 @@ def is_dirty(columns) -> Column:
     return (F.size(values) == 0) | F.forall(values, lambda v: v.rlike("^-+$")) | ((F.size(values) == 1) & note)
 
 
-def clean_value(c: Column) -> Column:
+def clean_value(c: Column, rules: Rules = Rules()) -> Column:
     v = F.trim(c, F.lit(" \t\r\n"))
-    return F.when(F.lower(v).isin(*NULL_TOKENS), None).otherwise(v)
+    return F.when(F.lower(v).isin(*rules.null_tokens), None).otherwise(v)
 
 
-def clean_rows(rows: DataFrame) -> DataFrame:
+def clean_rows(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Without dirty rows, and with nulls for their spellings."""
     columns = [c for c in rows.columns if c != EXTRA]
     kept = rows.filter(~is_dirty(columns))
-    return kept.select(*[clean_value(F.col(f"`{c}`")).alias(c) for c in columns], *([EXTRA] if EXTRA in rows.columns else []))
+    return kept.select(*[clean_value(F.col(f"`{c}`"), rules).alias(c) for c in columns], *([EXTRA] if EXTRA in rows.columns else []))
 
 
 # -- types ------------------------------------------------------------------
@@ -176,27 +216,27 @@ def _part(v: Column, pattern: str, name: str) -> Column:
     return F.regexp_extract(v, pattern, order.index(name) + 1).try_cast("int")
 
 
-def as_date(v: Column) -> Column:
+def as_date(v: Column, rules: Rules = Rules()) -> Column:
     def one(p: str) -> Column:
         y, m, d = (_part(v, p, n) for n in "ymd")
         return F.when(v.rlike(p), F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd"))
 
-    return F.coalesce(*map(one, DATES))
+    return F.coalesce(*map(one, rules.dates))
 
 
-def as_datetime(v: Column) -> Column:
+def as_datetime(v: Column, rules: Rules = Rules()) -> Column:
     head, gap, clock = (F.regexp_extract(v, r"^(\S+?)([ T])(\d{1,2}:\d{1,2}:\d{1,2})$", i) for i in (1, 2, 3))
-    day = as_date(head)
+    day = as_date(head, rules)
     h, m, s = (F.try_element_at(F.split(clock, ":"), F.lit(i)).try_cast("int") for i in (1, 2, 3))
     fits = day.isNotNull() & (gap != "") & ((gap == " ") | head.contains("-")) & h.between(0, 23) & m.between(0, 59) & s.between(0, 59)
     return F.when(fits, F.make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day), h, m, s.cast("decimal(8,6)")))
 
 
-def as_int(v: Column) -> Column:
+def as_int(v: Column, rules: Rules = Rules()) -> Column:
     return F.when(v.rlike(r"^[+-]?[0-9]+$"), v.try_cast("long"))
 
 
-def as_float(v: Column) -> Column:
+def as_float(v: Column, rules: Rules = Rules()) -> Column:
     dotted = F.regexp_replace(v, ",", ".")
     return F.when(F.lower(dotted).rlike(r"^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"),
                   F.regexp_replace(F.lower(dotted), r"^([+-]?)inf(inity)?$", "$1Infinity").try_cast("double"))
@@ -206,14 +246,14 @@ def as_float(v: Column) -> Column:
 CASTS = (("timestamp_ntz", as_datetime), ("date", as_date), ("long", as_int), ("double", as_float))
 
 
-def infer_types(rows: DataFrame) -> DataFrame:
+def infer_types(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(name, type, nullable) of each column, from one aggregate over all rows."""
     columns = [c for c in rows.columns if c != EXTRA]
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         v = F.col(f"`{c}`")
         aggs.append(F.count(v).alias(f"n{i}"))
-        aggs += [F.count(cast(v)).alias(f"{kind}{i}") for kind, cast in CASTS]
+        aggs += [F.count(cast(v, rules)).alias(f"{kind}{i}") for kind, cast in CASTS]
     one = rows.agg(*aggs)
 
     def row(i: int, c: str) -> Column:
@@ -226,13 +266,13 @@ def infer_types(rows: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*[row(i, c) for i, c in enumerate(columns)])).alias("c")).select("c.*")
 
 
-def cast_rows(rows: DataFrame, types: dict[str, str], nullable: dict[str, bool] | None = None) -> DataFrame:
+def cast_rows(rows: DataFrame, types: dict[str, str], nullable: dict[str, bool] | None = None, rules: Rules = Rules()) -> DataFrame:
     """Typed columns; a value that can't be cast, or a null where none may be, is an error."""
     casts = dict(CASTS)
 
     def one(c: str) -> Column:
         v = F.col(f"`{c}`")
-        out = casts[types[c]](v) if types[c] in casts else v
+        out = casts[types[c]](v, rules) if types[c] in casts else v
         bad = v.isNotNull() & out.isNull()
         if nullable and not nullable[c]:
             bad = bad | v.isNull()
@@ -244,53 +284,75 @@ def cast_rows(rows: DataFrame, types: dict[str, str], nullable: dict[str, bool]
     return rows.select(*[one(c) for c in rows.columns if c != EXTRA])
 
 
-def first_rows_fit(rows: DataFrame, types: dict[str, str], n: int = 5) -> bool:
+def first_rows_fit(rows: DataFrame, types: dict[str, str], n: int = 5, rules: Rules = Rules()) -> bool:
     """Whether the first clean rows can be cast; if not, a person should look before anything is written."""
     casts = dict(CASTS)
-    bad = [F.col(f"`{c}`").isNotNull() & casts[t](F.col(f"`{c}`")).isNull() for c, t in types.items() if t in casts]
+    bad = [F.col(f"`{c}`").isNotNull() & casts[t](F.col(f"`{c}`"), rules).isNull() for c, t in types.items() if t in casts]
     return not bad or rows.limit(n).filter(reduce(lambda a, b: a | b, bad)).isEmpty()
 
 
-def read_table(spark: SparkSession, paths, sample_size: int | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """Files of one table together: (typed rows, types). Rows longer than the header are an error."""
-    parts = [raw_rows(spark, p, layout(p)) for p in paths]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    if not (long := rows.filter(F.col(EXTRA).isNotNull())).isEmpty():
-        raise ValueError(f"{', '.join(map(str, paths))}: a row has more columns than the header, {long.first().asDict()}")
-    rows = clean_rows(rows)
-    found = infer_types(rows.limit(sample_size) if sample_size else rows).collect()
+def read_files(spark: SparkSession, paths, sample_size: int | None = None, rules: Rules = Rules()) -> tuple[DataFrame, dict[str, str], dict]:
+    """Files of one table together: (typed rows, types, facts of the import). Rows longer than the header are an error."""
+    how = {p: layout(spark, p) for p in paths}
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [raw_rows(spark, p, x) for p, x in how.items()])
+    columns = [c for c in rows.columns if c != EXTRA]
+    long = F.col(EXTRA).isNotNull()
+    seen = rows.agg(F.count_if(is_dirty(columns)).alias("dirty"), F.count_if(long).alias("long"),
+                    F.first(F.when(long, F.to_json(F.struct(*rows.columns))), ignorenulls=True).alias("example")).first()
+    if seen.long:
+        raise ValueError(f"{', '.join(map(str, paths))}: {seen.long} row(s) have more columns than the header, {seen.example}")
+    rows = clean_rows(rows, rules)
+    found = infer_types(rows.limit(sample_size) if sample_size else rows, rules).collect()
     types, nullable = {r.name: r.type for r in found}, {r.name: r.nullable for r in found}
-    if sample_size and not first_rows_fit(rows, types):
+    if sample_size and not first_rows_fit(rows, types, rules=rules):
         raise ValueError("needs_human_review: the first rows don't fit the types inferred")
-    return cast_rows(rows, types, nullable), types
+    some = next(iter(how.values()))
+    return cast_rows(rows, types, nullable, rules), types, {"skipped_dirty_rows": seen.dirty, "encoding": some.encoding, "delimiter": some.delimiter}
+
 
+def read_table(spark: SparkSession, paths, sample_size: int | None = None, rules: Rules = Rules()) -> tuple[DataFrame, dict[str, str]]:
+    """Files of one table together: (typed rows, types)."""
+    return read_files(spark, paths, sample_size, rules)[:2]
 
-def read_folder(spark: SparkSession, folder: str | Path) -> dict[str, DataFrame]:
+
+def read_folder(spark: SparkSession, folder, rules: Rules = Rules()) -> dict[str, DataFrame]:
     """Every table of a folder, by name."""
-    files: dict[str, list[Path]] = {}
-    for p in sorted(Path(folder).rglob("*.csv")):
-        files.setdefault(table_name(folder, p), []).append(p)
-    return {t: read_table(spark, ps)[0] for t, ps in files.items()}
+    files: dict[str, list[str]] = {}
+    for p in csv_files(spark, folder):
+        files.setdefault(table_name(p), []).append(f"{folder}/{p}")
+    return {t: read_table(spark, ps, rules=rules)[0] for t, ps in files.items()}
+
+
+def import_file(spark: SparkSession, path, target: str, if_exists: str = "append", store=None, rules: Rules = Rules()) -> dict:
+    """One file into a Parquet table; the record of the run says how it went.
 
+    With a ``store`` the record joins its ``ingestion_runs``, of a failed run too.  Rows are counted as they are written.
+    """
+    from pyspark.sql import Observation
 
-def import_file(spark: SparkSession, path: str | Path, target: str, if_exists: str = "append") -> dict:
-    """One file into a Parquet table; the record of the run says how it went."""
     modes = {"replace": "overwrite", "append": "append", "fail": "errorifexists"}
-    run = {"source_file": str(path), "target": target, "status": "failed", "rows": 0, "columns": "", "error": ""}
+    run = {"run_ts": time.time_ns() // 1000, "source_file": str(path), "target": target, "status": "failed", "rows": 0, "skipped_dirty_rows": 0,
+           "encoding": "", "delimiter": "", "columns": "", "error": ""}
     try:
-        df, types = read_table(spark, [path])
-        df.write.mode(modes[if_exists]).parquet(target)
-        return run | {"status": "success", "rows": df.count(), "columns": ",".join(f"{k} {v}" for k, v in types.items())}
+        df, types, facts = read_files(spark, [path], rules=rules)
+        run |= facts | {"columns": ",".join(f"{k} {v}" for k, v in types.items())}
+        written = Observation()
+        df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode(modes[if_exists]).parquet(target)
+        run |= {"status": "success", "rows": written.get["rows"]}
+        return run
     except Exception as e:
         run["error"] = str(e)[:500]
         raise
+    finally:
+        if store is not None:
+            store.put_records("ingestion_runs", [run])
 
 
-def import_folder(spark: SparkSession, folder: str | Path, target: str) -> list[dict]:
+def import_folder(spark: SparkSession, folder, target: str, store=None, rules: Rules = Rules()) -> list[dict]:
     """All files of a folder; the first of a table replaces it, later ones append. Stops at the first that fails."""
     seen, runs = set(), []
-    for p in sorted(Path(folder).rglob("*.csv")):
-        t = table_name(folder, p)
-        runs.append(import_file(spark, p, f"{target}/{t}", "append" if t in seen else "replace"))
+    for p in csv_files(spark, folder):
+        t = table_name(p)
+        runs.append(import_file(spark, f"{folder}/{p}", f"{target}/{t}", "append" if t in seen else "replace", store, rules))
         seen.add(t)
     return runs

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import asdict, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Kinds that survive a new run; the others are computed anew.
 HISTORY = ("ingestion_runs",)
@@ -14,7 +15,8 @@ COMPUTED = (
 )
 
 SCHEMAS = {
-    "ingestion_runs": "source_file string, target string, status string, rows long, columns string, error string",
+    "ingestion_runs": "run_ts long, source_file string, target string, status string, rows long, skipped_dirty_rows long, encoding string, delimiter string, "
+                      "columns string, error string",
     "primary_keys": "scope string, official boolean, table string, columns array<string>, types array<string>, rows long, null_ratio double, "
                     "uniqueness double, identifiability double, confidence double",
     "joins": "scope string, source string, source_columns array<string>, target string, target_columns array<string>, rows long, matched long, ratio double",
@@ -49,6 +51,12 @@ def frame(spark: SparkSession, kind: str, records) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def latest_run(df: DataFrame, *by: str, run_col: str = "run_ts") -> DataFrame:
+    """The rows of the latest run of each group of ``by``."""
+    last = df.groupBy(*by).agg(F.max(run_col).alias(run_col))
+    return df.join(last, [*by, run_col], "left_semi").select(df.columns)
+
+
 class Store:
     """Evidence below a folder (any that Spark writes), or in memory only if there is none."""
 
@@ -59,6 +67,8 @@ class Store:
         if self.root:
             df.write.mode("append" if kind in HISTORY else "overwrite").parquet(f"{self.root}/{kind}")
             df = self.spark.read.parquet(f"{self.root}/{kind}")
+        elif kind in HISTORY and kind in self.frames:
+            df = self.frames[kind].unionByName(df)
         self.frames[kind] = df
         df.createOrReplaceTempView(f"evidence_{kind}")
         return df
@@ -67,13 +77,20 @@ class Store:
         return self.put(kind, frame(self.spark, kind, records))
 
     def get(self, kind: str) -> DataFrame:
-        if kind not in self.frames and self.root:
+        if kind not in self.frames and self.root and self._folder(kind, "exists"):
             self.frames[kind] = self.spark.read.parquet(f"{self.root}/{kind}")
         if kind not in self.frames:
             raise ValueError(f"no {kind} yet")
         return self.frames[kind]
 
+    def _folder(self, kind: str, do: str, *args) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
+        return getattr(at.getFileSystem(self.spark._jsc.hadoopConfiguration()), do)(at, *args)
+
     def clear(self, *kinds: str) -> None:
+        """Forget these kinds, their files too; all computed ones if none is named."""
         for k in kinds or COMPUTED:
+            if self.root:
+                self._folder(k, "delete", True)
             self.frames.pop(k, None)
             self.spark.catalog.dropTempView(f"evidence_{k}")

@@ -7,7 +7,7 @@ import pytest
 from keelson.operators import dependencies, joins, keys, profile, validate, views
 from keelson.plans.pipeline import Pipeline
 from keelson.sources import csv_folder
-from keelson.sources.evidence import Store
+from keelson.sources.evidence import Store, latest_run
 from keelson.types import Edge
 
 
@@ -100,15 +100,17 @@ def write(path, text, encoding="utf-8"):
     return path
 
 
-def test_csv_looks(tmp_path):
-    assert csv_folder.detect_encoding(write(tmp_path / "a.csv", "é", "cp1252")) == "cp1252"
-    assert csv_folder.detect_encoding(write(tmp_path / "b.csv", "é", "utf-16")) == "utf-16"
-    assert csv_folder.detect_encoding(write(tmp_path / "c.csv", "é", "utf-8-sig")) == "utf-8-sig"
-    assert csv_folder.detect_delimiter(write(tmp_path / "d.csv", "id;name;score\n1;a;2\n")) == ";"
-    assert csv_folder.steadiest_delimiter('id;comment;score\n1;"a,b";2\n2;c,d,e;3\n') == ";"
-    assert [csv_folder.clean_identifier(x) for x in ("Hello World", "123abc", "a.b", None)] == ["Hello_World", "col_123abc", "a_b", "column"]
+def test_csv_looks(spark, tmp_path):
+    known = lambda name, *args: csv_folder.detect_encoding(spark, write(tmp_path / name, *args))
+    assert [known(f"{e}.csv", "ab\né", e) for e in ("cp1252", "utf-16", "utf-8-sig")] == ["cp1252", "utf-16", "utf-8-sig"]
+    assert known("u.csv", "é€") == "utf-8-sig" and known("l.csv", "a\x81\né", "latin-1") == "latin-1" and known("none.csv", "") == "utf-8-sig"
+    spans = lambda text: csv_folder.look_at_lines(spark, write(tmp_path / "q.csv", text)).spans
+    assert spans('a,b\n"x\ny",1\n') and not spans('a,b\n"x""é",1\n"",2\n')
+    assert csv_folder.detect_delimiter("key;town;rank\n7;Ulm;2\n") == ";"
+    assert csv_folder.steadiest_delimiter('key;town;rank\n7;"Ulm,W";2\n8;a,b,c;3\n') == ";"
+    assert [csv_folder.clean_identifier(x) for x in ("Unit price", "4th floor", "x.y", None)] == ["Unit_price", "col_4th_floor", "x_y", "column"]
     assert csv_folder.dedupe(["a", "a", "b", "a"]) == ["a", "a_2", "b", "a_3"]
-    assert csv_folder.table_name(tmp_path, tmp_path / "tickets/p1.csv") == "tickets" and csv_folder.table_name(tmp_path, tmp_path / "data/p1.csv") == "p1"
+    assert csv_folder.table_name("tickets/p1.csv") == "tickets" and csv_folder.table_name("data/p1.csv") == "p1"
 
 
 @pytest.mark.parametrize("encoding", ["utf-8", "cp1252", "utf-16"])
@@ -132,6 +134,36 @@ def test_csv_errors(spark, tmp_path):
         csv_folder.import_file(spark, ok, str(tmp_path / "t"), "fail")
 
 
+def test_csv_without_line_breaks_in_values(spark, tmp_path):
+    p = write(tmp_path / "x.csv", 'a;b\n1;"x;""€"""\n\n2;é\n--;--\n', "cp1252")
+    df, types, facts = csv_folder.read_files(spark, [p])
+    assert not csv_folder.layout(spark, p).spans and types == {"a": "long", "b": "string"}
+    assert sorted(map(tuple, df.collect())) == [(1, 'x;"€"'), (2, "é")]
+    assert facts == {"skipped_dirty_rows": 1, "encoding": "cp1252", "delimiter": ";"}
+
+
+def test_csv_rules_and_history(spark, tmp_path):
+    rules = csv_folder.Rules(null_tokens=("", "?"), dates=(r"^(?<d>\d+)[.](?<m>\d+)[.](?<y>\d{4})$",))
+    df, types = csv_folder.read_table(spark, [write(tmp_path / "r.csv", "d,n\n3.2.2024,?\n4.2.2024,null\n")], rules=rules)
+    assert types == {"d": "date", "n": "string"} and sorted(map(str, (r.d for r in df.collect()))) == ["2024-02-03", "2024-02-04"]
+    folder = tmp_path / "in"
+    write(folder / "a.csv", "k\n1\n--\n2\n"), write(folder / "b.csv", "k\n1,2\n")
+    store = Store(spark, str(tmp_path / "evidence"))
+    with pytest.raises(ValueError):
+        csv_folder.import_folder(spark, str(folder), str(tmp_path / "out"), store)
+    runs = sorted(Store(spark, str(tmp_path / "evidence")).get("ingestion_runs").collect(), key=lambda r: r.run_ts)
+    assert [(r.status, r.rows, r.skipped_dirty_rows, bool(r.error)) for r in runs] == [("success", 2, 1, False), ("failed", 0, 0, True)]
+    store.clear("ingestion_runs")
+    with pytest.raises(ValueError):
+        store.get("ingestion_runs")
+
+
+def test_latest_run(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "a", 6), (1, "b", 7)], "run_ts long, table_name string, x int")
+    assert sorted(map(tuple, latest_run(df, "table_name").collect())) == [(1, "b", 7), (2, "a", 6)]
+    assert dependencies.unique_only(df, [("x",), ("run_ts",), ("run_ts", "table_name")]) == [("x",), ("run_ts", "table_name")]
+
+
 SHOP = {
     "sales": "sale_id;customer_id;product_id;day_id;quantity;revenue\n" + "\n".join(f"{1000 + i};{i % 4 + 1};{i % 3 + 10};2026-01-0{i % 5 + 1};{i % 3 + 1};{10.5 + i * i % 7}" for i in range(12)),
     "customers": "customer_id;customer_name;segment\n1;Ann;retail\n2;Bob;retail\n3;Cid;pro\n4;Dee;pro",
