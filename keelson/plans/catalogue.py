@@ -151,9 +151,8 @@ _register("determinant_shape_orders", lambda s, d: dependencies.determinant_shap
 
 
 def _simple_keys(spark, sf):
-    p = _profiles(spark, sf, COLUMNS)
-    return p.filter("rows > 0 AND null_rows = 0 AND distinct_count = rows AND kind <> 'continuous'").select("table_name", "column_name", F.round(
-        keys.UNIQUENESS + keys.IDENTIFIABILITY * F.col("identifiability_score"), 6).alias("confidence"))
+    found = keys.simple_keys(profile.evidence_of(_profiles(spark, sf, COLUMNS).collect()))
+    return _rows(spark, "table_name string, column_name string, confidence double", [(k.table, k.columns[0], k.confidence) for k in found])
 
 
 _register("simple_keys_all", _simple_keys, f"""SELECT table_name, column_name, round(0.7 + 0.3 * identifiability_score, 6) AS confidence FROM ({_profiles_sql(COLUMNS)})
@@ -238,6 +237,13 @@ def _prefilter_sql(tables) -> str:
         AND (p.kind NOT IN ('integer', 'continuous') OR (TRY_CAST(p.min_value AS DOUBLE) >= TRY_CAST(k.min_value AS DOUBLE) AND TRY_CAST(p.max_value AS DOUBLE) <= TRY_CAST(k.max_value AS DOUBLE))))"""
 
 
+# Of the columns that pass the prefilter only the foreign keys share a concept with a key elsewhere.
+ORACLE["join_discovery"] = f"""
+    WITH f AS ({_prefilter_sql(STAR)}), j AS ({" UNION ALL ".join(f'''SELECT '{a}' AS source_table, '{ALIASES[a][b]}' AS source_columns, '{c}' AS target_table,
+      '{ALIASES[c][e]}' AS target_columns, count(*) AS rows, count(*) FILTER ({b} IN (SELECT {e} FROM {c})) AS matched,
+      round(count(*) FILTER ({b} IN (SELECT {e} FROM {c}))::DOUBLE / count(*), 6) AS ratio FROM {a} WHERE {b} IS NOT NULL''' for a, b, c, e in FOREIGN[:7])})
+    SELECT * FROM j WHERE ratio >= {joins.LEAST_RATIO} AND EXISTS (SELECT 1 FROM f WHERE f.table_name = source_table AND f.column_name = source_columns)"""
+
 _register("fk_prefilter", lambda s, d: _prefiltered(s, d, _SMALL), _prefilter_sql(_SMALL))
 _register("fk_prefilter_star", lambda s, d: _prefiltered(s, d, STAR), _prefilter_sql(STAR))
 
@@ -409,10 +415,8 @@ _register("dimension_purity", _dimension_purity, f"""
 
 
 def _fact_purity(spark, sf):
-    p = _profiles(spark, sf, ["lineitem", "orders"], aliased=True)
-    n = F.col("column_name")
-    skip = names.key_like_col(n) | (F.col("kind") == "temporal") | F.lower(n).contains("date") | names.measure_like_col(n)
-    return p.select("table_name", "column_name", (~skip & (F.col("kind") == "text") & F.lower(n).rlike("|".join(validate.DESCRIPTIVE_WORDS))).alias("violates"))
+    evidence = profile.evidence_of(_profiles(spark, sf, ["lineitem", "orders"], aliased=True).collect())
+    return _rows(spark, "table_name string, column_name string, violates boolean", [(c.table, c.column, validate.descriptive_in_fact(c, set())) for c in evidence])
 
 
 _register("fact_purity", _fact_purity, f"""SELECT table_name, column_name, NOT ({_has(names.KEYS)} OR kind = 'temporal' OR contains(column_name, 'date') OR regexp_matches(column_name, '{'|'.join(names.MEASURES)}'))
