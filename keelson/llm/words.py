@@ -30,12 +30,15 @@ def _power(n: int) -> np.ndarray:
 
 
 class Words:
-    """Words [^\\x20\\x09-\\x0D]+ of texts (UTF-8), A-Z lower-cased: ``hash`` of each and its text's number ``doc``."""
+    """Words of texts (UTF-8), A-Z lower-cased: ``hash`` of each and its text's number ``doc``.
 
-    def __init__(self, texts: list[bytes]):
+    ``breaks`` tells which lower-cased bytes stand between words: [\\x20\\x09-\\x0D] if not given.
+    """
+
+    def __init__(self, texts: list[bytes], breaks: np.ndarray = _SPACE):
         data = _FOLD[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
         self.data = data
-        blank = _SPACE[data]
+        blank = breaks[data]
         edge = np.flatnonzero(np.diff(blank, prepend=True))  # a word starts, ends, starts, ...
         self.start, self.end = edge[::2], edge[1::2]
         self.n = len(texts)
