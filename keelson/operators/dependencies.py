@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .pairs import Pairs
+
 
 def _cols(names) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
@@ -41,18 +43,13 @@ def unique_test(df: DataFrame, table: str, candidates) -> DataFrame:
     return reduce(DataFrame.unionAll, map(one, candidates))
 
 
-def _split(df: DataFrame, determinants, dependents, exact: bool) -> tuple[DataFrame, list[Column]]:
-    """Groups of the determinant with a flag for each dependent that takes two values in it.
+def _told_apart(df: DataFrame, dependents) -> list[list[Column]]:
+    """For each dependent the columns whose least and greatest value in a group differ if it takes two values there.
 
-    Without ``exact``, texts are told apart by their hash, which keeps the aggregate on
-    fixed-width values: a flag is then sure, and only where there is none may one be missing.
+    Texts are told apart by two 64-bit hashes, which keeps the aggregate on fixed-width values.
     """
     text = {f.name for f in df.schema if isinstance(f.dataType, StringType)}
-    value = [F.xxhash64(c) if n in text and not exact else c for n, c in zip(dependents, _cols(dependents))]
-    known = [F.when(c.isNotNull(), v) for c, v in zip(_cols(dependents), value)]
-    own = df.filter(_none_null(determinants)).groupBy(*_cols(determinants)).agg(
-        F.count(F.lit(1)).alias("__n"), *[(F.min(v) != F.max(v)).alias(f"__v{i}") for i, v in enumerate(known)])
-    return own, [F.count_if(F.coalesce(f"__v{i}", F.lit(False))).alias(f"__v{i}") for i in range(len(dependents))]
+    return [[F.when(c.isNotNull(), F.xxhash64(c)), F.when(c.isNotNull(), F.xxhash64(F.lit(1), c))] if n in text else [c] for n, c in zip(dependents, _cols(dependents))]
 
 
 def dependency_test(df: DataFrame, determinants, dependents) -> DataFrame:
@@ -61,34 +58,59 @@ def dependency_test(df: DataFrame, determinants, dependents) -> DataFrame:
     Rows with a null in the determinant don't count, nor nulls of a dependent.  A group
     violates if its least and greatest value differ.
     """
-    own, counts = _split(df, determinants, dependents, True)
-    return own.agg(*counts).select(F.explode(F.array(*[
+    own = df.filter(_none_null(determinants)).groupBy(*_cols(determinants)).agg(
+        *[(F.min(c) != F.max(c)).alias(f"__v{i}") for i, c in enumerate(_cols(dependents))])
+    return own.agg(*[F.count_if(F.coalesce(f"__v{i}", F.lit(False))).alias(f"__v{i}") for i in range(len(dependents))]).select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("dependent"), F.col(f"__v{i}").alias("violations")) for i, c in enumerate(dependents)])).alias("x")).select("x.*")
 
 
-def tested(df: DataFrame, determinants, dependents) -> tuple[int, float, int, list[str]]:
-    """The shape of a determinant (distinct, uniqueness, repeated) and the dependents it determines, by one pass.
+def dependency_sets(df: DataFrame, determinants, dependents) -> DataFrame:
+    """(determinant, distinct, uniqueness, repeated, violations: a map by dependent) of many determinants by one scan.
 
-    Only texts that their hashes don't already refute are looked at again.
+    The determinants are grouping sets of one aggregate, so each row is expanded to a row
+    for each of them and combined before the shuffle.  Rows with a null in a determinant don't count for it.
     """
-    own, counts = _split(df, determinants, dependents, False)
-    r = own.agg(F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), *counts).first()
-    holds = [c for i, c in enumerate(dependents) if not r[f"__v{i}"]]
-    text = {f.name for f in df.schema if isinstance(f.dataType, StringType)}
-    again = [c for c in holds if c in text]
-    if again and r.distinct < r.rows:
-        sure = set(determined(df, determinants, again))
-        holds = [c for c in holds if c not in text or c in sure]
-    return r.distinct, r.distinct / r.rows if r.rows else 1.0, r.rows - r.distinct, holds
+    sets = [tuple(dict.fromkeys(d)) for d in determinants]
+    names = list(dict.fromkeys(c for d in sets for c in d))
+    value = _told_apart(df, dependents)
+    rows = df.select(*[c.alias(f"d{i}") for i, c in enumerate(_cols(names))], *[v.alias(f"v{i}_{j}") for i, vs in enumerate(value) for j, v in enumerate(vs)])
+    at = {n: f"d{i}" for i, n in enumerate(names)}
+    split = [reduce(lambda a, b: a | b, [F.coalesce(F.min(f"v{i}_{j}") != F.max(f"v{i}_{j}"), F.lit(False)) for j in range(len(vs))]) for i, vs in enumerate(value)]
+    grouped = rows.groupingSets([[F.col(at[c]) for c in d] for d in sets], *[F.col(f"d{i}") for i in range(len(names))]).agg(
+        F.grouping_id().alias("__id"), F.count(F.lit(1)).alias("__n"), *[x.alias(f"__v{i}") for i, x in enumerate(split)])
+    ids = {d: sum(1 << (len(names) - 1 - i) for i, c in enumerate(names) if c not in d) for d in sets}  # a bit for each column that is not grouped by
+    mine = F.array(*[F.when((F.col("__id") == ids[d]) & reduce(lambda a, b: a & b, [F.col(at[c]).isNotNull() for c in d]), F.lit(i)) for i, d in enumerate(sets)])
+    found = grouped.withColumn("__i", F.explode(F.array_compact(mine))).groupBy("__i").agg(
+        F.count(F.lit(1)).alias("distinct"), F.sum("__n").alias("rows"), *[F.count_if(f"__v{i}").alias(f"__v{i}") for i in range(len(dependents))])
+    none = F.map_from_arrays(F.array(*[F.lit(c) for c in dependents]), F.array(*[F.coalesce(f"__v{i}", F.lit(0)).cast("long") for i in range(len(dependents))])) if dependents else F.lit(None).cast("map<string,bigint>")
+    asked = df.sparkSession.createDataFrame([(i, ",".join(d)) for i, d in enumerate(sets)], "__i int, determinant string")
+    n, total = F.coalesce("distinct", F.lit(0)), F.coalesce("rows", F.lit(0))
+    return asked.join(found, "__i", "left").select(
+        F.col("__i").alias("position"), "determinant", n.alias("distinct"), F.coalesce(F.try_divide(n.cast("double"), total.cast("double")), F.lit(1.0)).alias("uniqueness"),
+        (total - n).alias("repeated"), none.alias("violations"))
+
+
+def tested(df: DataFrame, asked: list[tuple[tuple[str, ...], list[str]]], pairs: Pairs | None = None) -> list[tuple[int, float, int, list[str]]]:
+    """(distinct, uniqueness, repeated, those of the dependents that are determined) for each (determinant, dependents), by one scan.
+
+    Dependents that a known pair of rows refutes are not looked at, nor determinants that have
+    no others: these determine nothing, and are given as never repeated.
+    """
+    left = [(d, [c for c in dep if not (pairs and pairs.undetermined(d, c))]) for d, dep in asked]
+    out: list = [(0, 1.0, 0, [])] * len(asked)
+    some = [i for i, (_, dep) in enumerate(left) if dep]
+    if some:
+        every = list(dict.fromkeys(c for i in some for c in left[i][1]))
+        for r in dependency_sets(df, [left[i][0] for i in some], every).collect():
+            out[some[r.position]] = (r.distinct, r.uniqueness, r.repeated, [c for c in left[some[r.position]][1] if not r.violations[c]])
+    return out
 
 
 def dependency_matrix(df: DataFrame, determinants, dependents) -> DataFrame:
-    """(determinant, dependent, violations, holds): one aggregate for each determinant tuple."""
-    def one(d):
-        rest = [c for c in dependents if c not in d]
-        return dependency_test(df, d, rest).select(F.lit(",".join(d)).alias("determinant"), "dependent", "violations", (F.col("violations") == 0).alias("holds"))
-
-    return reduce(DataFrame.unionAll, [one(tuple(d)) for d in determinants])
+    """(determinant, dependent, violations, holds) of each pair, by one scan for all determinant tuples."""
+    every = dependency_sets(df, determinants, dependents).select("determinant", F.explode("violations").alias("dependent", "violations"))
+    own = reduce(lambda a, b: a | b, [(F.col("determinant") == ",".join(d)) & F.col("dependent").isin(*d) for d in determinants])
+    return every.filter(~own).select("determinant", "dependent", "violations", (F.col("violations") == 0).alias("holds"))
 
 
 def determined(df: DataFrame, determinants, dependents, max_violations: int = 0) -> list[str]:

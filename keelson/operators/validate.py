@@ -12,6 +12,7 @@ from ..functions import names
 from ..types import CONTINUOUS, TEMPORAL, TEXT, ColumnEvidence, Key, Model, Role
 from . import dependencies, joins
 from .models import STAR
+from .pairs import Pairs
 
 # Weights of dimension purity, words of descriptive columns, tolerances of stability.
 ENTROPY, VARIATION, SKEWNESS, IMPURE = 0.4, 0.3, 0.3, 0.85
@@ -102,10 +103,10 @@ def count_duplicate_grains(df: DataFrame, columns) -> DataFrame:
 
 
 class Grains:
-    """Duplicate counts of column tuples of tables; each tuple is counted once."""
+    """Grains of tables; what was found for a tuple of columns is kept."""
 
     def __init__(self, tables: dict[str, DataFrame]):
-        self.tables, self.known = tables, {}
+        self.tables, self.known, self.least = tables, {}, {}
 
     def duplicates(self, table: str, columns: tuple[str, ...]) -> int:
         at = (table, frozenset(columns))
@@ -113,21 +114,23 @@ class Grains:
             self.known[at] = count_duplicate_grains(self.tables[table], columns).first().duplicates
         return self.known[at]
 
-    def minimal(self, table: str, columns: tuple[str, ...]) -> tuple[str, ...]:
-        """Without the columns that uniqueness doesn't need; the first that can go goes, again and again."""
-        while len(columns) > 1:
-            less = next((rest for c in columns if not self.duplicates(table, rest := tuple(x for x in columns if x != c))), None)
-            if less is None:
-                break
-            columns = less
-        return columns
+    def minimal(self, table: str, columns: tuple[str, ...]) -> tuple[str, ...] | None:
+        """Without the columns that uniqueness doesn't need; the first that can go goes, again and again. None if it isn't unique.
+
+        What pairs of rows refute is not counted, and the tuple that is left proves the wider ones
+        with it, so a table is usually aggregated once.
+        """
+        at = (table, tuple(columns))
+        if at not in self.least:
+            self.least[at] = Pairs(self.tables[table], columns, nulls_equal=False).least(columns)
+        return self.least[at]
 
     def validate(self, m: Model, fact: str, best: Key | None) -> dict:
         grain, n = fact_grain(m, fact, best), 0
         if grain:
-            n = self.duplicates(fact, grain)
-            if not n:
-                grain = self.minimal(fact, grain)
+            least = self.minimal(fact, grain)
+            n = 0 if least else self.duplicates(fact, grain)
+            grain = least or grain
         ok = bool(grain) and n == 0
         reason = "each grain has one row" if ok else f"{n} grain(s) with several rows" if grain else "no foreign key or key gives a grain"
         return {"model_id": m.id, "fact_table": fact, "grain_columns": grain, "duplicate_count": n, "is_valid": ok, "reason": reason}
@@ -184,14 +187,15 @@ def _metrics(prefix: str, x: dict[str, Column]) -> list[Column]:
 
 def stability(fact: DataFrame, dimension: DataFrame, source_columns, target_columns, measure: str, grouping: str) -> DataFrame:
     """One row: metrics of the measure on the fact, and through the dimension's grouping, and whether they agree."""
-    x = F.col(f"`{measure}`")
-    fine = fact.agg(*_metrics("fine", {"sum": F.sum(x), "count": F.count(x), "avg": F.avg(x), "min": F.min(x), "max": F.max(x)}))
-    f = fact.select(x.alias("__x"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(source_columns)])
-    d = dimension.select(F.col(f"`{grouping}`").alias("__g"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(target_columns)])
-    level = f.join(d, [f"k{i}" for i in range(len(source_columns))], "left").groupBy("__g").agg(
+    x, keys = F.col(f"`{measure}`"), [f"k{i}" for i in range(len(source_columns))]
+    # Sums by foreign key come before the join: the fact is shuffled once, a row for each key and task, and a key that the dimension repeats still repeats its sums.
+    f = fact.select(x.alias("__x"), *[F.col(f"`{c}`").alias(k) for c, k in zip(source_columns, keys)]).groupBy(*keys).agg(
         F.sum("__x").cast("double").alias("s"), F.count("__x").alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
-    total, n = F.sum("s"), F.sum("n")
-    through = level.agg(*_metrics("agg", {"sum": total, "count": n, "avg": F.try_divide(total, n), "min": F.min("lo"), "max": F.max("hi")}))
+    parts = {"sum": F.sum("s"), "count": F.sum("n"), "avg": F.try_divide(F.sum("s"), F.sum("n")), "min": F.min("lo"), "max": F.max("hi")}
+    fine = f.agg(*_metrics("fine", parts))
+    d = dimension.select(F.col(f"`{grouping}`").alias("__g"), *[F.col(f"`{c}`").alias(k) for c, k in zip(target_columns, keys)])
+    level = f.join(d, keys, "left").groupBy("__g").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    through = level.agg(*_metrics("agg", parts))
     both = fine.crossJoin(F.broadcast(through))  # one row each
 
     def close(m: str) -> Column:
