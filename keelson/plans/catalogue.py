@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..functions import names, shapes, similarity
 from ..operators import certify, dependencies, graph, groups, joins, keys, logical, models, profile, report, structure, validate, views
 from ..sources import csv_folder
 from ..sources.tables import ALIASES, read_star, read_table
-from ..types import Edge, LogicalPlan, Model
+from ..types import Edge, Key, LogicalPlan, Model
 from .pipeline import Pipeline
 
 #: Columns of the driver's tables with their kinds, for generated SQL.
@@ -63,6 +64,14 @@ def _sql_values(rows, columns: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({columns})"
 
 
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _has(words) -> str:
+    return f"list_has_any(string_split(column_name, '_'), {_list(words)})"
+
+
 # -- profiles ---------------------------------------------------------------
 
 def _profile_sql(t: str, c: str, type_: str, alias: str | None = None) -> str:
@@ -145,6 +154,27 @@ def _fd_sql(t: str, determinant, dependent: str) -> str:
 for _t, _ds in _FD.items():
     _register(f"fd_matrix_{_t}", lambda s, d, t=_t, ds=_ds: dependencies.dependency_matrix(_read(s, d, t), ds, list(COLUMNS[t])),
               " UNION ALL ".join(_fd_sql(_t, det, c) for det in _ds for c in COLUMNS[_t] if c not in det))
+
+
+def _dependency_sets(spark, sf):
+    """Every column, and every pair of columns of the smaller tables, as determinant of every other column."""
+    def one(t):
+        names_ = list(COLUMNS[t])
+        sets = [(c,) for c in names_] + (list(combinations(names_, 2)) if len(names_) < 7 else [])
+        found = dependencies.dependency_sets(_read(spark, sf, t), sets, names_)
+        return found.select(F.lit(t).alias("table_name"), "determinant", "distinct", F.round("uniqueness", 6).alias("uniqueness"), "repeated", F.explode("violations").alias("dependent", "violations"))
+
+    return reduce(DataFrame.unionAll, map(one, STAR))
+
+
+def _dependency_sets_sql(t: str) -> str:
+    sets = [(c,) for c in COLUMNS[t]] + (list(combinations(COLUMNS[t], 2)) if len(COLUMNS[t]) < 7 else [])
+    return " UNION ALL ".join(f"""SELECT '{t}' AS table_name, '{','.join(d)}' AS determinant, count(*) AS "distinct", round(count(*)::DOUBLE / sum(n), 6)::DOUBLE AS uniqueness,
+        (sum(n) - count(*))::BIGINT AS repeated, '{c}' AS dependent, count(*) FILTER (v > 1) AS violations
+        FROM (SELECT count(*) n, count(DISTINCT {c}) v FROM {t} WHERE {' AND '.join(f'{x} IS NOT NULL' for x in d)} GROUP BY {_same(d)})""" for d in sets for c in COLUMNS[t])
+
+
+_register("dependency_sets", _dependency_sets, " UNION ALL ".join(map(_dependency_sets_sql, STAR)))
 _register("determinant_shape_orders", lambda s, d: dependencies.determinant_shape(_read(s, d, "orders"), ("o_custkey", "o_orderstatus")),
           """SELECT count(*) AS "distinct", count(*)::DOUBLE / sum(n)::DOUBLE AS uniqueness, (sum(n) - count(*))::BIGINT AS repeated
              FROM (SELECT count(*) n FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY o_custkey, o_orderstatus)""")
@@ -170,7 +200,21 @@ def _composite(spark, sf):
     return _rows(spark, "table_name string, columns string, uniqueness_ratio double", [(k.table, ",".join(k.columns), k.uniqueness) for k in found])
 
 
-_register("composite_key_lineitem", _composite)
+def _combinations_sql(t: str, widest: int = 3) -> str:
+    """CTE ``best``: the first unique combination of two or more null-free columns of a table, by width and trust in the columns."""
+    tests = " UNION ALL ".join(
+        f"SELECT {_list(ALIASES[t][c] for c in combo)} AS names, (SELECT count(*) FROM (SELECT DISTINCT {_same(combo)} FROM {t})) = (SELECT count(*) FROM {t}) AS is_unique"
+        for w in range(2, widest + 1) for combo in combinations(COLUMNS[t], w))
+    return f"""
+      cp AS ({_profiles_sql([t], aliased=True)}),
+      trust AS (SELECT *, row_number() OVER (ORDER BY round(0.7 * uniqueness_ratio + 0.3 * identifiability_score, 6) DESC, uniqueness_ratio DESC, identifiability_score DESC, column_name) AS pos
+                FROM cp WHERE null_rows = 0),
+      found AS (SELECT names, unnest(names) AS name FROM ({tests}) WHERE is_unique),
+      best AS (SELECT list(name ORDER BY pos) AS names FROM found JOIN trust ON name = column_name GROUP BY found.names ORDER BY len(found.names), list(pos ORDER BY pos) LIMIT 1)"""
+
+
+_register("composite_key_lineitem", _composite, f"""WITH {_combinations_sql('lineitem')}
+    SELECT 'lineitem' AS table_name, array_to_string(names, ',') AS columns, 1.0::DOUBLE AS uniqueness_ratio FROM best""")
 
 
 def _ranking(spark, sf):
@@ -181,7 +225,17 @@ def _ranking(spark, sf):
                  [(i, k.table, ",".join(k.columns), k.confidence, best[k.table] == k) for i, k in enumerate(order, 1)])
 
 
-_register("key_ranking", _ranking)
+_register("key_ranking", _ranking, f"""WITH {_combinations_sql('lineitem')},
+    p AS ({_profiles_sql(STAR, aliased=True)}),
+    k AS (SELECT table_name, [column_name] AS names FROM p WHERE rows > 0 AND null_rows = 0 AND distinct_count = rows AND kind <> 'continuous'
+          UNION ALL SELECT 'lineitem', names FROM best WHERE NOT EXISTS (SELECT 1 FROM p WHERE table_name = 'lineitem' AND null_rows = 0 AND distinct_count = rows AND kind <> 'continuous')),
+    part AS (SELECT k.table_name, k.names, unnest(k.names) AS name FROM k),
+    s AS (SELECT part.table_name, names, len(names) AS width, count(*) FILTER (kind = 'continuous') AS fractions,
+            count(*) FILTER (rows >= 10 AND uniqueness_ratio <= 0.2 AND null_ratio < 1) AS low, count(*) FILTER ({_has(names.KEYS)}) AS named,
+            count(*) FILTER (kind IN ('integer', 'continuous')) AS numbers, avg(identifiability_score) AS ident
+          FROM part JOIN p ON p.table_name = part.table_name AND p.column_name = part.name GROUP BY part.table_name, names),
+    r AS (SELECT *, round(0.7 + 0.3 * ident, 6) AS confidence, row_number() OVER (ORDER BY width, fractions, low, -named, -numbers, -ident, -round(0.7 + 0.3 * ident, 6), table_name, names) AS position FROM s)
+    SELECT position::INT AS position, table_name, array_to_string(names, ',') AS columns, confidence, position = min(position) OVER (PARTITION BY table_name) AS is_best FROM r""")
 
 # -- joins ------------------------------------------------------------------
 
@@ -237,12 +291,24 @@ def _prefilter_sql(tables) -> str:
         AND (p.kind NOT IN ('integer', 'continuous') OR (TRY_CAST(p.min_value AS DOUBLE) >= TRY_CAST(k.min_value AS DOUBLE) AND TRY_CAST(p.max_value AS DOUBLE) <= TRY_CAST(k.max_value AS DOUBLE))))"""
 
 
-# Of the columns that pass the prefilter only the foreign keys share a concept with a key elsewhere.
+def _values_sql(tables) -> str:
+    """(table_name, column_name, v, n): how often each column has each value, as text."""
+    return " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{ALIASES[t][c]}' AS column_name, {c}::VARCHAR AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}"
+                              for t in tables for c in COLUMNS[t])
+
+
+# Every column that passes the prefilter against every key of its type in another table; the words of a name are split at underscores.
 ORACLE["join_discovery"] = f"""
-    WITH f AS ({_prefilter_sql(STAR)}), j AS ({" UNION ALL ".join(f'''SELECT '{a}' AS source_table, '{ALIASES[a][b]}' AS source_columns, '{c}' AS target_table,
-      '{ALIASES[c][e]}' AS target_columns, count(*) AS rows, count(*) FILTER ({b} IN (SELECT {e} FROM {c})) AS matched,
-      round(count(*) FILTER ({b} IN (SELECT {e} FROM {c}))::DOUBLE / count(*), 6) AS ratio FROM {a} WHERE {b} IS NOT NULL''' for a, b, c, e in FOREIGN[:7])})
-    SELECT * FROM j WHERE ratio >= {joins.LEAST_RATIO} AND EXISTS (SELECT 1 FROM f WHERE f.table_name = source_table AND f.column_name = source_columns)"""
+    WITH f AS ({_prefilter_sql(STAR)}), p AS ({_profiles_sql(STAR, aliased=True)}), v AS ({_values_sql(STAR)}),
+    w AS (SELECT *, array_to_string(list_filter(string_split(column_name, '_'), lambda x: NOT list_contains({_list(names.KEYS)}, x)), ' ') AS about FROM p),
+    k AS (SELECT * FROM w WHERE rows > 0 AND null_rows = 0 AND distinct_count = rows AND kind <> 'continuous'),
+    pair AS (SELECT w.table_name AS s, w.column_name AS sc, k.table_name AS t, k.column_name AS tc FROM w JOIN f USING (table_name, column_name) JOIN k
+             ON k.table_name <> w.table_name AND k.column_type = w.column_type
+             AND (w.about = '' OR k.about = '' OR w.about = k.about OR ends_with(w.about, ' ' || k.about) OR ends_with(k.about, ' ' || w.about))),
+    j AS (SELECT s, sc, t, tc, sum(a.n)::BIGINT AS rows, coalesce(sum(a.n) FILTER (b.v IS NOT NULL), 0)::BIGINT AS matched
+          FROM pair JOIN v a ON a.table_name = s AND a.column_name = sc LEFT JOIN v b ON b.table_name = t AND b.column_name = tc AND a.v = b.v GROUP BY ALL)
+    SELECT s AS source_table, sc AS source_columns, t AS target_table, tc AS target_columns, rows, matched, round(matched::DOUBLE / rows, 6) AS ratio
+    FROM j WHERE matched::DOUBLE / rows >= {joins.LEAST_RATIO}"""
 
 _register("fk_prefilter", lambda s, d: _prefiltered(s, d, _SMALL), _prefilter_sql(_SMALL))
 _register("fk_prefilter_star", lambda s, d: _prefiltered(s, d, STAR), _prefilter_sql(STAR))
@@ -252,10 +318,6 @@ _register("fk_prefilter_star", lambda s, d: _prefiltered(s, d, STAR), _prefilter
 _NAMES = sorted({a for t in ALIASES.values() for a in t.values()} | {"user_id", "event_type", "postal_code", "invoice_no", "city"})
 
 
-def _list(words) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
-
-
 def _name_rules(spark, sf):
     n = F.col("name")
     return _rows(spark, "name string", [(x,) for x in _NAMES]).select(
@@ -277,7 +339,6 @@ def _shape_scores(spark, sf):
         "table_name", "column_name", *[F.round(c, 4).alias(c) for c in ("measure_score", "grain_score", "descriptive_score", "lookup_score")])
 
 
-_has = lambda words: f"list_has_any(string_split(column_name, '_'), {_list(words)})"
 _register("shape_scores", _shape_scores, f"""
     WITH p AS ({_profiles_sql(['lineitem', 'customer'], aliased=True)}),
     f AS (SELECT *, {_has(names.KEYS)} k, {_has(names.GRAINS)} g, {_has(names.TIMES)} t, {_has(names.PLACES)} l, regexp_matches(column_name, '{'|'.join(names.MEASURES)}') m FROM p),
@@ -401,6 +462,39 @@ _register("grain_duplicates_lineitem", lambda s, d: validate.count_duplicate_gra
           "SELECT count(*) AS duplicates FROM (SELECT 1 FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
 
 
+#: Facts with the columns that give their grain: foreign keys, then a key.
+_GRAINS = {"lineitem": (("l_orderkey", "l_partkey", "l_suppkey"), None), "orders": (("o_custkey",), "o_orderkey"), "customer": (("c_nationkey",), None), "nation": (("n_regionkey",), "n_name")}
+
+
+def _fact_grains(spark, sf):
+    tables = {t: _read(spark, sf, t) for t in COLUMNS}
+    counter, rows = validate.Grains(tables), []
+    for t, (own, last) in _GRAINS.items():
+        edges = [Edge(a, c, (b,), (e,), 1.0) for a, b, c, e in FOREIGN if a == t and b in own]
+        m = Model(models.STAR, (t,), tuple(e.target for e in edges), tuple(edges))
+        best = Key(t, (last,), ("string",), ("text",), 1, 0.0, 1.0, 1.0, 1.0) if last else None
+        g = counter.validate(m, t, best)
+        rows.append((t, ",".join(g["grain_columns"]), g["duplicate_count"], g["is_valid"], g["reason"]))
+    return _rows(spark, "fact_table string, grain_columns string, duplicate_count long, is_valid boolean, reason string", rows)
+
+
+def _grain_sql(t: str) -> str:
+    own, last = _GRAINS[t]
+    whole = own + ((last,) if last else ())
+    twice = lambda cs: f"(SELECT count(*) FROM (SELECT 1 FROM {t} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cs)} GROUP BY {_same(cs)} HAVING count(*) > 1))"
+
+    def least(cs) -> str:
+        if len(cs) == 1:
+            return f"'{cs[0]}'"
+        return "CASE " + " ".join(f"WHEN {twice(r)} = 0 THEN {least(r)}" for r in (tuple(x for x in cs if x != c) for c in cs)) + f" ELSE '{','.join(cs)}' END"
+
+    return f"""SELECT '{t}' AS fact_table, CASE WHEN n = 0 THEN {least(whole)} ELSE '{','.join(whole)}' END AS grain_columns, n AS duplicate_count, n = 0 AS is_valid,
+        CASE WHEN n = 0 THEN 'each grain has one row' ELSE n || ' grain(s) with several rows' END AS reason FROM (SELECT {twice(whole)} AS n)"""
+
+
+_register("fact_grains", _fact_grains, " UNION ALL ".join(map(_grain_sql, _GRAINS)))
+
+
 def _dimension_purity(spark, sf):
     p = _profiles(spark, sf, ["customer", "part", "supplier", "nation", "region"], aliased=True)
     score = validate.impurity_column(F.col("entropy_ratio"), F.col("variation_coefficient"), F.col("skewness_score"))
