@@ -23,7 +23,7 @@ COMMANDS = {
     "profile-logical-tables": ("profile_logical", lambda p: [asdict(c) for cs in p.logical_evidence.values() for c in cs]),
     "infer-pk": ("logical_keys", lambda p: [asdict(k) for k in p.official]),
     "infer-joins": ("logical_joins", lambda p: [asdict(j) for j in p.links]),
-    "build-adjacency": ("adjacency", lambda p: [asdict(e) for e in p.edges]),
+    "build-adjacency": ("adjacency", lambda p: {"edges": [asdict(e) for e in p.edges], "matrix": p.adjacency_matrix().splitlines()}),
     "infer-table-roles": ("table_roles", lambda p: [asdict(r) for r in p.roles]),
     "build-model-candidates": ("candidate_models", lambda p: [asdict(m) for m in p.models]),
     "rank-models": ("rank_models", lambda p: {m.id: [m.raw_score, m.score] for m in p.models}),

@@ -33,13 +33,18 @@ def evidence_column(ratio: Column, similarity: Column) -> tuple[Column, Column]:
     return score, F.when(score >= CONFIRMED, "CONFIRMED").when(score <= WEAK, "WEAK").otherwise("COINCIDENCE")
 
 
-def matrix(tables, all_edges: list[Edge]) -> dict[str, dict[str, float]]:
-    """Highest score of the confirmed edges of each pair of tables."""
-    out = {t: dict.fromkeys(sorted(tables), 0.0) for t in sorted(tables)}
-    for e in confirmed(all_edges):
-        row = out.setdefault(e.source, {})
-        row[e.target] = max(row.get(e.target, 0.0), e.hybrid or e.ratio)
-    return out
+def matrix_table(tables, edge_rows: DataFrame) -> DataFrame:
+    """(table_name, a column for each table): the highest score of the confirmed edges (source_table, target_table, evidence, score) of each pair, else 0."""
+    order = sorted(tables)
+    spark = edge_rows.sparkSession
+    wide = edge_rows.filter("evidence = 'CONFIRMED'").groupBy(F.col("source_table").alias("table_name")).pivot("target_table", order).agg(F.max("score"))
+    return spark.createDataFrame([(t,) for t in order], "table_name string").join(wide, "table_name", "left").fillna(0.0, order).select("table_name", *order)
+
+
+def matrix(spark: SparkSession, tables, all_edges: list[Edge]) -> dict[str, dict[str, float]]:
+    """The same from records, by rows and columns."""
+    rows = spark.createDataFrame([(e.source, e.target, e.evidence, float(e.hybrid or e.ratio)) for e in all_edges], "source_table string, target_table string, evidence string, score double")
+    return {r["table_name"]: {t: r[t] for t in sorted(tables)} for r in matrix_table(tables, rows).orderBy("table_name").collect()}
 
 
 def binary_matrix(m: dict[str, dict[str, float]]) -> str:

@@ -1,7 +1,7 @@
 """Profiles of columns: completeness, cardinality, entropy, dispersion, identifiability.
 
-Each column's value frequencies give its counts, extremes, exact distinct count, entropy
-and mean in one pass; the moments around the means of all columns take one more.  The
+Each column's value frequencies give its counts, extremes, distinct count, entropy
+and mean in one pass (texts are told apart by 128-bit hashes, their extremes take a pass without a shuffle); the moments around the means of all columns take one more.  The
 jobs run side by side from a few threads, so small ones fill the gaps of large ones.
 """
 
@@ -41,18 +41,30 @@ _COUNTED = ("column_name string, column_type string, kind string, rows long, non
             "distinct_count long, entropy double, mean double")
 
 
+def _is_text(f: T.StructField) -> bool:
+    return isinstance(f.dataType, (T.StringType, T.BinaryType))
+
+
 def frequencies(df: DataFrame, f: T.StructField) -> DataFrame:
-    """All that the frequencies of one column's values tell, in one row: counts, extremes, entropy and mean."""
+    """All that the frequencies of one column's values tell, in one row: counts, extremes, entropy and mean.
+
+    Texts are counted by a 128-bit hash, so whatever their length a row of 16 bytes is shuffled for
+    each; their extremes are left to ``text_extremes``.
+    """
     v, n, kind = F.col("v"), F.col("n").cast("double"), kind_of(f.dataType)
-    known = F.col("v").isNotNull()
-    number = kind in (INTEGER, CONTINUOUS)
-    low, high = F.min("v"), F.max("v")
+    number, text = kind in (INTEGER, CONTINUOUS), _is_text(f)
+    own = F.col(f"`{f.name.replace('`', '``')}`")
+    if text:
+        values = df.select(own.isNotNull().alias("known"), F.when(own.isNotNull(), F.xxhash64(own)).alias("v"), F.when(own.isNotNull(), F.xxhash64(F.lit(1), own)).alias("w"))
+        by, low, high = ["known", "v", "w"], F.lit(""), F.lit("")
+    else:
+        values, by, low, high = df.select(own.isNotNull().alias("known"), own.alias("v")), ["known", "v"], F.min("v"), F.max("v")
     if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
         low, high = low + 0.0, high + 0.0  # no negative zero
-    total = F.sum(F.when(known, n))
-    return (df.select(F.col(f"`{f.name.replace('`', '``')}`").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    known, total = F.col("known"), F.sum(F.when(F.col("known"), n))
+    return (values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
             .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("non_null_rows"),
-                 low.cast("string").alias("lo"), high.cast("string").alias("hi"), F.count("v").alias("distinct_count"),
+                 low.cast("string").alias("lo"), high.cast("string").alias("hi"), F.count_if(known).alias("distinct_count"),
                  (F.log2(total) - F.sum(F.when(known, n * F.log2(n))) / total).alias("entropy"),
                  (F.sum(v.cast("double") * n) / total if number else F.lit(None).cast("double")).alias("mean"))
             .select(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("column_type"), F.lit(kind).alias("kind"), "rows", "non_null_rows",
@@ -60,6 +72,12 @@ def frequencies(df: DataFrame, f: T.StructField) -> DataFrame:
                     F.coalesce("entropy", F.lit(0.0)).alias("entropy"), "mean"))
 
 
+def text_extremes(df: DataFrame, fields: list[T.StructField]) -> dict[str, tuple[str, str]]:
+    """The least and greatest text of each column: each task sends one of either."""
+    row = df.agg(*[x(F.col(f"`{f.name.replace('`', '``')}`")).cast("string") for f in fields for x in (F.min, F.max)]).first()
+    return {f.name: (row[2 * i] or "", row[2 * i + 1] or "") for i, f in enumerate(fields)}
+
+
 def central_sums(df: DataFrame, means: dict[str, float]) -> dict[str, tuple[float, float]]:
     """Sums of squares and cubes around the means of the columns, in one pass over all of them."""
     aggs = []
@@ -110,11 +128,15 @@ def profile_all(spark: SparkSession, tables: dict[str, DataFrame], threads: int
         for (t, _), r in counted:
             if r.mean is not None and math.isfinite(r.mean):
                 means.setdefault(t, {})[r.column_name] = r.mean
-        sums = dict(zip(means, pool.map(lambda t: central_sums(tables[t], means[t]), means)))
+        sums = pool.map(lambda t: central_sums(tables[t], means[t]), means)
+        texts = {t: own for t in tables if (own := [f for f in fields[t] if _is_text(f)])}
+        ends = dict(zip(texts, pool.map(lambda t: text_extremes(tables[t], texts[t]), texts)))
+        sums = dict(zip(means, sums))
     rows = []
-    for (t, _), r in counted:
-        second, third = sums.get(t, {}).get(r.column_name, (None, None))
-        rows.append((t, *r, second, third))
+    for (t, f), r in counted:
+        r = r.asDict()
+        r["min_value"], r["max_value"] = ends.get(t, {}).get(f.name, (r["min_value"], r["max_value"]))
+        rows.append((t, *r.values(), *sums.get(t, {}).get(f.name, (None, None))))
     found = spark.createDataFrame(rows, f"table_name string, {_COUNTED}, second double, third double")
     n, q = F.col("non_null_rows"), F.col("second")
     mean = F.when(F.col("mean") == 0, None).otherwise(F.col("mean"))

@@ -315,19 +315,16 @@ _register("fk_prefilter_star", lambda s, d: _prefiltered(s, d, STAR), _prefilter
 
 # -- names, shapes and evidence ---------------------------------------------
 
-_NAMES = sorted({a for t in ALIASES.values() for a in t.values()} | {"user_id", "event_type", "postal_code", "invoice_no", "city"})
-
-
 def _name_rules(spark, sf):
     n = F.col("name")
-    return _rows(spark, "name string", [(x,) for x in _NAMES]).select(
+    return _profiles(spark, sf, STAR, aliased=True).unionAll(_profiles(spark, sf, ["events"])).select(F.col("column_name").alias("name")).distinct().select(
         "name", F.array_join(names.tokens_col(n), " ").alias("tokens"), names.key_like_col(n).alias("key_like"), names.measure_like_col(n).alias("measure_like"),
         names.grain_like_col(n).alias("grain_like"), names.time_like_col(n).alias("time_like"), names.place_like_col(n).alias("place_like"),
         F.array_join(names.concept_col(n), " ").alias("concept"), names.normalized_col(n).alias("normalized"), names.same_concept_col(n, F.lit("order_key")).alias("names_an_order"))
 
 
 _register("name_rules", _name_rules, f"""
-    WITH n AS (SELECT name, string_split(name, '_') t FROM {_sql_values([(x,) for x in _NAMES], 'name')}), c AS (SELECT *, list_filter(t, lambda x: NOT list_contains({_list(names.KEYS)}, x)) k FROM n)
+    WITH n AS (SELECT DISTINCT column_name AS name, string_split(column_name, '_') t FROM ({_profiles_sql(STAR, aliased=True)} UNION ALL {_profiles_sql(['events'])})), c AS (SELECT *, list_filter(t, lambda x: NOT list_contains({_list(names.KEYS)}, x)) k FROM n)
     SELECT name, array_to_string(t, ' ') AS tokens, list_has_any(t, {_list(names.KEYS)}) AS key_like, regexp_matches(name, '{'|'.join(names.MEASURES)}') AS measure_like,
       list_has_any(t, {_list(names.GRAINS)}) AS grain_like, list_has_any(t, {_list(names.TIMES)}) AS time_like, list_has_any(t, {_list(names.PLACES)}) AS place_like,
       array_to_string(k, ' ') AS concept, array_to_string(list_filter(t, lambda x: NOT list_contains({_list(names.TECHNICAL)}, x)), '') AS normalized,
@@ -353,61 +350,81 @@ _register("shape_scores", _shape_scores, f"""
         ELSE least(0.55 * k::INT + 0.25 * (uniqueness_ratio >= 0.01 AND uniqueness_ratio < 0.95)::INT + 0.25 * identifiability_score, 1.0) END)::DOUBLE, 4) AS lookup_score
     FROM s""")
 
-_PAIRS = [("customer_id", "customer_key", 1.0), ("cust_id", "customer_id", 1.0), ("month", "id", 1.0), ("order_date", "ship_date", 0.9), ("product_code", "product_id", 0.97), ("region_key", "region_id", 0.5)]
-_SIMILAR = {("customer_id", "customer_key"): 1.0, ("cust_id", "customer_id"): round(8 / 12, 4), ("month", "id"): 0.0, ("order_date", "ship_date"): round(2 * 4 / 17, 4),
-            ("product_code", "product_id"): round(14 / 18, 4), ("region_key", "region_id"): 1.0}
+def _similarity_sql(pairs: str) -> str:
+    """(left_name, right_name, similarity) of name pairs: twice the longest common subsequence over both lengths, a row of its table for each step."""
+    plain = lambda c: f"array_to_string(list_filter(string_split({c}, '_'), lambda x: NOT list_contains({_list(names.TECHNICAL)}, x)), '')"
+    return f"""
+      lcs AS (SELECT left_name, right_name, {plain('left_name')} AS a, {plain('right_name')} AS b, 0 AS step, list_transform(range(length({plain('left_name')})), lambda x: 0) AS cells FROM ({pairs})
+        UNION ALL SELECT left_name, right_name, a, b, step + 1, list_transform(range(1, length(a) + 1), lambda i: greatest(cells[i], coalesce(list_max(list_transform(range(1, i + 1),
+          lambda k: CASE WHEN substr(a, k, 1) = substr(b, step + 1, 1) THEN 1 + CASE WHEN k > 1 THEN cells[k - 1] ELSE 0 END ELSE 0 END)), 0))) FROM lcs WHERE step < length(b)),
+      alike AS (SELECT left_name, right_name, CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' THEN 0.0 ELSE round(2.0 * coalesce(list_max(cells), 0) / (length(a) + length(b)), 4) END::DOUBLE AS similarity
+        FROM lcs WHERE step = length(b))"""
 
 
 def _similar(spark, sf):
-    return _rows(spark, "left_name string, right_name string, ratio double, similarity double", [(a, b, r, similarity.name_similarity(a, b)) for a, b, r in _PAIRS])
+    """All pairs of the order tables' column names."""
+    found = sorted({c.column for c in _evidence(spark, sf, STAR)[1]})
+    return _rows(spark, "left_name string, right_name string, similarity double", [(a, b, similarity.name_similarity(a, b)) for a in found for b in found])
+
+
+_register("name_similarity_edges", _similar, f"""WITH RECURSIVE n AS (SELECT DISTINCT column_name FROM ({_profiles_sql(STAR, aliased=True)})),
+    {_similarity_sql('SELECT a.column_name AS left_name, b.column_name AS right_name FROM n a, n b')} SELECT * FROM alike""")
 
 
-_similar_sql = _sql_values([(a, b, r, _SIMILAR[a, b]) for a, b, r in _PAIRS], "left_name, right_name, ratio, similarity")
-_register("name_similarity_edges", _similar, f"SELECT left_name, right_name, ratio::DOUBLE AS ratio, similarity::DOUBLE AS similarity FROM {_similar_sql}")
+def _edges(spark, sf):
+    """The joins that the data of the order tables show, with the evidence of their names."""
+    source, evidence = _evidence(spark, sf, STAR)
+    return graph.edges(joins.discover(source, evidence, keys.simple_keys(evidence)))
+
+
+def _edge_rows(spark, sf):
+    return _rows(spark, "source_table string, source_columns string, target_table string, target_columns string, ratio double, similarity double",
+                 [(e.source, ",".join(e.source_columns), e.target, ",".join(e.target_columns), e.ratio, e.similarity) for e in _edges(spark, sf)])
 
 
 def _edge_evidence(spark, sf):
     score, label = graph.evidence_column(F.col("ratio"), F.col("similarity"))
-    return _similar(spark, sf).select("left_name", "right_name", score.alias("hybrid_score"), label.alias("evidence"))
+    return _edge_rows(spark, sf).select("source_table", "source_columns", "target_table", "target_columns", score.alias("score"), label.alias("evidence"))
 
 
-_register("edge_evidence", _edge_evidence, f"""SELECT left_name, right_name, round(0.34 * ratio + 0.66 * similarity, 6)::DOUBLE AS hybrid_score,
-    CASE WHEN 0.34 * ratio + 0.66 * similarity >= 0.75 THEN 'CONFIRMED' WHEN 0.34 * ratio + 0.66 * similarity <= 0.25 THEN 'WEAK' ELSE 'COINCIDENCE' END AS evidence FROM {_similar_sql}""")
+_EDGES_SQL = f"""WITH RECURSIVE found AS ({ORACLE['join_discovery']}),
+    {_similarity_sql('SELECT DISTINCT source_columns AS left_name, target_columns AS right_name FROM found')},
+    e AS (SELECT source_table, source_columns, target_table, target_columns, round(0.34 * ratio + 0.66 * similarity, 6)::DOUBLE AS score,
+          CASE WHEN round(0.34 * ratio + 0.66 * similarity, 6) >= 0.75 THEN 'CONFIRMED' WHEN round(0.34 * ratio + 0.66 * similarity, 6) <= 0.25 THEN 'WEAK' ELSE 'COINCIDENCE' END AS evidence
+          FROM found JOIN alike ON left_name = source_columns AND right_name = target_columns)"""
+_register("edge_evidence", _edge_evidence, f"{_EDGES_SQL} SELECT * FROM e")
+_register("adjacency_matrix", lambda s, d: graph.matrix_table(STAR, _edge_evidence(s, d)), f"""{_EDGES_SQL}
+    SELECT t AS table_name, {', '.join(f"coalesce(max(score) FILTER (target_table = '{t}'), 0.0) AS {t}" for t in STAR)}
+    FROM (SELECT unnest({_list(STAR)}) AS t) LEFT JOIN e ON source_table = t AND evidence = 'CONFIRMED' GROUP BY t""")
 
 # -- graph, roles, models ---------------------------------------------------
 
-_EDGES = [(a, c) for a, _, c, _ in FOREIGN[:7]]
-_edges_sql = _sql_values(_EDGES, "source_table, target_table")
-_edge_rows = lambda s: _rows(s, "source_table string, target_table string", _EDGES)
-_register("degree_counts", lambda s, d: graph.degrees(_edge_rows(s)), f"""
-    WITH e AS (SELECT * FROM {_edges_sql}), o AS (SELECT source_table t, count(DISTINCT target_table) n FROM e GROUP BY 1), i AS (SELECT target_table t, count(DISTINCT source_table) n FROM e GROUP BY 1)
+_register("degree_counts", lambda s, d: graph.degrees(_edge_rows(s, d)), f"""{_EDGES_SQL},
+    o AS (SELECT source_table t, count(DISTINCT target_table) n FROM e GROUP BY 1), i AS (SELECT target_table t, count(DISTINCT source_table) n FROM e GROUP BY 1)
     SELECT coalesce(o.t, i.t) AS table_name, coalesce(o.n, 0) AS outgoing, coalesce(i.n, 0) AS incoming FROM o FULL JOIN i ON o.t = i.t""")
 
-_KEYED = ("region", "nation", "customer", "supplier", "part", "orders")
-
-
 def _table_roles(spark, sf):
     p = _profiles(spark, sf, STAR, aliased=True)
     measures = p.groupBy("table_name").agg(F.count_if(graph.additive_column()).alias("measures"))
-    has = F.col("table_name").isin(*_KEYED)
-    tables = (profile.kind_counts(p).join(measures, "table_name").join(graph.degrees(_edge_rows(spark)), "table_name", "left")
+    has = F.col("table_name").isin(*{k.table for k in keys.simple_keys(profile.evidence_of(p.collect()))})
+    tables = (profile.kind_counts(p).join(measures, "table_name").join(graph.degrees(_edge_rows(spark, sf)), "table_name", "left")
               .fillna(0, ["outgoing", "incoming"]).withColumns({"has_key": has, "grain": has}))
     return (graph.role_columns(tables)
             .select("table_name", "measures", "outgoing", "incoming", "role"))
 
 
-_register("table_roles", _table_roles, f"""
-    WITH p AS ({_profiles_sql(STAR, aliased=True)}), e AS (SELECT * FROM {_edges_sql}),
+_ROLES_SQL = f"""{_EDGES_SQL}, p AS ({_profiles_sql(STAR, aliased=True)}),
     c AS (SELECT table_name, max(rows) n, count(*) FILTER (kind IN ('integer', 'continuous')) x, count(*) FILTER (kind = 'text') t,
       count(*) FILTER (NOT {_has(names.KEYS)} AND kind IN ('integer', 'continuous') AND distinct_count > 1 AND uniqueness_ratio < 0.95 AND (entropy_ratio >= 0.05 OR variation_coefficient >= 0.05)) m
       FROM p GROUP BY 1),
     d AS (SELECT c.*, (SELECT count(DISTINCT target_table) FROM e WHERE source_table = table_name) o, (SELECT count(DISTINCT source_table) FROM e WHERE target_table = table_name) i,
-      table_name IN {_KEYED} k FROM c),
-    l AS (SELECT *, k AND m = 0 AND n < 100 AND i >= 1 AND x <= t + o AS lookup FROM d)
-    SELECT table_name, m AS measures, o AS outgoing, i AS incoming, CASE WHEN o = 0 AND i = 0 THEN 'ISOLATED' WHEN o >= 1 AND k AND m > 0 AND NOT lookup THEN 'FACT'
+      EXISTS (SELECT 1 FROM p WHERE p.table_name = c.table_name AND null_rows = 0 AND distinct_count = rows AND kind <> 'continuous') k FROM c),
+    l AS (SELECT *, k AND m = 0 AND n < 100 AND i >= 1 AND x <= t + o AS lookup FROM d),
+    roles AS (SELECT table_name, m AS measures, o AS outgoing, i AS incoming, CASE WHEN o = 0 AND i = 0 THEN 'ISOLATED' WHEN o >= 1 AND k AND m > 0 AND NOT lookup THEN 'FACT'
       WHEN o >= 2 AND n >= 5 AND x > t AND m > 0 AND NOT lookup THEN 'FACT' WHEN o >= 2 AND n >= 5 AND k AND m > 0 AND NOT lookup THEN 'FACT'
       WHEN o >= 1 AND i = 0 AND k AND n >= 5 AND x > t AND m > 0 AND NOT lookup THEN 'FACT' WHEN o >= 1 AND k AND t >= x THEN 'DIMENSION' WHEN k AND i >= 1 THEN 'DIMENSION' ELSE 'UNKNOWN' END AS role
-    FROM l""")
+    FROM l)"""
+_register("table_roles", _table_roles, f"{_ROLES_SQL} SELECT * FROM roles")
 
 _ROLES = {"lineitem": "FACT", "orders": "FACT", "customer": "DIMENSION", "supplier": "DIMENSION", "part": "DIMENSION", "nation": "DIMENSION", "region": "DIMENSION"}
 

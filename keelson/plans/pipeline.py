@@ -113,6 +113,10 @@ class Pipeline:
         self.store.put_records("edges", self.edges)
         return self.edges
 
+    def adjacency_matrix(self) -> str:
+        """Which logical tables confirmed edges join, as a matrix of 0 and 1."""
+        return graph.binary_matrix(graph.matrix(self.spark, self.logical, self.edges))
+
     def table_roles(self) -> list[Role]:
         self.roles = graph.roles(self.logical_evidence, {k.table for k in self.official}, self.edges, {p.name: p.role for p in self.plans})
         self.store.put_records("roles", self.roles)
