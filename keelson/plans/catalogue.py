@@ -426,46 +426,76 @@ _ROLES_SQL = f"""{_EDGES_SQL}, p AS ({_profiles_sql(STAR, aliased=True)}),
     FROM l)"""
 _register("table_roles", _table_roles, f"{_ROLES_SQL} SELECT * FROM roles")
 
-_ROLES = {"lineitem": "FACT", "orders": "FACT", "customer": "DIMENSION", "supplier": "DIMENSION", "part": "DIMENSION", "nation": "DIMENSION", "region": "DIMENSION"}
-
-
-def _candidates(spark, sf):
-    from ..types import Role
-
-    evidence = {t: [c for c in profile.evidence_of(profile.profile(df, t).collect())] for t, df in read_star(spark, sf, ["region", "nation"]).items()}
-    edges = [Edge(a, c, (b,), (e,), 1.0, 1.0, 1.0, "CONFIRMED") for a, b, c, e in FOREIGN[:7]] + [Edge("events", "customer", ("user_id",), ("c_custkey",), 1.0, 1.0, 1.0, "CONFIRMED")]
-    roles = [Role(t, r, 0.9, "") for t, r in (_ROLES | {"events": "FACT"}).items()]
-    return models.Builder(roles, edges, evidence)
+def _candidates(spark, sf) -> tuple[models.Builder, list]:
+    """Models of the order tables: their roles and confirmed joins are those that the data show."""
+    source, flat = _evidence(spark, sf, STAR)
+    evidence = {t: sorted((c for c in flat if c.table == t), key=lambda c: c.column) for t in source}
+    found = keys.simple_keys(flat)
+    edges = graph.edges(joins.discover(source, flat, found))
+    roles = graph.roles(evidence, {k.table for k in found}, edges, {})
+    return models.Builder(roles, graph.confirmed(edges), evidence), edges
 
 
 def _model_rows(spark, found: list[Model]) -> DataFrame:
-    return _rows(spark, "model_type string, facts string, dimensions string, joins int, covered_facts int, coverage double",
+    return _rows(spark, "model_type string, facts string, dimensions string, joins long, covered_facts long, coverage double",
                  [(m.kind, ",".join(m.facts), ",".join(m.dimensions), len(m.edges), m.covered_facts, m.coverage) for m in found])
 
 
-_model_values = lambda rows: f"SELECT model_type, facts, dimensions, joins::INT AS joins, covered_facts::INT AS covered_facts, coverage::DOUBLE AS coverage FROM {_sql_values(rows, 'model_type, facts, dimensions, joins, covered_facts, coverage')}"
-_register("star_candidates", lambda s, d: _model_rows(s, _candidates(s, d).stars()), _model_values([
-    ("STAR", "events", "customer", 1, 1, 0.333333), ("STAR", "lineitem", "part,supplier", 2, 1, 0.333333), ("STAR", "orders", "customer", 1, 1, 0.333333)]))
-_register("snowflake_candidates", lambda s, d: _model_rows(s, _candidates(s, d).snowflakes()), _model_values([
-    ("SNOWFLAKE", "events", "customer,nation", 2, 1, 0.333333), ("SNOWFLAKE", "lineitem", "nation,part,supplier", 3, 1, 0.333333), ("SNOWFLAKE", "orders", "customer,nation", 2, 1, 0.333333)]))
-_register("constellation", lambda s, d: _model_rows(s, _candidates(s, d).constellation()), _model_values([
-    ("CONSTELLATION", "events,orders", "customer,nation,region", 4, 2, 0.666667)]))
-
-_SCORED = [("star_a", "STAR", 1, 2, 3, 20, 9, 0.5), ("snow_a", "SNOWFLAKE", 1, 3, 4, 24, 11, 0.5), ("both", "CONSTELLATION", 2, 4, 6, 40, 18, 1.0)]
-_scored_columns = "model_id, model_type, facts, dimensions, tables, attributes, numeric_attributes, coverage_ratio"
-_register("model_scores", lambda s, d: models.score_table(_rows(s, "model_id string, model_type string, facts int, dimensions int, tables int, attributes int, numeric_attributes int, coverage_ratio double", _SCORED))
-          .select("model_id", "raw_score", "score"), f"""
-    WITH r AS (SELECT model_id, round(-1.0 * tables - 0.05 * attributes + 2.0 * numeric_attributes + 8.0 * dimensions + 30.0 * coverage_ratio
-      + CASE WHEN model_type = 'CONSTELLATION' AND facts > 1 THEN (facts - 1) * (15.0 + 10.0 * dimensions) ELSE 0 END, 2)::DOUBLE AS raw_score FROM {_sql_values(_SCORED, _scored_columns)})
-    SELECT model_id, raw_score, CASE WHEN max(raw_score) OVER () = min(raw_score) OVER () THEN 1.0 ELSE round((raw_score - min(raw_score) OVER ()) / (max(raw_score) OVER () - min(raw_score) OVER ()), 4) END AS score FROM r""")
-
-_TOPOLOGY = [("m1", "STAR", "f", "FACT", "d", "DIMENSION", 1), ("m1", "STAR", "f", "FACT", "f", "FACT", 1), ("m2", "CONSTELLATION", "f", "FACT", "g", "FACT", 1),
-             ("m3", "STAR", "d", "DIMENSION", "e", "DIMENSION", 2), ("m4", "SNOWFLAKE", "d", "DIMENSION", "e", "DIMENSION", 2)]
-_register("topology_issues", lambda s, d: validate.topology_issues(_rows(s, "model_id string, model_type string, source_table string, source_role string, target_table string, target_role string, depth int", _TOPOLOGY)), f"""
-    WITH e AS (SELECT * FROM {_sql_values(_TOPOLOGY, 'model_id, model_type, source_table, source_role, target_table, target_role, depth')})
-    SELECT model_id, 'NO_SELF_LOOP' AS rule_name, source_table, target_table FROM e WHERE source_table = target_table
-    UNION ALL SELECT model_id, 'NO_FACT_TO_FACT_EDGE', source_table, target_table FROM e WHERE source_role = 'FACT' AND target_role = 'FACT' AND source_table <> target_table
-    UNION ALL SELECT model_id, 'STAR_DIRECT_TO_DIMENSION', source_table, target_table FROM e WHERE model_type = 'STAR' AND (source_role <> 'FACT' OR target_role <> 'DIMENSION' OR depth <> 1)""")
+_MODELS_SQL = f"""{_ROLES_SQL},
+    facts AS (SELECT table_name FROM roles WHERE role = 'FACT'),
+    into_dimensions AS (SELECT e.* FROM e JOIN roles ON target_table = table_name WHERE evidence = 'CONFIRMED' AND role = 'DIMENSION'),
+    near AS (SELECT i.* FROM into_dimensions i JOIN facts ON source_table = table_name),
+    far AS (SELECT n.source_table AS fact, i.* FROM (SELECT DISTINCT source_table, target_table FROM near) n JOIN into_dimensions i ON i.source_table = n.target_table),
+    stars AS (SELECT 'STAR' AS model_type, source_table AS facts, list_sort(list(DISTINCT target_table)) AS dims, count(*) AS joins, 1 AS covered FROM near GROUP BY source_table),
+    flakes AS (SELECT 'SNOWFLAKE' AS model_type, s.facts, list_sort(list_distinct(list_concat(s.dims, f.dims))) AS dims, s.joins + f.joins AS joins, 1 AS covered
+      FROM stars s JOIN (SELECT fact, list(DISTINCT target_table) AS dims, count(*) AS joins FROM far GROUP BY fact) f ON s.facts = f.fact
+      WHERE len(list_filter(f.dims, lambda x: NOT list_contains(s.dims, x))) > 0),
+    sharing AS (SELECT DISTINCT n.source_table AS t FROM near n JOIN near o ON n.target_table = o.target_table AND n.source_table <> o.source_table),
+    reached AS (SELECT t FROM sharing UNION SELECT i.target_table FROM reached JOIN into_dimensions i ON i.source_table = t),
+    round_ AS (SELECT DISTINCT i.source_table, i.target_table, i.source_columns FROM into_dimensions i JOIN reached ON i.source_table = t),
+    constellations AS (SELECT 'CONSTELLATION' AS model_type, (SELECT string_agg(t, ',' ORDER BY t) FROM sharing) AS facts, list_sort(list(DISTINCT target_table)) AS dims, count(*) AS joins,
+      (SELECT count(*) FROM sharing) AS covered FROM round_ HAVING count(*) > 0),
+    built AS (SELECT *, round(covered::DOUBLE / (SELECT count(*) FROM facts), 6) AS coverage FROM (FROM stars UNION ALL FROM flakes UNION ALL FROM constellations))"""
+for _n, _kind, _build in (("star_candidates", models.STAR, models.Builder.stars), ("snowflake_candidates", models.SNOWFLAKE, models.Builder.snowflakes),
+                          ("constellation", models.CONSTELLATION, models.Builder.constellation)):
+    _register(_n, lambda s, d, build=_build: _model_rows(s, build(_candidates(s, d)[0])), f"""{_MODELS_SQL}
+        SELECT model_type, facts, array_to_string(dims, ',') AS dimensions, joins, covered AS covered_facts, coverage FROM built WHERE model_type = '{_kind}'""")
+
+
+def _model_scores(spark, sf):
+    """Raw and relative scores of all models; the records that the pipeline ranks must agree with the table."""
+    built = _candidates(spark, sf)[0].build()
+    name = lambda m: f"{m.kind}:{','.join(m.facts)}"
+    rows = _rows(spark, "model_id string, model_type string, facts int, dimensions int, tables int, attributes int, numeric_attributes int, coverage_ratio double",
+                 [(name(m), m.kind, len(m.facts), len(m.dimensions), m.tables, m.attributes, m.numeric_attributes, m.coverage) for m in built])
+    ranked = _rows(spark, "model_id string, pipeline_score double", [(name(m), m.score) for m in models.ranked(built)])
+    return models.score_table(rows).join(ranked, "model_id").select("model_id", "raw_score", "score", "pipeline_score")
+
+
+_register("model_scores", _model_scores, f"""{_MODELS_SQL},
+    member AS (SELECT model_type, facts, dims, covered, coverage, unnest(list_distinct(list_concat(string_split(facts, ','), dims))) AS t FROM built),
+    sized AS (SELECT model_type, facts, len(any_value(dims)) AS d, any_value(covered) AS f, any_value(coverage) AS coverage, count(DISTINCT t) AS tables, count(*) AS attributes,
+      count(*) FILTER (kind IN ('integer', 'continuous')) AS numbers FROM member JOIN p ON t = table_name GROUP BY model_type, facts),
+    scored AS (SELECT model_type || ':' || facts AS model_id, round(-1.0 * tables - 0.05 * attributes + 2.0 * numbers + 8.0 * d + 30.0 * coverage
+      + CASE WHEN model_type = 'CONSTELLATION' AND f > 1 THEN (f - 1) * (15.0 + 10.0 * d) ELSE 0 END, 2)::DOUBLE AS raw_score FROM sized),
+    final AS (SELECT *, CASE WHEN max(raw_score) OVER () = min(raw_score) OVER () THEN 1.0 ELSE round((raw_score - min(raw_score) OVER ()) / (max(raw_score) OVER () - min(raw_score) OVER ()), 4) END AS score FROM scored)
+    SELECT model_id, raw_score, score, score AS pipeline_score FROM final""")
+
+
+def _star_edges(spark, sf):
+    """All joins of a table taken as one star, and all joins as one constellation: rows for the topology rules."""
+    builder, edges = _candidates(spark, sf)
+    return _rows(spark, "model_id string, model_type string, source_table string, source_role string, target_table string, target_role string, depth int",
+                 [(i, kind, e.source, builder.role[e.source], e.target, builder.role[e.target], 1) for e in edges for i, kind in ((f"star_{e.source}", "STAR"), ("all", "CONSTELLATION"))])
+
+
+_TOPOLOGY_SQL = """
+    t AS (SELECT e.*, a.role AS source_role, b.role AS target_role FROM e JOIN roles a ON source_table = a.table_name JOIN roles b ON target_table = b.table_name),
+    topology AS (SELECT model_id, rule_name, source_table, target_table FROM (
+      SELECT 'star_' || source_table AS model_id, 'NO_FACT_TO_FACT_EDGE' AS rule_name, * FROM t WHERE source_role = 'FACT' AND target_role = 'FACT'
+      UNION ALL SELECT 'all', 'NO_FACT_TO_FACT_EDGE', * FROM t WHERE source_role = 'FACT' AND target_role = 'FACT'
+      UNION ALL SELECT 'star_' || source_table, 'STAR_DIRECT_TO_DIMENSION', * FROM t WHERE source_role <> 'FACT' OR target_role <> 'DIMENSION'))"""
+_register("topology_issues", lambda s, d: validate.topology_issues(_star_edges(s, d)), f"{_ROLES_SQL}, {_TOPOLOGY_SQL} SELECT * FROM topology")
 
 # -- logical tables, validation, views --------------------------------------
 
@@ -554,10 +584,18 @@ for _n, (_f, _fk, _d, _dk, _x, _g) in {
     _register(f"aggregation_stability_{_n}", lambda s, d, f=_f, fk=_fk, t=_d, dk=_dk, x=_x, g=_g: validate.stability(_read(s, d, f), _read(s, d, t), (fk,), (dk,), x, g),
               _stability_sql(_f, _fk, _d, _dk, _x, _g))
 
-_ISSUES = [("m1", None), ("m2", "WARNING"), ("m3", "ERROR"), ("m3", "WARNING"), ("m4", "ERROR"), ("m4", "ERROR"), ("m4", "ERROR")]
-_register("certification", lambda s, d: certify.certification(_rows(s, "model_id string, severity string", _ISSUES)), f"""
+
+def _certification(spark, sf):
+    """Every candidate model with a warning unless it covers all facts, and every star of a table with the errors of its topology."""
+    errors = validate.topology_issues(_star_edges(spark, sf)).select("model_id", F.lit("ERROR").alias("severity"))
+    covers = F.when(F.col("coverage") < 0.999999, "WARNING").alias("severity")
+    return certify.certification(errors.unionAll(_model_rows(spark, _candidates(spark, sf)[0].build()).select(F.concat_ws(":", "model_type", "facts").alias("model_id"), covers)))
+
+
+_register("certification", _certification, f"""{_MODELS_SQL}, {_TOPOLOGY_SQL},
+    issue AS (SELECT model_id, 'ERROR' AS severity FROM topology UNION ALL SELECT model_type || ':' || facts, CASE WHEN coverage < 0.999999 THEN 'WARNING' END FROM built)
     SELECT *, CASE WHEN errors > 0 THEN 'INVALID' WHEN warnings > 0 THEN 'WARNING' ELSE 'VALID' END AS status, greatest(0.0, 100.0 - 35.0 * errors - 10.0 * warnings)::DOUBLE AS certification_score
-    FROM (SELECT model_id, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings FROM {_sql_values(_ISSUES, 'model_id, severity')} GROUP BY 1)""")
+    FROM (SELECT model_id, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings FROM issue GROUP BY 1)""")
 
 
 def _star_view(spark, sf):
@@ -584,22 +622,34 @@ _register("snowflake_view_orders", _snowflake_view, "SELECT " + ", ".join(
 
 # -- CSV rows ---------------------------------------------------------------
 
-_CSV = [("1", "2024-01-31", "1,5", "2024-01-31 10:20:30", "x"), ("---", "--", "-", "---", "-"), ("", " ", None, "", ""), ("Source: export", "", "", "", ""), ("2", "1/2/2024", " null ", "3/4/2024 1:2:3", "N/A"), ("-3", "2024-2-3", "2e3", "2024-01-31T00:00:00", "y")]
-_csv_rows = lambda s: _rows(s, "a string, b string, c string, d string, e string", _CSV)
-_register("csv_clean_rows", lambda s, d: csv_folder.clean_rows(_csv_rows(s)), "SELECT * FROM " + _sql_values(
-    [("1", "2024-01-31", "1,5", "2024-01-31 10:20:30", "x"), ("2", "1/2/2024", None, "3/4/2024 1:2:3", None), ("-3", "2024-2-3", "2e3", "2024-01-31T00:00:00", "y")], "a, b, c, d, e"))
-_register("csv_types", lambda s, d: csv_folder.infer_types(csv_folder.clean_rows(_csv_rows(s))), "SELECT * FROM " + _sql_values(
-    [("a", "long", False), ("b", "date", False), ("c", "double", True), ("d", "timestamp_ntz", False), ("e", "string", True)], "name, type, nullable"))
+def _csv_rows(spark, sf):
+    """Orders as a careless export writes them: mixed dates, decimal commas, spellings of null, lines of dashes, notes and blanks."""
+    o, k, day = _read(spark, sf, "orders"), F.col("o_orderkey"), F.col("o_orderdate")
+    price = F.translate(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), ".", ",")
+    rows = o.select(k.cast("string").alias("a"), F.when(k % 3 == 0, F.concat_ws("/", F.dayofmonth(day), F.month(day), F.year(day))).otherwise(F.date_format(day, "yyyy-MM-dd")).alias("b"),
+                    F.when(k % 7 == 0, " null ").otherwise(price).alias("c"), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" 10:20:30")).alias("d"),
+                    F.when(k % 5 == 0, "N/A").otherwise(F.concat(F.lit(" "), "o_orderstatus")).alias("e"))
+    for n, junk in ((11, ("---", "--", "-", "---", "-")), (13, ("Source: export", "", "", "", "")), (17, ("", " ", None, "", ""))):
+        rows = rows.unionAll(o.filter(k % n == 0).select(*[F.lit(x).cast("string").alias(c) for c, x in zip("abcde", junk)]))
+    return rows
+
+
+_CSV_SQL = """SELECT o_orderkey AS a, o_orderdate::DATE AS b, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice::DECIMAL(18,2) END AS c, o_orderdate::DATE + INTERVAL '10:20:30' HOUR TO SECOND AS d,
+    CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS e FROM orders""".replace("INTERVAL '10:20:30' HOUR TO SECOND", "INTERVAL 37230 SECOND")
+_register("csv_clean_rows", lambda s, d: csv_folder.clean_rows(_csv_rows(s, d)), f"""
+    SELECT a::VARCHAR AS a, CASE WHEN a % 3 = 0 THEN day(b) || '/' || month(b) || '/' || year(b) ELSE b::VARCHAR END AS b, replace(c::VARCHAR, '.', ',') AS c, strftime(d, '%Y-%m-%d %H:%M:%S') AS d, e FROM ({_CSV_SQL})""")
+_register("csv_types", lambda s, d: csv_folder.infer_types(csv_folder.clean_rows(_csv_rows(s, d))), f"""WITH r AS ({_CSV_SQL})
+    SELECT 'a' AS name, 'long' AS type, count(a) < count(*) AS nullable FROM r UNION ALL SELECT 'b', 'date', count(b) < count(*) FROM r UNION ALL SELECT 'c', 'double', count(c) < count(*) FROM r
+    UNION ALL SELECT 'd', 'timestamp_ntz', count(d) < count(*) FROM r UNION ALL SELECT 'e', 'string', count(e) < count(*) FROM r""")
 
 
 def _csv_cast(spark, sf):
-    rows = csv_folder.clean_rows(_csv_rows(spark))
+    rows = csv_folder.clean_rows(_csv_rows(spark, sf))
     types = {r.name: r.type for r in csv_folder.infer_types(rows).collect()}
     return csv_folder.cast_rows(rows, types)
 
 
-_register("csv_cast", _csv_cast, """SELECT a::BIGINT AS a, b::DATE AS b, c::DOUBLE AS c, d::TIMESTAMP AS d, e FROM """ + _sql_values(
-    [(1, "2024-01-31", 1.5, "2024-01-31 10:20:30", "x"), (2, "2024-02-01", None, "2024-04-03 01:02:03", None), (-3, "2024-02-03", 2000.0, "2024-01-31 00:00:00", "y")], "a, b, c, d, e"))
+_register("csv_cast", _csv_cast, f"SELECT a::BIGINT AS a, b, c::DOUBLE AS c, d, e FROM ({_CSV_SQL})")
 
 # -- whole stages -----------------------------------------------------------
 
