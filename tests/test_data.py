@@ -158,6 +158,44 @@ def test_csv_rules_and_history(spark, tmp_path):
         store.get("ingestion_runs")
 
 
+def test_csv_errors_name_their_line(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")  # several splits
+    try:
+        p = write(tmp_path / "n.csv", "a;b\n" + "".join(f"{i};x{i}\n" + "--;--\n" * (i % 9 == 0) for i in range(60)) + "7;é;more\n8;y\n", "cp1252")
+        assert [tuple(r) for r in csv_folder.numbered_lines(spark, p).filter("line in (1, 2, 3, 40)").orderBy("line").collect()] == [(1, "a;b"), (2, "0;x0"), (3, "--;--"), (40, "34;x34")]
+        with pytest.raises(ValueError, match=r"n\.csv, line 69: more values.*'b': 'é'"):
+            csv_folder.read_table(spark, [p])
+        late = write(tmp_path / "late.csv", "k,d\n" + "".join(f"{i},2024-01-0{i % 9 + 1}\n" for i in range(50)) + "51,soon\n")
+        with pytest.raises(ValueError, match=r"late\.csv, line 52, column d: 'soon' is no non-null date"):
+            csv_folder.read_files(spark, [late], sample_size=10)
+        spans = write(tmp_path / "s.csv", 'k,d\n1,"x\ny"\n2,z\n3,z,4\n')
+        with pytest.raises(ValueError, match="row 3: more values"):
+            csv_folder.read_table(spark, [spans])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_csv_review_is_a_result(spark, tmp_path):
+    write(tmp_path / "in/a.csv", "k\n1\nx\n3\n"), write(tmp_path / "in/b.csv", "k\n1\n2\n")
+    store = Store(spark, str(tmp_path / "evidence"))
+    runs = csv_folder.import_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), store, sample_size=1)
+    assert [r["status"] for r in runs] == ["needs_human_review", "success"] and not (tmp_path / "out/a").exists()
+    assert {r.status for r in store.get("ingestion_runs").collect()} == {"needs_human_review", "success"}
+
+
+def test_csv_folder_takes_a_job_for_each_way_of_writing(spark, tmp_path):
+    for i in range(40):
+        write(tmp_path / f"t {i:02d}.csv", f"id{i};when\n{i};2024-01-31\n--;--\n{i + 1};\n" if i % 2 else f'id,"no te"\n{i},"a\nb"\n', "cp1252" if i % 2 else "utf-8")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("many", "many")
+    counts = csv_folder.survey(spark, [f"{tmp_path}/{p}" for p in csv_folder.csv_files(spark, tmp_path)])
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert len(counts) == 40 and len(tracker.getJobIdsForGroup("many")) < 12
+    tables = csv_folder.read_folder(spark, tmp_path)
+    assert len(tables) == 40 and [tuple(r) for r in tables["t_04"].collect()] == [(4, "a\nb")]
+    assert tables["t_05"].dtypes == [("id5", "bigint"), ("when", "date")] and tables["t_05"].count() == 2
+
+
 def test_latest_run(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "a", 6), (1, "b", 7)], "run_ts long, table_name string, x int")
     assert sorted(map(tuple, latest_run(df, "table_name").collect())) == [(1, "b", 7), (2, "a", 6)]
