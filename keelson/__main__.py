@@ -32,7 +32,7 @@ COMMANDS = {
     "validate-semantic-homogeneity": ("validate_homogeneity", lambda p: p.purity),
     "validate-aggregation-stability": ("validate_stability", lambda p: p.stability),
     "certify-models": ("certify_models", lambda p: [c | {"issues": [asdict(i) for i in c["issues"]]} for c in p.certifications]),
-    "generate-sql-views": ("certify_models", lambda p: {k: v.columns for k, v in p.create_views().items()}),
+    "generate-sql-views": ("certify_models", None),
 }
 
 
@@ -46,16 +46,20 @@ def parser() -> argparse.ArgumentParser:
     many = sub.add_parser("ingest-folder")
     many.add_argument("folder")
     many.add_argument("target")
-    for c in COMMANDS:
-        sub.add_parser(c).add_argument("folder")
-    for p in (one, many):
-        p.add_argument("--store", help="folder of the evidence; each import leaves its record there")
-    j = sub.add_parser("evaluate-join")
-    for a in ("folder", "source", "columns", "target", "target_columns"):
+    stages = [sub.add_parser(c) for c in COMMANDS]
+    j, e, r = (sub.add_parser(c) for c in ("evaluate-join", "export-certification-report", "run-all"))
+    for p in (*stages, j, e, r):
+        p.add_argument("folder", help="folder of CSV files, or catalog:DATABASE")
+        p.add_argument("--database", help="logical tables and views are saved there; the session uses Hive's catalog")
+        p.add_argument("--max-key-width", type=int, help="widest composite key that is looked for")
+    for p in (one, many, *stages, j, e, r):
+        p.add_argument("--store", help="folder of the evidence: a command leaves its own there and starts from what is there (run-all starts anew)")
+    c = sub.add_parser("clear")
+    c.add_argument("store")
+    c.add_argument("--scope", choices=("SOURCE", "LOGICAL", "ALL"))
+    for a in ("source", "columns", "target", "target_columns"):
         j.add_argument(a)
-    for c in ("export-certification-report", "run-all"):
-        r = sub.add_parser(c)
-        r.add_argument("folder")
+    for r in (e, r):
         r.add_argument("--report", default="certification_report.json")
         r.add_argument("--skip-sql-views", action="store_true")
     return out
@@ -63,28 +67,38 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None):
     a = parser().parse_args(argv)
-    spark = spark or SparkSession.builder.appName("keelson").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if spark is None:
+        builder = SparkSession.builder.appName("keelson").config("spark.sql.session.timeZone", "UTC")
+        lasting = getattr(a, "database", None) or getattr(a, "folder", "").startswith("catalog:")
+        spark = (builder.enableHiveSupport() if lasting else builder).getOrCreate()
     split = lambda s: tuple(x.strip() for x in s.split(",") if x.strip())
     store = Store(spark, a.store) if getattr(a, "store", None) else None
     if a.command == "ingest-csv":
         out = csv_folder.import_file(spark, a.path, a.target, a.if_exists, store)
     elif a.command == "ingest-folder":
         out = csv_folder.import_folder(spark, a.folder, a.target, store)
+    elif a.command == "clear":
+        Store(spark, a.store).clear(scope=a.scope)
+        out = {"cleared": a.scope or "all scopes"}
     else:
-        p = Pipeline.from_folder(spark, a.folder)
+        options = {"store": store, "resume": store is not None and a.command != "run-all", "max_key_width": a.max_key_width}
+        p = Pipeline.from_catalog(spark, a.folder.split(":", 1)[1], **options) if a.folder.startswith("catalog:") else Pipeline.from_folder(spark, a.folder, **options)
         if a.command == "evaluate-join":
             out = asdict(p.run("source_keys").evaluate_join(a.source, split(a.columns), a.target, split(a.target_columns)))
         elif a.command in ("export-certification-report", "run-all"):
             p.run()
             if a.command == "run-all" and not a.skip_sql_views:
                 try:
-                    p.create_views()
+                    p.create_views(a.database)
                 except ValueError as e:  # no certified model: the report tells why
                     print(f"no views: {e}")
             out = p.write_report(a.report)
         else:
             stage, show = COMMANDS[a.command]
-            out = show(p.run(stage))
+            p.run(stage)
+            if a.command == "build-logical-tables" and a.database:
+                p.save_logical(a.database)
+            out = show(p) if show else {k: v.columns for k, v in p.create_views(a.database).items()}
         p.close()
     print(json.dumps(out, indent=2, ensure_ascii=False, default=str))
     return out

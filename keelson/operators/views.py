@@ -71,3 +71,28 @@ def create_views(spark: SparkSession, tables: dict[str, DataFrame], m: Model) ->
     for name, df in out.items():
         df.createOrReplaceTempView(name)
     return out
+
+
+def view_sql(columns: dict[str, list[str]], fact: str, edges: list[Edge], database: str) -> str:
+    """The same view as a SELECT over the tables of a database (``columns``: those of each table)."""
+    q = lambda *names: ".".join("`" + n.replace("`", "``") + "`" for n in names)
+    alias, shown, joined = {fact: "fact"}, [], []
+    for e in edges:
+        if e.target not in alias and e.source in alias:
+            on = " AND ".join(f"{q(alias[e.source], a)} = {q(e.target, b)}" for a, b in zip(e.source_columns, e.target_columns))
+            alias[e.target] = e.target
+            joined.append(f"LEFT JOIN {q(database, e.target)} AS {q(e.target)} ON {on}")
+    for t, a in alias.items():
+        shown += [f"{q(a, c)} AS {q(f'{a}_{c}')}" for c in sorted(columns[t]) if not c.startswith("__")]
+    return f"SELECT {', '.join(shown)} FROM {q(database, fact)} AS `fact` {' '.join(joined)}"
+
+
+def create_lasting_views(spark: SparkSession, tables: dict[str, DataFrame], m: Model, database: str) -> dict[str, DataFrame]:
+    """A view of the database's catalog for each fact of the model, over its tables there."""
+    out = {}
+    for fact in m.facts:
+        if edges := edges_for(m, fact):
+            name = f"`{database}`.`{view_name(fact, m.kind)}`"
+            spark.sql(f"CREATE OR REPLACE VIEW {name} AS {view_sql({t: df.columns for t, df in tables.items()}, fact, edges, database)}")
+            out[view_name(fact, m.kind)] = spark.table(name)
+    return out

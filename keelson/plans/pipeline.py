@@ -7,16 +7,24 @@ store.  Stages may be called one by one or all at once with :meth:`Pipeline.run`
 from __future__ import annotations
 
 import json
+import time
 from collections import defaultdict
+from dataclasses import fields
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from ..operators import certify, graph, groups, joins, keys, logical, models, profile, report, structure, validate, views
+from ..sources import catalog
 from ..sources.csv_folder import read_folder
 from ..sources.evidence import Store
-from ..types import ColumnEvidence, Edge, Group, Join, Key, LogicalPlan, Model, Role, Structure
+from ..types import ColumnEvidence, Edge, Group, Join, Key, LogicalPlan, Model, Role, Structure, analysed
+
+#: Scopes of evidence.
+SOURCE, LOGICAL = "SOURCE", "LOGICAL"
 
 
 class Pipeline:
@@ -24,9 +32,11 @@ class Pipeline:
               "logical_joins", "adjacency", "table_roles", "candidate_models", "rank_models", "validate_structure", "validate_granularity",
               "validate_homogeneity", "validate_stability", "certify_models")
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], store: Store | str | None = None, cache: bool = True):
-        self.spark, self.sources, self.cache = spark, dict(tables), cache
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], store: Store | str | None = None, cache: bool = True, resume: bool = False, max_key_width: int | None = None):
+        """``resume``: stages take what an earlier run left in the store, as long as it has the tables' columns."""
+        self.spark, self.sources, self.cache, self._anew = spark, dict(tables), cache, True
         self.store = store if isinstance(store, Store) else Store(spark, store)
+        self.resume, self.max_key_width, self.run_ts = resume, max_key_width, time.time_ns() // 1000
         self.logical: dict[str, DataFrame] = {}
         self.kept: list[DataFrame] = []
         self.evidence: dict[str, list[ColumnEvidence]] = {}
@@ -37,6 +47,11 @@ class Pipeline:
         """CSV files of a folder as sources."""
         return cls(spark, read_folder(spark, folder), **options)
 
+    @classmethod
+    def from_catalog(cls, spark: SparkSession, database: str = "default", **options) -> Pipeline:
+        """Tables of a database of the session's catalog as sources."""
+        return cls(spark, catalog.read_tables(spark, database), **options)
+
     def _hold(self, df: DataFrame) -> DataFrame:
         """Tables are read many times; the cache spills to disk and can be dropped any time."""
         if self.cache:
@@ -48,15 +63,36 @@ class Pipeline:
         while self.kept:
             self.kept.pop().unpersist()
 
-    def _profiled(self, tables: dict[str, DataFrame]) -> dict[str, list[ColumnEvidence]]:
-        rows = profile.profile_all(self.spark, tables)
+    def _profiled(self, tables: dict[str, DataFrame], scope: str) -> dict[str, list[ColumnEvidence]]:
+        rows = self._known_profiles(tables, scope)
+        if rows is None:
+            rows = profile.profile_all(self.spark, tables).withColumns({"scope": F.lit(scope), "run_ts": F.lit(self.run_ts)}).collect()  # a row for each column
+            done = self.spark.createDataFrame(rows, T.StructType([*profile.PROFILE.fields, T.StructField("scope", T.StringType()), T.StructField("run_ts", T.LongType())]))
+            self.store.put("column_profiles", done, scope)
+            self.store.put_records("identifiability_scores", [{"scope": scope, "run_ts": self.run_ts, "table": r.table_name, "column": r.column_name, "identifiability": r.identifiability_score} for r in rows], scope)
         out: dict[str, list[ColumnEvidence]] = {t: [] for t in tables}
-        for c in sorted(profile.evidence_of(rows.collect()), key=lambda c: (c.table, c.column)):
+        for c in sorted(profile.evidence_of(rows), key=lambda c: (c.table, c.column)):
             out[c.table].append(c)
-        self._profiles = rows if not getattr(self, "_profiles", None) else self._profiles.unionAll(rows)
-        self.store.put("column_profiles", self._profiles)
         return out
 
+    def _known_profiles(self, tables: dict[str, DataFrame], scope: str) -> list | None:
+        """The latest stored profiles if they have exactly the columns of the tables."""
+        if not (self.resume and self.store.has("column_profiles", scope)):
+            return None
+        rows = [r for r in self.store.get("column_profiles", scope).collect() if r.table_name in tables]
+        want = {(t, f.name, f.dataType.simpleString()) for t, df in tables.items() for f in analysed(df)}
+        return rows if {(r.table_name, r.column_name, r.column_type) for r in rows} == want else None
+
+    def _stored(self, kind: str, make: type, compute, scope: str = "ALL", extra: dict | None = None) -> list:
+        """Records of a stage: those of the store where they may be used, else computed and stored."""
+        if self.resume and not self._anew and self.store.has(kind, scope):
+            names = [f.name for f in fields(make)]
+            return [make(**{n: tuple(v) if isinstance(v := r[n], list) else v for n in names if n in r}) for r in map(lambda r: r.asDict(), self.store.get(kind, scope).collect())]
+        self._anew = True  # what follows rests on it
+        found = compute()
+        self.store.put_records(kind, [vars(x) | (extra or {}) | {"scope": scope} for x in found], scope)
+        return found
+
     @staticmethod
     def _flat(evidence: dict[str, list[ColumnEvidence]]) -> list[ColumnEvidence]:
         return [c for cs in evidence.values() for c in cs]
@@ -65,45 +101,48 @@ class Pipeline:
 
     def profile_sources(self) -> dict[str, list[ColumnEvidence]]:
         self.sources = {t: self._hold(df) for t, df in self.sources.items()}
-        self.evidence = self._profiled(self.sources)
+        self._anew = self._known_profiles(self.sources, SOURCE) is None
+        self.evidence = self._profiled(self.sources, SOURCE)
         return self.evidence
 
     def source_keys(self) -> list[Key]:
-        self.keys = keys.infer_keys(self.sources, self._flat(self.evidence))
+        self.keys = self._stored("primary_keys", Key, lambda: keys.infer_keys(self.sources, self._flat(self.evidence), self.max_key_width), SOURCE, {"official": False})
         return self.keys
 
     def source_joins(self) -> list[Join]:
-        self.joins = joins.discover(self.sources, self._flat(self.evidence), self.keys)
+        self.joins = self._stored("joins", Join, lambda: joins.discover(self.sources, self._flat(self.evidence), self.keys), SOURCE)
         return self.joins
 
     def functional_groups(self) -> list[Group]:
         self.structures: dict[str, Structure] = structure.structures(self.sources, self.keys, self.joins)
-        self.groups = groups.build(self.sources, self.evidence, self.structures)
-        self.store.put_records("groups", self.groups)
+        self.groups = self._stored("groups", Group, lambda: groups.build(self.sources, self.evidence, self.structures))
         return self.groups
 
     # -- logical tables -----------------------------------------------------
 
     def logical_tables(self) -> list[LogicalPlan]:
-        self.plans = logical.plans(self.groups, self.evidence, self.structures)
+        self.plans = self._stored("logical_tables", LogicalPlan, lambda: logical.plans(self.groups, self.evidence, self.structures))
         self.logical = {p.name: self._hold(logical.materialize(p, self.sources[p.source])) for p in self.plans}
-        self.store.put_records("logical_tables", self.plans)
         return self.plans
 
+    def save_logical(self, database: str = "default") -> list[str]:
+        """Logical tables as tables of a database; later stages read these."""
+        for name, df in self.logical.items():
+            self.logical[name] = catalog.save_table(df, database, name)
+        return sorted(self.logical)
+
     def profile_logical(self) -> dict[str, list[ColumnEvidence]]:
-        self.logical_evidence = self._profiled(self.logical)
+        self._anew = self._anew or self._known_profiles(self.logical, LOGICAL) is None
+        self.logical_evidence = self._profiled(self.logical, LOGICAL)
         return self.logical_evidence
 
     def logical_keys(self) -> list[Key]:
         determinants = {p.name: p.determinants for p in self.plans if p.role == logical.DIMENSION}
-        self.official = keys.logical_keys(self.logical, self._flat(self.logical_evidence), determinants)
-        both = [(k, "SOURCE", False) for k in self.keys] + [(k, "LOGICAL", True) for k in self.official]
-        self.store.put_records("primary_keys", [vars(k) | {"scope": s, "official": o} for k, s, o in both])
+        self.official = self._stored("primary_keys", Key, lambda: keys.logical_keys(self.logical, self._flat(self.logical_evidence), determinants), LOGICAL, {"official": True})
         return self.official
 
     def logical_joins(self) -> list[Join]:
-        self.links = joins.discover(self.logical, self._flat(self.logical_evidence), self.official)
-        self.store.put_records("joins", [vars(j) | {"scope": s} for js, s in ((self.joins, "SOURCE"), (self.links, "LOGICAL")) for j in js])
+        self.links = self._stored("joins", Join, lambda: joins.discover(self.logical, self._flat(self.logical_evidence), self.official), LOGICAL)
         return self.links
 
     # -- models -------------------------------------------------------------
@@ -177,10 +216,14 @@ class Pipeline:
 
     # -- results ------------------------------------------------------------
 
-    def create_views(self) -> dict[str, DataFrame]:
-        """Views of the best certified model; ValueError if none is certified."""
+    def create_views(self, database: str | None = None) -> dict[str, DataFrame]:
+        """Views of the best certified model, temporary ones or, over saved logical tables, those of a database; ValueError if none is certified."""
         best = views.best_certified(self.certifications)
-        return views.create_views(self.spark, self.logical, next(m for m in self.models if m.id == best["model_id"]))
+        model = next(m for m in self.models if m.id == best["model_id"])
+        if not database:
+            return views.create_views(self.spark, self.logical, model)
+        self.save_logical(database)
+        return views.create_lasting_views(self.spark, self.logical, model, database)
 
     def report(self) -> dict:
         return report.report(self.certifications, self.plans, self._flat(self.evidence), self.roles)
@@ -201,7 +244,7 @@ class Pipeline:
     def evaluate_join(self, source: str, columns, target: str, target_columns) -> Join:
         """The coverage of a known source key by columns of another table."""
         if not hasattr(self, "keys"):
-            self.source_keys()
+            self.run("source_keys")
         return joins.evaluate_named(self.sources, self.keys, source, columns, target, target_columns)
 
     def run(self, until: str | None = None) -> Pipeline:

@@ -1,23 +1,25 @@
-"""The evidence store: one Parquet table for each kind of record, rewritten stage by stage."""
+"""The evidence store: Parquet tables by kind, scope (SOURCE, LOGICAL or ALL) and run."""
 
 from __future__ import annotations
 
+import time
 from dataclasses import asdict, is_dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Kinds that survive a new run; the others are computed anew.
-HISTORY = ("ingestion_runs",)
+#: Kinds that keep every run; of the others a new run replaces the last.
+HISTORY = ("ingestion_runs", "column_profiles")
 COMPUTED = (
-    "column_profiles", "primary_keys", "joins", "groups", "logical_tables", "edges", "roles", "models", "model_edges", "structure", "grains",
+    "column_profiles", "identifiability_scores", "primary_keys", "joins", "groups", "logical_tables", "edges", "roles", "models", "model_edges", "structure", "grains",
     "homogeneity", "stability", "certifications", "issues",
 )
 
 SCHEMAS = {
     "ingestion_runs": "run_ts long, source_file string, target string, status string, rows long, skipped_dirty_rows long, encoding string, delimiter string, "
                       "columns string, error string",
-    "primary_keys": "scope string, official boolean, table string, columns array<string>, types array<string>, rows long, null_ratio double, "
+    "primary_keys": "scope string, official boolean, table string, columns array<string>, types array<string>, kinds array<string>, low_cardinality long, rows long, null_ratio double, "
                     "uniqueness double, identifiability double, confidence double",
     "joins": "scope string, source string, source_columns array<string>, target string, target_columns array<string>, rows long, matched long, ratio double",
     "groups": "table string, name string, determinants array<string>, dependents array<string>, confidence double, reason string, role string, score double, "
@@ -25,6 +27,7 @@ SCHEMAS = {
     "logical_tables": "name string, source string, determinants array<string>, columns array<string>, role string, distinct boolean",
     "edges": "source string, target string, source_columns array<string>, target_columns array<string>, ratio double, similarity double, hybrid double, "
              "evidence string, depth int",
+    "identifiability_scores": "scope string, run_ts long, table string, column string, identifiability double",
     "roles": "table string, role string, confidence double, reason string, rows long, outgoing long, incoming long, numeric long, text long, date long, has_key boolean",
     "models": "id string, kind string, facts array<string>, dimensions array<string>, tables long, attributes long, numeric_attributes long, "
               "covered_facts long, total_facts long, coverage double, raw_score double, score double",
@@ -58,39 +61,76 @@ def latest_run(df: DataFrame, *by: str, run_col: str = "run_ts") -> DataFrame:
 
 
 class Store:
-    """Evidence below a folder (any that Spark writes), or in memory only if there is none."""
+    """Evidence below a folder (any that Spark writes), or in memory only if there is none.
+
+    A write goes to a new folder, ``kind/of=scope/run=number``, and counts once Spark has marked it as whole; only
+    then older runs of the scope go, so a failed write leaves what was there, and a frame that was
+    read from the store can be written to it.  Kinds of HISTORY keep all their runs.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark, self.root, self.frames = spark, root, {}
+        self.spark, self.root = spark, root
+        self.frames: dict[str, dict[str, list[DataFrame]]] = {}
 
-    def put(self, kind: str, df: DataFrame) -> DataFrame:
+    def put(self, kind: str, df: DataFrame, scope: str = "ALL") -> DataFrame:
+        if self.root:
+            old = self._runs(kind, scope)
+            last = int(old[-1].rsplit("=", 1)[-1]) if old else 0
+            df.write.parquet(f"{self.root}/{kind}/of={scope}/run={max(time.time_ns(), last + 1):020d}")
+            for path in old if kind not in HISTORY else ():
+                self._delete(path)
+        else:
+            runs = self.frames.setdefault(kind, {}).setdefault(scope, [])
+            runs[:] = [*runs, df] if kind in HISTORY else [df]
+        found = self.get(kind)
+        found.createOrReplaceTempView(f"evidence_{kind}")
+        return found
+
+    def put_records(self, kind: str, records, scope: str = "ALL") -> DataFrame:
+        return self.put(kind, frame(self.spark, kind, records), scope)
+
+    def get(self, kind: str, scope: str | None = None) -> DataFrame:
+        """What is known of a kind, of one scope or of all; of profiles the latest run of each table. ValueError if there is nothing."""
         if self.root:
-            df.write.mode("append" if kind in HISTORY else "overwrite").parquet(f"{self.root}/{kind}")
-            df = self.spark.read.parquet(f"{self.root}/{kind}")
-        elif kind in HISTORY and kind in self.frames:
-            df = self.frames[kind].unionByName(df)
-        self.frames[kind] = df
-        df.createOrReplaceTempView(f"evidence_{kind}")
-        return df
-
-    def put_records(self, kind: str, records) -> DataFrame:
-        return self.put(kind, frame(self.spark, kind, records))
-
-    def get(self, kind: str) -> DataFrame:
-        if kind not in self.frames and self.root and self._folder(kind, "exists"):
-            self.frames[kind] = self.spark.read.parquet(f"{self.root}/{kind}")
-        if kind not in self.frames:
-            raise ValueError(f"no {kind} yet")
-        return self.frames[kind]
-
-    def _folder(self, kind: str, do: str, *args) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
-        return getattr(at.getFileSystem(self.spark._jsc.hadoopConfiguration()), do)(at, *args)
-
-    def clear(self, *kinds: str) -> None:
-        """Forget these kinds, their files too; all computed ones if none is named."""
+            paths = [p for s in self.scopes(kind) if scope in (None, s) for p in self._runs(kind, s)]
+            df = self.spark.read.parquet(*paths) if paths else None
+        else:
+            found = [f for s, runs in self.frames.get(kind, {}).items() if scope in (None, s) for f in runs]
+            df = reduce(DataFrame.unionByName, found) if found else None
+        if df is None:
+            raise ValueError(f"no {kind} yet" + (f" of scope {scope}" if scope else ""))
+        return latest_run(df, "scope", "table_name") if kind == "column_profiles" else df
+
+    def has(self, kind: str, scope: str | None = None) -> bool:
+        return any(scope in (None, s) and (not self.root or self._runs(kind, s)) for s in self.scopes(kind))
+
+    def scopes(self, kind: str) -> list[str]:
+        return [n.removeprefix("of=") for n in self._names(f"{self.root}/{kind}")] if self.root else list(self.frames.get(kind, {}))
+
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, path: str) -> list[str]:
+        at, system = self._fs(path)
+        return sorted(f.getPath().getName() for f in system.listStatus(at)) if system.exists(at) else []
+
+    def _runs(self, kind: str, scope: str) -> list[str]:
+        """Whole runs, old ones first; the last alone for kinds without history."""
+        whole = [p for r in self._names(f"{self.root}/{kind}/of={scope}") if "_SUCCESS" in self._names(p := f"{self.root}/{kind}/of={scope}/{r}")]
+        return whole if kind in HISTORY else whole[-1:]
+
+    def _delete(self, path: str) -> None:
+        at, system = self._fs(path)
+        system.delete(at, True)
+
+    def clear(self, *kinds: str, scope: str | None = None) -> None:
+        """Forget these kinds, their files too, of one scope or of all; all computed ones if none is named."""
         for k in kinds or COMPUTED:
-            if self.root:
-                self._folder(k, "delete", True)
-            self.frames.pop(k, None)
-            self.spark.catalog.dropTempView(f"evidence_{k}")
+            for s in self.scopes(k):
+                if scope in (None, s):
+                    if self.root:
+                        self._delete(f"{self.root}/{k}/of={s}")
+                    self.frames.get(k, {}).pop(s, None)
+            if not self.scopes(k):
+                self.spark.catalog.dropTempView(f"evidence_{k}")

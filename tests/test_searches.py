@@ -150,3 +150,82 @@ def test_stability_sums_before_the_join(spark):
     assert any("Aggregate [k0" in x for x in lines[join + 1:join + 4])  # the fact's side of the join
     twice = validate.stability(f, d.union(d.filter("k = 3")), ("k",), ("k",), "x", "g").first()
     assert not twice.is_stable and twice.agg_count == 121
+
+
+# -- evidence and catalog ---------------------------------------------------
+
+def test_store_swaps_scopes_and_keeps_history(spark, tmp_path):
+    from keelson.sources.evidence import Store
+
+    key = {"table": "t", "columns": ("a",), "types": ("long",), "kinds": ("integer",), "rows": 1}
+    for root in (str(tmp_path / "e"), None):
+        s = Store(spark, root)
+        s.put_records("primary_keys", [key | {"scope": "SOURCE"}], "SOURCE")
+        s.put_records("primary_keys", [key | {"scope": "LOGICAL"}] * 2, "LOGICAL")
+        s.put_records("primary_keys", [key | {"scope": "SOURCE", "rows": 5}], "SOURCE")
+        assert sorted((r.scope, r.rows) for r in s.get("primary_keys").collect()) == [("LOGICAL", 1), ("LOGICAL", 1), ("SOURCE", 5)]
+        s.put("primary_keys", s.get("primary_keys", "SOURCE").withColumn("rows", F.col("rows") + 1), "SOURCE")  # read from where it is written
+        assert [r.rows for r in s.get("primary_keys", "SOURCE").collect()] == [6]
+        if root:
+            with pytest.raises(Exception):
+                s.put("primary_keys", spark.range(3).select(F.raise_error(F.lit("no")).alias("rows")), "SOURCE")
+            assert [r.rows for r in Store(spark, root).get("primary_keys", "SOURCE").collect()] == [6]
+        runs = lambda ts, n: spark.createDataFrame([("SOURCE", ts, "t", n)], "scope string, run_ts long, table_name string, n int")
+        s.put("column_profiles", runs(1, 10), "SOURCE"), s.put("column_profiles", runs(2, 20), "SOURCE")
+        assert [r.n for r in s.get("column_profiles").collect()] == [20]  # the latest run
+        s.clear(scope="SOURCE")
+        assert not s.has("column_profiles") and not s.has("primary_keys", "SOURCE") and s.get("primary_keys").count() == 2
+        s.clear()
+        with pytest.raises(ValueError):
+            s.get("primary_keys")
+
+
+def test_commands_start_from_what_is_stored(spark, tmp_path, monkeypatch, capsys):
+    from keelson import __main__ as cli
+    from keelson.plans import pipeline
+    from test_data import SHOP, write
+
+    for name, text in SHOP.items():
+        write(tmp_path / "shop" / f"{name}.csv", text)
+    folder, store = str(tmp_path / "shop"), str(tmp_path / "evidence")
+    first = cli.main(["infer-pk", folder, "--store", store], spark)
+    plain = cli.main(["infer-joins", folder], spark)
+    calls = []
+    for module, name in ((pipeline.profile, "profile_all"), (pipeline.keys, "infer_keys"), (pipeline.keys, "logical_keys"), (pipeline.groups, "build"), (pipeline.logical, "plans"), (pipeline.joins, "discover")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name, **k: calls.append(n) or f(*a, **k))
+    assert cli.main(["infer-joins", folder, "--store", store], spark) == plain and calls == ["discover"]
+    assert cli.main(["infer-pk", folder, "--store", store], spark) == first and calls == ["discover"]
+    again = cli.main(["build-adjacency", folder, "--store", store], spark)
+    assert calls == ["discover"] and any(x.startswith("T1 ") for x in again["matrix"]) and again["edges"]
+    write(tmp_path / "shop" / "days.csv", SHOP["days"].replace("month_name", "month_label"))  # other columns: all anew
+    cli.main(["infer-pk", folder, "--store", store], spark)
+    assert calls.count("profile_all") == 2 and "infer_keys" in calls
+    cli.main(["clear", store, "--scope", "LOGICAL"], spark)
+    del calls[:]
+    cli.main(["infer-source-keys", folder, "--store", store], spark)
+    assert calls == []
+    capsys.readouterr()
+
+
+def test_views_of_the_catalog_outlive_the_session(spark, tmp_path):
+    from keelson.plans.pipeline import Pipeline
+    from keelson.sources import catalog
+    from test_data import SHOP, write
+
+    for name, text in SHOP.items():
+        write(tmp_path / "shop" / f"{name}.csv", text)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS shop LOCATION '{tmp_path}/db'")
+    try:
+        for t, df in Pipeline.from_folder(spark, str(tmp_path / "shop")).sources.items():
+            df.withColumn("nested", F.array(F.lit(1))).write.saveAsTable(f"shop.{t}")
+        p = Pipeline.from_catalog(spark, "shop").run()
+        assert sorted(p.sources) == sorted(SHOP) and "nested" not in p.sources["sales"].columns
+        lasting = p.create_views("shop")
+        p.close()
+        (name, view), = lasting.items()
+        other = spark.newSession()
+        assert sorted(map(str, other.table(f"shop.{name}").collect())) == sorted(map(str, next(iter(p.create_views().values())).collect())) != []
+        assert catalog.source_tables(other, "shop") == sorted(SHOP)  # logical tables and views are not sources
+        assert ("sales", "sale_id", "bigint") in catalog.columns(other, "shop") and not any(c == "nested" for _, c, _ in catalog.columns(other, "shop"))
+    finally:
+        spark.sql("DROP DATABASE shop CASCADE")
