@@ -21,7 +21,7 @@ THREADS = 4
 
 
 def _parts(df: DataFrame, columns, prefix: str) -> DataFrame:
-    out = df.select(*[F.col(f"`{c}`").alias(f"{prefix}{i}") for i, c in enumerate(columns)])
+    out = df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"{prefix}{i}") for i, c in enumerate(columns)])
     return out.dropna(how="any")
 
 

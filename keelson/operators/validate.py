@@ -187,13 +187,14 @@ def _metrics(prefix: str, x: dict[str, Column]) -> list[Column]:
 
 def stability(fact: DataFrame, dimension: DataFrame, source_columns, target_columns, measure: str, grouping: str) -> DataFrame:
     """One row: metrics of the measure on the fact, and through the dimension's grouping, and whether they agree."""
-    x, keys = F.col(f"`{measure}`"), [f"k{i}" for i in range(len(source_columns))]
+    q = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    x, keys = q(measure), [f"k{i}" for i in range(len(source_columns))]
     # Sums by foreign key come before the join: the fact is shuffled once, a row for each key and task, and a key that the dimension repeats still repeats its sums.
-    f = fact.select(x.alias("__x"), *[F.col(f"`{c}`").alias(k) for c, k in zip(source_columns, keys)]).groupBy(*keys).agg(
+    f = fact.select(x.alias("__x"), *[q(c).alias(k) for c, k in zip(source_columns, keys)]).groupBy(*keys).agg(
         F.sum("__x").cast("double").alias("s"), F.count("__x").alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
     parts = {"sum": F.sum("s"), "count": F.sum("n"), "avg": F.try_divide(F.sum("s"), F.sum("n")), "min": F.min("lo"), "max": F.max("hi")}
     fine = f.agg(*_metrics("fine", parts))
-    d = dimension.select(F.col(f"`{grouping}`").alias("__g"), *[F.col(f"`{c}`").alias(k) for c, k in zip(target_columns, keys)])
+    d = dimension.select(q(grouping).alias("__g"), *[q(c).alias(k) for c, k in zip(target_columns, keys)])
     level = f.join(d, keys, "left").groupBy("__g").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     through = level.agg(*_metrics("agg", parts))
     both = fine.crossJoin(F.broadcast(through))  # one row each
@@ -205,11 +206,11 @@ def stability(fact: DataFrame, dimension: DataFrame, source_columns, target_colu
         gap = F.abs(a - b)
         return (gap <= ABSOLUTE) | (gap / F.greatest(F.abs(a), F.abs(b), F.lit(1.0)) <= RELATIVE)
 
-    failed = F.array_compact(F.array(*[F.when(~close(m), f"{m.upper()} instability") for m in METRICS]))
+    failed = F.array_compact(F.array(*[F.when(~close(m), f"{m} differs") for m in METRICS]))
     shown = [F.round(F.col(f"{p}_{m}"), 4).alias(f"{p}_{m}") if m != "count" else F.col(f"{p}_{m}") for m in METRICS for p in ("fine", "agg")]
     return both.withColumn("failed", failed).select(
         *shown, (F.size("failed") == 0).alias("is_stable"),
-        F.when(F.size("failed") == 0, F.lit(f"Stable after aggregation by {grouping}")).otherwise(F.array_join("failed", ", ")).alias("reason"))
+        F.when(F.size("failed") == 0, F.lit(f"Agrees when grouped by {grouping}")).otherwise(F.array_join("failed", ", ")).alias("reason"))
 
 
 def check_stability(m: Model, tables: dict[str, DataFrame], evidence: dict[str, list[ColumnEvidence]], known: dict[tuple, dict]) -> list[dict]:

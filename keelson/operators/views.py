@@ -44,7 +44,7 @@ def build_view(tables: dict[str, DataFrame], fact: str, edges: list[Edge]) -> Da
     """``fact_<column>`` and ``<dimension>_<column>`` of the chain of left joins; a dimension is joined once."""
     def prefixed(table: str, prefix: str) -> DataFrame:
         df = tables[table]
-        return df.select(*[F.col(f"`{c}`").alias(f"{prefix}_{c}") for c in sorted(df.columns) if not c.startswith("__")])
+        return df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"{prefix}_{c}") for c in sorted(df.columns) if not c.startswith("__")])
 
     prefix, out = {fact: "fact"}, prefixed(fact, "fact")
     for e in edges:
@@ -52,7 +52,8 @@ def build_view(tables: dict[str, DataFrame], fact: str, edges: list[Edge]) -> Da
             continue
         prefix[e.target] = e.target
         right = prefixed(e.target, e.target)
-        on = [out[f"`{prefix[e.source]}_{a}`"] == right[f"`{e.target}_{b}`"] for a, b in zip(e.source_columns, e.target_columns)]
+        q = lambda c: "`" + c.replace("`", "``") + "`"
+        on = [out[q(f"{prefix[e.source]}_{a}")] == right[q(f"{e.target}_{b}")] for a, b in zip(e.source_columns, e.target_columns)]
         out = out.join(right, reduce(lambda x, y: x & y, on), "left")
     return out
 

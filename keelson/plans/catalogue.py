@@ -567,13 +567,13 @@ _register("fact_purity", _fact_purity, f"""SELECT table_name, column_name, NOT (
 def _stability_sql(f: str, fk: str, d: str, dk: str, x: str, g: str) -> str:
     close = lambda a, b: f"(abs({a} - {b}) <= 0.001 OR abs({a} - {b}) / greatest(abs({a}), abs({b}), 1.0) <= 0.000001)"
     shown = ", ".join(f"round({p}_{m}, 4) AS {p}_{m}" if m != "count" else f"{p}_{m}" for m in validate.METRICS for p in ("fine", "agg"))
-    fails = " || ".join(f"CASE WHEN {close(f'fine_{m}', f'agg_{m}') if m != 'count' else 'fine_count = agg_count'} THEN '' ELSE ', {m.upper()} instability' END" for m in validate.METRICS)
+    fails = " || ".join(f"CASE WHEN {close(f'fine_{m}', f'agg_{m}') if m != 'count' else 'fine_count = agg_count'} THEN '' ELSE ', {m} differs' END" for m in validate.METRICS)
     return f"""
       WITH a AS (SELECT coalesce(sum({x}), 0)::DOUBLE fine_sum, count({x}) fine_count, coalesce(avg({x}), 0)::DOUBLE fine_avg, coalesce(min({x}), 0)::DOUBLE fine_min, coalesce(max({x}), 0)::DOUBLE fine_max FROM {f}),
       b AS (SELECT coalesce(sum(s), 0)::DOUBLE agg_sum, coalesce(sum(n), 0)::BIGINT agg_count, coalesce(sum(s) / nullif(sum(n), 0), 0)::DOUBLE agg_avg, coalesce(min(lo), 0)::DOUBLE agg_min, coalesce(max(hi), 0)::DOUBLE agg_max
         FROM (SELECT sum({x}) s, count({x}) n, min({x}) lo, max({x}) hi FROM {f} LEFT JOIN {d} ON {fk} = {dk} GROUP BY {g})),
       c AS (SELECT *, {fails} AS bad FROM a, b)
-      SELECT {shown}, bad = '' AS is_stable, CASE WHEN bad = '' THEN 'Stable after aggregation by {g}' ELSE substr(bad, 3) END AS reason FROM c"""
+      SELECT {shown}, bad = '' AS is_stable, CASE WHEN bad = '' THEN 'Agrees when grouped by {g}' ELSE substr(bad, 3) END AS reason FROM c"""
 
 
 for _n, (_f, _fk, _d, _dk, _x, _g) in {

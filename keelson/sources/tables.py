@@ -23,7 +23,7 @@ ALIASES = {
 def read_table(spark: SparkSession, folder: str, name: str, aliases: dict[str, dict[str, str]] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     names = (aliases or {}).get(name)
-    return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns]) if names else df
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(names.get(c, c)) for c in df.columns]) if names else df
 
 
 def read_star(spark: SparkSession, folder: str, names=tuple(ALIASES)) -> dict[str, DataFrame]:
