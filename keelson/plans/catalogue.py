@@ -336,13 +336,17 @@ def _shape_scores(spark, sf):
         "table_name", "column_name", *[F.round(c, 4).alias(c) for c in ("measure_score", "grain_score", "descriptive_score", "lookup_score")])
 
 
-_register("shape_scores", _shape_scores, f"""
-    WITH p AS ({_profiles_sql(['lineitem', 'customer'], aliased=True)}),
+def _shape_ctes(profiles: str) -> str:
+    """CTE ``s``: profiles with what their names tell (k, g, t, l, m) and the measure score ms."""
+    return f"""p AS ({profiles}),
     f AS (SELECT *, {_has(names.KEYS)} k, {_has(names.GRAINS)} g, {_has(names.TIMES)} t, {_has(names.PLACES)} l, regexp_matches(column_name, '{'|'.join(names.MEASURES)}') m FROM p),
     s AS (SELECT *, CASE WHEN distinct_count <= 1 OR kind NOT IN ('integer', 'continuous') OR t OR l OR k OR g OR (kind <> 'continuous' AND uniqueness_ratio >= 0.95 AND NOT m)
         OR (distinct_count <= 2 AND entropy_ratio <= 0 AND variation_coefficient <= 0) THEN 0.0
       ELSE least(CASE WHEN kind = 'continuous' THEN 0.3 ELSE 0.1 END + 0.15 * (1 - uniqueness_ratio) + 0.2 * entropy_ratio + 0.3 * variation_coefficient
-        + 0.1 * (distinct_count >= 3)::INT + 0.15 * m::INT, 1.0) END AS ms FROM f)
+        + 0.1 * (distinct_count >= 3)::INT + 0.15 * m::INT, 1.0) END AS ms FROM f)"""
+
+
+_register("shape_scores", _shape_scores, f"""WITH {_shape_ctes(_profiles_sql(['lineitem', 'customer'], aliased=True))}
     SELECT table_name, column_name, round(ms::DOUBLE, 4) AS measure_score,
       round((CASE WHEN null_ratio > 0.2 OR distinct_count <= 1 OR ms >= 0.4 THEN 0.0 ELSE least(0.6 * (k OR g)::INT + 0.55 * (t OR kind = 'temporal')::INT + 0.55 * (uniqueness_ratio >= 0.95)::INT, 1.0) END)::DOUBLE, 4) AS grain_score,
       round((CASE WHEN (distinct_count <= 1 AND NOT l) OR k OR g OR t OR kind = 'temporal' OR ms >= 0.4 OR uniqueness_ratio >= 0.95 THEN 0.0 ELSE least(0.35 + 0.25 * (1 - uniqueness_ratio) + 0.15 * l::INT, 1.0) END)::DOUBLE, 4) AS descriptive_score,
@@ -654,6 +658,50 @@ _register("csv_cast", _csv_cast, f"SELECT a::BIGINT AS a, b, c::DOUBLE AS c, d,
 # -- whole stages -----------------------------------------------------------
 
 
+#: Orders with what is known of their customers, as one table: its columns and their places.
+_FLAT = {"order_key": ("o_orderkey", "bigint"), "order_status": ("o_orderstatus", "string"), "total_price": ("o_totalprice", "double"), "order_date": ("o_orderdate", "timestamp_ntz"),
+         "customer_key": ("o_custkey", "bigint"), "customer_name": ("c_name", "string"), "market_segment": ("c_mktsegment", "string"), "nation_key": ("c_nationkey", "int"),
+         "nation_name": ("n_name", "string"), "region_key": ("n_regionkey", "int"), "region_name": ("r_name", "string")}
+
+
+def _flat(spark, sf) -> tuple[DataFrame, list]:
+    o, c, n, r = (_read(spark, sf, t) for t in ("orders", "customer", "nation", "region"))
+    df = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(*[F.col(x).alias(a) for a, (x, _) in _FLAT.items()])
+    return df, sorted(profile.evidence_of(profile.profile(df, "flat").collect()), key=lambda c: c.column)
+
+
+def _group_rows(spark, found) -> DataFrame:
+    return _rows(spark, "determinants string, dependents string, confidence double, distinct long, uniqueness double, repeated long",
+                 [(",".join(g.determinants), ",".join(g.dependents), round(g.confidence, 4), g.distinct, round(g.uniqueness, 6), g.repeated) for g in found])
+
+
+def _group_candidates(spark, sf):
+    """Determinants of one column, and pairs of them, with the columns they determine, before any is chosen."""
+    df, columns = _flat(spark, sf)
+    tests, determinants = groups.Tests(df, [c.column for c in columns]), groups.determinant_candidates(columns)
+    return _group_rows(spark, groups.candidate_groups("flat", tests, columns, determinants, 1) + groups.candidate_groups("flat", tests, columns, determinants, 2))
+
+
+_flat_sets = [(d,) for d in _FLAT] + list(combinations(_FLAT, 2))
+_FLAT_SQL = f"""WITH flat AS (SELECT {', '.join(f'{x} AS {a}' for a, (x, _) in _FLAT.items())} FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+      JOIN region ON n_regionkey = r_regionkey),
+    labelled AS ({' UNION ALL '.join(_profile_sql('flat', a, k) for a, (_, k) in _FLAT.items())}), {_shape_ctes('SELECT * FROM labelled')},
+    d AS ({' UNION ALL '.join(f"""SELECT {_list(d)} AS ds, '{c}' AS dependent, count(*) AS n, sum(n) AS of, count(*) FILTER (v > 1) AS violations
+      FROM (SELECT count(*) n, count(DISTINCT {c}) v FROM flat WHERE {' AND '.join(f'{x} IS NOT NULL' for x in d)} GROUP BY {_same(d)})""" for d in _flat_sets for c in _FLAT if c not in d)}),
+    may AS (SELECT * FROM s WHERE null_ratio <= 0.05 AND distinct_count > 1 AND uniqueness_ratio < 0.95 AND (NOT (kind = 'temporal' OR t) OR k) AND ms < 0.4),
+    tells AS (SELECT * FROM s WHERE (distinct_count > 1 OR l) AND NOT k AND NOT g AND NOT t AND kind <> 'temporal' AND ms < 0.4 AND uniqueness_ratio < 0.95),
+    part AS (SELECT ds, dependent, n, of, unnest(ds) AS name FROM d WHERE violations = 0 AND n < of AND n / of < 0.999999999),
+    lookup AS (SELECT *, CASE WHEN null_ratio > 0.05 OR distinct_count <= 1 OR t OR kind = 'temporal' OR ms >= 0.4 OR g THEN 0.0
+        ELSE least(0.55 * k::INT + 0.25 * (uniqueness_ratio >= 0.01 AND uniqueness_ratio < 0.95)::INT + 0.25 * identifiability_score, 1.0) END >= 0.5 AS names_rows FROM may),
+    rank AS (SELECT *, row_number() OVER (ORDER BY names_rows DESC, identifiability_score DESC, uniqueness_ratio DESC, distinct_count DESC, column_name) AS pos FROM lookup),
+    fits AS (SELECT part.ds, dependent, n, of, array_to_string(list(name ORDER BY pos), ',') AS determinants, avg(rank.identifiability_score) AS ident
+      FROM part JOIN rank ON name = column_name JOIN tells ON dependent = tells.column_name
+      GROUP BY part.ds, dependent, n, of, tells.distinct_count HAVING count(*) = len(part.ds) AND product(greatest(rank.distinct_count, 1)) >= tells.distinct_count)"""
+_register("group_candidates", _group_candidates, f"""{_FLAT_SQL}
+    SELECT determinants, string_agg(dependent, ',' ORDER BY dependent) AS dependents, round(least(0.95, 0.5 + 0.25 * any_value(ident) + 0.03 * count(*)), 4)::DOUBLE AS confidence,
+      any_value(n) AS "distinct", round(any_value(n) / any_value(of), 6)::DOUBLE AS uniqueness, (any_value(of) - any_value(n))::BIGINT AS repeated FROM fits GROUP BY determinants""")
+
+
 def _functional_groups(spark, sf):
     source, flat = _evidence(spark, sf, STAR)
     evidence = {t: sorted((c for c in flat if c.table == t), key=lambda c: c.column) for t in source}
