@@ -90,16 +90,25 @@ def dependency_sets(df: DataFrame, determinants, dependents) -> DataFrame:
         (total - n).alias("repeated"), none.alias("violations"))
 
 
+#: Grouping sets of one aggregate, and columns grouped by (their marks share a long).
+SETS, GROUPED = 64, 60
+
+
 def tested(df: DataFrame, asked: list[tuple[tuple[str, ...], list[str]]], pairs: Pairs | None = None) -> list[tuple[int, float, int, list[str]]]:
-    """(distinct, uniqueness, repeated, those of the dependents that are determined) for each (determinant, dependents), by one scan.
+    """(distinct, uniqueness, repeated, those of the dependents that are determined) for each (determinant, dependents), by one scan for up to SETS of them.
 
     Dependents that a known pair of rows refutes are not looked at, nor determinants that have
     no others: these determine nothing, and are given as never repeated.
     """
     left = [(d, [c for c in dep if not (pairs and pairs.undetermined(d, c))]) for d, dep in asked]
     out: list = [(0, 1.0, 0, [])] * len(asked)
-    some = [i for i, (_, dep) in enumerate(left) if dep]
-    if some:
+    lots: list[list[int]] = [[]]
+    for i, (d, dep) in enumerate(left):
+        if dep:
+            if len(lots[-1]) == SETS or len({c for j in (*lots[-1], i) for c in left[j][0]}) > GROUPED:
+                lots.append([])
+            lots[-1].append(i)
+    for some in filter(None, lots):
         every = list(dict.fromkeys(c for i in some for c in left[i][1]))
         for r in dependency_sets(df, [left[i][0] for i in some], every).collect():
             out[some[r.position]] = (r.distinct, r.uniqueness, r.repeated, [c for c in left[some[r.position]][1] if not r.violations[c]])

@@ -95,7 +95,7 @@ def test_grain_is_counted_only_where_it_fails(spark, monkeypatch):
     assert g.duplicates("f", ("a",)) == 10 and g.duplicates("f", ("a",)) == 10 and counted == [("a",)]
 
 
-def test_dependencies_of_many_determinants_by_one_scan(spark):
+def test_dependencies_of_many_determinants_by_one_scan(spark, monkeypatch):
     r = random.Random(2)
     rows = [(a := r.choice([None, 1, 2, 3]), b := r.randrange(3), None if a is None else str(a * 7), f"{a}{b}", r.choice([None, "x"]), r.random() if r.random() < 0.9 else None) for _ in range(80)]
     df = table(spark, rows, ["long", "long", "string", "string", "string", "double"])
@@ -117,6 +117,10 @@ def test_dependencies_of_many_determinants_by_one_scan(spark):
     asked = [(d, [c for c in names if c not in d]) for d in sets]
     for (d, dep), (_, _, _, told), (_, _, _, plain) in zip(asked, with_pairs.all(asked), groups.Tests(df).all(asked)):
         assert told == plain == dependencies.determined(df, d, dep)
+    monkeypatch.setattr(dependencies, "SETS", 4)
+    monkeypatch.setattr(dependencies, "GROUPED", 3)
+    assert groups.Tests(df).all(asked) == groups.Tests(df, names[:0]).all(asked) == [(got[",".join(d)].distinct, got[",".join(d)].uniqueness, got[",".join(d)].repeated,
+                                                                                     [c for c in dep if not got[",".join(d)].violations[c]]) for d, dep in asked]
     empty = {x.determinant: x for x in dependencies.dependency_sets(df.limit(0), [("c0",)], ["c1"]).collect()}
     assert (empty["c0"].distinct, empty["c0"].uniqueness, empty["c0"].violations) == (0, 1.0, {"c1": 0})
     assert sum("Scan" in line and "Existing" in line for line in dependencies.dependency_sets(df, sets, names)._jdf.queryExecution().optimizedPlan().toString().splitlines()) <= 1
