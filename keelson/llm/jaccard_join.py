@@ -292,11 +292,12 @@ def _bounded(num: int, den: int):
 
 
 def coarse(vector: bytes) -> bytes:
-    """Counts of a quarter of the groups, which travel with each signature; empty if one doesn't fit."""
+    """Counts of a quarter of the groups and 8-bit sums of their members, which travel with each signature; empty if a count doesn't fit."""
     if not vector:
         return b""
-    counts = fold(unpacked(vector)[0], max(8, len(vector) // 12))
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+    dims = max(8, len(vector) // 12)
+    counts, sums = (fold(x, dims) for x in unpacked(vector))
+    return counts.astype(np.uint8).tobytes() + (sums & 0xFF).astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
 def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,13 +323,16 @@ class _Index:
                 by.setdefault(len(r[3]), []).append(r)
             self.parts = []
             for dims, rows in by.items():
-                counts = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), dims).astype(np.int32)
+                both = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), dims)
+                dims //= 2
+                counts, sums = both[:, :dims].astype(np.int32), both[:, dims:]
                 node, comp, sizes = (np.array([r[i] for r in rows], np.int64) for i in range(3))
                 tree = CountTree(counts.reshape(len(rows), min(TREE_DIMS, dims), -1).sum(axis=2), sizes, self.plan) if dims else None
-                self.parts.append((dims, counts, node, comp, sizes, tree))
+                self.parts.append((dims, counts, sums, node, comp, sizes, tree))
         found = []
-        for dims, counts, node, comp, sizes, tree in self.parts:
-            mine = np.frombuffer(vector, np.uint8).astype(np.int32)
+        whole = np.frombuffer(vector, np.uint8)
+        mine, its = whole[:len(whole) // 2].astype(np.int32), whole[len(whole) // 2:]
+        for dims, counts, sums, node, comp, sizes, tree in self.parts:
             if not dims or not len(mine):  # nothing known: the sizes alone
                 rows = np.arange(len(node))
                 bound = np.minimum(sizes, n)
@@ -336,7 +340,11 @@ class _Index:
                 low = min(TREE_DIMS, dims)
                 rows = tree.search(fold(mine, low), n) if len(mine) >= low else np.arange(len(node))
                 same = min(dims, len(mine))
-                bound = np.minimum(counts[rows].reshape(len(rows), same, dims // same).sum(axis=2), fold(mine, same)).sum(axis=1)
+                c, m = counts[rows].reshape(len(rows), same, dims // same).sum(axis=2), fold(mine, same)
+                bound = np.minimum(c, m).sum(axis=1)
+                near = np.flatnonzero(bound >= self.plan.need(n + sizes[rows]))  # equal counts of different members: one less
+                differ = sums[rows[near]].reshape(len(near), same, dims // same).sum(axis=2, dtype=np.uint8) != fold(its, same)
+                bound[near] -= np.count_nonzero((c[near] == m) & differ, axis=1)
             fit = bound >= self.plan.need(n + sizes[rows])
             rows = rows[fit]
             found.append((node[rows], comp[rows], bound[fit]))

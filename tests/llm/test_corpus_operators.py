@@ -261,3 +261,28 @@ def test_queries_return_their_contracts(spark):
             import zlib
 
             assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+
+
+def test_pages_of_one_template_are_not_paired():
+    """Pages just below the bar, all of one template: the counts that travel with a signature rule nearly all pairs out."""
+    r = random.Random(12)
+    template = [f"t{i}" for i in range(400)]
+    pages = []
+    for p in range(120):
+        own = list(template)
+        for at in sorted(r.sample(range(400), 12)):
+            own[at] = f"p{p}w{at}"
+        pages.append(" ".join(own).encode())
+    plan = jaccard_join.Plan(90, 100)
+    index, sets = jaccard_join._Index(plan), []
+    for i, x in enumerate(jaccard_join.Words(pages).shingles(3)):
+        vector = jaccard_join.coarse(jaccard_join.point(x, jaccard_join.mix(x)))
+        sets.append((len(x), vector, set(x.tolist())))
+        index.add(i, i, len(x), vector)
+    found = 0
+    for i, (n, vector, own) in enumerate(sets):
+        near = set(index.search(n, vector)[0].tolist()) - {i}
+        linked = {j for j, s in enumerate(sets) if j != i and 190 * len(own & s[2]) >= 90 * (len(own) + len(s[2]))}
+        assert linked <= near
+        found += len(near - linked)
+    assert found <= 0.1 * 120 * 119
