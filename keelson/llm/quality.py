@@ -12,7 +12,12 @@ to look: the driver minimises the sample's risk plus a linear term, by which its
 gradient becomes that of all rows, and asks the cluster for that gradient anew at each
 solution (a surrogate risk, ``ROUNDS`` times).  The gradient, the losses and the
 histogram of the prior are sums over all rows; what reaches the driver of them does
-not grow.  ``L2`` and ``HALF`` were chosen by cross-validation within the learning rows.
+not grow.
+
+The scale of the scores is set last, by trusted positives that a fit hasn't seen: the
+risk is minimised once more without every second id, and the level that all but
+``MISSED`` of those ids' positives reach becomes the score ``THRESHOLD``; with few of
+them the shift is the smaller (``STEADY``).  ``L2`` and ``HALF`` were chosen by cross-validation within the learning rows.
 
 Defined results: null and empty texts score as text without words; ids may be null
 or repeated (each row is scored by itself; rows of a null id have no label and are
@@ -43,6 +48,12 @@ ROUNDS = 2
 SCORES = 2048
 BINS = 512
 THRESHOLD = 0.3
+#: Share of trusted positives unseen by a fit that may score below the threshold.
+MISSED = 0.005
+#: So many of them give the shift of the scores half its size.
+STEADY = 100
+#: Levels of z told apart: steps of 1 / 64 from -20 to 20.
+LEVELS, STEP = 2560, 64
 #: Weight decay at the full sample; smaller samples get more of it.
 L2 = 3e-3
 
@@ -106,7 +117,7 @@ def _features(texts: list[bytes], style: np.ndarray, grams: np.ndarray) -> None:
         np.sqrt(grams, out=grams)
 
 
-def _fit(gradient, start: np.ndarray, rounds: int) -> np.ndarray:
+def _adam(gradient, start: np.ndarray, rounds: int) -> np.ndarray:
     """Adam from ``start`` (weights, then the intercept), averaged over the last half of the rounds."""
     w, mean, m, v = start, np.zeros(len(start)), np.zeros(len(start)), np.zeros(len(start))
     for t in range(1, rounds + 1):
@@ -133,7 +144,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def style_scorer(x: np.ndarray, positive: np.ndarray, rounds: int = 150) -> np.ndarray:
     """Weights that tell positives from unlabelled rows, each kind of the same weight."""
     weight = np.where(positive, 0.5 / max(positive.sum(), 1), 0.5 / max((~positive).sum(), 1))
-    return _fit(lambda w: _gradient(x, weight * (_sigmoid(x @ w[:-1] + w[-1]) - positive)) + _decay(w, 1e-4), np.zeros(x.shape[1] + 1), rounds)
+    return _adam(lambda w: _gradient(x, weight * (_sigmoid(x @ w[:-1] + w[-1]) - positive)) + _decay(w, 1e-4), np.zeros(x.shape[1] + 1), rounds)
 
 
 def score_bin(z: np.ndarray) -> np.ndarray:
@@ -192,12 +203,12 @@ class Model:
 class Search:
     """The sample of a fit: its scaling, prior and risk."""
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray):
-        x = np.concatenate([positive, unlabelled])
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        self.x, self.p = self.scaled(x), np.arange(len(x)) < len(positive)
-        self.l2 = L2 * max(1.0, POSITIVES / len(positive))
-        self.prior = 0.5
+    def __init__(self, x: np.ndarray, positive: np.ndarray, like: Search | None = None):
+        """``like``: the search whose scaling and prior hold here, too; then ``x`` is scaled already."""
+        self.mean, self.scale = (x.mean(axis=0), x.std(axis=0) + 1e-3) if like is None else (like.mean, like.scale)
+        self.x, self.p = (self.scaled(x) if like is None else x), positive
+        self.l2 = L2 * max(1.0, POSITIVES / positive.sum())
+        self.prior = 0.5 if like is None else like.prior
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6)
@@ -215,27 +226,34 @@ class Search:
             a, rest, b = a + a0, rest + rest0 + b0 @ (w - w0), b + b0
             return (a + b if rest >= 0 else -b) + _decay(w, self.l2)  # below 0 the estimate is no risk: climb back
 
-        return _fit(gradient, w0, rounds)
+        return _adam(gradient, w0, rounds)
+
+    def fit(self, every: DataFrame) -> np.ndarray:
+        """Weights of least risk over the rows ``every``, of which this search has a sample."""
+        w = self.solve()
+        for _ in range(ROUNDS):
+            sums = _sums(every, "x", lambda x, p, w=w: risk_sums(x, p, w))
+            w = self.solve(w, risk_terms(sums, self.prior))
+        return w
 
-    def model(self, w: np.ndarray) -> Model:
-        return Model(self.mean, self.scale, w[:-1], w[-1], self.prior)
+    def model(self, w: np.ndarray, shift: float = 0.0) -> Model:
+        return Model(self.mean, self.scale, w[:-1], w[-1] + shift, self.prior)
 
 
 NOTHING = Model(None, None, None, 0.0, 0.5)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    """Rows of features of all trusted positives and of all unlabelled texts there are."""
-    if not len(positive) or not len(unlabelled):
-        return NOTHING
-    search = Search(positive, unlabelled)
-    half = np.random.default_rng(7).permutation(len(search.x)) % 2 == 0
-    style = search.x[:, :STYLE]  # few coordinates, so that small samples do
-    w = style_scorer(style[half], search.p[half])
-    bins = score_bin(style[~half] @ w[:-1] + w[-1])
-    count = lambda which: np.bincount(bins[which[~half]], minlength=SCORES)
-    search.prior = prior_of(count(search.p), count(~search.p))
-    return search.model(search.solve())
+def level(z: np.ndarray) -> np.ndarray:
+    return np.clip((z + LEVELS / STEP / 2) * STEP, 0, LEVELS - 1).astype(np.int64)
+
+
+def shift_of(unseen: np.ndarray) -> float:
+    """What to add to z so that all but ``MISSED`` of the unseen positives score the threshold, from their number at each level."""
+    n = unseen.sum()
+    if not n:
+        return 0.0
+    cut = int(np.searchsorted(np.cumsum(unseen), int(MISSED * n), side="right")) / STEP - LEVELS / STEP / 2
+    return float((np.log(THRESHOLD / (1 - THRESHOLD)) - cut) * n / (n + STEADY))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -277,20 +295,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = good.withColumn("positive", F.lit(True)).unionByName(other.withColumn("positive", F.lit(False)))
     # At most as many ids as the samples have rows: small enough to broadcast whatever the input.
     picked = F.broadcast(docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema))
+    odd = F.pmod(F.xxhash64("id", F.lit(13)), F.lit(2)) == 1
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in batches:
-            x = np.concatenate(features([t or b"" for t in b.column(1).to_pylist()]), axis=1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["positive", "x"])
-
-    rows = texts.join(picked, "id").select("positive", "text").mapInArrow(trimmed(raw), "positive boolean, x binary").collect()
-    width = STYLE + BINS
-    read = lambda flag: np.array([np.frombuffer(r.x, np.float32) for r in rows if r.positive == flag], float).reshape(-1, width)
-    positive, unlabelled = read(True), read(False)
-    if not len(positive) or not len(unlabelled):
+            x = np.concatenate(features([t or b"" for t in b.column(2).to_pylist()]), axis=1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["positive", "odd", "x"])
+
+    rows = texts.join(picked, "id").select("positive", odd.alias("odd"), "text").mapInArrow(trimmed(raw), "positive boolean, odd boolean, x binary").collect()
+    rows.sort(key=lambda r: (not r.positive, r.odd, r.x))  # sums come out alike, however the rows came
+    positive, unseen = (np.array([r[i] for r in rows], bool) for i in (0, 1))
+    if not positive.any() or positive.all():
         return NOTHING
-    search = Search(positive, unlabelled)
+    search = Search(np.array([np.frombuffer(r.x, np.float32) for r in rows], float), positive)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -304,9 +322,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     every = settle(texts.mapInArrow(trimmed(kept), T.StructType([texts.schema["id"], T.StructField("style", T.BinaryType()), T.StructField("x", T.BinaryType())]))
                    .join(known, "id", "left").filter("good is null or good = 1")
                    .select("id", "style", "x", F.col("good").isNotNull().alias("positive")), "quality-rows")
-    odd = F.pmod(F.xxhash64("id", F.lit(13)), F.lit(2)) == 1
-    half = np.arange(len(search.x)) % 2 == 0
-    scorer = style_scorer(search.x[half, :STYLE], search.p[half])
+    scorer = style_scorer(search.x[~unseen, :STYLE], search.p[~unseen])
 
     def binned(x: np.ndarray, p: np.ndarray) -> dict[str, np.ndarray]:
         bins = score_bin(x @ scorer[:-1] + scorer[-1])
@@ -314,11 +330,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     counts = _sums(every.filter(odd), "style", binned)
     search.prior = prior_of(counts.get("p", np.zeros(1)), counts.get("u", np.zeros(1)))
-    w = search.solve()
-    for _ in range(ROUNDS):
-        sums = _sums(every, "x", lambda x, p, w=w: risk_sums(x, p, w))
-        w = search.solve(w, risk_terms(sums, search.prior))
-    return search.model(w)
+    w = search.fit(every)
+    seen = search.p[~unseen]
+    if not seen.any() or seen.all():
+        return search.model(w)
+    half = Search(search.x[~unseen], seen, search).fit(every.filter(~odd))
+    levels = _sums(every.filter(odd & F.col("positive")), "x", lambda x, p: {"n": np.bincount(level(x @ half[:-1] + half[-1]), minlength=LEVELS).astype(float)})
+    return search.model(w, shift_of(levels.get("n", np.zeros(1))))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

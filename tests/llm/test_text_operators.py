@@ -102,10 +102,10 @@ def texts_of_two_kinds(n, seed):
     return [t.encode() for t in good], [t.encode() for t in bad]
 
 
-def test_quality_learns_from_positives_and_unlabelled():
+def test_quality_learns_from_positives_and_unlabelled(spark):
     good, bad = texts_of_two_kinds(600, 3)
-    x = lambda ts: np.concatenate(quality.features(ts), axis=1)
-    m = quality.fit(x(good[:200]), x(good[200:400] + bad[:100]))
+    df = docs(spark, [t.decode() for t in good[:400] + bad[:100]])
+    m = quality.train(df, spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int"))
     assert 0.5 < m.prior < 0.8  # two thirds of the unlabelled are positives
     held_good, held_bad = m.score(good[400:]), m.score(bad[100:])
     assert (held_good >= quality.THRESHOLD).mean() > 0.93 and (held_bad < quality.THRESHOLD).mean() > 0.93
@@ -121,6 +121,16 @@ def test_quality_edges(spark):
     assert [r.h for r in df.select(quality.held_out().alias("h")).collect()] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(4)]
 
 
+def test_the_threshold_is_the_level_of_unseen_positives():
+    z = np.random.default_rng(4).normal(3, 1, 20_000)
+    shift = quality.shift_of(np.bincount(quality.level(z), minlength=quality.LEVELS))
+    shift *= 1 + quality.STEADY / len(z)  # as with ever more of them
+    below = (1 / (1 + np.exp(-z - shift)) < quality.THRESHOLD).mean()
+    assert abs(below - quality.MISSED) < 5e-4
+    one = np.bincount(quality.level(np.array([2.0])), minlength=quality.LEVELS)
+    assert quality.shift_of(np.zeros(1)) == 0 and -0.1 < quality.shift_of(one) < 0  # one row says little
+
+
 def test_risk_and_gradient_are_the_plain_ones():
     r = np.random.default_rng(2)
     x, p, w = r.normal(size=(50, 6)), r.random(50) < 0.4, r.normal(size=7)
