@@ -55,6 +55,26 @@ def test_exact_dedup(spark):
     assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == sorted(min(v) for v in groups.values())
 
 
+def test_fewer_groups_lose_no_link_just_at_the_bar():
+    """What the pipeline's near copies rest on: sets as far apart as links may be still share signatures."""
+    r = np.random.default_rng(8)
+    few = jaccard_join.Plan(80, 100, exact=False)
+    fewest = []
+    for n in (600, 1000, 1700, 2500, 3500, 5000):
+        for own in (0, 1):  # a larger set and its subset; two sets of one size
+            for _ in range(40):
+                both = -(-80 * n // 100) if not own else few.need(2 * n)
+                x = np.unique(r.integers(0, 1 << 64, 2 * n - both + 50, dtype=np.uint64))
+                r.shuffle(x)
+                a, b = np.sort(x[:n]), np.sort(np.append(x[:both], x[n:2 * n - both] if own else x[:0]))
+                same = len(np.intersect1d(a, b))
+                assert 100 * same >= 80 * (len(a) + len(b) - same) and 100 * (same - 1) < 80 * (len(a) + len(b) - same + 1)
+                of = lambda s: few.signatures(s, jaccard_join.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+                fewest.append(len(np.intersect1d(of(a), of(b))))
+    assert few.groups(few.class_of(600))[1] == -1  # from here on not by counting
+    assert min(fewest) >= 15, sorted(fewest)[:9]  # far from none
+
+
 def test_exact_dedup_edges(spark, monkeypatch):
     schema = "doc_id long, text string"
     assert exact_dedup.exact_dedup(spark.createDataFrame([], schema)).count() == 0
