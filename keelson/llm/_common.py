@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bits of the hashed key filter, about 16 for each key between these bounds: a broadcast of at most 2**21 rows (32 MB).
 FILTER_BITS = 16, 27
+#: Rows of an Arrow batch where they are whole texts.
+BATCH = 1000
 
 _roots: dict[str, str] = {}
 _written: list[str] = []
@@ -174,6 +176,17 @@ def trimmed(run):
     return whole
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH`` rows from here on in this session; a smaller setting of its owner stays.
+
+    Rows are whole texts here, and a batch is held several times over: by the JVM's writer
+    and reader, as Arrow, as Python texts, and as what is made of them.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which its owner sizes to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import trimmed
+from ._common import small_batches, trimmed
 
 #: Kinds in the order in which spans of equal start are listed.
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "secret")
@@ -280,6 +280,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced by the name of its kind; texts without any stay as they are."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import release, settle, trimmed
+from ._common import release, settle, small_batches, trimmed
 from .tokens import sliced
 from .words import Words
 
@@ -287,6 +287,7 @@ STEPS = 21
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           sample_positives: int = POSITIVES, sample_unlabelled: int = UNLABELLED) -> Model:
     """Fit on all rows labelled 1 and all rows without a label, none of them held out."""
+    small_batches(docs.sparkSession)
     known = labels.filter(~held_out(id_col) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("good"))
     texts = docs.filter(~held_out(id_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     key = F.xxhash64("id", F.lit(11))
@@ -341,6 +342,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a double ``score_col``, computed from the whole text alone."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(score_col)
     at = docs.columns.index(text_col)
 
