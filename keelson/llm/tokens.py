@@ -2,7 +2,8 @@
 
 Pre-tokens repeat far more than texts do; their ids are kept, up to a bound.  A text
 of ASCII and Latin-1 letters alone is cut into pre-tokens by the tokenizer's own
-pattern, and each new one goes to the library's model.  Any other text is cut before
+pattern, and each new one goes to the library's model; where blanks only separate,
+each distinct one of a slice is looked up once.  Any other text is cut before
 blanks where the pre-tokenizer always cuts, and each new chunk goes through the
 library's whole encoder; either way the ids of the parts are those of the text.
 """
@@ -12,7 +13,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from ._common import only
 
@@ -27,7 +32,8 @@ _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
 _PLAIN = re.compile(rf"[\t\n\r {_MARK}0-9{_LETTER}]*")
 #: The pre-tokens of both kinds of vocabulary, for plain texts.
 _SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
-_SINGLE = re.compile(rf"{_SUFFIXES}|[{_LETTER}]+|[0-9]|[{_MARK}]+")
+_STOP = "\0"  # in no plain text
+_APART = rf"({_SUFFIXES}|[0-9]|[{_MARK}]+)"  # and runs of letters
 _JOINED = re.compile(rf"{_SUFFIXES}| ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|\s+(?!\S)|\s+")
 
 
@@ -65,6 +71,21 @@ class _Kept(dict):
         return rest
 
 
+class _Made(_Kept):
+    """A chunk that neither generation has is made when it is asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        data = self.older.get(chunk)
+        if data is None:
+            data = self.make(chunk)
+        self[chunk] = data
+        return data
+
+
 def sliced(texts: list[str], size: int = SLICE) -> Iterator[list[str]]:
     """``texts`` in runs of about ``size`` code points, at least one text each."""
     at = 0
@@ -91,7 +112,7 @@ class ChunkEncoder:
         self.model = self.tokenizer.model
         self.starts = _Kept()  # chunks without a blank before them
         self.others = _Kept()  # chunks after a blank, which isn't part of the key
-        self.words = _Kept()  # pre-tokens of plain texts
+        self.words = _Made(self._word)  # pre-tokens of plain texts
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _plain(self, text: str) -> bool:
@@ -104,7 +125,7 @@ class ChunkEncoder:
                 into[p] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for part in sliced(texts):
+        for part in sliced(texts, SLICE if self.joined else 4 * SLICE):
             for kept in (self.starts, self.others, self.words):
                 kept.turn()
             plain = [self._plain(t) for t in part]
@@ -112,17 +133,34 @@ class ChunkEncoder:
             for p in plain:
                 yield next(easy if p else hard)
 
+    def _word(self, word: str) -> bytes:
+        if word == _STOP:
+            return b""
+        name = word if word.isascii() and word.isprintable() and " " not in word else word.encode().decode("latin-1").translate(_NAMES)
+        return array("I", [t.id for t in self.model.tokenize(name)]).tobytes()  # none of the empty word
+
     def _pre_tokens(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [_JOINED.findall(t) for t in texts] if self.joined else [_SINGLE.findall(t.lower()) for t in texts]
-        new: set[str] = set()
-        for c in cut:
-            new.update(c)
-        words, tokenize = self.words, self.model.tokenize
-        for w in words.unknown(new):
-            name = w if w.isascii() and w.isprintable() and " " not in w else w.encode().decode("latin-1").translate(_NAMES)
-            words[w] = array("I", [t.id for t in tokenize(name)]).tobytes()
-        for c in cut:
-            yield b"".join(map(words.__getitem__, c))
+        if self.joined:
+            for t in texts:
+                yield b"".join(map(self.words.__getitem__, _JOINED.findall(t)))
+        elif texts:
+            yield from self._separated(texts)
+
+    def _separated(self, texts: list[str]) -> Iterator[bytes]:
+        """All pre-tokens but letters are set apart by blanks; the slice is split there as one text with a mark after each."""
+        whole = pa.array([f" {_STOP} ".join([*texts, ""])], pa.string())
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(whole), _APART, r" \1 ")).flatten().dictionary_encode()
+        names = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary)
+        names = pc.binary_join(names, "\n")[0].as_py().split("\n")
+        known = list(map(self.words.__getitem__, names))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        place, at = np.cumsum(size) - size, words.indices.to_numpy()
+        n = size[at]
+        end = np.cumsum(n)
+        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(place[at] - end + n, n) + np.arange(end[-1])]
+        bounds = [0, *end[at == names.index(_STOP)].tolist()]
+        for a, z in zip(bounds, bounds[1:]):
+            yield ids[a:z].tobytes()
 
     def _chunks(self, texts: list[str]) -> Iterator[bytes]:
         cut = [t.split(" ") for t in texts]

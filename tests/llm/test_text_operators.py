@@ -46,6 +46,21 @@ def test_encoder_forgets_and_goes_on(monkeypatch):
         assert [np.frombuffer(next(iter(e.encode([t]))), "<u4").tolist() for t in texts] == want
 
 
+def test_a_slice_looks_each_word_up_once():
+    e, asked = tokens.ChunkEncoder(WORDS, False), []
+
+    class Seen(type(e.words)):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    e.words = Seen(e.words.make)
+    texts = ["The cat's 12 eyes,  the CAT -- the\ttown."] * 50 + ["", " ", "é!É"]
+    want = e.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [w.ids for w in want]
+    assert len(asked) == len(set(asked)) and {"the", "cat", "'s", "1", "2", "--", "é"} <= set(asked)
+
+
 # -- 1: WARC ----------------------------------------------------------------
 
 def test_warc_round_trip(spark):
