@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions, release, rows_with, rows_without, salted_join, settle, trimmed, with_maybe
+from ._common import partitions, release, rows_with, rows_without, salted_join, settle, small_batches, trimmed, with_maybe
 
 #: Bits of a fingerprint. Fewer bits make messages smaller and suspects more; results don't depend on it.
 FP_BITS = 48
@@ -163,6 +163,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
+    small_batches(spark)
     owners = owners or partitions(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     scan = settle(slim.mapInArrow(trimmed(_scan(owners)), _SCAN), "dedup-scan")

@@ -85,6 +85,20 @@ def test_exact_dedup_edges(spark, monkeypatch):
     assert sorted(((x.doc_id, x.text) for x in kept), key=str) == sorted([(3, "a"), (7, "q"), (7, "r"), (None, "a"), (None, "z"), (None, "z")], key=str)
 
 
+def test_exact_dedup_takes_small_batches(spark):
+    """Its rows are whole texts: none of its tasks holds 10000 of them at once, which is Spark's own batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        exact_dedup.exact_dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+        rows = spark.range(3000, numPartitions=1)
+        most = [r.n for r in rows.mapInArrow(lambda bs: (b.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()]
+        assert sum(most) == 3000 and max(most) <= _common.BATCH
+    finally:
+        spark.conf.set(key, before)
+
+
 def plain_sets(texts, k):
     out = []
     for t in texts:
