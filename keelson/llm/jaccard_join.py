@@ -18,10 +18,13 @@ Links, not pairs, are the result.  Copies of a set are one node.  First each nod
 checked against the least node of its signatures, which joins groups of near copies
 by one pair for each member; then an R-tree finds, for each signature whose nodes
 are still apart, the likeliest link of each node out of its component (as in
-Boruvka's algorithm, two rounds), and at last all pairs that are still between
-components.  No link is lost: a pair left out joins
-nodes already connected.  Indexes hold at most ``INDEX`` points; larger groups take
-several, and their queries are dealt, too, so that no task grows with a group.
+Boruvka's algorithm, two rounds).  At last the tree tells which nodes of a signature
+may link out of their components at all; their sets meet there, and each pair still
+between components is verified on the spot, so that only links that join something
+leave the task, fewer than nodes came in, and no pairs are listed.  No link is lost: a
+pair left out joins nodes already connected.  Indexes hold about ``INDEX`` points and
+``HELD`` shingles; larger groups take several, and their queries are dealt, too, so
+that no task grows with a group.
 
 Shingles and sets are known by 64-bit hashes: among 10**9 distinct sets one pair of
 different ones is expected to be taken as equal with a chance of 3 in 100.
@@ -48,6 +51,8 @@ EXPECTED = 30.0
 INDEX = 2048
 #: Queries of a block that go to one task.
 ASKS = 4 * INDEX
+#: Shingles of the sets of an index, and of the queries of a block that go to one task; and of sets that are compared at once.
+HELD, ASKED, COMPARED = 1 << 22, 1 << 24, 1 << 18
 #: Rounds in which each node still apart is joined by its likeliest link, before all pairs left over are looked at.
 BEST_ROUNDS = 2
 LEAF = 24
@@ -348,39 +353,137 @@ class _Index:
             fit = bound >= self.plan.need(n + sizes[rows])
             rows = rows[fit]
             found.append((node[rows], comp[rows], bound[fit]))
+        if not found:  # no node fell into this block
+            return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _searched(num: int, den: int, best: bool):
-    """Rows (signature, block, part, query, node, component, n, vector, main), sorted -> pairs between components.
-
-    ``best``: only each query's pair of the highest bound.
-    """
+def _likeliest(num: int, den: int):
+    """Rows (signature, block, part, query, node, component, main, n, vector), sorted -> each query's pair of the highest bound out of its component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Plan(num, den)
         key, index = None, None
         for b in batches:
             pairs = set()
-            for sig, block, part, query, node, comp, n, vector, main in zip(*(c.to_pylist() for c in b.columns)):
+            for sig, block, part, query, node, comp, _, n, vector in zip(*(c.to_pylist() for c in b.columns)):
                 if (sig, block, part) != key:
                     key, index = (sig, block, part), _Index(plan)
                 if not query:
                     index.add(node, comp, n, vector)
                     continue
                 other, its, bound = index.search(n, vector)
-                ask = its != comp if best else (its != comp) & ((its == main) | (other < node))
-                if not ask.any():
-                    continue
-                other, bound = other[ask], bound[ask]
-                if best:
-                    other = other[np.lexsort((other, -bound))[:1]]
-                pairs.update((min(node, o), max(node, o)) for o in other.tolist())
+                other, bound = other[its != comp], bound[its != comp]
+                pairs.update((min(node, o), max(node, o)) for o in other[np.lexsort((other, -bound))[:1]].tolist())
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return trimmed(run)
 
 
+def _asked(node: int, comp: int, main: int, other: np.ndarray, its: np.ndarray) -> np.ndarray:
+    """Which nodes a query is compared with: of two outside the main component the greater asks."""
+    return (its != comp) & ((its == main) | (other < node))
+
+
+_MET = "sig long, query boolean, node long, comp long, main long"
+
+
+def _met(num: int, den: int):
+    """Rows (signature, block, part, query, node, component, main, n, vector), sorted -> the queries that may link, and the nodes that they may link with."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = Plan(num, den)
+        key, index, seen = None, None, set()
+        for b in batches:
+            rows = []
+            for sig, block, part, query, node, comp, main, n, vector in zip(*(c.to_pylist() for c in b.columns)):
+                if (sig, block, part) != key:
+                    key, index, seen = (sig, block, part), _Index(plan), set()
+                if not query:
+                    index.add(node, comp, n, vector)
+                    continue
+                other, its, _ = index.search(n, vector)
+                ask = _asked(node, comp, main, other, its)
+                if not ask.any():
+                    continue
+                rows.append((sig, True, node, comp, main))
+                fresh = [(o, c) for o, c in zip(other[ask].tolist(), its[ask].tolist()) if o not in seen]
+                seen.update(o for o, _ in fresh)
+                rows += [(sig, False, o, c, main) for o, c in fresh]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.bool_(), *[pa.int64()] * 3))],
+                                                 names=["sig", "query", "node", "comp", "main"])
+
+    return trimmed(run)
+
+
+class _Joined:
+    """What is connected so far: components joined by links."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, comp: int) -> int:
+        while (up := self.above.get(comp, comp)) != comp:
+            self.above[comp] = self.above.get(up, up)
+            comp = up
+        return comp
+
+    def join(self, a: int, b: int) -> bool:
+        """False if they were connected before."""
+        a, b = self.root(a), self.root(b)
+        self.above[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _overlaps(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of the set ``x`` with each other one (all sorted, none empty)."""
+    every = np.concatenate(others)
+    hit = x.take(np.searchsorted(x, every), mode="clip") == every
+    return np.add.reduceat(hit, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+
+
+def _linked(num: int, den: int):
+    """Rows (signature, block, part, query, node, component, main, n, vector, shingles), sorted -> links that join components of their cell.
+
+    A link is verified on the sets.  Nodes that earlier links of the cell connect are not compared, so
+    that fewer links come out than rows went in.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = Plan(num, den)
+        key, index, sets, joined = None, None, {}, _Joined()
+        for b in batches:
+            links = []
+            shingles = b.column(9)
+            for i, (sig, block, part, query, node, comp, main, n, vector) in enumerate(zip(*(b.column(j).to_pylist() for j in range(9)))):
+                if (sig, block, part) != key:
+                    key, index, sets, joined = (sig, block, part), _Index(plan), {}, _Joined()
+                x = np.sort(shingles[i].values.to_numpy())
+                if not query:
+                    index.add(node, comp, n, vector)
+                    sets[node] = x
+                    continue
+                other, its, bound = index.search(n, vector)
+                ask = np.flatnonzero(_asked(node, comp, main, other, its))
+                left = [(o, c) for o, c in zip(*(v[ask[np.argsort(-bound[ask], kind="stable")]].tolist() for v in (other, its)))]
+                many = 8  # the likeliest first: what they connect need not be looked at
+                while left:
+                    own = joined.root(comp)
+                    left = [(o, c) for o, c in left if joined.root(c) != own]
+                    now, held = [], 0
+                    while len(now) < min(many, len(left)) and (not now or held + len(sets[left[len(now)][0]]) <= COMPARED):
+                        held += len(sets[left[len(now)][0]])
+                        now.append(left[len(now)])
+                    left, many = left[len(now):], 2 * many
+                    if now:
+                        for (o, c), both in zip(now, _overlaps(x, [sets[o] for o, _ in now]).tolist()):
+                            if both >= plan.need(n + len(sets[o])) and joined.join(comp, c):
+                                links.append((min(node, o), max(node, o)))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*links)], names=["a", "b"])
+
+    return trimmed(run)
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the least node reachable.
 
@@ -416,15 +519,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     member = settle(salted_join(with_maybe(sent, "sig", shared, "m").filter("m").drop("m"), shared.drop("n"), "sig", shared.select("sig", "n"), ["node"]).distinct(), "join-members")
     light = settle(points.mapInArrow(_coarse, "node long, n long, vector binary"), "join-coarse")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The linked ones of distinct pairs (a, b)."""
-        pairs = settle(pairs, "join-pairs")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of distinct nodes, settled."""
         wanted = settle(table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "join-wanted")
         texts = with_maybe(slim, "doc_id", wanted, "__m").filter("__m").select("text")
         sets = settle(texts.mapInArrow(_sets(k), "node long, shingles array<long>"), "join-sets")
         if not sets.groupBy("node").count().filter("count > 1").isEmpty():  # rows of one id or of a null id
             sets = settle(sets.dropDuplicates(["node"]), "join-sets")
+        return sets
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The linked ones of distinct pairs (a, b)."""
+        pairs = settle(pairs, "join-pairs")
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         joined = (pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
                   .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a"))
         both = F.size(F.array_intersect("x", "y")).cast("long")
@@ -444,25 +551,44 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     first = components(verified(close(near)))
 
     # Then: what is still apart below a signature; first the likeliest pair of each node, then all.
+    column = ["sig", "block", "part", "query", "node", "comp", "main", "n", "vector"]
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    mine = lambda count, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
+
+    def cells(rows: DataFrame, asks: DataFrame) -> DataFrame:
+        """Rows of signatures of so many ``blocks`` and ``shares``: a cell holds a block of the index and a share of the queries; both are bounded."""
+        index = rows.withColumn("block", mine("blocks", 1)).withColumn("part", each("shares")).withColumn("query", F.lit(False))
+        query = asks.withColumn("part", mine("shares", 2)).withColumn("block", each("blocks")).withColumn("query", F.lit(True))
+        return index.unionByName(query)
+
+    def dealt(cells: DataFrame) -> DataFrame:
+        return cells.repartition("sig", "block", "part").sortWithinPartitions("sig", "block", "part", "query")
+
     def apart(root: DataFrame, best: bool) -> DataFrame:
+        """The rows of signatures whose nodes are still apart, and their queries, in cells; ``best``: each node asks below its largest signature only."""
         placed = settle(member.select("sig", "node").join(root, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("comp")), "join-placed")
         open_ = (placed.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("comp", "node").alias("main"))
-                 .filter("c0 <> c1").select("sig", "main", "m", F.ceil(F.col("m") / INDEX).cast("int").alias("blocks")))
+                 .filter("c0 <> c1").select("sig", "main", "m", F.ceil(F.col("m") / INDEX).cast("int").alias("blocks"), F.ceil(F.col("m") / ASKS).cast("int").alias("shares")))
         rows = placed.join(open_, "sig")
         asks = rows.filter("comp <> main")
-        if best:  # each node asks below its largest signature only
+        if best:
             asks = asks.join(asks.groupBy("node").agg(F.max_by("sig", F.struct("m", "sig")).alias("sig")), ["node", "sig"])
             rows = rows.join(asks.select("sig").distinct(), "sig", "left_semi")
-        # A cell holds a block of the index and a share of the queries; both are bounded.
-        column = ["sig", "block", "part", "query", "node", "comp", "n", "vector", "main"]
-        shares = F.ceil(F.col("m") / ASKS).cast("int")
-        mine = lambda count, seed: F.pmod(F.xxhash64("node", F.lit(seed)), count).cast("int")
-        each = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-        index = rows.withColumn("block", mine(F.col("blocks"), 1)).withColumn("part", each(shares)).withColumn("query", F.lit(False))
-        query = asks.withColumn("part", mine(shares, 2)).withColumn("block", each(F.col("blocks"))).withColumn("query", F.lit(True))
-        cells = index.unionByName(query)
-        return settle(cells.join(light, "node").select(column).repartition("sig", "block", "part").sortWithinPartitions("sig", "block", "part", "query")
-                      .mapInArrow(_searched(num, den, best), "a long, b long").distinct(), "join-found")
+        return dealt(cells(rows, asks).join(light, "node").select(column))
+
+    def likeliest(root: DataFrame) -> DataFrame:
+        return settle(apart(root, True).mapInArrow(_likeliest(num, den), "a long, b long").distinct(), "join-found")
+
+    def left_over(root: DataFrame) -> DataFrame:
+        """Links that connect all that is still apart."""
+        met = settle(apart(root, False).mapInArrow(_met(num, den), _MET).distinct(), "join-met")
+        sets = sets_of(met.select("node").distinct())
+        sized = settle(met.join(light, "node"), "join-sized")
+        of = lambda least, most, query: F.greatest(F.lit(1), *(F.ceil(F.sum(F.when(F.col("query") == query, x)) / y).cast("int") for x, y in ((F.lit(1), least), (F.col("n"), most))))
+        counts = sized.groupBy("sig").agg(of(INDEX, HELD, False).alias("blocks"), of(ASKS, ASKED, True).alias("shares"))
+        rows = sized.join(counts, "sig")
+        found = cells(rows.filter("not query"), rows.filter("query")).select(column).join(sets, "node").select(*column, "shingles")
+        return settle(dealt(found).mapInArrow(_linked(num, den), "a long, b long").distinct(), "join-left")
 
     def merged(root: DataFrame, more: DataFrame) -> DataFrame:
         """(node, root) with more links: only those between components are left to follow."""
@@ -476,9 +602,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     root, tried = first, near
     for _ in range(BEST_ROUNDS):
-        found = settle(apart(root, True).join(tried, ["a", "b"], "left_anti"), "join-asked")
+        found = settle(likeliest(root).join(tried, ["a", "b"], "left_anti"), "join-asked")
         root, tried = merged(root, verified(close(found))), settle(tried.unionByName(found), "join-tried")
-    root = merged(root, verified(close(apart(root, False).join(tried, ["a", "b"], "left_anti"))))
+    root = merged(root, left_over(root))
 
     copies = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
     joined = copies.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,3 +321,23 @@ def test_pages_of_one_template_are_not_paired():
         assert linked <= near
         found += len(near - linked)
     assert found <= 0.1 * 120 * 119
+
+
+def test_links_of_a_cell_are_those_of_all_pairs():
+    """A group of near copies leaves its task as at most one link for each component joined, not as its pairs."""
+    r = np.random.default_rng(3)
+    plan, base = jaccard_join.Plan(80, 100), r.integers(0, 1 << 62, 200)
+    sets = [np.unique(np.append(r.permutation(base)[:r.integers(150, 200)], r.integers(0, 1 << 62, r.integers(0, 12)))) for _ in range(120)]
+    vectors = [jaccard_join.coarse(jaccard_join.point(x.astype(np.uint64), jaccard_join.mix(x.astype(np.uint64)))) for x in sets]
+    rows = [(1, 0, 0, query, i, i // 2, 0, len(x), v, r.permutation(x).tolist()) for query in (False, True) for i, (x, v) in enumerate(zip(sets, vectors)) if not query or i // 2]
+    names = ["sig", "block", "part", "query", "node", "comp", "main", "n", "vector", "shingles"]
+    batches = [pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows[i:i + 50]))))) for i in range(0, len(rows), 50)]
+    got = [(a, b) for out in jaccard_join._linked(80, 100)(iter(batches)) for a, b in zip(*(c.to_pylist() for c in out.columns))]
+    linked = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= plan.need(len(sets[a]) + len(sets[b]))
+    want, have = jaccard_join._Joined(), jaccard_join._Joined()
+    assert all(linked(a, b) and have.join(a // 2, b // 2) for a, b in got)  # true links, each joins something
+    for a in range(120):
+        for b in range(a):
+            if linked(a, b):
+                want.join(a // 2, b // 2)
+    assert [want.root(i) for i in range(60)] == [have.root(i) for i in range(60)] and 0 < len(got) < 60
