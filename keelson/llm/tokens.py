@@ -23,6 +23,8 @@ from ._common import only
 
 #: Chunks of one generation kept by a worker (about 25 MB); the generation before it is kept, too.
 KEPT_CHUNKS = 120_000
+#: Times that bound for words of separated vocabularies: most are met once or twice, and a word costs more to make than to keep.
+WORDS_KEPT = 4
 #: Bytes of text taken at once.
 SLICE = 1 << 20
 
@@ -50,12 +52,13 @@ _NAMES = _byte_names()
 class _Kept(dict):
     """What is known of chunks, in two generations: what the older one has and is met again moves to the younger."""
 
-    def __init__(self):
+    def __init__(self, times: int = 1):
         super().__init__()
         self.older: dict[str, bytes] = {}
+        self.times = times
 
     def turn(self) -> None:
-        if len(self) > KEPT_CHUNKS:
+        if len(self) > self.times * KEPT_CHUNKS:
             self.older = dict(self)
             self.clear()
 
@@ -74,8 +77,8 @@ class _Kept(dict):
 class _Made(_Kept):
     """A chunk that neither generation has is made when it is asked for."""
 
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
+    def __init__(self, make: Callable[[str], bytes], times: int = 1):
+        super().__init__(times)
         self.make = make
 
     def __missing__(self, chunk: str) -> bytes:
@@ -112,7 +115,7 @@ class ChunkEncoder:
         self.model = self.tokenizer.model
         self.starts = _Kept()  # chunks without a blank before them
         self.others = _Kept()  # chunks after a blank, which isn't part of the key
-        self.words = _Made(self._word)  # pre-tokens of plain texts
+        self.words = _Made(self._word, 1 if joined else WORDS_KEPT)  # pre-tokens of plain texts
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _plain(self, text: str) -> bool:

@@ -61,6 +61,18 @@ def test_a_slice_looks_each_word_up_once():
     assert len(asked) == len(set(asked)) and {"the", "cat", "'s", "1", "2", "--", "é"} <= set(asked)
 
 
+def test_words_are_kept_over_slices(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_CHUNKS", 100)
+    e, made = tokens.ChunkEncoder(WORDS, False), []
+    make = e.words.make
+    e.words.make = lambda word: made.append(word) or make(word)
+    texts = [" ".join("word" + chr(97 + i) + chr(97 + j) + chr(97 + k) for i in range(6) for j in range(26)) for k in range(3)]
+    want = e.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for _ in range(2):
+        assert [np.frombuffer(next(iter(e.encode([t]))), "<u4").tolist() for t in texts] == [w.ids for w in want]
+    assert len(made) == len(set(made))  # 3 times 156 words are more than two generations of 100 keep
+
+
 # -- 1: WARC ----------------------------------------------------------------
 
 def test_warc_round_trip(spark):
