@@ -157,21 +157,26 @@ def release() -> None:
         gc.collect()
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the machine; the allocators would keep its peak."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(run):
     """``run``, a function for mapInArrow; what its task used goes back to the machine when it ends.
 
-    Workers stay for a while after their last task; the allocators would keep its peak for them.
+    Workers stay for a while after their last task.
     """
     def whole(batches):
-        import pyarrow as pa
-
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):  # where the C library has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return whole
 

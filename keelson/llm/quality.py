@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import release, settle, small_batches, trimmed
+from ._common import give_back, release, settle, small_batches, trimmed
 from .tokens import sliced
 from .words import Words
 
@@ -170,9 +170,10 @@ def risk_sums(x: np.ndarray, positive: np.ndarray, w: np.ndarray) -> dict[str, n
     gradients: of the positives called positive and negative, of the unlabelled called negative.
     """
     z = x @ w[:-1] + w[-1]
-    s, loss, p = _sigmoid(z), np.logaddexp(0, z), positive
-    return {"sizes": np.array([p.sum(), (~p).sum(), loss[p].sum(), loss[~p].sum()], float), "p_positive": _gradient(x[p], s[p] - 1),
-            "p_negative": _gradient(x[p], s[p]), "u_negative": _gradient(x[~p], s[~p])}
+    s, loss, n = _sigmoid(z), np.logaddexp(0, z), int(positive.sum())
+    p, u = (slice(n), slice(n, None)) if positive[:n].all() else (positive, ~positive)  # positives first: nothing is copied
+    return {"sizes": np.array([n, len(z) - n, loss[p].sum(), loss[u].sum()], float), "p_positive": _gradient(x[p], s[p] - 1),
+            "p_negative": _gradient(x[p], s[p]), "u_negative": _gradient(x[u], s[u])}
 
 
 def risk_terms(sums: dict[str, np.ndarray], prior: float) -> tuple[np.ndarray, float, np.ndarray]:
@@ -185,6 +186,18 @@ def _trust(sizes: np.ndarray) -> np.ndarray:
     return (sizes / (sizes + HALF))[:, None]
 
 
+class Scaling:
+    """Features in standard deviations of a sample, bounded; tasks get it without the sample."""
+
+    def __init__(self, x: np.ndarray):
+        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        z = x - self.mean
+        z /= self.scale
+        return np.clip(z, -6, 6, out=z)
+
+
 class Model:
     """Weights of one fit."""
 
@@ -205,14 +218,11 @@ class Search:
 
     def __init__(self, x: np.ndarray, positive: np.ndarray, like: Search | None = None):
         """``like``: the search whose scaling and prior hold here, too; then ``x`` is scaled already."""
-        self.mean, self.scale = (x.mean(axis=0), x.std(axis=0) + 1e-3) if like is None else (like.mean, like.scale)
+        self.scaled = Scaling(x) if like is None else like.scaled
         self.x, self.p = (self.scaled(x) if like is None else x), positive
         self.l2 = L2 * max(1.0, POSITIVES / positive.sum())
         self.prior = 0.5 if like is None else like.prior
 
-    def scaled(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -6, 6)
-
     def terms(self, w: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
         return risk_terms(risk_sums(self.x, self.p, w), self.prior)
 
@@ -237,7 +247,7 @@ class Search:
         return w
 
     def model(self, w: np.ndarray, shift: float = 0.0) -> Model:
-        return Model(self.mean, self.scale, w[:-1], w[-1] + shift, self.prior)
+        return Model(self.scaled.mean, self.scaled.scale, w[:-1], w[-1] + shift, self.prior)
 
 
 NOTHING = Model(None, None, None, 0.0, 0.5)
@@ -287,6 +297,13 @@ STEPS = 21
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           sample_positives: int = POSITIVES, sample_unlabelled: int = UNLABELLED) -> Model:
     """Fit on all rows labelled 1 and all rows without a label, none of them held out."""
+    try:
+        return _train(docs, labels, id_col, text_col, label_col, sample_positives, sample_unlabelled)
+    finally:
+        give_back()  # the sample and its rows
+
+
+def _train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_positives: int, sample_unlabelled: int) -> Model:
     small_batches(docs.sparkSession)
     known = labels.filter(~held_out(id_col) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("good"))
     texts = docs.filter(~held_out(id_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
@@ -304,18 +321,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = np.concatenate(features([t or b"" for t in b.column(2).to_pylist()]), axis=1).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["positive", "odd", "x"])
 
-    rows = texts.join(picked, "id").select("positive", odd.alias("odd"), "text").mapInArrow(trimmed(raw), "positive boolean, odd boolean, x binary").collect()
-    rows.sort(key=lambda r: (not r.positive, r.odd, r.x))  # sums come out alike, however the rows came
+    got = texts.join(picked, "id").select("positive", odd.alias("odd"), "text").mapInArrow(trimmed(raw), "positive boolean, odd boolean, x binary").toArrow()
+    rows = sorted(zip(*(c.to_pylist() for c in got.columns)), key=lambda r: (not r[0], r[1], r[2]))  # sums come out alike, however the rows came
+    del got
     positive, unseen = (np.array([r[i] for r in rows], bool) for i in (0, 1))
     if not positive.any() or positive.all():
         return NOTHING
-    search = Search(np.array([np.frombuffer(r.x, np.float32) for r in rows], float), positive)
+    sample = np.array([np.frombuffer(r[2], np.float32) for r in rows], float)
+    del rows
+    search = Search(sample, positive)
+    del sample
+    scaled = search.scaled  # all that tasks need: the sample would go with each of them
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in batches:
             texts = [t or b"" for t in b.column(1).to_pylist()]
-            x = np.concatenate([np.rint(search.scaled(np.concatenate(features(part), axis=1)) * STEPS).astype(np.int8) for part in sliced(texts)]) if texts else []
+            x = np.concatenate([np.rint(scaled(np.concatenate(features(part), axis=1)) * STEPS).astype(np.int8) for part in sliced(texts)]) if texts else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[:STYLE].tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())],
                                              names=["id", "style", "x"])
 

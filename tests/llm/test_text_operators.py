@@ -139,6 +139,24 @@ def test_quality_learns_from_positives_and_unlabelled(spark):
     assert ((0 <= m.score([b"", b" ", b"x"])) & (m.score([b"", b" ", b"x"]) <= 1)).all()
 
 
+def test_quality_sends_tasks_no_sample(spark, monkeypatch):
+    from pyspark.cloudpickle import dumps
+
+    good, bad = texts_of_two_kinds(200, 5)
+    sent, trimmed = [], quality.trimmed
+    monkeypatch.setattr(quality, "trimmed", lambda run: sent.append(len(dumps(run))) or trimmed(run))
+    quality.train(docs(spark, [t.decode() for t in good + bad]), spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int"))
+    assert len(sent) > 4 and max(sent) < 100_000  # the sample here has over a million bytes
+
+
+def test_quality_risk_is_alike_in_any_order():
+    rng = np.random.default_rng(4)
+    x, p, w = rng.normal(size=(60, 5)), np.arange(60) < 20, rng.normal(size=6)
+    order = rng.permutation(60)
+    one, two = quality.risk_sums(x, p, w), quality.risk_sums(x[order], p[order], w)
+    assert all(np.allclose(one[k], two[k]) for k in one)
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     df = docs(spark, ["a b", None, "", "word " * 50_000])
