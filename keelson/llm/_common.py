@@ -60,6 +60,7 @@ def settle_alone(spark: SparkSession, make, label: str) -> DataFrame:
     for path in _written[before:-1]:
         drop_path(spark, path)
     _written[before:-1] = []
+    collect(spark)
     return out
 
 
@@ -167,6 +168,16 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def collect(spark: SparkSession) -> None:
+    """The driver gives back the memory of plans and task records that settled tables have left behind.
+
+    Its JVM would grow to its bound before it collects them: called between the steps of a query of
+    many jobs.  Spark's cleaner then drops their shuffles and broadcasts, too.
+    """
+    give_back()  # first what this process refers to in the JVM
+    spark._jvm.System.gc()
+
+
 def trimmed(run):
     """``run``, a function for mapInArrow; what its task used goes back to the machine when it ends.
 

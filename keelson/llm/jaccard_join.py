@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import release, salted_join, settle, trimmed, with_maybe
+from ._common import collect, release, salted_join, settle, trimmed, with_maybe
 from .words import Words, mix
 
 EXPECTED = 30.0
@@ -503,6 +503,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         small = large.join(low, "a")
         e = settle(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                    .unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), label)
+    collect(e.sparkSession)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -518,6 +519,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     shared = settle(sent.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("n")).filter("lead <> last").drop("last"), "join-shared")
     member = settle(salted_join(with_maybe(sent, "sig", shared, "m").filter("m").drop("m"), shared.drop("n"), "sig", shared.select("sig", "n"), ["node"]).distinct(), "join-members")
     light = settle(points.mapInArrow(_coarse, "node long, n long, vector binary"), "join-coarse")
+    collect(docs.sparkSession)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """(node, shingles) of distinct nodes, settled."""
@@ -526,6 +528,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         sets = settle(texts.mapInArrow(_sets(k), "node long, shingles array<long>"), "join-sets")
         if not sets.groupBy("node").count().filter("count > 1").isEmpty():  # rows of one id or of a null id
             sets = settle(sets.dropDuplicates(["node"]), "join-sets")
+        collect(docs.sparkSession)
         return sets
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -577,7 +580,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         return dealt(cells(rows, asks).join(light, "node").select(column))
 
     def likeliest(root: DataFrame) -> DataFrame:
-        return settle(apart(root, True).mapInArrow(_likeliest(num, den), "a long, b long").distinct(), "join-found")
+        found = settle(apart(root, True).mapInArrow(_likeliest(num, den), "a long, b long").distinct(), "join-found")
+        collect(docs.sparkSession)
+        return found
 
     def left_over(root: DataFrame) -> DataFrame:
         """Links that connect all that is still apart."""

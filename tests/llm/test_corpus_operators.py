@@ -341,3 +341,13 @@ def test_links_of_a_cell_are_those_of_all_pairs():
             if linked(a, b):
                 want.join(a // 2, b // 2)
     assert [want.root(i) for i in range(60)] == [have.root(i) for i in range(60)] and 0 < len(got) < 60
+
+
+def test_driver_collects_between_the_jobs_of_near_copies(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    table = spark.createDataFrame([(i, f"{'a b c d e f g h ' * 3}{i % 3} end") for i in range(9)], "doc_id long, text string")
+    before = whole()
+    found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(table, k=5, num=80, den=100).collect()}
+    assert len(found) == 9 and all(found[i] == found[i % 3] for i in found)
+    assert whole() - before >= 11  # of the components, sets and likeliest pairs; none before
