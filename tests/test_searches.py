@@ -64,6 +64,15 @@ def test_wide_table_takes_few_scans_and_width_is_logged(spark, caplog):
     assert keys.infer_keys({"t": three}, evidence, max_width=2) == [] and len(keys.infer_keys({"t": three}, evidence)[0].columns) == 3
 
 
+def test_the_first_guess_that_stands_is_proven_alone(spark, monkeypatch):
+    df = table(spark, [(i, i % 7, i // 7, i % 2) for i in range(400)], ["long"] * 4)
+    asked = []
+    monkeypatch.setattr(Pairs, "prove", lambda self, guesses, share=1, real=Pairs.prove: asked.append((len(guesses), share)) or real(self, guesses, share))
+    assert Pairs(df.drop("c0"), ["c1", "c2", "c3"]).first_unique(rows=400) == ("c1", "c2")
+    assert asked[-1] == (1, 1) and sum(share == 1 for _, share in asked) == 1  # one shuffle of all keys
+    assert Pairs(df.union(df), df.columns).first_unique(rows=800) == () and Pairs(df.limit(0), df.columns).rows == 0
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_least_grain(spark, seed):
     r = random.Random(seed)
