@@ -165,6 +165,26 @@ def test_stability_sums_before_the_join(spark):
     assert not twice.is_stable and twice.agg_count == 121
 
 
+def test_logical_tables_with_the_rows_of_their_source_share_its_evidence(spark, tmp_path):
+    from keelson.operators import logical
+    from keelson.plans.pipeline import Pipeline
+    from test_data import SHOP, write
+
+    for name, text in SHOP.items():
+        write(tmp_path / "shop" / f"{name}.csv", text)
+    p = Pipeline.from_folder(spark, str(tmp_path / "shop")).run()
+    flat = p._flat(p.logical_evidence)
+    assert p.like and any(x.distinct for x in p.plans if x.name in p.like)
+    for t in p.like:
+        assert p.logical[t].count() == p.sources[p.like[t]].count() == (p.logical[t].distinct().count() if next(x for x in p.plans if x.name == t).distinct else p.logical[t].count())
+        assert sorted(profile.evidence_of(profile.profile(p.logical[t], t).collect()), key=lambda c: c.column) == p.logical_evidence[t]
+    determinants = {x.name: x.determinants for x in p.plans if x.role == logical.DIMENSION}
+    assert keys.logical_keys(p.logical, flat, determinants) == p.official and joins.discover(p.logical, flat, p.official) == p.links
+    plain = {m.id: validate.structure(m, p.logical, {}) for m in p.models}
+    assert plain == p.structure
+    p.close()
+
+
 # -- evidence and catalog ---------------------------------------------------
 
 def test_store_swaps_scopes_and_keeps_history(spark, tmp_path):
