@@ -135,6 +135,19 @@ def test_dependencies_of_many_determinants_by_one_scan(spark, monkeypatch):
     assert sum("Scan" in line and "Existing" in line for line in dependencies.dependency_sets(df, sets, names)._jdf.queryExecution().optimizedPlan().toString().splitlines()) <= 1
 
 
+def test_determinants_of_many_values_are_grouped_one_after_another(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i // 2 if r.random() < 0.9 else None, i % 3, f"t{i % 5}", r.choice([None, "x", "y"]), r.random()) for i in range(300)]
+    df = table(spark, rows, ["long", "long", "string", "string", "double"])
+    sets = [(c,) for c in df.columns] + list(combinations(df.columns, 2))
+    plain = sorted(map(str, dependencies.dependency_sets(df, sets, df.columns).collect()))
+    alone = []
+    monkeypatch.setattr(dependencies, "LARGE", 0)
+    monkeypatch.setattr(dependencies, "_one_set", lambda df, d, *a, real=dependencies._one_set: alone.append(d) or real(df, d, *a))
+    assert sorted(map(str, dependencies.dependency_sets(df, sets, df.columns).collect())) == plain
+    assert ("c0",) in alone and ("c4",) in alone and ("c1",) not in alone and ("c1", "c2") not in alone
+
+
 def test_coverage_of_all_pairs_by_one_pass(spark, monkeypatch):
     r = random.Random(3)
     tables = {t: spark.createDataFrame([(i, r.choice([None, *range(m)]), str(r.randrange(9)), i % 3) for i in range(n)], "id long, ref long, code string, part long")
