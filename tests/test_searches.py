@@ -198,6 +198,13 @@ def test_logical_tables_with_the_rows_of_their_source_share_its_evidence(spark,
     p.close()
 
 
+def test_parquet_tables_are_not_copied_to_the_cache(spark):
+    from keelson.plans import catalogue
+
+    p = catalogue._analysis(spark, "/root/testdata/sf0.001")
+    assert p._hold(p.sources["nation"]) is p.sources["nation"] and not p.kept
+
+
 # -- evidence and catalog ---------------------------------------------------
 
 def test_store_swaps_scopes_and_keeps_history(spark, tmp_path):
